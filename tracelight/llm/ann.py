@@ -13,11 +13,11 @@ from . import common
 
 NEIGHBOURS = 10
 #: Single-projection arrays, and the share of them whose window must hold a vector before it is verified.
-PROJECTIONS, COLLIDING = 48, 0.7
+PROJECTIONS, COLLIDING = 64, 0.7
 #: The window grows by this factor from a small share of the spread of a projection, until it holds everything.
 GROWTH, LEVELS, FIRST_WIDTH = 1.3, 22, 0.05
 #: A query's windows of a block stop growing once so many vectors (or this share of the block) collide enough.
-LEAST_CANDIDATES, CANDIDATE_SHARE = 150, 0.06
+LEAST_CANDIDATES, CANDIDATE_SHARE = 250, 0.08
 #: Vectors and queries that one task holds.
 BLOCK, QUERY_BLOCK = 8_192, 2_048
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -48,7 +47,7 @@ def gram_counts(body: np.ndarray, at: np.ndarray, dims: int = DIMS) -> np.ndarra
             code = code << np.uint64(8) | a[k : len(a) - size + 1 + k]
         spaces = (joined[: len(code)] == 32) & (joined[1 : len(code) + 1] == 32)
         if size == 3:
-            spaces |= (joined[1 : len(code) + 1] == 32) & (joined[2 : len(code) + 2] == 32)
+            spaces |= joined[1 : len(code) + 1] == 32  # nothing across words, whatever stands between them
         bucket = (common.mixed(code + np.uint64(size << 32)) % np.uint64(dims)).astype(np.int64)
         keep = ~spaces
         out += np.bincount(doc[: len(code)][keep] * dims + bucket[keep], minlength=rows * dims).astype(np.float32)

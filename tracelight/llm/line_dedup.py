@@ -87,7 +87,7 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
                 columns = [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), _signed(common.mixed(one.run(start, end))), _signed(common.mixed(two.run(start, end)))]
                 for kind, half in ((1, n // 2), (1, (n - 1) // 2), (2, n // 2), (2, (n - 1) // 2)):
                     run = one.run(start, start + half) if kind == 1 else one.run(end - half, end)
-                    columns.append(_signed(common.mixed(run + np.uint64(kind) * _SECOND + half.astype(np.uint64))))
+                    columns.append(_signed(common.mixed(run + half.astype(np.uint64) * np.uint64(2 * kind + 1) + np.uint64(kind))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n_words", "h1", "h2", "k0", "k1", "k2", "k3"])
 
     return docs.select("doc_id", "text").mapInArrow(make, _LINES)

@@ -65,7 +65,7 @@ def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
     for a in range(0, len(starts), _ROUND):
         h = np.fromiter((digest(joined[s:e], HASH_SEED) for s, e in zip(starts[a : a + _ROUND].tolist(), ends[a : a + _ROUND].tolist())), np.uint64)
         for w in range(words):
-            own = h if w == 0 else common.mixed(h + np.uint64(w) * np.uint64(0x9E3779B97F4A7C15))
+            own = h if w == 0 else common.mixed(h + np.uint64(w * 0x9E3779B97F4A7C15 % (1 << 64)))
             votes[w] += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(votes * 2 > len(starts), axis=1, bitorder="little").view("<i8")[:, 0].tolist()
 
