@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most text bytes and documents that one vectorised step holds; a longer document is a step of its own.
 STEP_BYTES = 4 << 20
@@ -100,3 +101,23 @@ def span_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     np.cumsum((body.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(body)), out=sums[1:])
     inverse = powers(_INVERSE, len(body) + 1)
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def map_texts(docs: DataFrame, text_col: str, keep: list[str], added: str, make: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with those of the schema ``added``, which ``make`` gives for each batch of texts.
+
+    ``make`` gets nulls as empty texts. Columns of the same names as added ones are replaced.
+    """
+    new = [part.split()[0] for part in added.split(",")]
+    keep = [c for c in keep if c not in new]
+    source = keep if text_col in keep else [*keep, text_col]
+    rows = docs.select(*source)
+    schema = rows.select(*keep).limit(0).schema
+    for field in StructType.fromDDL(added):
+        schema = schema.add(field)
+
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *make(text_column(batch, text_col))], [*keep, *new])
+
+    return rows.mapInArrow(batches, schema)

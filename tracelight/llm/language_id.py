@@ -148,33 +148,31 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return LanguageModel(languages, idf, centres, np.array([languages.index(r["lang"]) for r in rows_out]), np.array([r["least"] for r in rows_out]) * REJECT_SHARE)
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (cosine with the nearest centroid) and rejected, of every whole text.
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """Columns ``keep`` (doc_id by default) with lang_pred, score (cosine with the nearest centroid) and rejected, of every whole text.
 
     Without a letter (null and empty texts too) a text is ``und`` with score 0 and rejected. Any other gets
     the language of its nearest centroid, the first in name order of equal ones, and is rejected where it is
-    too far from it. A model without languages gives ``und`` throughout. Only the text decides.
+    too far from it. A model without languages gives ``und`` throughout. Only the text decides; columns of
+    the three names are replaced. No shuffle.
     """
     dims = len(model.idf)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size: dims x (centroids x languages)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"), F.coalesce(docs[text_col].rlike("\\p{L}"), F.lit(False)).alias("letters"))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(col: pa.Array) -> list[pa.Array]:
         m = shared.value
-        for batch in batches:
-            n = batch.num_rows
-            best, cosine = np.full(n, -1, np.int64), np.zeros(n)
-            if len(m.centres):
-                for a, b, counts in _batches(common.text_column(batch, "text"), dims):
-                    near = weighted(counts, m.idf) @ m.centres.T
-                    best[a:b], cosine[a:b] = np.argmax(near, axis=1), near.max(axis=1)
-            known = batch.column(2).to_numpy(zero_copy_only=False).astype(bool) & (best >= 0)
-            names = [m.languages[m.language[k]] if ok else UNKNOWN for k, ok in zip(best, known)]
-            cosine = np.where(known, np.clip(cosine, 0, 1), 0.0)
-            far = ~known | (cosine < np.append(m.limits, 0)[best])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(cosine), pa.array(far)], ["doc_id", "lang_pred", "score", "rejected"])
-
-    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
+        best, cosine = np.full(len(col), -1, np.int64), np.zeros(len(col))
+        if len(m.centres):
+            for a, b, counts in _batches(col, dims):
+                near = weighted(counts, m.idf) @ m.centres.T
+                best[a:b], cosine[a:b] = np.argmax(near, axis=1), near.max(axis=1)
+        known = pc.match_substring_regex(col, r"\p{L}").to_numpy(zero_copy_only=False).astype(bool) & (best >= 0)
+        names = [m.languages[m.language[k]] if ok else UNKNOWN for k, ok in zip(best, known)]
+        cosine = np.where(known, np.clip(cosine, 0, 1), 0.0)
+        far = ~known | (cosine < np.append(m.limits, 0)[best])
+        return [pa.array(names, pa.string()), pa.array(cosine), pa.array(far)]
+
+    return common.map_texts(docs, text_col, keep or ["doc_id"], "lang_pred string, score double, rejected boolean", score)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

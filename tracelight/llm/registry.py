@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, language_id, line_dedup, packing, quality, sentence_pieces, simhash, token_counts
+from . import ann, exact_dedup, language_id, line_dedup, packing, quality, sentence_pieces, simhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_language_id": language_id.op3_language_id,
         "op4_nearest_neighbours": ann.op4_nearest_neighbours,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_simhash": simhash.op6_simhash,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op8_quality": quality.op8_quality,
