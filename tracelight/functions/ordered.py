@@ -19,7 +19,10 @@ def value_range(df: DataFrame, key: Column, ranges: int = RANGES) -> Column:
     at = sorted(set(cuts or []))
     if not at:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, at)), lambda c: c <= key.cast("double")))
+    number = F.lit(0)
+    for cut in at:
+        number = number + (key.cast("double") >= cut).cast("int")
+    return number
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], key: Column, by: list[str] | None = None, descending: bool = False, ranges: int = RANGES) -> DataFrame:

@@ -148,7 +148,7 @@ def parse_label(text: Column) -> Column:
 def parse_confidence(text: Column) -> Column:
     """A whole percentage as a share within [0, 1]."""
     found = F.nullif(F.regexp_extract(text, r"(?i)CONFIDENCE\s*:\s*(\d{1,3})", 1), F.lit(""))
-    return F.least(found.cast("double") / 100, F.lit(1.0))
+    return F.when(found.isNotNull(), F.least(found.cast("double") / 100, F.lit(1.0)))  # least() alone would skip a null
 
 
 def parse_json(text: Column) -> Column:
@@ -156,7 +156,8 @@ def parse_json(text: Column) -> Column:
     obj = F.from_json(text, "classification string, confidence string, evidence string, explanation string")
     cls = F.trim(F.upper(obj["classification"]))
     ok = F.coalesce(cls.isin("NORMAL", "SUSPICIOUS"), F.lit(False))
-    conf = F.least(F.greatest(obj["confidence"].try_cast("double") / 100, F.lit(0.0)), F.lit(1.0))
+    number = obj["confidence"].try_cast("double")
+    conf = F.when(number.isNotNull(), F.least(F.greatest(number / 100, F.lit(0.0)), F.lit(1.0)))
     return F.struct(cls.alias("cls"), conf.alias("conf"), ok.alias("ok"))
 
 

@@ -434,7 +434,7 @@ VERDICT = """CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN 'CLASSIFICATION: NORMAL'
  ELSE 'CLASSIFICATION: NORMAL or SUSPICIOUS' END"""
 VSQL = f"""WITH v AS (SELECT conv_id, turn, {VERDICT} AS t FROM conversations), f AS (SELECT *, upper(trim(regexp_extract(t, '(?i)CLASSIFICATION\\s*:\\s*([^\\n]+)', 1))) AS raw, upper(t) AS up, regexp_extract(t, '(?i)CONFIDENCE\\s*:\\s*([0-9]{{1,3}})', 1) AS c FROM v),
 p AS (SELECT *, CASE WHEN (contains(raw, 'SUSPICIOUS') OR contains(raw, 'ANOMAL')) AND NOT contains(raw, 'NORMAL') THEN 'SUSPICIOUS' WHEN contains(raw, 'NORMAL') AND NOT (contains(raw, 'SUSPICIOUS') OR contains(raw, 'ANOMAL')) THEN 'NORMAL'
-  WHEN contains(up, 'SUSPICIOUS') AND NOT contains(up, 'NORMAL') THEN 'SUSPICIOUS' WHEN contains(up, 'NORMAL') AND NOT contains(up, 'SUSPICIOUS') THEN 'NORMAL' END AS cls, least(TRY_CAST(nullif(c, '') AS DOUBLE) / 100, 1.0) AS conf FROM f),
+  WHEN contains(up, 'SUSPICIOUS') AND NOT contains(up, 'NORMAL') THEN 'SUSPICIOUS' WHEN contains(up, 'NORMAL') AND NOT contains(up, 'SUSPICIOUS') THEN 'NORMAL' END AS cls, CASE WHEN c <> '' THEN least(CAST(c AS DOUBLE) / 100, 1.0) END AS conf FROM f),
 j AS (SELECT *, turn % 5 = 3 AS json_ok, CASE WHEN turn % 5 = 3 THEN 'SUSPICIOUS' ELSE cls END AS jcls, CASE WHEN turn % 5 = 3 THEN least((conv_id % 130) / 100.0, 1.0) ELSE conf END AS jconf FROM p) """
 
 
