@@ -19,7 +19,7 @@ HASH_SEED = 42
 #: A fingerprint word is cut into segments of so many bits, highest first.
 SEGMENTS = (22, 21, 21)
 #: Fingerprints that share a key are compared pair by pair up to this many, beyond it by a spanning forest.
-PAIRED_BUCKET = 24
+PAIRED_BUCKET = 8
 #: Fingerprints that one task compares; larger buckets are cut into cells of two blocks.
 BLOCK = 8_000
 _ROUND = 1 << 16
@@ -46,8 +46,9 @@ class Scheme:
 #: most two, so every pair within 2 bits shares a key.
 STRICT = Scheme(3, 1, 2, 2, ((0, 0, 1, True), (0, 1, 2, True), (0, 2, 0, True)))
 #: 256 bits of five-word shingles; 39 differing bits are the angle of two equal-sized shingle sets with
-#: Jaccard similarity 0.8 (cosine 8/9). Each word gives keys of two segments with up to two errors each.
-SIMILAR = Scheme(5, 4, 39, 16, tuple((w, 0, 1, False) for w in range(4)))
+#: Jaccard similarity 0.8 (cosine 8/9). In each word, every segment as it is goes with every other one with up to
+#: two errors: 33 bits, so that unrelated fingerprints hardly ever share a key.
+SIMILAR = Scheme(5, 4, 39, 16, tuple((w, i, j, True) for w in range(4) for i in range(3) for j in range(3) if i != j))
 
 
 def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
