@@ -21,7 +21,7 @@ SAMPLE_PER_LANGUAGE = 1500
 CENTROIDS = 4
 ROUNDS = 12
 UNKNOWN = "und"
-#: A text is rejected where its cosine is below this share of the smallest that its centroid's own texts reach.
+#: A text is rejected where its cosine is below this share of the smallest that any sample text of the language reaches.
 REJECT_SHARE = 0.5
 _FOLD_PARTS, _HELD_OUT = 3, 1
 
@@ -136,10 +136,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def cluster(key: tuple[str], pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.concatenate([weighted(c, idf) for _, _, c in _batches(pa.array(pdf["text"], pa.large_string()), dims)])
         centres = spherical_means(x, centroids, ROUNDS)
-        near = x @ centres.T
-        own, best = np.argmax(near, axis=1), near.max(axis=1)
-        limits = [float(best[own == k].min(initial=1.0)) for k in range(len(centres))]
-        return pd.DataFrame({"lang": key[0], "centre": [c.astype("<f4").tobytes() for c in centres], "least": limits})
+        return pd.DataFrame({"lang": key[0], "centre": [c.astype("<f4").tobytes() for c in centres], "least": float((x @ centres.T).max(axis=1).min())})
 
     rows_out = drawn.groupBy("lang").applyInPandas(cluster, "lang string, centre binary, least double").collect()
     rows_out.sort(key=lambda r: (r["lang"], bytes(r["centre"])))
