@@ -31,24 +31,22 @@ class Scheme:
 
     ``words`` 64-bit words are made from the same shingles. ``tables`` lists (word, segment, segment, exact):
     a key is the first segment, as it is (exact) or its Golay keys, with the Golay keys of the second.
-    Fingerprints link at ``radius`` or fewer differing bits over all words; ``word_radius`` bounds those
-    of the word a key comes from and only spares comparisons.
+    Fingerprints link at ``radius`` or fewer differing bits over all words.
     """
 
     shingle: int
     words: int
     radius: int
-    word_radius: int
     tables: tuple[tuple[int, int, int, bool], ...]
 
 
 #: Two errors over three segments leave one segment without an error and, in cyclic order, a next one with at
 #: most two, so every pair within 2 bits shares a key.
-STRICT = Scheme(3, 1, 2, 2, ((0, 0, 1, True), (0, 1, 2, True), (0, 2, 0, True)))
-#: 256 bits of five-word shingles; 39 differing bits are the angle of two equal-sized shingle sets with
+STRICT = Scheme(3, 1, 2, ((0, 0, 1, True), (0, 1, 2, True), (0, 2, 0, True)))
+#: 512 bits of five-word shingles; 77 differing bits are the angle of two equal-sized shingle sets with
 #: Jaccard similarity 0.8 (cosine 8/9). In each word, every segment as it is goes with every other one with up to
 #: two errors: 33 bits, so that unrelated fingerprints hardly ever share a key.
-SIMILAR = Scheme(5, 4, 39, 16, tuple((w, i, j, True) for w in range(4) for i in range(3) for j in range(3) if i != j))
+SIMILAR = Scheme(5, 8, 77, tuple((w, i, j, True) for w in range(8) for i in range(3) for j in range(3) if i != j))
 
 
 def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
@@ -106,7 +104,7 @@ def bucket_keys(values: np.ndarray, table: int, first: int, second: int, exact:
 
 
 def _keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """(bucket, node, word) for every key of every node."""
+    """(bucket, node) for every key of every node."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,9 +114,9 @@ def _keyed(nodes: DataFrame, scheme: Scheme) -> DataFrame:
                 for t, (word, first, second, exact) in enumerate(scheme.tables):
                     values = np.ascontiguousarray(part.column(1 + word).to_numpy())
                     rows, keys = bucket_keys(values, t, first, second, exact)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows]), pa.array(values[rows])], ["bucket", "node", "word"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[rows])], ["bucket", "node"])
 
-    return nodes.select("node", *_names(scheme.words)).mapInArrow(make, "bucket long, node long, word long")
+    return nodes.select("node", *_names(scheme.words)).mapInArrow(make, "bucket long, node long")
 
 
 def forest(node: np.ndarray, words: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -151,29 +149,25 @@ def _differing(pairs: list[tuple[Column, Column]]) -> Column:
 def links(nodes: DataFrame, scheme: Scheme, paired_bucket: int = PAIRED_BUCKET, block: int = BLOCK) -> DataFrame:
     """Links (u, v) among ``nodes`` (node, w0, ...) that join whatever the links within the radius join.
 
-    Buckets of one fingerprint are dropped before any join. Small buckets are self-joined on their key with
-    the comparison as join condition. Large ones give a spanning forest, so their rows grow with their
-    members, not with their square; beyond ``block`` members they are cut into cells of two blocks.
+    Buckets of one fingerprint are dropped before any join; keys are shuffled once. Small buckets are
+    self-joined on their key with the comparison as join condition. Large ones give a spanning forest, so
+    their rows grow with their members, not with their square; beyond ``block`` members they are cut into
+    cells of two blocks.
     """
     names = _names(scheme.words)
-    keyed = _keyed(nodes, scheme)
+    keyed = _keyed(nodes, scheme).repartition("bucket")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = common.stored(keyed.join(sizes, "bucket"), "buckets")
+    shared = common.stored(keyed.join(sizes, "bucket").join(nodes.select("node", *names), "node"), "buckets")
 
     small = shared.where(F.col("size") <= paired_bucket)
     a, b = small.alias("a"), small.alias("b")
-    near = _differing([(F.col("a.word"), F.col("b.word"))]) <= scheme.word_radius
+    near = _differing([(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in names]) <= scheme.radius
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
-    if scheme.words > 1:
-        left = nodes.select(F.col("node").alias("u"), *(F.col(w).alias(f"a_{w}") for w in names))
-        right = nodes.select(F.col("node").alias("v"), *(F.col(w).alias(f"b_{w}") for w in names))
-        pairs = pairs.join(left, "u").join(right, "v").where(_differing([(F.col(f"a_{w}"), F.col(f"b_{w}")) for w in names]) <= scheme.radius).select("u", "v")
 
-    blocks = F.ceil(F.col("size") / block)
-    large = shared.where(F.col("size") > paired_bucket).select("bucket", "node", blocks.alias("blocks"))
+    large = shared.where(F.col("size") > paired_bucket).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    large = large.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(nodes.select("node", *names), "node")
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *names)
     radius = scheme.radius
 
     def grown(pdf: pd.DataFrame) -> pd.DataFrame:
