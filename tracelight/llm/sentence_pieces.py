@@ -55,18 +55,30 @@ def split_words(text: Column, prefix: bool) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, size, edges): all pieces inside each distinct word as edges (from, to, score, id).
+    """(word, size, edges): every substring of each distinct word as (a, b, score, id), score and id null unless it is a piece.
 
     Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which has a
     fixed size and is broadcast. Explode and join keep the words' partitioning, so grouping needs no shuffle.
+    Edges are in the order of (a, b), so that a fold finds one by its place (see ``edge_at``).
     """
     sized = words.select("word", F.char_length("word").alias("size"))
     begun = sized.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     cut = begun.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("a")))))
     cut = cut.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("len")))
     known = F.broadcast(pieces.where("byte is null").select("piece", "score", "id"))
-    edge = F.when(F.col("id").isNotNull(), F.struct(F.col("a"), (F.col("a") + F.col("len")).alias("b"), "score", "id"))
-    return cut.join(known, "piece", "left").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"))
+    edge = F.struct(F.col("a"), (F.col("a") + F.col("len")).alias("b"), "score", "id")
+    return cut.join(known, "piece", "left").groupBy("word", "size").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
+def edge_at(edges: Column, size: Column, longest: int, a: Column, b: Column) -> Column:
+    """The edge from a to b; null if it is longer than any piece.
+
+    Starts up to ``size - most`` have ``most`` edges each, every later one has one fewer than the start before it.
+    """
+    most = F.least(F.lit(longest), size)
+    late = F.greatest(a - (size - most), F.lit(0))
+    place = (a * most - F.floor(late * (late - 1) / 2) + b - a - 1).cast("int")
+    return F.when(b - a <= most, F.get(edges, place))
 
 
 def viterbi(size: Column, edges: Column) -> Column:
@@ -79,7 +91,7 @@ def viterbi(size: Column, edges: Column) -> Column:
     start = F.array(F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0)).alias("cuts")))
 
     def extend(ways: Column, b: Column) -> Column:
-        own = F.filter(edges, lambda e: e["b"] == b)
+        own = F.filter(edges, lambda e: (e["b"] == b) & e["id"].isNotNull())
         fallback = F.struct((b - 1).alias("a"), b.alias("b"), F.lit(UNKNOWN_SCORE).alias("score"), F.lit(-1).alias("id"))
         single = F.exists(own, lambda e: e["a"] == b - 1)
         own = F.when(single, own).otherwise(F.concat(own, F.array(fallback)))
@@ -89,18 +101,22 @@ def viterbi(size: Column, edges: Column) -> Column:
     return F.get(F.aggregate(steps, start, extend), size)["cuts"]
 
 
-def merges(size: Column, edges: Column) -> Column:
+def merges(size: Column, edges: Column, longest: int) -> Column:
     """Cuts that merging leaves: a fold that joins, step by step, the neighbours whose joint piece scores best.
 
-    The first cuts are all character bounds. An edge can merge if exactly one cut lies inside it; of equal
+    The first cuts are all character bounds. Two neighbours can merge if the stretch of both is a piece; of equal
     scores the leftmost goes first. Once nothing merges, further steps change nothing.
     """
 
     def step(cuts: Column, _: Column) -> Column:
-        able = F.filter(edges, lambda e: (F.array_position(cuts, e["a"]) > 0) & F.coalesce(F.get(cuts, (F.array_position(cuts, e["a"]) + 1).cast("int")) == e["b"], F.lit(False)))
-        best = F.array_max(F.transform(able, lambda e: F.struct(e["score"].alias("s"), (-e["a"]).alias("o"))))
-        inner = F.get(cuts, F.array_position(cuts, -best["o"]).cast("int"))
-        return F.when(best.isNull(), cuts).otherwise(F.array_remove(cuts, inner))
+        def joint(i: Column) -> Column:
+            a = F.get(cuts, i)
+            return F.struct(edge_at(edges, size, longest, a, F.get(cuts, i + 2))["score"].alias("s"), (-a).alias("o"), F.get(cuts, i + 1).alias("inner"))
+
+        inner_cuts = F.slice(F.sequence(F.lit(0), F.size(cuts)), 1, F.size(cuts) - 2)
+        best = F.array_max(F.transform(inner_cuts, joint))
+        # through an array of one, so that the best is worked out once
+        return F.get(F.transform(F.array(best), lambda x: F.when(x["s"].isNull(), cuts).otherwise(F.array_remove(cuts, x["inner"]))), F.lit(0))
 
     # one step fewer than characters; a slice, as a sequence from 1 to 0 would count down
     rounds = F.slice(F.sequence(F.lit(1), size), 1, size - 1)
@@ -113,9 +129,9 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
     fold = fold or {"bpe": "merges", "unigram": "viterbi"}[spec["kind"]]
     longest = max(len(p) for p, _, _, byte in pieces if byte is None)
     found = lattice(words, piece_table(spark, path), longest)
-    cuts = {"merges": merges, "viterbi": viterbi}[fold](F.col("size"), F.col("edges"))
-    ids = F.map_from_entries(F.transform("edges", lambda e: F.struct(F.struct(e["a"], e["b"]), e["id"])))
-    found = found.select("word", cuts.alias("cuts"), ids.alias("known"))
+    size, edges = F.col("size"), F.col("edges")
+    cuts = merges(size, edges, longest) if fold == "merges" else viterbi(size, edges)
+    found = found.withColumn("cuts", cuts)
     first_byte = next((i for _, i, _, byte in pieces if byte == 0), None)
 
     def token(a: Column, k: Column) -> Column:
@@ -125,7 +141,7 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
             other = F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda h: (F.conv(h, 16, 10).cast("int") + F.lit(first_byte)))
         else:
             other = F.array(F.lit(spec["unk"]))
-        got = F.try_element_at("known", F.struct(a.alias("a"), b.alias("b")))
+        got = edge_at(edges, size, longest, a, b)["id"]
         return F.when(got.isNotNull(), F.array(got)).otherwise(other)
 
     tokens = F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), token))
