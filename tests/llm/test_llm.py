@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracelight.llm import ann, bpe, common, components, exact_dedup, golay, language_id, line_dedup, packing, quality, registry, sentence_pieces, simhash, token_counts, toxicity
+from tracelight.llm import ann, bpe, common, components, exact_dedup, golay, language_id, line_dedup, minhash, packing, quality, registry, sentence_pieces, simhash, token_counts, toxicity
 
 ODD = "special <|endoftext|> 日本 ﬁ 0x41   tab\tend"
 
@@ -209,6 +209,60 @@ def test_similar_scheme_finds_near_copies_and_leaves_others(spark):
     assert all(got[10 * i] == 10 * i for i in range(40))
 
 
+def jaccard(a: str, b: str, k: int = 5) -> float:
+    x, y = ({tuple(own[i : i + k]) for i in range(max(1, len(own) - k + 1))} for own in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def planted(rng, at: float) -> tuple[str, str]:
+    """A text of 300 words and a copy with a changed stretch of words, at a similarity of ``at`` or just above."""
+    base = words(rng, 300).split()
+    size = max(m for m in range(1, 100) if (296 - m - 4) / (296 + m + 4) >= at)
+    k = rng.randrange(5, 290 - size)
+    return " ".join(base), " ".join(base[:k] + [f"new{i}x" for i in range(size)] + base[k + size :])
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_similar_pairs_are_those_of_brute_force(spark, monkeypatch, large):
+    rng = random.Random(21)
+    rows, wanted = {}, {}
+    for level in (0.70, 0.75, 0.78, 0.80, 0.85, 0.90):
+        for _ in range(30):
+            i = 10 * len(rows)
+            rows[i], rows[i + 1] = planted(rng, level)
+            wanted[i + 1] = jaccard(rows[i], rows[i + 1]) >= 0.8
+    passage = " ".join(["one passage that comes again and again"] * 200)
+    for i in (100_000, 100_010):  # the same repeated passage, and little else in common
+        rows[i] = f"{passage} {words(rng, 60)}"
+    assert sum(wanted.values()) == 90
+    if large:  # every shared bucket by spanning forests, in cells
+        own_links = minhash.links
+        monkeypatch.setattr(minhash, "links", lambda r, nodes, scheme: own_links(r, nodes, scheme, 1, 400))
+    frame = spark.createDataFrame([*rows.items(), (100_020, None), (100_030, ""), (None, rows[0])], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame, simhash.SIMILAR).collect()}
+    assert {i: got[i] == i - 1 for i in wanted} == wanted
+    assert all(got[i] == i for i in rows if i not in wanted)
+    assert (got[100_020], got[100_030], got[None]) == (100_020, 100_020, 0)
+
+
+def test_forest_joins_what_all_links_join():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 1 << 62, 40)).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(np.append(b[rng.random(40) > 0.08], rng.integers(0, 1 << 62, 2).astype(np.uint64))) for b in base for _ in range(12)]
+    u, v = minhash.forest(np.arange(len(sets)), sets)
+    root = list(range(len(sets)))
+    want = list(range(len(sets)))
+    for _ in sets:
+        for a, b in zip(u, v):
+            root[a] = root[b] = min(root[a], root[b])
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                    want[a] = want[b] = min(want[a], want[b])
+    assert root == want and len(u) <= len(sets)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]

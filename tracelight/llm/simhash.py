@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, golay
+from . import common, golay, minhash
 from .components import components
 
 HASH_SEED = 42
@@ -43,10 +43,10 @@ class Scheme:
 #: Two errors over three segments leave one segment without an error and, in cyclic order, a next one with at
 #: most two, so every pair within 2 bits shares a key.
 STRICT = Scheme(3, 1, 2, ((0, 0, 1, True), (0, 1, 2, True), (0, 2, 0, True)))
-#: 512 bits of five-word shingles; 77 differing bits are the angle of two equal-sized shingle sets with
-#: Jaccard similarity 0.8 (cosine 8/9). In each word, every segment as it is goes with every other one with up to
-#: two errors: 33 bits, so that unrelated fingerprints hardly ever share a key.
-SIMILAR = Scheme(5, 8, 77, tuple((w, i, j, True) for w in range(8) for i in range(3) for j in range(3) if i != j))
+#: Five-word shingles, Jaccard similarity 0.8. Fingerprint keys that cover this bound are shared by too many unrelated
+#: texts, so candidates come from MinHash bands over the same shingles, and the shingle sets decide. A pair at
+#: the bound is missed with probability 7e-5.
+SIMILAR = minhash.Sets(5, 24, 5)
 
 
 def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
@@ -177,13 +177,16 @@ def links(nodes: DataFrame, scheme: Scheme, paired_bucket: int = PAIRED_BUCKET,
     return pairs.union(large.groupBy("bucket", "i", "j").applyInPandas(grown, "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, scheme: Scheme = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, scheme: Scheme | minhash.Sets = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint words and component_id (smallest doc_id reachable over links) of every row.
 
     Equal fingerprints are one node named by its smallest doc_id, so copies never become pairs. Texts
     without words link like any other. Rows of a null identifier take part, and get a null component
     unless it holds an identifier. Repeated rows give repeated results; an empty table gives none.
+    A scheme of shingle sets gives ``minhash.near_duplicates``.
     """
+    if isinstance(scheme, minhash.Sets):
+        return minhash.near_duplicates(docs, scheme, id_col, text_col)
     names = _names(scheme.words)
     marked = common.stored(fingerprints(docs, scheme.shingle, scheme.words, id_col, text_col), "fingerprints")
     unnamed = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(*names), F.lit(1 << 40))
