@@ -441,6 +441,15 @@ def test_pipeline_stages(spark, sf):
     assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == set(before)
 
 
+def test_a_copy_takes_no_other_text_of_its_identifier(spark):
+    rng = random.Random(12)
+    first, copy = planted(rng, 0.9)
+    own = words(rng, 300)
+    rows = [(1, first), (2, copy), (2, own), (None, own + " more"), (None, first)]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, first), (2, own)]
+
+
 def test_pipeline_runs_on_empty_documents(spark, empty, sf):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:
