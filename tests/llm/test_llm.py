@@ -325,6 +325,12 @@ def test_pieces_equal_the_library_and_come_back(spark, texts):
         assert r["decoded"] == t.replace("▁", " ")
 
 
+def test_op1_covers_all_documents(spark, sf):
+    want = sorted(r["doc_id"] for r in common.read(spark, sf, "documents").select("doc_id").collect())
+    rows = registry.queries()["op1_sentence_pieces"](spark, sf).select("doc_id", "round_trip").collect()
+    assert sorted(r["doc_id"] for r in rows) == want and all(r["round_trip"] for r in rows)
+
+
 def test_viterbi_finds_the_best_path(spark):
     rng = random.Random(3)
     pieces = {"".join(rng.choices("ab", k=rng.randint(1, 4))): -rng.random() * 5 for _ in range(15)}

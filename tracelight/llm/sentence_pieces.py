@@ -186,7 +186,7 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> D
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = common.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    done = decode(encode(turns))
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    done = decode(encode(docs))
     same = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")) == F.col("decoded")
-    return done.select("conv_id", "turn", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return done.select("doc_id", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
