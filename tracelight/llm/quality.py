@@ -88,22 +88,21 @@ class Leader:
         self.n[at] += g * g
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, slots: int = SLOTS) -> np.ndarray:
-    """Weights, the bias last, from rows (doc_id, text, label 0 or 1).
+def fit(labelled: DataFrame, slots: int = SLOTS) -> np.ndarray:
+    """Weights, the bias last, from rows (doc_id, text, label 0 or 1), such as ``labelled`` draws.
 
-    At most about ``sample`` rows are learnt from. They are dealt to shards of bounded size by a hash; each
-    task runs FTRL over its shard, and the weights are averaged. Rare labels weigh more, up to balance at the
-    square root of their rarity. The result has a fixed size. Without both labels the weights are zero.
+    Rows are dealt to shards of bounded size by a hash; each task runs FTRL over its shard, and the weights are
+    averaged. Rare labels weigh more, up to balance at the square root of their rarity. The result has a fixed
+    size. Null texts count as empty, repeated rows as often as they occur. Without both labels the weights are zero.
     """
-    rows = labelled.where("label in (0, 1)").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text", F.col("label").cast("int").alias("label"))
+    rows = common.stored(labelled.where("label in (0, 1)"), "quality-sample").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text", F.col("label").cast("int").alias("label"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n = sum(sizes.values())
     if len(sizes) < 2:
         return np.zeros(slots + 1)
     rare = {label: math.sqrt(n / (2 * size)) for label, size in sizes.items()}
-    drawn = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < min(1.0, sample / n))
-    shards = max(1, math.ceil(min(n, sample) / SHARD_ROWS))
-    drawn = drawn.withColumn("shard", F.pmod(F.shiftright("h", 24), F.lit(shards)))
+    shards = max(1, math.ceil(n / SHARD_ROWS))
+    drawn = rows.withColumn("shard", F.pmod(F.shiftright("h", 24), F.lit(shards)))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable")
@@ -129,7 +128,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE_ROWS, slots: int = SLOTS) -> n
 def predict(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score (0 to 1) and predicted, of every whole text.
 
-    Null and empty texts get the score of the bias alone. Only the text decides; repeated rows score alike.
+    Null and empty texts get the score of the bias alone. Only the text decides, so ties and repeated rows score
+    alike; a null identifier stays null. Further columns, clashing names too, are neither read nor returned. An
+    empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))  # a fixed size
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
@@ -147,11 +148,17 @@ def predict(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_c
     return rows.mapInArrow(score, "doc_id long, score double, predicted int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Texts of the learning rows with their label; of several labels of a document the largest counts."""
-    marks = labels.where(common.fold(F.col("doc_id"), _FOLD_PARTS) != _HELD_OUT).groupBy("doc_id").agg(F.max(column).alias("label"))
-    own = docs.where(common.fold(F.col("doc_id"), _FOLD_PARTS) != _HELD_OUT).select("doc_id", "text")
-    return own.join(marks.where("label is not null"), "doc_id")
+def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, text and label of about ``sample`` learning rows; of several labels of a document the largest counts.
+
+    The sample is drawn from the labels, by a hash of the identifier, before any text is read: it is bounded,
+    so it is broadcast and texts are not shuffled.
+    """
+    learning = common.fold(F.col("doc_id"), _FOLD_PARTS) != _HELD_OUT
+    marks = labels.where(learning).groupBy("doc_id").agg(F.max(column).cast("int").alias("label")).where("label in (0, 1)")
+    share = min(1.0, sample / max(1, marks.count()))
+    drawn = marks.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_003)) / 1_000_003.0 < share)
+    return docs.where(learning).select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
