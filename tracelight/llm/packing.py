@@ -57,9 +57,11 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     """Bin and offset of each item, in decreasing order of size.
 
     ``open_bins[g]`` counts the open bins with gap g. Putting an item of size s into a bin of gap g takes
-    one from that count and adds one to the count of gap g - s; the place whose change of the sum of
-    squared counts is smallest is taken, the tightest of equal ones. A new bin is opened only if no open
-    one has room, which for sizes in decreasing order keeps the number of bins near the lower bound.
+    one from that count and adds one to the count of gap g - s, which changes the sum of squared counts by
+    2 (open_bins[g - s] - open_bins[g]) + 2; a bin that becomes full is no longer open and changes it by
+    1 - 2 open_bins[g]. The place of the smallest change is taken, the tightest of equal ones. A new bin is
+    opened only if no open one has room, which for sizes in decreasing order keeps the number of bins near
+    the lower bound.
     """
     counts = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -68,9 +70,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     for i in np.argsort(-sizes, kind="stable").tolist():
         s = int(sizes[i])
         room = counts[s:]
-        to = counts[: capacity + 1 - s].copy()
-        to[0] = -1  # a bin that becomes full is no longer open, so it adds no square
-        change = np.where(room > 0, to - room, np.iinfo(np.int64).max)
+        to = 2 * counts[: capacity + 1 - s]
+        to[0] = -1  # with the 2 that all other changes have besides, 1
+        change = np.where(room > 0, to - 2 * room, np.iinfo(np.int64).max)
         k = int(np.argmin(change))
         if room[k] > 0:
             gap = s + k
@@ -90,7 +92,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     """``pieces`` (a stored table with doc_id, piece and length) with sequence_id and offset.
 
     Full pieces are sequences of their own. The others are dealt evenly to shards of about
-    ``shard_pieces``, each packed by one task, so no task grows with the corpus and no key can be hot.
+    ``shard_pieces`` by their place in the table, each packed by one task, so no task grows with the corpus and
+    neither an identifier nor repeated rows can be hot. Null identifiers are packed like any other. Columns named
+    sequence_id, offset or shard are an error; an empty table gives no rows.
     """
     if len({"sequence_id", "offset", "shard"} & set(pieces.columns)):
         raise ValueError("pieces already has a column sequence_id, offset or shard")
@@ -105,7 +109,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
         return pdf[names].assign(sequence_id=(pdf["shard"].to_numpy() << 40) + bins, offset=offsets)
 
     schema = pieces.limit(0).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
-    shared = part.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(shards))).groupBy("shard").applyInPandas(packed, schema)
+    shared = part.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInPandas(packed, schema)
     alone = pieces.where(full).withColumn("sequence_id", F.lit(1 << 62) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return shared.unionByName(alone)
 
