@@ -6,22 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Shorter lines count as repeated only if they are equal: one word of few may well be the point of a line.
 LEAST_WORDS = 8
-#: Slots of the bitmap that spares reading lines again; 4 MB whatever the corpus, false hits only cost time.
-BITMAP_BITS = 1 << 25
+#: Bits of the bitmap that names candidate lines: at least so many for each, between these bounds (128 kB to 32 MB);
+#: false hits only cost time.
+BITS_PER_LINE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ORDER = np.uint64(0xD6E8FEB86659FD93)  # odd; gives a word's hash its place in a line
 _ORDER_INVERSE = np.uint64(pow(int(_ORDER), -1, 1 << 64))
 _SECOND = np.uint64(0xA24BAED4963EE407)
-_LINES = "doc_id long, line_no int, n_words int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
+_LINES = "doc_id long, row long, line_no int, n_words int, h1 long, h2 long, k0 long, k1 long, k2 long, k3 long"
 
 
 class _Sums:
@@ -84,61 +85,75 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
                 if not len(doc):
                     continue
                 one, two, n = _Sums(hashes), _Sums(common.mixed(hashes + _SECOND)), end - start
-                columns = [batch.column(0).slice(a, b - a).take(pa.array(doc)), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), _signed(common.mixed(one.run(start, end))), _signed(common.mixed(two.run(start, end)))]
+                own = pa.array(doc)
+                columns = [*(batch.column(k).slice(a, b - a).take(own) for k in (0, 1)), pa.array(line.astype(np.int32)), pa.array(n.astype(np.int32)), _signed(common.mixed(one.run(start, end))), _signed(common.mixed(two.run(start, end)))]
                 for kind, half in ((1, n // 2), (1, (n - 1) // 2), (2, n // 2), (2, (n - 1) // 2)):
                     run = one.run(start, start + half) if kind == 1 else one.run(end - half, end)
                     columns.append(_signed(common.mixed(run + half.astype(np.uint64) * np.uint64(2 * kind + 1) + np.uint64(kind))))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "line_no", "n_words", "h1", "h2", "k0", "k1", "k2", "k3"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "line_no", "n_words", "h1", "h2", "k0", "k1", "k2", "k3"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, _LINES)
+    return docs.select("doc_id", "row", "text").mapInArrow(make, _LINES)
 
 
-def _slots(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
-    return (common.mixed(doc_id.astype(np.int64).view(np.uint64) * _ORDER + line_no.astype(np.uint64)) % np.uint64(BITMAP_BITS)).astype(np.int64)
+def slots(row: np.ndarray, line_no: np.ndarray, bits: int) -> np.ndarray:
+    return (common.mixed(row.astype(np.int64).view(np.uint64) * _ORDER + line_no.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
 
 
-def _bitmap(firsts: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of (doc_id, line_no); built on the executors, 4 MB reach the driver."""
+def bitmap(firsts: DataFrame) -> np.ndarray:
+    """A bitmap of (row, line_no), sized by their number up to a fixed most; built on the executors."""
+    n = firsts.count()
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, BITS_PER_LINE * n):
+        bits *= 2
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _slots(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            s = slots(batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits)
             yield pa.RecordBatch.from_arrays([pa.array(s >> 6), pa.array(np.left_shift(np.int64(1), s & 63))], ["at", "bits"])
 
-    rows = firsts.select("doc_id", "line_no").mapInArrow(slots, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits"))
+    rows = firsts.select("row", "line_no").mapInArrow(make, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits"))
     found = rows.toPandas()
-    bitmap = np.zeros(BITMAP_BITS >> 6, np.int64)
-    bitmap[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return bitmap
+    out = np.zeros(bits >> 6, np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out
+
+
+def marked(bits: np.ndarray, row: np.ndarray, line_no: np.ndarray) -> np.ndarray:
+    """Which of (row, line_no) a bitmap names."""
+    s = slots(row, line_no, 64 * len(bits))
+    return (bits[s >> 6] >> (s & 63) & 1).astype(bool)
 
 
 def _candidate_texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The text of the lines named in ``firsts`` (doc_id, line_no); documents are read again, not shuffled."""
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(firsts))
+    """The text of the lines named in ``firsts`` (doc_id, row, line_no); documents are read again, not shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(firsts))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits = shared.value
         for batch in batches:
-            ids, col = batch.column(0).to_numpy(zero_copy_only=False), common.text_column(batch, "text").cast(pa.large_binary())
-            found: list[tuple[int, int, bytes]] = []
-            for doc_id, text in zip(ids, col):
+            ids, rows, col = batch.column(0).to_numpy(), batch.column(1).to_numpy(), common.text_column(batch, "text").cast(pa.large_binary())
+            found: list[tuple[int, int, int, bytes]] = []
+            for doc_id, row, text in zip(ids.tolist(), rows.tolist(), col):
                 lines = text.as_py().split(b"\n")
-                slots = _slots(np.full(len(lines), doc_id), np.arange(len(lines)))
-                for k in np.flatnonzero(bits[slots >> 6] >> (slots & 63) & 1).tolist():
-                    found.append((int(doc_id), k, b" ".join(lines[k].split())))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ([], [], []), (pa.int64(), pa.int32(), pa.binary()))], ["doc_id", "line_no", "words"])
+                for k in np.flatnonzero(marked(bits, np.full(len(lines), row), np.arange(len(lines)))).tolist():
+                    found.append((doc_id, row, k, b" ".join(lines[k].split())))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found) if found else ([], [], [], []), kinds)], ["doc_id", "row", "line_no", "words"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, line_no int, words binary").join(firsts.select("doc_id", "line_no"), ["doc_id", "line_no"], "left_semi")
+    found = docs.select("doc_id", "row", "text").mapInArrow(make, "doc_id long, row long, line_no int, words binary")
+    # rows that repeat an identifier and a text have the same lines
+    place = ["doc_id", "row", "line_no"]
+    return found.join(firsts.select(*place), place, "left_semi").dropDuplicates(place)
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(variant, gap, doc_id, line_no): each line as it is (gap -1), and without each of its words in turn."""
+    """(variant, gap, doc_id, row, line_no): each line as it is (gap -1), and without each of its words in turn."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in range(0, batch.num_rows, 2048):
                 part = batch.slice(x, 2048)
-                body, at = common.raw_bytes(pa.concat_arrays([part.column(2).cast(pa.large_binary())]))
+                body, at = common.raw_bytes(pa.concat_arrays([part.column(3).cast(pa.large_binary())]))
                 _, _, start, end, hashes = _split(body, at)
                 sums, n = _Sums(hashes), end - start
                 rows = np.repeat(np.arange(len(n)), n + 1)
@@ -150,9 +165,9 @@ def variants(lines: DataFrame) -> DataFrame:
                 right = sums.run(after, e) * common.powers(_ORDER, int(n.max(initial=0)) + 1)[cut - s]
                 key = common.mixed(left + right + size.astype(np.uint64) * _SECOND)
                 own = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(gap.astype(np.int32)), part.column(0).take(own), part.column(1).take(own)], ["variant", "gap", "doc_id", "line_no"])
+                yield pa.RecordBatch.from_arrays([_signed(key), pa.array(gap.astype(np.int32)), *(part.column(k).take(own) for k in range(3))], ["variant", "gap", "doc_id", "row", "line_no"])
 
-    return lines.select("doc_id", "line_no", "words").mapInArrow(make, "variant long, gap int, doc_id long, line_no int")
+    return lines.select("doc_id", "row", "line_no", "words").mapInArrow(make, "variant long, gap int, doc_id long, row long, line_no int")
 
 
 def within_one_word(a: bytes, b: bytes) -> bool:
@@ -167,23 +182,21 @@ def within_one_word(a: bytes, b: bytes) -> bool:
 
 
 def _near_later(docs: DataFrame, texts: DataFrame, least_words: int) -> DataFrame:
-    """First places (doc_id, line_no) of texts that are one word from a text with an earlier first place."""
+    """First places (doc_id, row, line_no) of texts that are one word from a text with an earlier first place."""
+    place = F.struct("doc_id", "row", "line_no")
     long = texts.where(F.col("n_words") >= least_words)
-    keys = long.select("doc_id", "line_no", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
+    keys = long.select("doc_id", "row", "line_no", F.explode(F.array_distinct(F.array("k0", "k1", "k2", "k3"))).alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    firsts = common.stored(keys.join(shared, "k").select("doc_id", "line_no").distinct(), "line-halves")
+    firsts = common.stored(keys.join(shared, "k").select("doc_id", "row", "line_no").distinct(), "line-halves")
     lines = common.stored(_candidate_texts(docs, firsts), "line-texts")
 
-    every = variants(lines).repartition("variant")
-    again = every.groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant")
-    found = common.stored(every.join(again, "variant"), "line-variants")
-    place = F.struct("doc_id", "line_no")
+    every = common.stored(variants(lines), "line-variants")
     # without the word at one place the lines are equal: each is one changed word from the earliest of them
-    changed = found.where("gap >= 0").groupBy("variant", "gap").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1")
-    pairs = found.join(changed, ["variant", "gap"]).select(place.alias("a"), F.col("one").alias("b"))
+    changed = every.where("gap >= 0").groupBy("variant", "gap").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1")
+    pairs = every.join(changed, ["variant", "gap"]).select(place.alias("a"), F.col("one").alias("b"))
     # a line that equals another without one word
-    whole = found.where("gap < 0").select("variant", place.alias("b"))
-    pairs = pairs.union(found.where("gap >= 0").select("variant", place.alias("a")).join(whole, "variant").select("a", "b"))
+    whole = every.where("gap < 0").select("variant", place.alias("b"))
+    pairs = pairs.union(every.where("gap >= 0").select("variant", place.alias("a")).join(whole, "variant").select("a", "b"))
     later, earlier = F.greatest("a", "b"), F.least("a", "b")
     pairs = pairs.where("a <> b").select(later.alias("a"), earlier.alias("b")).distinct()
 
@@ -192,43 +205,49 @@ def _near_later(docs: DataFrame, texts: DataFrame, least_words: int) -> DataFram
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within_one_word(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            good = [within_one_word(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(4))]
+            yield batch.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
+
+    return sides.select("a.*", "x", "y").mapInArrow(verify, "doc_id long, row long, line_no int").distinct()
+
 
-    checked = sides.select(F.col("a.doc_id").alias("doc_id"), F.col("a.line_no").alias("line_no"), "x", "y")
-    return checked.mapInArrow(verify, "doc_id long, line_no int").distinct()
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Names the rows of an identifier and a text."""
+    return F.xxhash64(doc_id, text)
 
 
 def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, line_no, near) of the lines that go, of a frame with columns doc_id and text (see ``line_dedup``)."""
-    named = docs.where("doc_id is not null").select("doc_id", "text")
+    """(doc_id, row, line_no, near) of the lines that go, of a frame with columns doc_id, row (see ``row_key``) and text (see ``line_dedup``)."""
+    named = docs.where("doc_id is not null").select("doc_id", "row", "text")
     lines = common.stored(hashed_lines(named), "lines")
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "row", "line_no")
     same = [F.min(k).alias(k) for k in ("n_words", "k0", "k1", "k2", "k3")]
     texts = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), *same)
     texts = common.stored(texts.select("h1", "h2", "n", "n_words", "k0", "k1", "k2", "k3", "first.*"), "line-kinds")
     near = _near_later(named, texts, least_words).withColumn("near", F.lit(True))
-    going = texts.join(near, ["doc_id", "line_no"], "left").where("n > 1 or near")
-    going = going.select("h1", "h2", F.struct("doc_id", "line_no").alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    return lines.join(going, ["h1", "h2"]).where(F.col("near") | (place != F.col("first"))).select("doc_id", "line_no", "near")
+    going = texts.join(near, ["doc_id", "row", "line_no"], "left").where("n > 1 or near")
+    going = going.select("h1", "h2", place.alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
+    return lines.join(going, ["h1", "h2"]).where(F.col("near") | (place != F.col("first"))).select("doc_id", "row", "line_no", "near")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without repeated lines; columns n_lines, n_dropped, n_near and dropped_lines are added.
 
     Lines are split at line feeds and compared by their words, so white space makes no difference. In the
-    order of (identifier, line number), a line goes if an earlier one is equal or, both having at
-    least ``least_words`` words, is one inserted, deleted or changed word away. Lines without words stay and
-    are not counted. Null texts stay null, a null identifier keeps its row as it is, and rows that repeat an
-    identifier count as one document. Columns of the input are kept, except the four names above, which are
-    replaced.
+    order of (identifier, row, line number), a line goes if an earlier one is equal or, both having at
+    least ``least_words`` words, is one inserted, deleted or changed word away; ``least_words=1`` compares all
+    lines so. Lines without words stay and are not counted. Rows of one identifier with different texts are
+    told apart, in a fixed order; rows that repeat an identifier and its text count as one document and get
+    equal results. Null texts stay null, and a null identifier keeps its row as it is. An empty table gives an
+    empty result. Columns of the input are kept, except the four names above, which are replaced.
     """
     added = ["n_lines", "n_dropped", "n_near", "dropped_lines"]
     kept = docs.drop(*added)
-    gone = repeated_lines(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), least_words)
-    gone = gone.dropDuplicates(["doc_id", "line_no"]).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("dropped_lines"), F.count_if("near").cast("int").alias("n_near"))
-    gone = gone.withColumnRenamed("doc_id", "__doc_id")
-    joined = kept.join(gone, kept[id_col].cast("long") == gone["__doc_id"], "left").drop("__doc_id")
+    key = row_key(F.col(id_col).cast("long"), F.col(text_col))
+    gone = repeated_lines(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("row"), F.col(text_col).alias("text")), least_words)
+    gone = gone.dropDuplicates(["doc_id", "row", "line_no"]).groupBy(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("line_no")).alias("dropped_lines"), F.count_if("near").cast("int").alias("n_near"))
+    own = (F.col(id_col).cast("long") == F.col("__doc_id")) & (key == F.col("__row"))
+    joined = kept.join(gone, own, "left").drop("__doc_id", "__row")
     parts = F.split(F.col(text_col), "\n", -1)
     left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("dropped_lines", i)), "\n")
     text = F.when(F.size("dropped_lines") > 0, left).otherwise(F.col(text_col))

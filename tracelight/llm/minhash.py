@@ -99,14 +99,13 @@ def _sets(rows: DataFrame, wanted: DataFrame, scheme: Sets) -> DataFrame:
 
     Texts are read again, and only the sets asked for are shuffled.
     """
-    bitmap = rows.sparkSession.sparkContext.broadcast(line_dedup._bitmap(wanted.select(F.col("mark").alias("doc_id"), F.lit(0).alias("line_no"))))
+    bitmap = rows.sparkSession.sparkContext.broadcast(line_dedup.bitmap(wanted.select(F.col("mark").alias("row"), F.lit(0).alias("line_no"))))
     marks = rows.select(_mark(F.col("doc_id"), F.col("text_hash")).alias("mark"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            slots = line_dedup._slots(batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64))
-            rows = pa.array(np.flatnonzero(bits[slots >> 6] >> (slots & 63) & 1))
+            rows = pa.array(np.flatnonzero(line_dedup.marked(bits, batch.column(0).to_numpy(), np.zeros(batch.num_rows, np.int64))))
             own = [shingles(t.as_py(), scheme.shingle) for t in common.text_column(batch, "text").cast(pa.large_binary()).take(rows)]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "members"])
 
