@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import public_tokenizers
@@ -12,6 +13,9 @@ from . import common
 
 SPACE = "▁"
 UNKNOWN_SCORE = -1e6
+#: Longer words than both together are encoded in chunks that begin so many characters apart and share so many.
+CHUNK_STEP, CHUNK_OVERLAP = 64, 48
+_ROW = "__row"
 
 
 def default_path() -> str:
@@ -40,8 +44,14 @@ def model_spec(path: str) -> tuple[tuple[tuple[str, int, float, int | None], ...
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """(piece, id, score, byte) of the model, a fixed number of rows."""
-    return spark.createDataFrame(list(model_spec(path)[0]), "piece string, id int, score double, byte int")
+    """(piece, id, score, rank, byte) of the model, a fixed number of rows; rank 0 scores best."""
+    return with_ranks(spark.createDataFrame(list(model_spec(path)[0]), "piece string, id int, score double, byte int"))
+
+
+def with_ranks(pieces: DataFrame) -> DataFrame:
+    """``pieces`` (piece, id, score, byte) with their place by score, the smaller id first of equal ones."""
+    rows = sorted(pieces.select("piece", "id", "score", "byte").collect(), key=lambda r: (-r["score"], r["id"]))
+    return pieces.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], "piece string, id int, score double, byte int, rank int")
 
 
 def split_words(text: Column, prefix: bool) -> Column:
@@ -55,114 +65,150 @@ def split_words(text: Column, prefix: bool) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, size, edges): every substring of each distinct word as (a, b, score, id), score and id null unless it is a piece.
+    """(word, size, edges): the pieces in each distinct word as (rank, a, b, id, score), and every single character.
 
     Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which has a
     fixed size and is broadcast. Explode and join keep the words' partitioning, so grouping needs no shuffle.
-    Edges are in the order of (a, b), so that a fold finds one by its place (see ``edge_at``).
+    A character that is no piece is an edge without rank, id and score.
     """
     sized = words.select("word", F.char_length("word").alias("size"))
     begun = sized.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     cut = begun.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("a")))))
     cut = cut.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("len")))
-    known = F.broadcast(pieces.where("byte is null").select("piece", "score", "id"))
-    edge = F.struct(F.col("a"), (F.col("a") + F.col("len")).alias("b"), "score", "id")
-    return cut.join(known, "piece", "left").groupBy("word", "size").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    known = F.broadcast(pieces.where("byte is null").select("piece", "rank", "id", "score"))
+    edge = F.struct("rank", "a", (F.col("a") + F.col("len")).alias("b"), "id", "score")
+    return cut.join(known, "piece", "left").where("id is not null or len = 1").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"))
 
 
-def edge_at(edges: Column, size: Column, longest: int, a: Column, b: Column) -> Column:
-    """The edge from a to b; null if it is longer than any piece.
-
-    Starts up to ``size - most`` have ``most`` edges each, every later one has one fewer than the start before it.
-    """
-    most = F.least(F.lit(longest), size)
-    late = F.greatest(a - (size - most), F.lit(0))
-    place = (a * most - F.floor(late * (late - 1) / 2) + b - a - 1).cast("int")
-    return F.when(b - a <= most, F.get(edges, place))
-
-
-def viterbi(size: Column, edges: Column) -> Column:
+def viterbi(size: Column, edges: Column, score: Callable[[Column], Column] = lambda e: e["score"]) -> Column:
     """Cuts of the best-scoring path: a fold over word positions that keeps the best way to each.
 
     A character without a piece is an edge of a low score. Of equal paths the one whose last piece begins
     first stays.
     """
-    steps = F.sequence(F.lit(1), size)
     start = F.array(F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0)).alias("cuts")))
 
     def extend(ways: Column, b: Column) -> Column:
-        own = F.filter(edges, lambda e: (e["b"] == b) & e["id"].isNotNull())
-        fallback = F.struct((b - 1).alias("a"), b.alias("b"), F.lit(UNKNOWN_SCORE).alias("score"), F.lit(-1).alias("id"))
-        single = F.exists(own, lambda e: e["a"] == b - 1)
-        own = F.when(single, own).otherwise(F.concat(own, F.array(fallback)))
-        best = F.array_max(F.transform(own, lambda e: F.struct((F.get(ways, e["a"])["s"] + e["score"]).alias("s"), (-e["a"]).alias("o"))))
-        return F.concat(ways, F.array(F.struct(best["s"].alias("s"), F.concat(F.get(ways, -best["o"])["cuts"], F.array(b)).alias("cuts"))))
+        own = F.transform(F.filter(edges, lambda e: e["b"] == b), lambda e: F.struct((F.get(ways, e["a"])["s"] + F.coalesce(score(e), F.lit(UNKNOWN_SCORE))).alias("s"), (-e["a"]).alias("o")))
+        # through an array of one, so that the best is worked out once
+        return F.concat(ways, F.transform(F.array(F.array_max(own)), lambda x: F.struct(x["s"].alias("s"), F.array_append(F.get(ways, -x["o"])["cuts"], b).alias("cuts"))))
 
-    return F.get(F.aggregate(steps, start, extend), size)["cuts"]
+    return F.get(F.aggregate(F.sequence(F.lit(1), size), start, extend), size)["cuts"]
 
 
-def merges(size: Column, edges: Column, longest: int) -> Column:
-    """Cuts that merging leaves: a fold that joins, step by step, the neighbours whose joint piece scores best.
+def merges(size: Column, edges: Column) -> Column:
+    """Cuts that merging leaves: a fold over the pieces in the order of their rank, the leftmost first of equal ones.
 
-    The first cuts are all character bounds. Two neighbours can merge if the stretch of both is a piece; of equal
-    scores the leftmost goes first. Once nothing merges, further steps change nothing.
+    The first cuts are all character bounds. A piece drops the one cut inside it if it spans just two stretches by
+    then. One pass is enough: the parts that a piece can be merged from rank before it.
     """
+    order = F.array_sort(F.filter(edges, lambda e: e["b"] - e["a"] > 1))
 
-    def step(cuts: Column, _: Column) -> Column:
-        def joint(i: Column) -> Column:
-            a = F.get(cuts, i)
-            return F.struct(edge_at(edges, size, longest, a, F.get(cuts, i + 2))["score"].alias("s"), (-a).alias("o"), F.get(cuts, i + 1).alias("inner"))
+    def step(cuts: Column, e: Column) -> Column:
+        at = F.array_position(cuts, e["a"]).cast("int")  # from 1; 0 if a is no cut
+        return F.when((at > 0) & F.coalesce(F.get(cuts, at + 1) == e["b"], F.lit(False)), F.array_remove(cuts, F.get(cuts, at))).otherwise(cuts)
 
-        inner_cuts = F.slice(F.sequence(F.lit(0), F.size(cuts)), 1, F.size(cuts) - 2)
-        best = F.array_max(F.transform(inner_cuts, joint))
-        # through an array of one, so that the best is worked out once
-        return F.get(F.transform(F.array(best), lambda x: F.when(x["s"].isNull(), cuts).otherwise(F.array_remove(cuts, x["inner"]))), F.lit(0))
+    return F.aggregate(order, F.sequence(F.lit(0), size), step)
+
+
+def zipf(e: Column) -> Column:
+    """The logarithm of a piece's probability in a unigram model where it falls with the rank, as words' do; for merge models, whose scores are ranks."""
+    return -F.log(e["rank"] + F.lit(2.0))
 
-    # one step fewer than characters; a slice, as a sequence from 1 to 0 would count down
-    rounds = F.slice(F.sequence(F.lit(1), size), 1, size - 1)
-    return F.aggregate(rounds, F.sequence(F.lit(0), size), step)
 
+def tokens(word: Column, edges: Column, cuts: Column, unknown: int, first_byte: int | None) -> Column:
+    """The stretches between cuts as (a, b, ids): a piece's id, or the ids of a character's bytes, or ``unknown``."""
+
+    def one(a: Column, k: Column) -> Column:
+        b = F.get(cuts, k + 1)
+        got = F.get(F.filter(edges, lambda e: (e["a"] == a) & (e["b"] == b)), F.lit(0))["id"]
+        if first_byte is None:
+            other = F.array(F.lit(unknown))
+        else:
+            text = F.hex(F.encode(F.substring(word, a + 1, b - a), "UTF-8"))
+            other = F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda h: (F.conv(h, 16, 10).cast("int") + F.lit(first_byte)))
+        return F.struct(a.alias("a"), b.alias("b"), F.when(got.isNotNull(), F.array(got)).otherwise(other).alias("ids"))
 
-def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | None = None) -> DataFrame:
-    """(word, ids) of distinct words; ``fold`` is ``merges`` for merge models, ``viterbi`` for unigram ones."""
+    return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), one)
+
+
+def _flat(tokens: Column) -> Column:
+    return F.flatten(F.transform(tokens, lambda t: t["ids"]))
+
+
+def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | None) -> DataFrame:
+    """(word, merged or best path as tokens, number of pieces of the Viterbi path) of distinct words of bounded length."""
     pieces, spec = model_spec(path)
     fold = fold or {"bpe": "merges", "unigram": "viterbi"}[spec["kind"]]
     longest = max(len(p) for p, _, _, byte in pieces if byte is None)
-    found = lattice(words, piece_table(spark, path), longest)
+    first_byte = next((i for _, i, _, byte in pieces if byte == 0), None) if spec["fallback"] else None
     size, edges = F.col("size"), F.col("edges")
-    cuts = merges(size, edges, longest) if fold == "merges" else viterbi(size, edges)
-    found = found.withColumn("cuts", cuts)
-    first_byte = next((i for _, i, _, byte in pieces if byte == 0), None)
-
-    def token(a: Column, k: Column) -> Column:
-        b = F.get("cuts", k + 1)
-        if spec["fallback"]:
-            text = F.hex(F.encode(F.substring(F.col("word"), a + 1, b - a), "UTF-8"))
-            other = F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda h: (F.conv(h, 16, 10).cast("int") + F.lit(first_byte)))
-        else:
-            other = F.array(F.lit(spec["unk"]))
-        got = edge_at(edges, size, longest, a, b)["id"]
-        return F.when(got.isNotNull(), F.array(got)).otherwise(other)
+    found = lattice(words, piece_table(spark, path), longest)
+    best = viterbi(size, edges, zipf if spec["kind"] == "bpe" else lambda e: e["score"])
+    found = found.withColumn("best", best)
+    found = found.withColumn("cuts", merges(size, edges) if fold == "merges" else F.col("best"))
+    return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), (F.size("best") - 1).alias("n_best"))
+
 
-    tokens = F.flatten(F.transform(F.slice("cuts", 1, F.size("cuts") - 1), token))
-    return found.select("word", tokens.alias("ids"))
+def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | None = None, step: int = CHUNK_STEP, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """(word, ids, n_best) of distinct words; ``fold`` is ``merges`` for merge models, ``viterbi`` for unigram ones.
+
+    Words of over ``step + overlap`` characters are encoded in chunks that overlap, and spliced at the first token
+    that both chunks have at the same place. For merges that is exact: ids are those of the whole word if each two
+    neighbours are what their joint text is merged to, and every two neighbours stand side by side in one chunk.
+    For a Viterbi path each part is the best within its chunk. Where two chunks share no token, the word is done
+    again with chunks and overlaps four times as long, up to the whole word.
+    """
+    short = words.where(F.char_length("word") <= step + overlap)
+    done = _tokenised(short, spark, path, fold).select("word", _flat(F.col("tokens")).alias("ids"), "n_best")
+    left = common.stored(words.where(F.char_length("word") > step + overlap).withColumn("wid", F.monotonically_increasing_id()), "long-words")
+    parts = []
+    while left.limit(1).count():
+        size = F.char_length("word")
+        last = F.greatest(F.ceil((size - overlap) / step).cast("int") - 1, F.lit(0))
+        chunks = left.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+        chunks = chunks.select("wid", "k", last.alias("last"), F.substring(F.col("word"), F.col("k") * step + 1, F.when(F.col("k") < last, F.lit(step + overlap)).otherwise(size)).alias("part"))
+        coded = _tokenised(chunks.select(F.col("part").alias("word")).distinct(), spark, path, fold)
+        coded = common.stored(chunks.join(coded, chunks["part"] == coded["word"]).select("wid", "k", "last", F.transform("tokens", lambda t: F.struct((t["a"] + F.col("k") * step).alias("a"), (t["b"] + F.col("k") * step).alias("b"), t["ids"].alias("ids"))).alias("tokens"), "n_best"), "word-chunks")
+        after = coded.select("wid", (F.col("k") - 1).alias("k"), F.col("tokens").alias("next"))
+        shared = F.filter("tokens", lambda t: F.exists("next", lambda n: (n["a"] == t["a"]) & (n["b"] == t["b"])))
+        cuts = coded.join(after, ["wid", "k"]).select("wid", (F.col("k") + 1).alias("k"), F.get(shared, F.lit(0))["a"].alias("cut"))
+        cuts = common.stored(cuts, "word-splices")
+        failed = cuts.where("cut is null").select("wid").distinct()
+        good = coded.join(failed, "wid", "left_anti")
+        good = good.join(cuts.withColumnRenamed("cut", "from"), ["wid", "k"], "left").join(cuts.select("wid", (F.col("k") - 1).alias("k"), F.col("cut").alias("to")), ["wid", "k"], "left")
+        own = F.filter("tokens", lambda t: (t["a"] >= F.coalesce("from", F.lit(0))) & (F.col("to").isNull() | (t["a"] < F.col("to"))))
+        spliced = good.select("wid", "k", _flat(own).alias("ids"), F.when(F.col("last") == 0, F.col("n_best")).otherwise(F.size(own)).alias("n_best"))
+        whole = spliced.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.sum("n_best").cast("int").alias("n_best"))
+        parts.append(left.join(whole, "wid").select("word", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "n_best"))
+        left = common.stored(left.join(failed, "wid", "left_semi"), "long-words")
+        step, overlap = 4 * step, 4 * overlap
+    for part in parts:
+        done = done.unionByName(part)
+    return done
 
 
 def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fold: str | None = None) -> DataFrame:
-    """``texts`` with a column ``ids`` (array<int>): the ids that the SentencePiece library gives for the whole text.
+    """``texts`` with columns ``ids`` (array<int>), the ids that the SentencePiece library gives for the whole text, and ``n_best``.
+
+    ``n_best`` is the number of pieces on the Viterbi paths of its words: of a unigram model itself, or, for a merge
+    model, of the unigram model with the same pieces whose probabilities fall with their rank.
 
     Each distinct word is encoded once; words are pre-aggregated before their shuffle, so a frequent word costs
     no more than a rare one. Their occurrences are then joined to the words' ids, where adaptive execution splits a
-    hot word, and put in order text by text. A null or empty text has no ids; repeated rows are kept; an
-    existing column ``ids`` is replaced. The cost of a fold grows with the square of a word's length.
+    hot word, and put in order text by text. A null or empty text has no ids; repeated rows are kept, null
+    identifiers are like any other; existing columns ``ids`` and ``n_best`` are replaced, others of any name kept.
+    An empty table gives an empty result. Long words, such as texts without spaces, are encoded in chunks (see
+    ``encode_words``).
     """
     spark, path = texts.sparkSession, path or default_path()
-    rows = common.stored(texts.drop("ids").withColumn("__row", F.monotonically_increasing_id()), "texts")
-    placed = rows.select("__row", F.posexplode(split_words(F.col(text_col), model_spec(path)[1]["prefix"])).alias("pos", "word"))
+    rows = common.stored(texts.drop("ids", "n_best").withColumn(_ROW, F.monotonically_increasing_id()), "texts")
+    placed = rows.select(_ROW, F.posexplode(split_words(F.col(text_col), model_spec(path)[1]["prefix"])).alias("pos", "word"))
     known = common.stored(encode_words(placed.select("word").distinct(), spark, path, fold), "words")
-    own = placed.join(known, "word").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"))
-    own = own.select("__row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return rows.join(own, "__row", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop("__row")
+    own = placed.join(known, "word").groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"), F.sum("n_best").alias("n_best"))
+    own = own.select(_ROW, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "n_best")
+    found = rows.join(own, _ROW, "left").drop(_ROW)
+    return found.withColumns({"ids": F.coalesce("ids", F.array().cast("array<int>")), "n_best": F.coalesce("n_best", F.lit(0).cast("long"))})
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -170,23 +216,24 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> D
 
     Ids are exploded, joined to the piece table (fixed size, broadcast) and concatenated in order as UTF-8
     bytes, byte pieces included; U+2581 becomes a space, and the one that encoding puts first is left out.
-    Ids without text (control, unknown, out of range) give nothing; null ids give an empty text.
+    Ids without text (control, unknown, out of range) give nothing; null ids give an empty text. Repeated rows are
+    kept; an existing column ``decoded`` is replaced, others of any name are kept; an empty table gives an empty result.
     """
     spark, path = coded.sparkSession, path or default_path()
-    rows = common.stored(coded.drop("decoded").withColumn("__row", F.monotonically_increasing_id()), "coded")
+    rows = common.stored(coded.drop("decoded").withColumn(_ROW, F.monotonically_increasing_id()), "coded")
     table = piece_table(spark, path).select("id", F.when(F.col("byte").isNotNull(), F.lpad(F.hex("byte"), 2, "0")).otherwise(F.hex(F.encode("piece", "UTF-8"))).alias("hexed"))
     # repartitioned before the explode, so that the tokens themselves are not shuffled
-    tokens = rows.select("__row", ids_col).repartition("__row").select("__row", F.posexplode(ids_col).alias("pos", "id"))
-    parts = tokens.join(F.broadcast(table), "id").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("pos", "hexed"))).alias("parts"))
+    tokens = rows.select(_ROW, ids_col).repartition(_ROW).select(_ROW, F.posexplode(ids_col).alias("pos", "id"))
+    parts = tokens.join(F.broadcast(table), "id").groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("pos", "hexed"))).alias("parts"))
     raw = F.unhex(F.array_join(F.transform("parts", lambda p: p["hexed"]), "")).cast("string")
     text = F.replace(raw, F.lit(SPACE), F.lit(" "))
     if model_spec(path)[1]["prefix"]:
         text = F.regexp_replace(text, "^ ", "")
-    return rows.join(parts.select("__row", text.alias("decoded")), "__row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop("__row")
+    return rows.join(parts.select(_ROW, text.alias("decoded")), _ROW, "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop(_ROW)
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
     done = decode(encode(docs))
     same = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")) == F.col("decoded")
-    return done.select("doc_id", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"))
+    return done.select("doc_id", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"), F.col("n_best").alias("n_viterbi"))
