@@ -111,6 +111,41 @@ def test_sum_of_squares_is_near_the_lower_bound():
         assert np.array_equal(offsets[bins == b][own], np.append(0, np.cumsum(sizes[bins == b][own]))[:-1])
 
 
+def test_each_piece_goes_where_the_squares_become_smallest():
+    rng = np.random.default_rng(5)
+    for capacity, n in ((20, 120), (64, 200)):
+        sizes = rng.integers(1, capacity, n)
+        gaps: list[int] = []  # of all bins, full ones too
+        for s in sorted(sizes.tolist(), reverse=True):
+
+            def squares(i):
+                after = [g - s * (k == i) for k, g in enumerate(gaps)]
+                return sum(c * c for g, c in zip(*np.unique([g for g in after if g], return_counts=True)))
+
+            fitting = [(squares(i), g, i) for i, g in enumerate(gaps) if g >= s]
+            if fitting:
+                gaps[min(fitting)[2]] -= s
+            else:
+                gaps.append(capacity - s)
+        bins, _ = packing.sum_of_squares(sizes, capacity)
+        assert sorted(np.bincount(bins, sizes).astype(int).tolist()) == sorted(capacity - g for g in gaps)
+
+
+def test_packing_of_repeated_rows_and_null_identifiers(spark):
+    rows = spark.createDataFrame([(None, "a b c", 1)] * 3 + [(7, "same text", 2)] * 90, "doc_id long, text string, length int")
+    got = packing.pack_documents(rows, shard_pieces=10).toPandas()
+    assert len(got) == 93 and got["doc_id"].isna().sum() == 3
+    assert not got.duplicated(["sequence_id", "offset"]).any() and got["sequence_id"].nunique() < 93
+    with pytest.raises(ValueError):
+        packing.pack(rows.withColumn("offset", F.lit(1)))
+
+
+def test_token_counts_of_repeated_rows_and_null_identifiers(spark):
+    rows = spark.createDataFrame([(None, "one two", 1), (3, "one two", 2), (3, "one two", 3)], "doc_id long, text string, n_tokens int")
+    got = token_counts.token_counts(rows).collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got) == [(-1, 2), (3, 2), (3, 2)] and got[0].asDict().keys() == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
+
+
 # --- 10: exact copies -----------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_exact_dedup(spark, docs, texts, empty, partitions):
@@ -127,6 +162,15 @@ def test_exact_dedup(spark, docs, texts, empty, partitions):
     assert exact_dedup.exact_dedup(empty).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_exactly_one_row_of_equal_texts_stays(spark, partitions):
+    rows = [(None, "no name"), (None, "no  name"), (None, "both"), (9, "both"), (4, "again"), (4, "again"), (5, "again"), (6, None), (6, "")] + [(8, "hot")] * 200
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, run string, kept int").repartition(4), partitions=partitions).collect()
+    kept = sorted((r["doc_id"] is None, r["doc_id"], r["keep_id"], r["group_size"]) for r in got if r["kept"])
+    assert len(got) == len(rows)
+    assert kept == [(False, 4, 4, 3), (False, 6, 6, 2), (False, 8, 8, 200), (False, 9, 9, 2), (True, None, None, 2)]
+
+
 # --- 6: SimHash -----------------------------------------------------------------------------------------------------
 def brute_fingerprint(text: str, k: int = 3) -> int:
     own = text.encode().lower().split()
@@ -311,24 +355,63 @@ def test_line_dedup(spark, empty):
     assert line_dedup.line_dedup(empty).count() == 0
 
 
+def test_rows_that_share_an_identifier_are_told_apart(spark):
+    rows = [(7, "alpha unique one two three four five six seven\ncommon tail"), (7, "hello there\nother text"), (3, "hello there"), (3, "hello there"), (2, "common tail")]
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(7, "alpha unique one two three four five six seven"), (7, "other text"), (3, "hello there"), (3, "hello there"), (2, "common tail")])
+
+
+def test_every_line_is_compared_with_a_bound_of_one_word(spark):
+    rng = random.Random(17)
+    rows = {i: "\n".join(" ".join(rng.choices("abcd", k=rng.randint(1, 4))) for _ in range(5)) for i in range(12)}
+    got = {r["doc_id"]: set(r["dropped_lines"]) for r in line_dedup.line_dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), least_words=1).collect()}
+    want = brute_lines(rows, 1)
+    assert got == {i: want.get(i, set()) for i in rows}
+
+
 # --- 1: pieces ------------------------------------------------------------------------------------------------------
-def test_pieces_equal_the_library_and_come_back(spark, texts):
+def test_pieces_equal_the_library_and_come_back(spark, texts, empty):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
-    own = [*full(texts)[:64], "  two  spaces ", "▁a ▁", "éà 日本語 \U0001f600", "the theatre then 123 4567", "<s> <0x41>"]
-    own = [t for t in own if len(t) < 3000 and "xxxx" not in t] + ["x" * 60]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(own)] + [(999, None), (0, own[0])], "doc_id int, text string")
+    rng = random.Random(31)
+    own = [*full(texts), "  two  spaces ", "▁a ▁", "éà 日本語 \U0001f600", "the theatre then 123 4567", "<s> <0x41>"]
+    own += ["x" * 100_000, "".join(rng.choices("日本語中文字漢国人大的一是", k=20_000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=30_000)), "ab" * 3000, "-" * 777 + "the" * 500]
+    frame = spark.createDataFrame([(i, t, 5, 6, 7) for i, t in enumerate(own)] + [(999, None, 5, 6, 7), (0, own[0], 5, 6, 7)], "doc_id int, text string, ids int, decoded int, word int")
     rows = sentence_pieces.decode(sentence_pieces.encode(frame)).collect()
     assert len(rows) == len(own) + 2
     for r in rows:
         t = r["text"] or ""
         assert r["ids"] == library.encode(t)
-        assert r["decoded"] == t.replace("▁", " ")
+        assert r["decoded"] == t.replace("▁", " ") and r["word"] == 7
+    assert sentence_pieces.decode(sentence_pieces.encode(empty)).count() == 0
+
+
+def test_chunks_that_share_no_token_are_done_again_longer(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(32)
+    own = ["x" * 301, "ab" * 200, "".join(rng.choices("abcde", k=700)), "".join(rng.choices("theing", k=500))]
+    words = spark.createDataFrame([(sentence_pieces.SPACE + w,) for w in own], "word string")
+    for step, overlap in ((5, 2), (16, 16), (64, 48)):
+        got = {r["word"][1:]: r["ids"] for r in sentence_pieces.encode_words(words, spark, sentence_pieces.default_path(), step=step, overlap=overlap).collect()}
+        assert got == {w: library.encode(w) for w in own}
+
+
+def test_every_word_of_the_documents_equals_the_library(spark, sf):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = common.read(spark, sf.replace("0.001", "0.01"), "documents")
+    words = docs.select(F.explode(sentence_pieces.split_words(F.col("text"), True)).alias("word")).distinct()
+    rows = sentence_pieces.encode_words(words, spark, sentence_pieces.default_path()).collect()
+    assert len(rows) > 10_000
+    for r in rows:
+        got = library.encode(r["word"][1:] if r["word"].startswith(sentence_pieces.SPACE) else r["word"])
+        if r["word"].startswith(sentence_pieces.SPACE):
+            assert r["ids"] == got, r["word"]
 
 
 def test_op1_covers_all_documents(spark, sf):
     want = sorted(r["doc_id"] for r in common.read(spark, sf, "documents").select("doc_id").collect())
-    rows = registry.queries()["op1_sentence_pieces"](spark, sf).select("doc_id", "round_trip").collect()
+    rows = registry.queries()["op1_sentence_pieces"](spark, sf).select("doc_id", "round_trip", "n_tokens", "n_viterbi").collect()
     assert sorted(r["doc_id"] for r in rows) == want and all(r["round_trip"] for r in rows)
+    assert sum(r["n_viterbi"] for r in rows) <= 1.2 * sum(r["n_tokens"] for r in rows)
 
 
 def test_viterbi_finds_the_best_path(spark):
@@ -336,7 +419,7 @@ def test_viterbi_finds_the_best_path(spark):
     pieces = {"".join(rng.choices("ab", k=rng.randint(1, 4))): -rng.random() * 5 for _ in range(15)}
     table = spark.createDataFrame([(p, i, s, None) for i, (p, s) in enumerate(pieces.items())], "piece string, id int, score double, byte int")
     own = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(40)})
-    got = sentence_pieces.lattice(spark.createDataFrame([(w,) for w in own], "word string"), table, 4)
+    got = sentence_pieces.lattice(spark.createDataFrame([(w,) for w in own], "word string"), sentence_pieces.with_ranks(table), 4)
     score = lambda p: pieces.get(p, sentence_pieces.UNKNOWN_SCORE if len(p) == 1 else -1e18)
     for r in got.select("word", sentence_pieces.viterbi(F.col("size"), F.col("edges")).alias("cuts")).collect():
         best = [0.0] + [-1e30] * len(r["word"])
@@ -369,6 +452,34 @@ def test_neighbours(spark):
     few = ann.nearest(base.where("vec_id = 0"), base.where("vec_id < 4"))
     assert few.count() == 3
     assert ann.nearest(base.where("vec_id < 0"), base).count() == 0
+    assert ann.nearest(base.where("vec_id = 0"), base.where("vec_id < 0")).count() == 0
+
+
+def test_neighbours_of_repeated_rows_other_lengths_and_clashing_columns(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((40, 8))
+    rows = [(i, v.tolist(), 1, 2) for i, v in enumerate(x)] + [(1, x[1].tolist(), 1, 2)] * 300 + [(1, (x[1] + 9).tolist(), 1, 2), (500, x[0].tolist()[:5], 1, 2), (501, x[1].tolist()[:5], 1, 2)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int, region int")
+    found = ann.nearest(base.where("vec_id in (0, 500)"), base, block=16, query_block=2).toPandas()
+    d = np.sqrt(((x.astype(np.float32).astype(float) - x[0].astype(np.float32)) ** 2).sum(1))
+    want = [i for i in np.argsort(d).tolist() if i][:10]
+    assert found[found["query_id"] == 0].sort_values("rank")["vec_id"].tolist() == want
+    assert found[found["query_id"] == 500]["vec_id"].tolist() == [501]
+
+
+def test_queries_reach_few_regions_of_clustered_vectors():
+    rng = np.random.default_rng(3)
+    centres = 30 * rng.standard_normal((16, 64))
+    x = centres[rng.integers(0, 16, 4000)] + rng.standard_normal((4000, 64))
+    line = x @ ann.axes(64)
+    tree = ann.median_tree(line[:, :4])
+    at = np.zeros(len(x), np.int64)
+    for level in range(4):
+        at = 2 * at + 1 + (line[:, level] >= tree[at])
+    low, high = (np.stack([f(line[at == r], axis=0) for r in np.unique(at)]) for f in (np.min, np.max))
+    half = ann.half_width(10.0, line[0])
+    met = [((low <= c + half) & (high >= c - half)).sum(1) >= ann.COLLIDING for c in line[:200]]
+    assert len(low) > 8 and np.mean(met) < 0.5
 
 
 # --- 3, 5, 8: classifiers -------------------------------------------------------------------------------------------
@@ -392,12 +503,43 @@ def test_language(spark, sf, empty):
 def test_huge_text_counts_like_a_whole(monkeypatch):
     import pyarrow as pa
 
-    text = pa.array([words(random.Random(1), 3000)], pa.large_string())
+    text = pa.array([words(random.Random(1), 3000) + "12é, ß  x"], pa.large_string())
     whole = next(language_id._batches(text, 4096))[2]
-    monkeypatch.setattr(common, "STEP_BYTES", 1000)
-    # a slice ends two bytes into the next one; grams that start in those bytes are counted there
-    part = next(language_id._batches(text, 4096))[2]
-    assert abs(whole.sum() - part.sum()) <= 0.02 * whole.sum()
+    for size in (1000, 997, 64):
+        monkeypatch.setattr(common, "STEP_BYTES", size)
+        assert np.array_equal(whole, next(language_id._batches(text, 4096))[2])
+
+
+def test_language_by_brute_force(spark, sf):
+    docs = common.read(spark, sf, "documents")
+    model = language_id.fit(docs)
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        text = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in (r["text"] or "").lower().encode())
+        counts = np.zeros(len(model.idf))
+        for w in text.split():
+            padded = b" " + w + b" "
+            grams = [padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1)]
+            for g in grams:
+                counts[int(common.mixed(np.array([int.from_bytes(g, "big") + (len(g) << 32)], np.uint64))[0] % np.uint64(len(counts)))] += 1
+        x = np.log1p(counts) * model.idf
+        near = model.centres @ (x / max(np.linalg.norm(x), 1e-12))
+        if got[r["doc_id"]]["lang_pred"] != "und":
+            assert abs(got[r["doc_id"]]["score"] - near.max()) < 1e-4
+            assert near[[i for i, k in enumerate(model.language) if model.languages[k] == got[r["doc_id"]]["lang_pred"]]].max() > near.max() - 1e-4
+
+
+def test_language_rejects_strange_texts_and_keeps_short_ones(spark, sf):
+    docs = common.read(spark, sf.replace("0.001", "0.01"), "documents")
+    model, rng = language_id.fit(docs), random.Random(6)
+    noise = "".join(rng.choices("bcdfghjklmnpqrstvwxz", k=6000))
+    strange = [noise, " ".join(noise[i : i + 7] for i in range(0, 6000, 7)), "これは日本語の文章です。" * 20, "Это предложение на русском языке. " * 20]
+    clean = [t[:n] for n in (20, 80, 400) for t in [r["text"] for r in docs.where("length(text) > 400 and lang in ('en', 'fr', 'de', 'es')").limit(60).collect()]]
+    rows = [(i, t, "x") for i, t in enumerate([*strange, *clean, *clean[:2]])]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string, rejected string"), model).collect()}
+    assert all(got[i]["rejected"] for i in range(len(strange)))
+    assert sum(got[i]["rejected"] for i in range(len(strange), len(rows))) <= 2
+    assert got[len(rows) - 1]["score"] == got[len(strange) + 1]["score"]
 
 
 def learn(spark, sf, name, column, guess="predicted"):
