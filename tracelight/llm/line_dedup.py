@@ -13,9 +13,9 @@ from . import common
 
 #: Shorter lines count as repeated only if they are equal: one word of few may well be the point of a line.
 LEAST_WORDS = 8
-#: Bits of the bitmap that names candidate lines: at least so many for each, between these bounds (128 kB to 32 MB);
-#: false hits only cost time.
-BITS_PER_LINE, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+#: Bits of a bitmap that names rows: at least so many for each, between these bounds (512 kB to 32 MB); false hits
+#: only cost time.
+BITS_PER_ROW, LEAST_BITS, MOST_BITS = 64, 1 << 22, 1 << 28
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -103,7 +103,7 @@ def bitmap(firsts: DataFrame) -> np.ndarray:
     """A bitmap of (row, line_no), sized by their number up to a fixed most; built on the executors."""
     n = firsts.count()
     bits = LEAST_BITS
-    while bits < min(MOST_BITS, BITS_PER_LINE * n):
+    while bits < min(MOST_BITS, BITS_PER_ROW * n):
         bits *= 2
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +146,12 @@ def _candidate_texts(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     return found.join(firsts.select(*place), place, "left_semi").dropDuplicates(place)
 
 
-def variants(lines: DataFrame) -> DataFrame:
-    """(variant, gap, doc_id, row, line_no): each line as it is (gap -1), and without each of its words in turn."""
+def variants(lines: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """(variant, gap, doc_id, row, line_no): each line as it is (gap -1), and without each of its words in turn.
+
+    With a bitmap of variants only those that it names.
+    """
+    shared = lines.sparkSession.sparkContext.broadcast(bits)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +168,9 @@ def variants(lines: DataFrame) -> DataFrame:
                 left, size = sums.run(s, cut), n[rows] - (gap >= 0)
                 right = sums.run(after, e) * common.powers(_ORDER, int(n.max(initial=0)) + 1)[cut - s]
                 key = common.mixed(left + right + size.astype(np.uint64) * _SECOND)
+                if shared.value is not None:
+                    kept = marked(shared.value, key.view(np.int64), np.zeros(len(key), np.int64))
+                    key, gap, rows = key[kept], gap[kept], rows[kept]
                 own = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([_signed(key), pa.array(gap.astype(np.int32)), *(part.column(k).take(own) for k in range(3))], ["variant", "gap", "doc_id", "row", "line_no"])
 
@@ -190,7 +197,9 @@ def _near_later(docs: DataFrame, texts: DataFrame, least_words: int) -> DataFram
     firsts = common.stored(keys.join(shared, "k").select("doc_id", "row", "line_no").distinct(), "line-halves")
     lines = common.stored(_candidate_texts(docs, firsts), "line-texts")
 
-    every = common.stored(variants(lines), "line-variants")
+    # counted first, by the key alone; then only variants of two lines or more are made again with their places
+    again = common.stored(variants(lines).groupBy("variant").agg(F.count("*").alias("n")).where("n > 1").select("variant"), "shared-variants")
+    every = common.stored(variants(lines, bitmap(again.select(F.col("variant").alias("row"), F.lit(0).alias("line_no")))), "line-variants")
     # without the word at one place the lines are equal: each is one changed word from the earliest of them
     changed = every.where("gap >= 0").groupBy("variant", "gap").agg(F.min(place).alias("one"), F.count("*").alias("n")).where("n > 1")
     pairs = every.join(changed, ["variant", "gap"]).select(place.alias("a"), F.col("one").alias("b"))
