@@ -61,13 +61,15 @@ def test_head_learns_its_training_rows(spark, sf):
 
 def test_head_falls_back_without_a_vector(spark, sf):
     t = run(spark, sf, "h03_score_head")
+    assert len(t) == spark.read.parquet(f"{sf}/embeddings.parquet").count() and (t["held_out"] == (t["vec_id"] % 5 == 0)).all()
     missing = t[t["vec_id"] % 15 == 0]
     assert missing["verdict"].isna().all() and (missing["reason"] == "no-vector").all()
     assert t[t["vec_id"] % 15 != 0]["score"].between(0, 1).all()
 
 
 def test_head_is_reproduced(spark, sf):
-    assert run(spark, sf, "h04_reproduction_gate").iloc[0]["same"]
+    r = run(spark, sf, "h04_reproduction_gate").iloc[0]
+    assert r["same"] and r["saved_same"]
 
 
 def test_other_queries_have_rows(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running
+from ..functions.ordered import quantiles, running
 from . import metrics
 
 MAX_NORMAL_RATE = 0.01
@@ -41,14 +41,12 @@ def derive_bands(scored: DataFrame, by: list[str] | None = None, max_normal_rate
 
 def normal_quantiles(scored: DataFrame, low: float = 0.95, high: float = 0.99) -> DataFrame:
     """Cut-offs at two quantiles of normal validation scores, for validation sets without anomalies."""
-    q = F.percentile("score", F.array(F.lit(low), F.lit(high)))
-    return scored.where("y = 0").agg(q.alias("q")).select(F.col("q")[0].alias("uncertain"), F.col("q")[1].alias("suspicious"))
+    return quantiles(scored.where("y = 0"), "score", {"uncertain": low, "suspicious": high})
 
 
 def calibrated(train: DataFrame, low: float = 0.90, high: float = 0.99) -> DataFrame:
     """Two quantiles of training scores, with linear interpolation; the lower never above the higher."""
-    q = train.agg(F.percentile("score", F.array(F.lit(low), F.lit(high))).alias("q"))
-    return q.select(F.least(F.col("q")[0], F.col("q")[1]).alias("uncertain"), F.col("q")[1].alias("suspicious"))
+    return quantiles(train, "score", {"uncertain": low, "suspicious": high}).select(F.least("uncertain", "suspicious").alias("uncertain"), "suspicious")
 
 
 def classify(score: Column, uncertain: Column, suspicious: Column) -> Column:

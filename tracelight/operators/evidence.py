@@ -6,6 +6,8 @@ templates joined it also has involved: array of (event, text), distinct events i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +53,9 @@ def root_cause(text: Column) -> Column:
 def deviation() -> Column:
     """What differs between the expected and the actual step."""
     p, a, pt, at = F.trim("predicted"), F.trim("actual"), F.col("predicted_text"), F.col("actual_text")
-    same = F.concat(F.lit("No workflow deviation was detected. The observed next event "), a, F.lit(" matches the model's top prediction, so the event order did not change. This case was flagged by the detector's low certainty, not by any change in the sequence of events"), F.when(at == "", F.lit(".")).otherwise(F.concat(F.lit('. Recorded operation: "'), at, F.lit('".'))))
-    tail = F.when((pt != "") & (at != ""), F.lit(" The templates show what each step records; they do not by themselves state why the order changed.")).otherwise(F.lit(" " + fixed.NO_ROOT_CAUSE))
-    other = F.concat(F.lit("The model expected "), p, quoted(pt), F.lit(", but the sequence continued with "), a, quoted(at), F.lit(". In workflow terms this is the "), p, F.lit(ARROW), a, F.lit(" transition."), tail)
-    return F.when(F.col("correct"), same).otherwise(other)
+    same = F.concat(F.format_string(fixed.DEVIATION_SAME, a), F.when(at == "", F.lit(".")).otherwise(F.format_string(fixed.RECORDED, at)))
+    tail = F.when((pt != "") & (at != ""), F.lit(fixed.DEVIATION_TAIL)).otherwise(F.lit(fixed.NO_ROOT_CAUSE))
+    return F.when(F.col("correct"), same).otherwise(F.format_string(fixed.DEVIATION_OTHER, p, quoted(pt), a, quoted(at), p, a, tail))
 
 
 def confidence_text(confidence: Column, band: Column) -> Column:
@@ -68,10 +69,8 @@ def steps() -> Column:
     """Three things to look at."""
     p, a, pt, at = F.trim("predicted"), F.trim("actual"), F.col("predicted_text"), F.col("actual_text")
     named = lambda t: F.when(t == "", F.lit(".")).otherwise(F.concat(F.lit(': "'), t, F.lit('".')))
-    first = F.concat(F.lit("Review the raw HDFS log lines matching the observed event "), a, named(at))
-    right = F.concat(F.lit("Confirm why the anomaly score is elevated even though the predicted and actual events both equal "), a, F.lit("."))
-    wrong = F.concat(F.lit("Compare against the expected event "), p, named(pt), F.lit(" Confirm whether the "), p, F.lit(ARROW), a, F.lit(" transition is valid for this block."))
-    return F.array(first, F.when(F.col("correct"), right).otherwise(wrong), F.lit("Verify whether this exact event sequence has occurred in known-normal traffic for the same BlockId."))
+    second = F.when(F.col("correct"), F.format_string(fixed.STEP_CORRECT, a)).otherwise(F.format_string(fixed.STEP_WRONG, p, named(pt), p, a))
+    return F.array(F.format_string(fixed.STEP_LINES, a, named(at)), second, F.lit(fixed.STEP_TRAFFIC))
 
 
 def observed_pattern() -> Column:
@@ -90,10 +89,8 @@ def observed_pattern() -> Column:
 def interpretation() -> Column:
     """The default interpretation, from expected and actual step only."""
     p, a, pt, at = F.trim("predicted"), F.trim("actual"), F.col("predicted_text"), F.col("actual_text")
-    same = F.concat(F.lit("The observed event "), a, quoted(at), F.lit(" is the model's own top prediction, so the logged step matches expectation. This case was flagged because the model's certainty was low, even though the predicted and actual events are the same."))
     tail = F.when((pt != "") & (at != ""), F.lit("")).otherwise(F.lit(" " + fixed.NO_ROOT_CAUSE))
-    other = F.concat(F.lit("The expected step was "), p, quoted(pt), F.lit(", but the sequence recorded "), a, quoted(at), F.lit(" instead — a deviation at the "), p, F.lit(ARROW), a, F.lit(" transition."), tail)
-    return F.when(F.col("correct"), same).otherwise(other)
+    return F.when(F.col("correct"), F.format_string(fixed.INTERPRETATION_SAME, a, quoted(at))).otherwise(F.format_string(fixed.INTERPRETATION_OTHER, p, quoted(pt), a, quoted(at), p, a, tail))
 
 
 def report(narrative: Column | None = None, attention: Column | None = None) -> Column:
@@ -117,20 +114,26 @@ def report(narrative: Column | None = None, attention: Column | None = None) ->
     )
 
 
-def facts() -> Column:
-    """The facts message; uses percentile, actual_freq, pred_freq, total_events and top_windows (rank, event, text, surprisal) of L02."""
-    numbered = F.transform("sequence", lambda e, i: F.concat(F.format_string("  %2d. ", i + 1), e, F.lit(ARROW), F.coalesce(F.nullif(text_of(e), F.lit("")), F.lit("template unavailable"))))
-    line = lambda label, event, text: F.concat(F.lit(label), F.col(event), F.lit(ARROW), F.coalesce(F.nullif(F.col(text), F.lit("")), F.lit("n/a")))
+def facts(reason: Column | None = None) -> Column:
+    """The facts message; uses percentile, actual_freq, pred_freq, total_events and top_windows (rank, event, text, surprisal) of L02.
+
+    A line whose evidence is null is left out. ``reason`` says why the case was routed here.
+    """
+    shown = lambda text, other: F.coalesce(F.nullif(text, F.lit("")), F.lit(other))
+    given = lambda name, *parts: F.when(F.col(name).isNotNull(), F.concat(*parts))
+    numbered = F.transform("sequence", lambda e, i: F.concat(F.format_string("  %2d. ", i + 1), e, F.lit(ARROW), shown(text_of(e), "template unavailable")))
     seen = F.when(F.col("actual_freq") == 0, F.lit("NEVER seen")).otherwise(F.format_string("seen %,d times", "actual_freq"))
-    windows = F.transform("top_windows", lambda w: F.concat(F.format_string("Surprising transition #%d in this block : actual ", w["rank"]), w["event"], F.lit(ARROW), w["text"], F.format_string(" (surprise %.2f)", w["surprisal"])))
-    head = F.array(F.lit("BEGIN_FACTS"), F.format_string("Observed sequence (%d events, in order):", F.size("sequence")))
+    windows = F.transform("top_windows", lambda w: F.format_string(fixed.FACT_WINDOW, w["rank"], w["event"], w["text"], w["surprisal"]))
+    head = F.array(F.lit("BEGIN_FACTS"), F.format_string(fixed.FACT_SEQUENCE, F.size("sequence")))
     body = F.array(
-        F.lit(""), line("Expected next event : ", "predicted", "predicted_text"), line("Actual next event   : ", "actual", "actual_text"), F.format_string("Anomaly score (0-1, higher = more surprising) : %.2f", "anomaly_score"),
-        F.format_string("Confidence score (0-1, model's prob of the actual event) : %.2f", "confidence"), F.format_string("Block surprise percentile among NORMAL validation blocks : %.1f (100 = more surprising than every normal block)", "percentile"),
-        F.concat(F.lit("Actual event "), F.col("actual"), F.lit(" in NORMAL training data : "), seen, F.format_string(" among %,d events", "total_events")), F.concat(F.lit("Expected event "), F.col("predicted"), F.format_string(" in NORMAL training data : seen %,d times", "pred_freq")),
+        F.lit(""), F.format_string(fixed.FACT_EXPECTED, "predicted", shown(F.col("predicted_text"), "n/a")), F.format_string(fixed.FACT_ACTUAL, "actual", shown(F.col("actual_text"), "n/a")),
+        F.format_string(fixed.FACT_SCORE, "anomaly_score"), F.format_string(fixed.FACT_CONFIDENCE, "confidence"), given("percentile", F.format_string(fixed.FACT_PERCENTILE, "percentile")),
+        given("actual_freq", F.format_string(fixed.FACT_ACTUAL_FREQUENCY, F.col("actual"), seen, F.coalesce("total_events", F.lit(0)))), given("pred_freq", F.format_string(fixed.FACT_EXPECTED_FREQUENCY, "predicted", "pred_freq")),
     )
-    tail = F.array(F.lit("Routing reason : GRU detector was not confident (UNCERTAIN band)."), F.lit("END_FACTS"), F.lit(""), F.lit("Give the FINAL classification (NORMAL or SUSPICIOUS) for this case using ONLY the facts above."))
-    return F.array_join(F.concat(head, numbered, body, windows, tail), "\n")
+    why = fixed.FACT_REASON if reason is None else shown(reason, fixed.FACT_REASON)
+    tail = F.array(F.concat(F.lit("Routing reason : "), F.lit(why) if reason is None else why), F.lit("END_FACTS"), F.lit(""), F.lit(fixed.FACT_QUESTION))
+    # joining leaves nulls out
+    return F.array_join(F.concat(head, numbered, body, F.coalesce(windows, F.array().cast("array<string>")), tail), "\n")
 
 
 def field(label: str, text: Column) -> Column:
@@ -152,19 +155,20 @@ def parse_confidence(text: Column) -> Column:
 
 
 def parse_json(text: Column) -> Column:
-    """A struct (cls, conf, ok) from a JSON verdict; ok is false if it is not one."""
+    """A struct (cls, conf, evidence, explanation, ok) from a JSON verdict; ok is false if it is not one."""
     obj = F.from_json(text, "classification string, confidence string, evidence string, explanation string")
     cls = F.trim(F.upper(obj["classification"]))
     ok = F.coalesce(cls.isin("NORMAL", "SUSPICIOUS"), F.lit(False))
     number = obj["confidence"].try_cast("double")
     conf = F.when(number.isNotNull(), F.least(F.greatest(number / 100, F.lit(0.0)), F.lit(1.0)))
-    return F.struct(cls.alias("cls"), conf.alias("conf"), ok.alias("ok"))
+    return F.struct(cls.alias("cls"), conf.alias("conf"), *(F.coalesce(obj[x], F.lit("")).alias(x) for x in ("evidence", "explanation")), ok.alias("ok"))
 
 
 def parse_verdict(text: Column) -> Column:
-    """The JSON verdict, else the line format."""
+    """The JSON verdict, else the line format: (cls, conf, evidence, explanation, json_ok)."""
     j = parse_json(text)
-    return F.struct(F.when(j["ok"], j["cls"]).otherwise(parse_label(text)).alias("cls"), F.when(j["ok"], j["conf"]).otherwise(parse_confidence(text)).alias("conf"), j["ok"].alias("json_ok"))
+    lines = {"cls": parse_label(text), "conf": parse_confidence(text), "evidence": field("EVIDENCE", text), "explanation": field("EXPLANATION", text)}
+    return F.struct(*(F.when(j["ok"], j[x]).otherwise(other).alias(x) for x, other in lines.items()), j["ok"].alias("json_ok"))
 
 
 def majority(votes: DataFrame, key: str = "case_id") -> DataFrame:
@@ -173,35 +177,45 @@ def majority(votes: DataFrame, key: str = "case_id") -> DataFrame:
     return out.withColumn("cls", F.when(F.col("n_suspicious") * 2 > F.col("n_votes"), "SUSPICIOUS").otherwise("NORMAL")).withColumn("parse_ok", F.col("n_votes") > 0)
 
 
-def _sentences(text: Column, keep) -> Column:
+def _sentences(text: Column, keep: Callable[[Column], Column]) -> Column:
+    """The sentences of which ``keep`` holds, given lower-cased."""
     parts = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "^\\s+|\\s+$", ""), "(?<=[.!?])\\s+")
-    return F.trim(F.array_join(F.filter(parts, lambda s: (F.trim(s) != "") & keep(F.lower(s))), " "))
+    both = F.transform(parts, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+    kept = F.filter(both, lambda x: (F.trim(x["s"]) != "") & keep(x["low"]))
+    return F.trim(F.array_join(F.transform(kept, lambda x: x["s"]), " "))
 
 
 def _holds(text: Column, phrases: list[str]) -> Column:
     return text.rlike("|".join(p.replace(".", "\\.") for p in phrases))
 
 
-def scrub_causes(text: Column, blob: Column) -> Column:
-    """Sentences without causes that the templates (``blob``) don't hold."""
-    terms, phrases = F.array(*map(F.lit, fixed.CAUSE_TERMS)), F.array(*map(F.lit, fixed.CAUSE_PHRASES))
-    word = lambda t: F.concat(F.lit("\\b"), t, F.lit("\\b"))
-    bad_terms, bad_phrases = F.filter(terms, lambda t: ~F.rlike(blob, word(t))), F.filter(phrases, lambda p: ~F.contains(blob, p))
-    return _sentences(text, lambda s: ~F.exists(bad_terms, lambda t: F.rlike(s, word(t))) & ~F.exists(bad_phrases, lambda p: F.contains(s, p)))
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
 
+def _unsupported_cause(sentence: Column, blob: Column) -> Column:
+    """Whether a sentence names a cause that the templates don't hold. Patterns are literals, each compiled once; one
+    for all terms passes over most sentences."""
+    words = sentence.rlike("\\b(?:" + "|".join(fixed.CAUSE_TERMS) + ")\\b") & _any([sentence.rlike(f"\\b{t}\\b") & ~blob.rlike(f"\\b{t}\\b") for t in fixed.CAUSE_TERMS])
+    return words | _any([F.contains(sentence, F.lit(p)) & ~F.contains(blob, F.lit(p)) for p in fixed.CAUSE_PHRASES])
 
-def _unsupported_security(blob: Column) -> Column:
-    first = lambda t: F.concat(F.lit("\\b"), F.split_part(t, F.lit(" "), F.lit(1)), F.lit("\\b"))
-    return F.filter(F.array(*map(F.lit, fixed.SECURITY_TERMS)), lambda t: ~F.rlike(blob, first(t)))
+
+def _unsupported_security(text: Column, blob: Column) -> Column:
+    """Whether a text holds a security term of whose first word the templates know nothing."""
+    return _any([F.contains(text, F.lit(t)) & ~blob.rlike(f"\\b{t.split()[0]}\\b") for t in fixed.SECURITY_TERMS])
+
+
+def scrub_causes(text: Column, blob: Column) -> Column:
+    """Sentences without causes that the templates (``blob``) don't hold."""
+    return _sentences(text, lambda s: ~_unsupported_cause(s, blob))
 
 
 def scrub_narrative(text: Column, blob: Column) -> Column:
     """Sentences left after verdict phrases, speculation, unsupported causes and security terms are dropped."""
-    text = _sentences(text, lambda s: ~_holds(s, fixed.VERDICT_PHRASES))
-    text = _sentences(text, lambda s: ~_holds(s, fixed.SPECULATION_PHRASES))
-    text = scrub_causes(text, blob)
-    bad = _unsupported_security(blob)
-    return _sentences(text, lambda s: ~F.exists(bad, lambda t: F.contains(s, t)))
+    return _sentences(text, lambda s: ~_holds(s, fixed.VERDICT_PHRASES + fixed.SPECULATION_PHRASES) & ~_unsupported_cause(s, blob) & ~_unsupported_security(s, blob))
 
 
 def scrub_contradictions(text: Column, correct: Column) -> Column:
@@ -211,7 +225,7 @@ def scrub_contradictions(text: Column, correct: Column) -> Column:
 
 def invented(text: Column, blob: Column) -> Column:
     """The raw text names a security term that the templates don't hold."""
-    return F.exists(_unsupported_security(blob), lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t))
+    return _unsupported_security(F.lower(F.coalesce(text, F.lit(""))), blob)
 
 
 def with_insufficient(explanation: Column, raw: Column) -> Column:

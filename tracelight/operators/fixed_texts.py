@@ -36,3 +36,28 @@ CONFIDENCE_TEXTS = {
     "NORMAL": "The model was confident in this prediction (%s), so the case looks like normal activity.",
     "OTHER": "The model is uncertain about this prediction (%s) and therefore routed this case for additional review.",
 }
+
+# Formats of the deviation, interpretation and steps; %s stands for events and quoted templates.
+DEVIATION_SAME = "No workflow deviation was detected. The observed next event %s matches the model's top prediction, so the event order did not change. This case was flagged by the detector's low certainty, not by any change in the sequence of events"
+RECORDED = '. Recorded operation: "%s".'
+DEVIATION_OTHER = "The model expected %s%s, but the sequence continued with %s%s. In workflow terms this is the %s -> %s transition. %s"
+DEVIATION_TAIL = "The templates show what each step records; they do not by themselves state why the order changed."
+INTERPRETATION_SAME = "The observed event %s%s is the model's own top prediction, so the logged step matches expectation. This case was flagged because the model's certainty was low, even though the predicted and actual events are the same."
+INTERPRETATION_OTHER = "The expected step was %s%s, but the sequence recorded %s%s instead — a deviation at the %s -> %s transition.%s"
+STEP_LINES = "Review the raw HDFS log lines matching the observed event %s%s"
+STEP_CORRECT = "Confirm why the anomaly score is elevated even though the predicted and actual events both equal %s."
+STEP_WRONG = "Compare against the expected event %s%s Confirm whether the %s -> %s transition is valid for this block."
+STEP_TRAFFIC = "Verify whether this exact event sequence has occurred in known-normal traffic for the same BlockId."
+
+# Lines of the facts message.
+FACT_SEQUENCE = "Observed sequence (%d events, in order):"
+FACT_EXPECTED = "Expected next event : %s -> %s"
+FACT_ACTUAL = "Actual next event   : %s -> %s"
+FACT_SCORE = "Anomaly score (0-1, higher = more surprising) : %.2f"
+FACT_CONFIDENCE = "Confidence score (0-1, model's prob of the actual event) : %.2f"
+FACT_PERCENTILE = "Block surprise percentile among NORMAL validation blocks : %.1f (100 = more surprising than every normal block)"
+FACT_ACTUAL_FREQUENCY = "Actual event %s in NORMAL training data : %s among %,d events"
+FACT_EXPECTED_FREQUENCY = "Expected event %s in NORMAL training data : seen %,d times"
+FACT_WINDOW = "Surprising transition #%d in this block : actual %s -> %s (surprise %.2f)"
+FACT_REASON = "GRU detector was not confident (UNCERTAIN band)."
+FACT_QUESTION = "Give the FINAL classification (NORMAL or SUSPICIOUS) for this case using ONLY the facts above."

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -49,21 +52,37 @@ def reproduced(judged: DataFrame, expected: DataFrame) -> DataFrame:
     return got.crossJoin(want).withColumn("same", same)  # single rows
 
 
+def release(head: PipelineModel, judge: Callable[[PipelineModel], DataFrame], path: str) -> None:
+    """Save a head and, beside it, the confusion of the rows it judges."""
+    head.write().save(f"{path}/head")
+    metrics.confusion(judge(head)).write.parquet(f"{path}/confusion")
+
+
+def released(path: str) -> PipelineModel:
+    return PipelineModel.load(f"{path}/head")
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/confusion")
+
+
 def embedding_rows(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
     """An existing vector column as head input: (key, vector, y) with y = 1 for labels 5 and up."""
     return embeddings.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"), (F.col("label") >= 5).cast("int").alias("y"))
 
 
+def poisson_cuts(most: int = 6) -> list[float]:
+    """The distribution function of a Poisson variable with mean 1 below ``most``."""
+    terms = [math.exp(-1) / math.factorial(k) for k in range(most)]
+    return [sum(terms[: k + 1]) for k in range(most)]
+
+
 def _poisson(u: Column) -> Column:
     """A Poisson(1) weight from a uniform number, by the inverse of its distribution up to 6."""
-    out, total, term = F.lit(6), 0.0, 0.36787944117144233
-    cuts = []
-    for k in range(6):
-        total += term
-        cuts.append((k, total))
-        term /= k + 1
-    for k, cut in reversed(cuts):
-        out = F.when(u < cut, k).otherwise(out)
+    cuts = poisson_cuts()
+    out = F.lit(len(cuts))
+    for k in reversed(range(len(cuts))):
+        out = F.when(u < cuts[k], k).otherwise(out)
     return out
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import running
+from ..functions.ordered import quantiles, running
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -59,10 +59,10 @@ def prf(judged: DataFrame, by: list[str] | None = None) -> DataFrame:
     return c.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
-def top_accuracy(scored: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Share of windows whose target is among the k most probable events."""
+def top_accuracy(scored: DataFrame, ks: tuple[int, ...] = (1, 3, 5), places: int | None = 6) -> DataFrame:
+    """Share of windows whose target is among the k most probable events, rounded to ``places``."""
     hit = lambda k: F.avg(F.when(F.col("target_rank").between(1, k), 1.0).otherwise(0.0))
-    return scored.agg(F.count("*").alias("n"), *(F.round(hit(k), 6).alias(f"top{k}") for k in ks))
+    return scored.agg(F.count("*").alias("n"), *((hit(k) if places is None else F.round(hit(k), places)).alias(f"top{k}") for k in ks))
 
 
 def per_event(scored: DataFrame) -> DataFrame:
@@ -82,8 +82,8 @@ def averages(events: DataFrame) -> DataFrame:
 
 def distribution(scored: DataFrame, group: str = "y", value: str = "score") -> DataFrame:
     """Count, mean, median, p90, p99, min and max by group."""
-    q = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    return scored.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), q.alias("q"), F.min(value).alias("lo"), F.max(value).alias("hi")).select(group, "n", "mean", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), F.col("q")[2].alias("p99"), "lo", "hi")
+    own = scored.groupBy(group).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    return own.join(quantiles(scored, value, {"median": 0.5, "p90": 0.9, "p99": 0.99}, [group]), group).select(group, "n", "mean", "median", "p90", "p99", "lo", "hi")
 
 
 def histogram(scored: DataFrame, value: str, by: list[str], bins: int = 40) -> DataFrame:

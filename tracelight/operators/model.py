@@ -84,8 +84,10 @@ def score(windows: DataFrame, model: tuple[DataFrame, DataFrame], vocab: DataFra
     shares of the longer contexts multiply that of the first shorter one that saw it.
     """
     probs, contexts = model
-    out = windows
-    for k in range(order + 1):
+    base = probs.where("k = 0").select(F.col("event").alias("target"), F.col("p").alias("__p0"))
+    facts = contexts.where("k = 0").select(F.struct("entropy", "top").alias("__f0"))
+    out = windows.join(base, "target", "left").join(F.broadcast(facts), F.lit(True), "left")  # facts: one row
+    for k in range(1, order + 1):
         out = out.withColumn(f"__c{k}", context(F.col("ctx"), k))
         out = out.join(probs.where(F.col("k") == k).select(F.col("ctx").alias(f"__c{k}"), F.col("event").alias("target"), F.col("p").alias(f"__p{k}")), [f"__c{k}", "target"], "left")
         facts = contexts.where(F.col("k") == k).select(F.col("ctx").alias(f"__c{k}"), F.col("share").alias(f"__s{k}"), F.struct("entropy", "top").alias(f"__f{k}"))

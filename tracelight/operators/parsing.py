@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import ranked
+
 # The line header, identifier and mask patterns of the log formats.
 HEADER = r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]*)\]\s+(.*)$"
 HEADER_FIELDS = ["logrecord", "date", "time", "pid", "level", "component", "addr", "content"]
@@ -49,9 +51,8 @@ def mine_templates(messages: DataFrame, col: str = "message", depth: int = 2, mo
     """``messages`` with their template text, in a batch, whatever the order of lines.
 
     Masked messages are grouped by token count and their first ``depth`` tokens (one with a digit counts as a
-    wildcard). A position with more than ``most`` distinct tokens in its group becomes a wildcard. Positions
-    are counted over distinct masked messages with at most that many kept for each, so a frequent message costs
-    no more than a rare one.
+    wildcard). A position with more than ``most`` distinct tokens in its group becomes a wildcard. Tokens
+    are counted over distinct masked messages, so a frequent message costs no more than a rare one.
     """
     tokens = F.split(F.trim(F.regexp_replace(masked(F.col(col)), "\\s+", " ")), " ")
     known = messages.withColumn("__tokens", tokens)
@@ -67,10 +68,10 @@ def mine_templates(messages: DataFrame, col: str = "message", depth: int = 2, mo
 
 
 def template_catalogue(parsed: DataFrame) -> DataFrame:
-    """(event, template, n): identifiers E1, E2, ... by descending count, then text; the window spans distinct templates only."""
+    """(event, template, n): identifiers E1, E2, ... by descending count, then text."""
     own = parsed.groupBy("template").agg(F.count("*").alias("n"))
-    number = F.row_number().over(Window.orderBy(F.col("n").desc(), "template"))
-    return own.withColumn("event", F.concat(F.lit("E"), number.cast("string")))
+    numbered = ranked(own, [F.col("n").desc(), F.col("template")], F.col("n"), "__number", descending=True)
+    return numbered.withColumn("event", F.concat(F.lit("E"), F.col("__number").cast("string"))).drop("__number")
 
 
 def clean_template(text: Column) -> Column:
@@ -110,7 +111,7 @@ def parameters(parsed: DataFrame, col: str = "message") -> DataFrame:
 
 
 def typed_slots(params: DataFrame, session: str = "session_id", share: float = 0.10) -> DataFrame:
-    """(template, slot, kind, n_distinct, n_sessions): slots worth keeping.
+    """(template, slot, kind, n_distinct, n_sessions): slots worth keeping, from the parameters of training sessions.
 
     A slot is an identifier if most of its values hold a UUID or digest, numeric if all are numbers, else
     categorical. Identifiers, constants and slots seen in fewer than ``share`` of the sessions are dropped.

@@ -16,10 +16,10 @@ def numbered(events: DataFrame, order: list[str], key: Column) -> DataFrame:
 
 
 def count_windows(log: DataFrame, width: int) -> DataFrame:
-    """Windows of ``width`` lines in file order as block_id, ordinal, pos; a trailing partial one is dropped."""
+    """Windows of ``width`` lines in file order as block_id, ordinal, pos; a trailing partial one is dropped. Lines are numbered from 1 without gaps."""
     cut = log.withColumn("ordinal", F.floor((F.col("line_no") - 1) / width)).withColumn("pos", ((F.col("line_no") - 1) % width).cast("int"))
-    whole = cut.groupBy("ordinal").agg(F.count("*").alias("__n")).where(F.col("__n") == width).select("ordinal")
-    return cut.join(whole, "ordinal").withColumn("block_id", F.concat(F.lit("b"), F.col("ordinal").cast("string")))
+    whole = log.agg(F.floor(F.max("line_no") / width).alias("__whole"))  # one row
+    return cut.crossJoin(F.broadcast(whole)).where(F.col("ordinal") < F.col("__whole")).drop("__whole").withColumn("block_id", F.concat(F.lit("b"), F.col("ordinal").cast("string")))
 
 
 def keyed_sessions(log: DataFrame, key: str = "session_id", order: tuple[str, ...] = ("ts", "line_no")) -> DataFrame:

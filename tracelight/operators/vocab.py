@@ -9,11 +9,13 @@ from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import ranked, text_key
+
 
 def fit(events: DataFrame) -> DataFrame:
-    """(event, idx, n): distinct events in name order with a dense 0-based index. The window spans the vocabulary only."""
+    """(event, idx, n): distinct events in name order with a dense 0-based index."""
     own = events.where("event is not null").groupBy("event").agg(F.count("*").alias("n"))
-    return own.withColumn("idx", F.row_number().over(Window.orderBy("event")) - 1)
+    return ranked(own, [F.col("event")], text_key(F.col("event")), "__r").withColumn("idx", (F.col("__r") - 1).cast("int")).drop("__r")
 
 
 def encode(events: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def template_similarity(vectors: DataFrame, k: int = 3) -> DataFrame:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     a, b = vectors.select(F.col("event").alias("event"), F.col("vector").alias("va")), vectors.select(F.col("event").alias("other"), F.col("vector").alias("vb"))
     size = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    pairs = a.join(F.broadcast(b), F.col("event") != F.col("other")).withColumn("cosine", F.coalesce(dot(F.col("va"), F.col("vb")) / F.nullif(size("va") * size("vb"), F.lit(0.0)), F.lit(0.0)))
+    pairs = a.join(b, F.col("event") != F.col("other")).withColumn("cosine", F.coalesce(dot(F.col("va"), F.col("vb")) / F.nullif(size("va") * size("vb"), F.lit(0.0)), F.lit(0.0)))
     order = Window.partitionBy("event").orderBy(F.round("cosine", 9).desc(), "other")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("event", "other", "cosine", "rank")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 NAMES = ["msp_uncertainty_max", "surprisal_max", "surprisal_mean", "nll_max", "nll_mean", "miss_count", "miss_frac", "nll_rolling_max", "combined_z", "event_z_mean", "event_z_max"]
 
 VIEWS = {
@@ -84,6 +86,38 @@ FROM sd s CROSS JOIN (SELECT * FROM cut WHERE score_name = 'nll_mean') c WHERE s
 }
 
 
+def again(suffix: str, first: str, upto: str, edits: dict[str, str]) -> str:
+    """The views from ``first`` to ``upto`` once more, under names that end in ``suffix`` and with some definitions replaced."""
+    names = list(VIEWS)
+    own = names[names.index(first) : names.index(upto) + 1]
+    named = re.compile(r"\b(" + "|".join(own) + r")\b")
+    return "".join(f",\n{n}{suffix} AS ({named.sub(lambda m: m[1] + suffix, edits.get(n, VIEWS[n]).strip())})" for n in own)
+
+
+#: The lifecycle with a split by time.
+CHRONOLOGICAL = again("_c", "spl", "bst", {"spl": """
+SELECT block_id, ordinal, y, n_events, 0 AS h, CASE WHEN ordinal < (SELECT count(*) FROM blk) * 7 // 10 THEN 'tr' WHEN ordinal < (SELECT count(*) FROM blk) * 8 // 10 THEN 'va' ELSE 'te' END AS split FROM blk"""})
+
+
+def of_source(source: int) -> str:
+    """The lifecycle over the lines of one source."""
+    return again(f"_s{source}", "log", "bst", {"log": VIEWS["log"] + f" WHERE event_id % 3 = {source}"})
+
+
+def variant(suffix: str, order: int, alpha: float, backward: bool) -> str:
+    """Windows and signals of a model of another order, smoothing or direction."""
+    edits = {}
+    if backward:
+        edits["win"] = VIEWS["win"].replace("lag(", "lead(").replace("WHERE pos > 0", "WHERE c1 IS NOT NULL")
+    edits["p0"] = VIEWS["p0"].replace("1.0 / sz.v", f"{alpha} / sz.v").replace("(sz.n + 1)", f"(sz.n + {alpha})")
+    for p, lower in (("p1", "p0.p"), ("p2", "p1.p")):
+        edits[p] = VIEWS[p].replace(f"+ {lower}) / (coalesce(t.t, 0) + 1)", f"+ {alpha} * {lower}) / (coalesce(t.t, 0) + {alpha})")
+    if order == 1:
+        edits["dst"] = "SELECT c1, '' AS c2, event, p FROM p1"
+        edits["sig"] = VIEWS["sig"].replace("coalesce(w.c2, '')", "''")
+    return again(suffix, "win", "sig", edits)
+
+
 def check(query: str, upto: str = "tmp") -> str:
     """``query`` behind the views it may use."""
     names = list(VIEWS)

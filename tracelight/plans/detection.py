@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import quantiles
 from ..operators import bands, head, identity, metrics, model, ranking, scores, sessions, splits, vocab
-from .checks import NAMES, check
+from ..shared import stored
+from .checks import CHRONOLOGICAL, NAMES, check, of_source, variant
 from .lifecycle import lifecycle
 from .registry import longs, query, r6
 
@@ -275,14 +277,37 @@ def _(s, d):
     return wide.select(F.col("mixed_n").alias("n"), *r6("mixed_nll", "normal_nll", "delta", "delta_anomalous"))
 
 
-VARIANTS = [("order1_a1", 1, 1.0), ("order1_a5", 1, 5.0), ("order1_a20", 1, 20.0)]
+def _per(signals: str) -> str:
+    """SQL of counts, precision, recall and F1 of every event that is a target or a prediction in the test split."""
+    return f"(SELECT event, support, coalesce(h / nullif(np, 0), 0) AS precision, coalesce(h / nullif(support, 0), 0) AS recall, coalesce(2 * h / nullif(np + support, 0), 0) AS f1 FROM (SELECT coalesce(t.event, p.event) AS event, coalesce(t.n, 0) AS support, coalesce(t.h, 0) AS h, coalesce(p.n, 0) AS np FROM (SELECT target AS event, count(*) AS n, count(*) FILTER (target = predicted) AS h FROM {signals} WHERE split = 'te' GROUP BY 1) t FULL JOIN (SELECT predicted AS event, count(*) AS n FROM {signals} WHERE split = 'te' GROUP BY 1) p ON p.event = t.event))"
 
 
-@query("m08_variants", check(" UNION ALL ".join(f"SELECT '{n}' AS variant, count(*) AS n, round(avg(-ln(p)), 6) AS cross_entropy FROM {_order1('split = ' + chr(39) + 'tr' + chr(39) + ' AND y = 0', str(a))}" for n, _, a in VARIANTS)))
+TOPS = ", ".join(f"avg(CASE WHEN target_rank BETWEEN 1 AND {k} THEN 1.0 ELSE 0.0 END) AS top{k}" for k in (1, 3, 5))
+F1S = "sum(f1 * support) / sum(support) AS weighted_f1, avg(f1) AS macro_f1"
+
+
+def _next_event(signals: DataFrame) -> DataFrame:
+    """One row: top-1, top-3 and top-5 accuracy, weighted and macro F1 of the predicted events."""
+    tops = metrics.top_accuracy(signals, places=None).drop("n")
+    return tops.crossJoin(metrics.averages(metrics.per_event(signals)).select("weighted_f1", "macro_f1"))  # single rows
+
+
+#: Name, order, smoothing, and whether the context is what follows the event instead of what precedes it.
+VARIANTS = [("order1", 1, 1.0, False), ("order2", 2, 1.0, False), ("order2_a5", 2, 5.0, False), ("order2_backward", 2, 1.0, True)]
+VARIED = "".join(variant(f"_{n}", o, a, b) for n, o, a, b in VARIANTS)
+
+
+@query("m08_variants", check(VARIED + " " + " UNION ALL ".join(f"SELECT '{n}' AS variant, m.n, round(m.cross_entropy, 6) AS cross_entropy, round(top1, 6) AS top1, round(top3, 6) AS top3, round(weighted_f1, 6) AS weighted_f1, round(macro_f1, 6) AS macro_f1 FROM (SELECT count(*) AS n, avg(nll) AS cross_entropy, {TOPS} FROM sig_{n} WHERE split = 'te') m, (SELECT {F1S} FROM {_per('sig_' + n)}) f" for n, *_ in VARIANTS)))
 def _(s, d):
-    out = None
-    for name, order, alpha in VARIANTS:
-        own = model.losses(_variant(s, d, order, alpha, False)).select(F.lit(name).alias("variant"), "n", *r6("cross_entropy"))
+    life, out = lifecycle(s, d), None
+    reversed_events = life.events.select("block_id", (-F.col("pos")).alias("pos"), "event")
+    backward = sessions.in_block_windows(reversed_events).join(life.blocks.select("block_id", "y", "split"), "block_id")
+    for name, order, alpha, back in VARIANTS:
+        windows = backward if back else life.windows
+        fitted = model.fit(windows.where("split = 'tr' and y = 0"), life.vocab, order, alpha)
+        scored = stored(model.score(windows.where("split = 'te'"), fitted, life.vocab, order), f"variant-{name}")
+        own = model.losses(scored).select("n", "cross_entropy").crossJoin(_next_event(scored))
+        own = own.select(F.lit(name).alias("variant"), "n", *r6("cross_entropy", "top1", "top3", "weighted_f1", "macro_f1"))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -547,7 +572,7 @@ def _(s, d):
     return metrics.top_accuracy(lifecycle(s, d).signals.where("split = 'te'"))
 
 
-PER = ", pe AS (SELECT coalesce(t.event, p.event) AS event, coalesce(t.n, 0) AS support, coalesce(t.h, 0) AS h, coalesce(p.n, 0) AS np FROM (SELECT target AS event, count(*) AS n, count(*) FILTER (target = predicted) AS h FROM sig WHERE split = 'te' GROUP BY 1) t FULL JOIN (SELECT predicted AS event, count(*) AS n FROM sig WHERE split = 'te' GROUP BY 1) p ON p.event = t.event), pf AS (SELECT event, support, coalesce(h / nullif(np, 0), 0) AS precision, coalesce(h / nullif(support, 0), 0) AS recall, coalesce(2 * h / nullif(np + support, 0), 0) AS f1 FROM pe) "
+PER = f", pf AS {_per('sig')} "
 
 
 @query("j07_per_event", check(PER + "SELECT event, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM pf"))
@@ -606,39 +631,89 @@ def _(s, d):
     return _leaderboard(s, d).where("rank = 1").select("score_name", "f1").join(upper, "score_name").select("score_name", *r6("f1", "oracle_f1"))
 
 
-@query("j19_random_vs_chronological", check("""
-, sp AS (SELECT s.block_id, s.y, s.split AS a, CASE WHEN s.ordinal < (SELECT count(*) FROM blk) * 7 // 10 THEN 'tr' WHEN s.ordinal < (SELECT count(*) FROM blk) * 8 // 10 THEN 'va' ELSE 'te' END AS b, d.score FROM spl s JOIN sd d USING (block_id)),
-m AS (SELECT 'random' AS kind, count(*) AS n, avg(y) AS rate, avg(score) AS score FROM sp WHERE a = 'te' UNION ALL SELECT 'chronological', count(*), avg(y), avg(score) FROM sp WHERE b = 'te'),
-l AS (SELECT kind, 'n_blocks' AS metric, CAST(n AS DOUBLE) AS v FROM m UNION ALL SELECT kind, 'base_rate', rate FROM m UNION ALL SELECT kind, 'mean_score', score FROM m)
-SELECT a.metric, round(a.v, 6) AS random, round(b.v, 6) AS chronological, round(b.v - a.v, 6) AS delta FROM l a JOIN l b ON b.metric = a.metric AND b.kind = 'chronological' WHERE a.kind = 'random'"""))
+DETECTION = ["f1", "precision", "recall", "pr_auc", "auroc", "ks"]
+
+
+def _detection(life) -> DataFrame:
+    """One row of test metrics with the threshold learnt on the validation split of the same lifecycle."""
+    best = bands.best_f1(life.part("va")).select("threshold")
+    judged = life.part("te").crossJoin(F.broadcast(best)).withColumn("pred", (F.col("score") >= F.col("threshold")).cast("int"))  # one row
+    facts = life.part("te").agg(F.count("*").cast("double").alias("n_test"), F.avg("y").alias("test_rate"))
+    found = metrics.prf(judged).select("f1", "precision", "recall").crossJoin(metrics.ranking_quality(life.part("te")).select("pr_auc", "auroc", "ks"))
+    return facts.crossJoin(found)  # single rows
+
+
+def _detection_sql(x: str) -> str:
+    """SQL of the same row, from the views whose names end in ``x``."""
+    return f"""(SELECT CAST((SELECT count(*) FROM sd{x} WHERE split = 'te') AS DOUBLE) AS n_test, (SELECT avg(y) FROM sd{x} WHERE split = 'te') AS test_rate, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1,
+  q.pr_auc, q.auroc, q.ks FROM (SELECT count(*) FILTER (y = 0 AND score >= threshold) AS fp, count(*) FILTER (y = 1 AND score < threshold) AS fn, count(*) FILTER (y = 1 AND score >= threshold) AS tp FROM sd{x} CROSS JOIN (SELECT threshold FROM bst{x} WHERE {ONE} AND split = 'va') WHERE split = 'te'),
+  (SELECT * FROM qul{x} WHERE {ONE} AND split = 'te') q)"""
+
+
+def _by_metric(rows: dict[str, DataFrame], names: list[str]) -> DataFrame:
+    """One row for each metric, a column for each of the one-row frames."""
+    out = None
+    for name, row in rows.items():
+        own = row.select(F.explode(F.create_map(*(x for c in names for x in (F.lit(c), F.col(c).cast("double"))))).alias("metric", name))
+        out = own if out is None else out.join(own, "metric")
+    return out
+
+
+def _by_metric_sql(rows: dict[str, str], names: list[str], more: str = "") -> str:
+    each = [f"(SELECT m.metric, CASE m.metric {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN r.{c}' for c in names)} END AS v FROM {row} r, (SELECT unnest({names}) AS metric) m) {name}" for name, row in rows.items()]
+    first = list(rows)[0]
+    joins = "".join(f" JOIN {x} USING (metric)" for x in each[1:])
+    return f"SELECT metric, {', '.join(f'round({n}.v, 6) AS {n}' for n in rows)}{more} FROM {each[0]}{joins}"
+
+
+COMPARED = ["n_test", "test_rate", *DETECTION[:5]]
+
+
+@query("j19_random_vs_chronological", check(CHRONOLOGICAL + " " + _by_metric_sql({"random": _detection_sql(""), "chronological": _detection_sql("_c")}, COMPARED, ", round(chronological.v - random.v, 6) AS delta")))
 def _(s, d):
-    scored = lifecycle(s, d).scored
-    frames = {"random": scored, "chronological": splits.chronological(scored.drop("split"))}
-    sides = []
-    for kind, frame in frames.items():
-        own = frame.where("split = 'te'").agg(F.count("*").cast("double").alias("n_blocks"), F.avg("y").alias("base_rate"), F.avg("score").alias("mean_score"))
-        sides.append(own.select(F.explode(F.create_map(*(x for c in own.columns for x in (F.lit(c), F.col(c))))).alias("metric", kind)))
-    return sides[0].join(sides[1], "metric").withColumn("delta", F.col("chronological") - F.col("random")).select("metric", *r6("random", "chronological", "delta"))
+    both = _by_metric({"random": _detection(lifecycle(s, d)), "chronological": _detection(lifecycle(s, d, chronological=True))}, COMPARED)
+    return both.withColumn("delta", F.col("chronological") - F.col("random")).select("metric", *r6("random", "chronological", "delta"))
+
 
+SOURCES = [0, 1, 2]
+TABLE = ["vocabulary", "n_blocks", "n_test", "test_rate", "top1", "top3", "top5", "weighted_f1", "macro_f1", *DETECTION]
 
-@query("j20_dataset_comparison", check("""
-, m AS (SELECT source, CAST(count(*) AS DOUBLE) AS n, avg(alert) AS rate, CAST(count(DISTINCT event) AS DOUBLE) AS v FROM log GROUP BY source)
-, l AS (SELECT source, 'n_events' AS metric, n AS x FROM m UNION ALL SELECT source, 'alert_rate', rate FROM m UNION ALL SELECT source, 'vocabulary', v FROM m)
-SELECT metric, round(max(x) FILTER (source = '0'), 6) AS d0, round(max(x) FILTER (source = '1'), 6) AS d1, round(max(x) FILTER (source = '2'), 6) AS d2 FROM l GROUP BY metric"""))
+
+def _table_sql(x: str) -> str:
+    return f"(SELECT CAST((SELECT count(*) FROM voc{x}) AS DOUBLE) AS vocabulary, CAST((SELECT count(*) FROM blk{x}) AS DOUBLE) AS n_blocks, e.*, f.*, t.* FROM {_detection_sql(x)} e, (SELECT {F1S} FROM {_per('sig' + x)}) f, (SELECT {TOPS} FROM sig{x} WHERE split = 'te') t)"
+
+
+@query("j20_dataset_comparison", check("".join(of_source(i) for i in SOURCES) + " " + _by_metric_sql({f"d{i}": _table_sql(f"_s{i}") for i in SOURCES}, TABLE)))
 def _(s, d):
-    own = lifecycle(s, d).log.groupBy("source").agg(F.count("*").cast("double").alias("n_events"), F.avg("alert").alias("alert_rate"), F.countDistinct("event").cast("double").alias("vocabulary"))
-    long = own.select("source", F.explode(F.create_map(*(x for c in own.columns[1:] for x in (F.lit(c), F.col(c))))).alias("metric", "x"))
-    wide = long.groupBy("metric").pivot("source", ["0", "1", "2"]).agg(F.first("x"))
-    return wide.select("metric", *(F.round(c, 6).alias(f"d{c}") for c in "012"))
+    rows = {}
+    for i in SOURCES:
+        life = lifecycle(s, d, source=i)
+        shape = life.vocab.agg(F.count("*").alias("vocabulary")).crossJoin(life.blocks.agg(F.count("*").alias("n_blocks")))
+        rows[f"d{i}"] = shape.crossJoin(_next_event(life.signals.where("split = 'te'"))).crossJoin(_detection(life))  # single rows
+    return _by_metric(rows, TABLE).select("metric", *r6(*rows))
+
 
+# Poisson weights of each block and replicate from the first 32 bits of a hash
+POISSON = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(head.poisson_cuts())) + " ELSE 6 END"
+BOOTSTRAP = f"""
+, bw AS (SELECT r, y, nll_mean AS a, miss_frac AS b, {POISSON} AS w FROM (SELECT *, CAST('0x' || substr(md5(block_id || '/' || r || '42'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT * FROM sc WHERE split = 'te') x, (SELECT unnest(range(50)) AS r) z)),
+bl AS (SELECT r, 'a' AS name, a AS score, y, w FROM bw WHERE w > 0 UNION ALL SELECT r, 'b', b, y, w FROM bw WHERE w > 0), bp AS (SELECT r, name, score, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM bl GROUP BY ALL),
+bc AS (SELECT *, sum(p) OVER (PARTITION BY r, name ORDER BY score DESC) AS cp FROM bp), ba AS (SELECT r, name, coalesce(sum((cp - p) * q + 0.5 * p * q) / nullif(sum(p) * sum(q), 0), 0) AS auroc FROM bc GROUP BY r, name),
+bd AS (SELECT r, max(auroc) FILTER (name = 'a') - max(auroc) FILTER (name = 'b') AS d FROM ba GROUP BY r) """
 
-@query("j21_bootstrap_difference")
+
+@query("j21_bootstrap_difference", check(BOOTSTRAP + "SELECT count(*) AS n_replicates, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.5), 6) AS median, round(quantile_cont(d, 0.975), 6) AS high FROM bd"))
 def _(s, d):
     paired = lifecycle(s, d).wide.where("split = 'te'").select("block_id", "y", F.col("nll_mean").alias("a"), F.col("miss_frac").alias("b"))
     return head.bootstrap_difference(paired).select("n_replicates", *r6("low", "median", "high"))
 
 
-@query("j22_separation_tests")
+SEPARATION = """
+, zs AS (SELECT score_name, auroc, abs(auroc - 0.5) * sqrt(12.0 * n_pos * n_neg / (n_pos + n_neg + 1)) AS z FROM qul WHERE split = 'te'), ts AS (SELECT *, z / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * z / sqrt(2.0)) AS t FROM zs),
+ps AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS p FROM ts), rs AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, score_name) AS raw, row_number() OVER (ORDER BY p, score_name) AS r FROM ps) """
+
+
+@query("j22_separation_tests", check(SEPARATION + "SELECT score_name, round(auroc, 6) AS auroc, round(z, 6) AS z, round(p, 6) AS p, round(least(min(raw) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS q FROM rs"))
 def _(s, d):
     return head.separation_tests(lifecycle(s, d).long.where("split = 'te'")).select("score_name", *r6("auroc", "z", "p", "q"))
 
@@ -646,18 +721,18 @@ def _(s, d):
 @query("j24_provenance_control", check("""
 SELECT s.y, CAST(s.ordinal % 2 AS BIGINT) AS source_group, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median FROM sd s GROUP BY ALL"""))
 def _(s, d):
-    own = lifecycle(s, d).scored.groupBy("y", (F.col("ordinal") % 2).alias("source_group"))
-    return own.agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.percentile("score", F.lit(0.5)).alias("median")).select("y", *longs("source_group"), "n", *r6("mean", "median"))
+    scored, by = lifecycle(s, d).scored.withColumn("source_group", F.col("ordinal") % 2), ["y", "source_group"]
+    own = scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
+    return own.join(quantiles(scored, "score", {"median": 0.5}, by), by).select("y", *longs("source_group"), "n", *r6("mean", "median"))
 
 
 # --- identity and timing --------------------------------------------------------------------------------------------
-SEQ = ", sq AS (SELECT e.block_id, b.y, string_agg(event, '|' ORDER BY pos) AS sequence FROM ev e JOIN blk b USING (block_id) WHERE pos < 3 GROUP BY e.block_id, b.y) "
+SEQ = ", sq AS (SELECT e.block_id, b.y, string_agg(event, '|' ORDER BY pos) AS sequence FROM ev e JOIN blk b USING (block_id) GROUP BY e.block_id, b.y) "
 
 
 def _sequences(s, d) -> DataFrame:
-    """The first three events of each block, so that some sequences are twins."""
     life = lifecycle(s, d)
-    own = life.events.where("pos < 3").groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "event"))), lambda x: x["event"]), "|").alias("sequence"))
+    own = life.events.groupBy("block_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "event"))), lambda x: x["event"]), "|").alias("sequence"))
     return own.join(life.blocks.select("block_id", "y"), "block_id")
 
 

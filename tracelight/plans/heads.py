@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import head, metrics
+from ..shared import new_path
 from .lifecycle import lifecycle, read
 from .registry import query, r6
 from .texts import _cases
@@ -32,16 +33,22 @@ def _(s, d):
 
 @query("h03_score_head")
 def _(s, d):
-    rows = _rows(s, d).where("vec_id % 5 = 0")
+    """Every vector scored, with a mark for those that training did not see; a few have lost their vector."""
+    rows = _rows(s, d).withColumn("held_out", F.col("vec_id") % 5 == 0)
     some = rows.withColumn("vector", F.when(F.col("vec_id") % 15 != 0, F.col("vector")))
-    return head.score_head(some, _head(s, d)).select("vec_id", "y", *r6("score"), "verdict", "reason")
+    return head.score_head(some, _head(s, d)).select("vec_id", "y", "held_out", *r6("score"), "verdict", "reason")
 
 
 @query("h04_reproduction_gate")
 def _(s, d):
-    rows = _rows(s, d)
-    judged = lambda: head.score_head(rows.where("vec_id % 5 = 0"), _head(s, d)).withColumn("pred", F.col("verdict"))
-    return head.reproduced(judged(), metrics.confusion(judged()))
+    """A head is released: saved with the confusion it has on held-out rows. A later fit must reach that record."""
+    held_out = _rows(s, d).where("vec_id % 5 = 0")
+    judged = lambda own: head.score_head(held_out, own).withColumn("pred", F.col("verdict"))
+    path = new_path(s, "released-head")
+    head.release(_head(s, d), judged, path)
+    again = head.reproduced(judged(_head(s, d)), head.recorded(s, path))
+    saved = metrics.confusion(judged(head.released(path))).select(F.struct("tn", "fp", "fn", "tp").alias("saved"))
+    return again.crossJoin(saved).select(*again.columns, (F.col("saved") == F.struct("want_tn", "want_fp", "want_fn", "want_tp")).alias("saved_same"))  # single rows
 
 
 @query("h05_text_vectors")

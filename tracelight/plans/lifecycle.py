@@ -24,12 +24,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 class Lifecycle:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    """``source`` keeps the lines of one source only; ``chronological`` trains on the past and judges the future."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, source: int | None = None, chronological: bool = False):
+        self.spark, self.sf_dir, self.source, self.split = spark, sf_dir, source, splits.chronological if chronological else splits.stratified
 
     @cached_property
     def log(self) -> DataFrame:
+        if self.split is splits.chronological and self.source is None:
+            return lifecycle(self.spark, self.sf_dir).log
         e = read(self.spark, self.sf_dir, "events")
+        e = e if self.source is None else e.where(F.col("event_id") % 3 == self.source)
         view = e.select(
             "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("event"), (F.col("event_id") % 3).cast("string").alias("source"),
             F.when(F.col("value") >= ALERT_VALUE, 1).otherwise(0).alias("alert"), "value", F.get_json_object("props", "$.k").cast("long").alias("slot"),
@@ -43,7 +48,7 @@ class Lifecycle:
     @cached_property
     def blocks(self) -> DataFrame:
         own = self.events.groupBy("block_id", "ordinal").agg(F.max("alert").alias("y"), F.count("*").alias("n_events"))
-        return stored(splits.stratified(own).select(*KEYS), "blocks")
+        return stored(self.split(own).select(*KEYS), "blocks")
 
     @cached_property
     def vocab(self) -> DataFrame:
@@ -80,11 +85,11 @@ class Lifecycle:
         return self.scored.where(F.col("split") == split)
 
 
-_KNOWN: dict[tuple[str, str], Lifecycle] = {}
+_KNOWN: dict[tuple, Lifecycle] = {}
 
 
-def lifecycle(spark: SparkSession, sf_dir: str) -> Lifecycle:
-    key = (spark.sparkContext.applicationId, sf_dir)
+def lifecycle(spark: SparkSession, sf_dir: str, source: int | None = None, chronological: bool = False) -> Lifecycle:
+    key = (spark.sparkContext.applicationId, sf_dir, source, chronological)
     if key not in _KNOWN:
-        _KNOWN[key] = Lifecycle(spark, sf_dir)
+        _KNOWN[key] = Lifecycle(spark, sf_dir, source, chronological)
     return _KNOWN[key]

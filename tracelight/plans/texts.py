@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evidence, fixed_texts, metrics, parsing, ranking, vocab
+from ..operators import bands, evidence, fixed_texts, metrics, model, parsing, ranking, sessions, splits, vocab
 from ..shared import new_path
 from ..sources import logs
 from .checks import check
-from .detection import PCT, TOPW, _banded, _percentiles
+from .detection import MSP_SQL, PCT, TOPW, _banded, _percentiles
 from .lifecycle import lifecycle, read
 from .registry import longs, query, r6
 
@@ -114,6 +114,51 @@ def _(s, d):
     return s.read.parquet(path)
 
 
+SEQUENCES = ", sqn AS (SELECT block_id, pos, string_agg(event, ' ') OVER (PARTITION BY block_id ORDER BY pos ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS sequence FROM ev) "
+
+
+def _csv(s, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written as CSV and read back with their types."""
+    path = new_path(s, name)
+    logs.write_result(rows, path, form="csv")
+    return s.read.csv(path, header=True, schema=rows.schema)
+
+
+@query("s08_window_results", check(SEQUENCES + "SELECT block_id, pos, sequence, predicted AS predicted_event, target AS actual_event, predicted = target AS correct, round(composite, 6) AS anomaly_score, round(1 - composite, 6) AS confidence, CASE WHEN round(composite, 9) >= 0.9 THEN 'ANOMALY' WHEN round(composite, 9) >= 0.45 THEN 'UNCERTAIN' ELSE 'NORMAL' END AS classification FROM sig JOIN sqn USING (block_id, pos) WHERE split = 'te'"))
+def _(s, d):
+    own = lifecycle(s, d).signals.where("split = 'te'")
+    rows = own.select("block_id", *longs("pos"), F.array_join("ctx", " ").alias("sequence"), F.col("predicted").alias("predicted_event"), F.col("target").alias("actual_event"), (F.col("predicted") == F.col("target")).alias("correct"), F.round("composite", 6).alias("anomaly_score"), F.round(1 - F.col("composite"), 6).alias("confidence"), bands.fixed_bands(F.round("composite", 9), 0.9).alias("classification"))
+    return _csv(s, rows, "window-results")
+
+
+@query("s08_confidence_results", check(SEQUENCES + f"SELECT block_id, pos, sequence, predicted AS predicted_event, target AS actual_event, round(msp, 6) AS confidence_score, {MSP_SQL.format(0.24, 0.22)} AS classification, {MSP_SQL.format(0.24, 0.22)} = 'UNCERTAIN' AS routed FROM sig JOIN sqn USING (block_id, pos) WHERE split = 'te'"))
+def _(s, d):
+    own = lifecycle(s, d).signals.where("split = 'te'").withColumn("classification", bands.msp_band(F.round("msp", 9), 0.24, 0.22))
+    rows = own.select("block_id", *longs("pos"), F.array_join("ctx", " ").alias("sequence"), F.col("predicted").alias("predicted_event"), F.col("target").alias("actual_event"), F.round("msp", 6).alias("confidence_score"), "classification", (F.col("classification") == "UNCERTAIN").alias("routed"))
+    return _csv(s, rows, "confidence-results")
+
+
+@query("s08_session_tables", check("SELECT e.block_id, string_agg(e.event, '|' ORDER BY e.pos) AS events, b.y, count(DISTINCT e.source) AS n_sources, epoch_us(min(e.ts)) AS first_us FROM ev e JOIN blk b USING (block_id) GROUP BY e.block_id, b.y"))
+def _(s, d):
+    """Traces, labels and provenance written as the CSV tables that their readers expect, and read by them."""
+    events, blocks = lifecycle(s, d).events, lifecycle(s, d).blocks
+    paths = {name: new_path(s, name) for name in ("traces", "labels", "meta")}
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "event"))), lambda x: x["event"])
+    logs.write_result(events.groupBy(F.col("block_id").alias("BlockId")).agg(F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("Features")), paths["traces"], form="csv")
+    logs.write_result(blocks.select(F.col("block_id").alias("BlockId"), F.when(F.col("y") == 1, "Anomaly").otherwise("Normal").alias("Label")), paths["labels"], form="csv")
+    meta = sessions.provenance(events, "block_id")
+    logs.write_result(meta.select(F.col("block_id").alias("BlockId"), F.array_join("sources", "|").alias("SourceFiles"), "n_events", F.unix_micros("first_ts").alias("first_us")), paths["meta"], form="csv")
+    read_meta = s.read.csv(paths["meta"], header=True, schema="block_id string, sources string, n_events long, first_us long")
+    both = logs.traces(s, paths["traces"]).join(logs.labels(s, paths["labels"]), "block_id").join(read_meta, "block_id")
+    return both.select("block_id", F.array_join("events", "|").alias("events"), "y", F.size(F.split("sources", "\\|")).cast("long").alias("n_sources"), "first_us")
+
+
+@query("s08_weights", check("SELECT block_id, event AS event_id, round(sum((pos + 1) / 210.0), 6) AS attention_weight FROM ev GROUP BY ALL"))
+def _(s, d):
+    own = lifecycle(s, d).events.groupBy("block_id", F.col("event").alias("event_id")).agg(F.round(F.sum((F.col("pos") + 1) / 210.0), 6).alias("attention_weight"))
+    return _csv(s, own, "weights")
+
+
 STATS = HD + """SELECT count(*) AS lines, count(*) FILTER (parsed) AS parsed, count(DISTINCT session_id) AS sessions, count(DISTINCT session_id) FILTER (level = 'ERROR') AS anomalous, count(*) FILTER (parsed AND session_id IS NULL) AS dropped, count(DISTINCT component) FILTER (parsed) AS vocab FROM z"""
 
 
@@ -231,13 +276,18 @@ def _(s, d):
 
 
 TYPED = SLOTS + """
-, u AS (SELECT template, slot, avg(CASE WHEN regexp_matches(value, '[0-9a-fA-F]{32,}') THEN 1.0 ELSE 0.0 END) AS ids, min(CASE WHEN regexp_matches(value, '^-?[0-9]+([.][0-9]+)?$') THEN 1 ELSE 0 END) AS num, count(DISTINCT value) AS n_distinct, count(DISTINCT session_id) AS n_sessions FROM q GROUP BY template, slot),
-v AS (SELECT template, slot, CASE WHEN num = 1 THEN 'numeric' ELSE 'categorical' END AS kind, n_distinct, n_sessions FROM u WHERE ids <= 0.5 AND n_distinct > 1 AND n_sessions >= 0.1 * (SELECT count(DISTINCT session_id) FROM q)) """
+, tq AS (SELECT * FROM q WHERE CAST('0x' || substr(md5(session_id || '42'), 1, 8) AS BIGINT) % 10 < 7), u AS (SELECT template, slot, avg(CASE WHEN regexp_matches(value, '[0-9a-fA-F]{32,}') THEN 1.0 ELSE 0.0 END) AS ids, min(CASE WHEN regexp_matches(value, '^-?[0-9]+([.][0-9]+)?$') THEN 1 ELSE 0 END) AS num, count(DISTINCT value) AS n_distinct, count(DISTINCT session_id) AS n_sessions FROM tq GROUP BY template, slot),
+v AS (SELECT template, slot, CASE WHEN num = 1 THEN 'numeric' ELSE 'categorical' END AS kind, n_distinct, n_sessions FROM u WHERE ids <= 0.5 AND n_distinct > 1 AND n_sessions >= 0.1 * (SELECT count(DISTINCT session_id) FROM tq)) """
 
 
 @query("p13_typed_slots", TYPED + "SELECT template, slot, kind, n_distinct, n_sessions FROM v")
 def _(s, d):
-    return parsing.typed_slots(_params(s, d)).select("template", *longs("slot"), "kind", "n_distinct", "n_sessions")
+    return parsing.typed_slots(_training(_params(s, d))).select("template", *longs("slot"), "kind", "n_distinct", "n_sessions")
+
+
+def _training(params: DataFrame) -> DataFrame:
+    """Seven of ten sessions, by their hash."""
+    return params.where(splits.seeded_hash(F.col("session_id")) % 10 < 7)
 
 
 @query("p14_formatters", check("""
@@ -255,7 +305,7 @@ def _(s, d):
     from ..operators import identity
 
     params = _params(s, d)
-    kept = params.join(parsing.typed_slots(params).select("template", "slot", "kind"), ["template", "slot"])
+    kept = params.join(parsing.typed_slots(_training(params)).select("template", "slot", "kind"), ["template", "slot"])
     wide = identity.slot_features(kept.withColumn("slot", F.col("slot").cast("string")), ["2", "4", "8"])
     return wide.select("session_id", F.coalesce(F.round("2_mean", 6), F.lit(-1.0)).alias("user_mean"), F.col("4_distinct").alias("hosts"), F.coalesce(F.round("8_mean", 6), F.lit(-1.0)).alias("took_mean"))
 
@@ -315,15 +365,30 @@ def _facts(s, d) -> DataFrame:
     total = freq.agg(F.max("total_events").alias("total_events"))
     other = ranking.most_surprising(life.signals.where("split = 'te'"), 3).where("rank > 1").join(_templates(s, d).withColumnRenamed("event", "target"), "target", "left")
     rows = other.groupBy(F.col("block_id").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("rank", F.col("target").alias("event"), F.coalesce("template", F.lit("template unavailable")).alias("text"), "surprisal"))).alias("top_windows"))
-    out = _cases(s, d).join(_percentiles(s, d).select(F.col("block_id").alias("case_id"), "percentile"), "case_id").join(rows, "case_id")
+    out = _cases(s, d).join(_percentiles(s, d).select(F.col("block_id").alias("case_id"), "percentile"), "case_id").join(rows, "case_id", "left")
     for side in ("actual", "predicted"):
         name = "actual_freq" if side == "actual" else "pred_freq"
         out = out.join(freq.select(F.col("event").alias(side), F.col("freq").alias(name)), side, "left").withColumn(name, F.coalesce(name, F.lit(0)))
     return out.crossJoin(F.broadcast(total))
 
 
+# texts of the whole sequence
+SEQT = """, sx AS (SELECT case_id, unnest(range(len(string_split(seq, '|')))) AS ix, unnest(string_split(seq, '|')) AS event, len(string_split(seq, '|')) AS n FROM cs), sy AS (SELECT sx.*, coalesce(t.template, '') AS t FROM sx LEFT JOIN tmp t USING (event)),
+ob AS (SELECT case_id, CASE WHEN max(t) <> '' THEN 'The sequence is ' || CASE WHEN max(n) <= 5 THEN '' ELSE max(n) || ' events ending in ' END || string_agg(event || ' (' || CASE WHEN t = '' THEN 'template unavailable' ELSE t END || ')', ' -> ' ORDER BY ix) FILTER (ix >= n - 5) || '.'
+  ELSE 'The sequence is ' || max(n) || ' events: ' || string_agg(event, ' -> ' ORDER BY ix) || '. No log templates were supplied for these EventIds.' END AS observed FROM sy GROUP BY case_id) """
+
+
 FACTS = CASES + f""", fq AS (SELECT event, count(*) AS freq FROM ev JOIN spl USING (block_id) WHERE split = 'tr' AND spl.y = 0 GROUP BY event), s AS (SELECT * FROM sd),
 pc AS (SELECT block_id AS case_id, {PCT} AS percentile FROM sd s WHERE split = 'te'), tw AS (SELECT block_id AS case_id, string_agg(target || ':' || CAST(rank AS VARCHAR), '|' ORDER BY rank) AS tops FROM {TOPW} WHERE rank IN (2, 3) AND split = 'te' GROUP BY block_id) """
+# some evidence is missing, so that lines are left out
+FACTS_TEXT = FACTS + f"""{SEQT}, sl AS (SELECT case_id, max(n) AS n, string_agg(format('  {{:2d}}. ', ix + 1) || event || ' -> ' || CASE WHEN t = '' THEN 'template unavailable' ELSE t END, chr(10) ORDER BY ix) AS listed FROM sy GROUP BY case_id),
+tl AS (SELECT block_id AS case_id, string_agg(format('Surprising transition #{{}} in this block : actual {{}} -> {{}} (surprise {{:.2f}})', rank, target, coalesce(template, 'template unavailable'), round(surprisal, 9)), chr(10) ORDER BY rank) AS listed FROM {TOPW} x LEFT JOIN tmp ON tmp.event = x.target WHERE rank IN (2, 3) AND split = 'te' GROUP BY block_id)
+SELECT case_id, concat_ws(chr(10), 'BEGIN_FACTS', format('Observed sequence ({{}} events, in order):', sl.n), sl.listed, '', 'Expected next event : ' || predicted || ' -> ' || CASE WHEN pt = '' THEN 'n/a' ELSE pt END, 'Actual next event   : ' || actual || ' -> ' || CASE WHEN ix = '' THEN 'n/a' ELSE ix END,
+  format('Anomaly score (0-1, higher = more surprising) : {{:.2f}}', round(anomaly_score, 9)), format('Confidence score (0-1, model''s prob of the actual event) : {{:.2f}}', round(confidence, 9)),
+  CASE WHEN cs.y = 1 THEN format('Block surprise percentile among NORMAL validation blocks : {{:.1f}} (100 = more surprising than every normal block)', round(percentile, 9)) END,
+  'Actual event ' || actual || ' in NORMAL training data : ' || CASE WHEN coalesce(a.freq, 0) = 0 THEN 'NEVER seen' ELSE format('seen {{:,}} times', a.freq) END || format(' among {{:,}} events', (SELECT CAST(sum(freq) AS BIGINT) FROM fq)), CASE WHEN correct THEN format('Expected event {{}} in NORMAL training data : seen {{:,}} times', predicted, coalesce(p.freq, 0)) END,
+  tl.listed, CASE WHEN band = 'UNCERTAIN' THEN 'Routing reason : GRU detector was not confident (UNCERTAIN band).' ELSE 'Routing reason : band ' || band END, 'END_FACTS', '', 'Give the FINAL classification (NORMAL or SUSPICIOUS) for this case using ONLY the facts above.') AS facts
+FROM cs JOIN sl USING (case_id) JOIN pc USING (case_id) LEFT JOIN tl USING (case_id) LEFT JOIN fq a ON a.event = cs.actual LEFT JOIN fq p ON p.event = cs.predicted"""
 
 
 @query("l02_evidence", check(FACTS + "SELECT case_id, round(percentile, 6) AS percentile, coalesce(a.freq, 0) AS actual_freq, coalesce(p.freq, 0) AS pred_freq, (SELECT CAST(sum(freq) AS BIGINT) FROM fq) AS total_events, tops FROM cs JOIN pc USING (case_id) JOIN tw USING (case_id) LEFT JOIN fq a ON a.event = cs.actual LEFT JOIN fq p ON p.event = cs.predicted"))
@@ -359,10 +424,6 @@ CONF = """CASE band WHEN 'ANOMALY' THEN 'The model had very low confidence in th
 STEP1 = "'Review the raw HDFS log lines matching the observed event ' || actual || CASE WHEN ix = '' THEN '.' ELSE ': \"' || ix || '\".' END"
 STEP2 = "CASE WHEN correct THEN 'Confirm why the anomaly score is elevated even though the predicted and actual events both equal ' || actual || '.' ELSE 'Compare against the expected event ' || predicted || CASE WHEN pt = '' THEN '.' ELSE ': \"' || pt || '\".' END || ' Confirm whether the ' || predicted || ' -> ' || actual || ' transition is valid for this block.' END"
 STEP3 = "'Verify whether this exact event sequence has occurred in known-normal traffic for the same BlockId.'"
-# texts of the whole sequence
-SEQT = """, sx AS (SELECT case_id, unnest(range(len(string_split(seq, '|')))) AS ix, unnest(string_split(seq, '|')) AS event, len(string_split(seq, '|')) AS n FROM cs), sy AS (SELECT sx.*, coalesce(t.template, '') AS t FROM sx LEFT JOIN tmp t USING (event)),
-ob AS (SELECT case_id, CASE WHEN max(t) <> '' THEN 'The sequence is ' || CASE WHEN max(n) <= 5 THEN '' ELSE max(n) || ' events ending in ' END || string_agg(event || ' (' || CASE WHEN t = '' THEN 'template unavailable' ELSE t END || ')', ' -> ' ORDER BY ix) FILTER (ix >= n - 5) || '.'
-  ELSE 'The sequence is ' || max(n) || ' events: ' || string_agg(event, ' -> ' ORDER BY ix) || '. No log templates were supplied for these EventIds.' END AS observed FROM sy GROUP BY case_id) """
 
 
 @query("l05_deviation", check(CASES + f"SELECT case_id, {DEV} AS text FROM cs"))
@@ -424,9 +485,28 @@ def _(s, d):
     return _cases(s, d).select("case_id", evidence.report().alias("report"))
 
 
-@query("l11_facts")
+FOCUS = """, fw AS (SELECT case_id, event, sum((ix + 1.0) / n) AS w FROM sy GROUP BY case_id, event), fr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(w, 12) DESC, event) AS r FROM fw),
+fo AS (SELECT case_id, string_agg('  ' || rpad(event, 9, ' ') || format('  {:.4f}', w), chr(10) ORDER BY r) AS focus FROM fr WHERE r <= 5 GROUP BY case_id) """
+ATTENTION = REPORT.replace("Root Cause Assessment", "Model Attention Focus\n  (input events the model weighted most when predicting the next event)\n' || focus || '\n\nRoot Cause Assessment").replace("JOIN ob USING (case_id))", "JOIN ob USING (case_id)) JOIN fo USING (case_id)")
+
+
+@query("l10_attention_report", check(CASES + SEQT + FOCUS + ATTENTION))
+def _(s, d):
+    """The report with its attention section: each event weighs by the places it has in the sequence."""
+    cases = _cases(s, d)
+    each = cases.select(F.col("case_id").alias("window_id"), F.size("sequence").alias("n"), F.posexplode("sequence").alias("at", "event"))
+    top = model.attribution(each.select("window_id", "event", ((F.col("at") + 1.0) / F.col("n")).alias("weight")), 5)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "event", "weight"))), lambda x: F.struct(x["event"].alias("event"), x["weight"].alias("weight")))
+    focus = top.groupBy(F.col("window_id").alias("case_id")).agg(listed.alias("attention"))
+    return cases.join(focus, "case_id").select("case_id", evidence.report(attention=F.col("attention")).alias("report"))
+
+
+@query("l11_facts", check(FACTS_TEXT))
 def _(s, d):
-    return _facts(s, d).select("case_id", evidence.facts().alias("facts"))
+    some = _facts(s, d).withColumns({"percentile": F.when(F.col("y") == 1, F.round("percentile", 9)), "pred_freq": F.when(F.col("correct"), F.col("pred_freq")), "anomaly_score": F.round("anomaly_score", 9), "confidence": F.round("confidence", 9)})
+    some = some.withColumn("top_windows", F.transform("top_windows", lambda w: w.withField("surprisal", F.round(w["surprisal"], 9))))
+    reason = F.when(F.col("band") == "UNCERTAIN", "").otherwise(F.concat(F.lit("band "), F.col("band")))
+    return some.select("case_id", evidence.facts(reason).alias("facts"))
 
 
 # --- verdict texts, made from the conversations ---------------------------------------------------------------------
@@ -452,9 +532,12 @@ def _parsed(s, d) -> DataFrame:
     return _verdicts(s, d).select("conv_id", "turn", "t", evidence.parse_verdict(F.col("t")).alias("v")).select("conv_id", "turn", "t", "v.*")
 
 
-@query("l13_parse_json", VSQL + "SELECT conv_id, turn, coalesce(jcls, 'none') AS cls, coalesce(round(jconf, 6), -1) AS conf, json_ok FROM j")
+PARTS = ", ".join(f"CASE WHEN json_ok THEN '{v}' ELSE trim(regexp_extract(t, '(?i){n}\\s*:\\s*([^\\n]+)', 1), ' ') END AS {n}" for n, v in (("evidence", "e"), ("explanation", "x")))
+
+
+@query("l13_parse_json", VSQL + f"SELECT conv_id, turn, coalesce(jcls, 'none') AS cls, coalesce(round(jconf, 6), -1) AS conf, {PARTS}, json_ok FROM j")
 def _(s, d):
-    return _parsed(s, d).select("conv_id", "turn", F.coalesce("cls", F.lit("none")).alias("cls"), F.coalesce(F.round("conf", 6), F.lit(-1.0)).alias("conf"), "json_ok")
+    return _parsed(s, d).select("conv_id", "turn", F.coalesce("cls", F.lit("none")).alias("cls"), F.coalesce(F.round("conf", 6), F.lit(-1.0)).alias("conf"), "evidence", "explanation", "json_ok")
 
 
 @query("l14_majority", VSQL + "SELECT conv_id AS case_id, count(jcls) AS n_votes, count(*) FILTER (jcls = 'SUSPICIOUS') AS n_suspicious, CASE WHEN count(*) FILTER (jcls = 'SUSPICIOUS') * 2 > count(jcls) THEN 'SUSPICIOUS' ELSE 'NORMAL' END AS cls, count(jcls) > 0 AS parse_ok FROM j GROUP BY conv_id")

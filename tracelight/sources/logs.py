@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,10 @@ def template_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame:
     for path in paths:
         try:
             raw = spark.read.csv(path, header=True)
-        except Exception:  # noqa: BLE001 - a missing candidate is passed over
-            continue
+        except AnalysisException as failure:
+            if failure.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue  # a missing candidate is passed over
         if {"EventId", "EventTemplate"} <= set(raw.columns):
             return raw.select(F.col("EventId").alias("event"), parsing.clean_template(F.col("EventTemplate")).alias("template"))
     return spark.createDataFrame([], "event string, template string")

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import bands
+from ..operators import bands, model
 from ..shared import new_path
 
-SCORED = "session_id string, ts timestamp, line_id long, ctx1 string, ctx2 string, target string"
+WINDOWS = "session_id string, ts timestamp, line_id long, ctx array<string>, target string"
 _STATE = "last array<string>"
 
 
@@ -48,8 +48,8 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return seen.agg(F.count("*").alias("n_events"), F.max("value").alias("top_value")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events", "top_value")
 
 
-def contexts(stream: DataFrame, idle_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
-    """R03, first half: each event with the two before it in its session, from state that idle sessions give up."""
+def contexts(stream: DataFrame, length: int = model.ORDER, idle_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """R03, first half: each event but the first of its session with up to ``length`` events before it, from state that idle sessions give up."""
 
     def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -60,20 +60,20 @@ def contexts(stream: DataFrame, idle_ms: int = 86_400_000, late: str = "10 minut
         out = []
         for ts, line, event in zip(rows["ts"], rows["line_id"], rows["event"]):
             if last:
-                out.append((key[0], ts, line, last[-1], last[-2] if len(last) > 1 else None, event))
-            last = [*last, event][-2:]
+                out.append((key[0], ts, line, last, event))
+            last = [*last, event][-length:]
         state.update((last,))
         state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "ts", "line_id", "ctx1", "ctx2", "target"])
+        yield pd.DataFrame(out, columns=["session_id", "ts", "line_id", "ctx", "target"])
 
     marked = stream.withWatermark("ts", late).select("session_id", "ts", "line_id", "event")
-    return marked.groupBy("session_id").applyInPandasWithState(step, SCORED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("session_id").applyInPandasWithState(step, WINDOWS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def banded(stream: DataFrame, probs: DataFrame, uncertain: float, suspicious: float) -> DataFrame:
-    """R03, second half: stream-static join with an order-1 model (ctx1, target, nll), and bands of the surprise."""
-    joined = contexts(stream).join(probs, ["ctx1", "target"], "left").withColumn("score", F.coalesce("nll", F.lit(27.631021115928547)))
-    return joined.select("session_id", "ts", "line_id", "target", "score", bands.classify(F.col("score"), F.lit(uncertain), F.lit(suspicious)).alias("band"))
+def banded(stream: DataFrame, fitted: tuple[DataFrame, DataFrame], vocab: DataFrame, uncertain: float, suspicious: float, order: int = model.ORDER) -> DataFrame:
+    """R03, second half: stream-static joins with the whole back-off model, and bands of each window's surprise."""
+    scored = model.score(contexts(stream, order), fitted, vocab, order).withColumn("score", F.round("nll", 9))
+    return scored.select("session_id", "ts", "line_id", "target", "score", bands.classify(F.col("score"), F.lit(uncertain), F.lit(suspicious)).alias("band"))
 
 
 def window_counts(scored: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
