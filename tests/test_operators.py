@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelight.functions import ordered
 from tracelight.functions.ordered import ranked
 from tracelight.operators import bands, evidence, fixed_texts, identity, metrics, model, parsing, ranking, scores, sessions, splits, vocab
 from tracelight.sources import logs
@@ -24,6 +27,33 @@ def test_ranks_with_ties_are_positions(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("ranges", [None, 5])
+def test_quantiles_equal_numpy(spark, ranges, monkeypatch):
+    if ranges:
+        monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 20)
+    rng = random.Random(3)
+    rows = [(g, rng.choice([rng.random(), 0.5, -2.0, 1e9])) for g in "ab" for _ in range(120)] + [("c", 4.0), ("b", None)]
+    got = {r["g"]: r for r in ordered.quantiles(spark.createDataFrame(rows, "g string, v double"), "v", {"low": 0.05, "mid": 0.5, "high": 0.99}, ["g"]).collect()}
+    for g in "abc":
+        own = [v for k, v in rows if k == g and v is not None]
+        for name, share in (("low", 0.05), ("mid", 0.5), ("high", 0.99)):
+            assert math.isclose(got[g][name], np.quantile(own, share), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).cast("double").alias("k")).withColumn("__key", F.col("k"))
+    for per, least, most in ((500_000, 7, 9), (10, 90, 110), (1, 800, 1100)):
+        monkeypatch.setattr(ordered, "ROWS_PER_RANGE", per)
+        found = rows.withColumn("r", ordered.value_range(rows, F.col("k"))).groupBy("r").agg(F.min("k").alias("a"), F.max("k").alias("b")).orderBy("r").collect()
+        assert least <= len(found) <= most and all(x["b"] < y["a"] for x, y in zip(found, found[1:]))
+
+
+def test_text_ranks(spark):
+    words = ["b", "a", "", "ab", "aaaaaaaz", "aaaaaaab", "é", "日本", "~"]
+    got = ordered.ranked(spark.createDataFrame([(w,) for w in words], "w string"), [F.col("w")], ordered.text_key(F.col("w"))).orderBy("rank").collect()
+    assert [r["w"] for r in got] == sorted(words, key=str.encode)
+
+
 def test_best_f1_takes_the_lowest_of_tied_thresholds(spark):
     # at 2 and at 1 the F1 is 2/3 each
     df = scored(spark, [(3, 1), (2, 0), (1, 1), (1, 0), (1, 0)])
@@ -148,9 +178,9 @@ def test_focal_loss(spark):
 
 
 def test_attribution(spark):
-    df = spark.createDataFrame([("w", e, w) for e, w in zip(["E5", "E22", "E5", "E11"], [0.1, 0.3, 0.4, 0.2])], "window_id string, event string, weight double")
-    got = [(r["event"], round(r["weight"], 9)) for r in model.attribution(df).orderBy("rank").collect()]
-    assert got == [("E5", 0.5), ("E22", 0.3), ("E11", 0.2)]
+    df = spark.createDataFrame([("w", e, w) for e, w in zip(["open", "close", "read", "open", "read", "sync"], [0.05, 0.15, 0.2, 0.25, 0.25, 0.1])], "window_id string, event string, weight double")
+    got = [(r["event"], round(r["weight"], 9)) for r in model.attribution(df, 3).orderBy("rank").collect()]
+    assert got == [("read", 0.45), ("open", 0.3), ("close", 0.15)]
 
 
 # --- parsing and sources --------------------------------------------------------------------------------------------
@@ -202,6 +232,16 @@ def test_class_weights_average_over_all_classes(spark):
     assert got["c"] == 0.0 and math.isclose(sum(got.values()) / 3, 1.0)
 
 
+def test_census_and_twins_of_whole_sequences(spark):
+    rows = [("a", "open|read|close", 1), ("b", "open|read|close", 0), ("c", "open|read|close", 0), ("d", "open|read|sync", 1), ("e", "open", 0), ("f", "", 1), ("g", "", 0)]
+    df = spark.createDataFrame(rows, "block_id string, sequence string, y int")
+    c = identity.census(df).first()
+    assert (c["n_distinct"], c["n_sessions"]) == (4, 7) and math.isclose(c["per_1000"], 4000 / 7) and math.isclose(c["top_share"], 3 / 7)
+    assert {r["block_id"]: r["n_twins"] for r in identity.twins(df).collect()} == {"a": 2, "d": 0, "f": 1}
+    r = identity.recall_ceiling(df).first()
+    assert (r["n_alone"], r["n_anomalous"]) == (1, 3) and math.isclose(r["ceiling"], 1 / 3)
+
+
 def test_recall_ceiling(spark):
     df = spark.createDataFrame([("a", "x", 1), ("b", "x", 0), ("c", "y", 1)], "block_id string, sequence string, y int")
     assert identity.recall_ceiling(df).first()["ceiling"] == 0.5
@@ -216,12 +256,15 @@ def text(spark, column, value="x"):
 @pytest.mark.parametrize(
     ("narrative", "blob", "kept"),
     [
-        ("The confidence score is 0.9123. Event logged successfully.", "", "Event logged successfully."),
-        ("Disk failure detected.", "block received", ""),
-        ("This is a resource constraint.", "", ""),
-        ("Disk write was attempted.", "disk write", "Disk write was attempted."),
-        ("This likely indicates a problem. Event logged successfully.", "", "Event logged successfully."),
-        ("A cyber attack. All fine.", "", "All fine."),
+        ("Two replicas answered. Its anomaly score was 3.75! The lease ended.", "", "Two replicas answered. The lease ended."),
+        ("Perhaps the swap filled up? Node seven left.", "node left", "Node seven left."),
+        ("We met a configuration error.", "lease renewed", ""),
+        ("We met a configuration error.", "configuration error in lease", "We met a configuration error."),
+        ("Swap space was freed.  It ended.", "swap space freed", "Swap space was freed. It ended."),
+        ("The lease seems to expire. The lease was renewed.", "", "The lease was renewed."),
+        ("An espionage tool ran. A worm was caught.", "worm gear", "A worm was caught."),
+        ("Swapping went on. Networks met.", "", "Swapping went on. Networks met."),
+        ("", "", ""),
     ],
 )
 def test_scrubber(spark, narrative, blob, kept):
@@ -235,15 +278,15 @@ def test_contradictions_only_where_the_prediction_was_right(spark):
 
 
 def test_root_cause_needs_a_whole_word(spark):
-    assert '"exception"' not in text(spark, evidence.root_cause(F.col("t")), "IOException: could not read (errors)")
-    assert '"error"' in text(spark, evidence.root_cause(F.col("t")), "IOException: could not read block (error 5)")
-    assert text(spark, evidence.root_cause(F.col("t")), "Receiving block") == fixed_texts.NO_ROOT_CAUSE
-    assert text(spark, evidence.keyword_rule(F.col("t")), "many errors") is True
+    assert '"exception"' not in text(spark, evidence.root_cause(F.col("t")), "KeyException7 while parsing (timeouts)")
+    assert '"denied"' in text(spark, evidence.root_cause(F.col("t")), "KeyException7: lease DENIED by peer")
+    assert text(spark, evidence.root_cause(F.col("t")), "Lease renewed") == fixed_texts.NO_ROOT_CAUSE
+    assert text(spark, evidence.keyword_rule(F.col("t")), "two timeouts") is True
 
 
 def test_confidence_text(spark):
-    shown = text(spark, evidence.confidence_text(F.lit(0.495), F.lit("UNCERTAIN")))
-    assert "49.5%" in shown and "review" in shown and "0.49" not in shown
+    shown = text(spark, evidence.confidence_text(F.lit(0.3125), F.lit("UNCERTAIN")))
+    assert "31.3%" in shown and "review" in shown and "0.31" not in shown
 
 
 @pytest.mark.parametrize(
@@ -262,6 +305,26 @@ def test_verdicts(spark, answer, cls, conf):
     assert (got["cls"], got["conf"]) == (cls, conf)
 
 
+def test_verdict_parts(spark):
+    read = lambda answer: text(spark, evidence.parse_verdict(F.col("t")), answer)
+    got = read("Classification: suspicious\nEvidence:  lease lost \nExplanation: no renewal seen\nmore")
+    assert (got["cls"], got["evidence"], got["explanation"], got["json_ok"]) == ("SUSPICIOUS", "lease lost", "no renewal seen", False)
+    got = read('{"classification": "normal", "confidence": "n/a", "evidence": "renewed twice"}')
+    assert (got["cls"], got["conf"], got["evidence"], got["explanation"], got["json_ok"]) == ("NORMAL", None, "renewed twice", "", True)
+
+
+def test_facts_leave_out_what_is_not_known(spark):
+    cases = spark.createDataFrame([("c", ["open", "read"], "sync", "close", 0.25, 0.75, "UNCERTAIN")], "case_id string, sequence array<string>, predicted string, actual string, confidence double, anomaly_score double, band string")
+    named = evidence.with_involved(cases, spark.createDataFrame([("open", "Opened it"), ("close", "Closed it")], "event string, template string"))
+    bare = "cast(null as double) percentile, cast(null as long) actual_freq, cast(null as long) pred_freq, cast(null as long) total_events, cast(null as array<struct<rank int, event string, text string, surprisal double>>) top_windows"
+    few = named.selectExpr("*", *bare.split(", cast")[:1], *(f"cast{x}" for x in bare.split(", cast")[1:])).select(evidence.facts(F.lit("looked odd")).alias("t")).first()["t"].split("\n")
+    assert few[:6] == ["BEGIN_FACTS", "Observed sequence (2 events, in order):", "   1. open -> Opened it", "   2. read -> template unavailable", "", "Expected next event : sync -> n/a"]
+    assert few[-4:] == ["Routing reason : looked odd", "END_FACTS", "", fixed_texts.FACT_QUESTION] and len(few) == 13 and not any("null" in x for x in few)
+    whole = "12.34D percentile, 0L actual_freq, 12345L pred_freq, 99999L total_events, array(named_struct('rank', 2, 'event', 'read', 'text', 'none', 'surprisal', 0.5D)) top_windows"
+    many = named.selectExpr("*", *whole.split(", ", 4)).select(evidence.facts().alias("t")).first()["t"]
+    assert "NEVER seen among 99,999 events" in many and "seen 12,345 times" in many and "validation blocks : 12.3 " in many and "#2 in this block : actual read -> none (surprise 0.50)" in many and fixed_texts.FACT_REASON in many
+
+
 def test_majority(spark):
     df = spark.createDataFrame([("a", "SUSPICIOUS"), ("a", "SUSPICIOUS"), ("a", "NORMAL"), ("a", "NORMAL"), ("b", None), ("c", "SUSPICIOUS")], "case_id string, cls string")
     assert {r["case_id"]: (r["cls"], r["parse_ok"]) for r in evidence.majority(df).collect()} == {"a": ("NORMAL", True), "b": ("NORMAL", False), "c": ("SUSPICIOUS", True)}
