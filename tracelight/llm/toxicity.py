@@ -28,7 +28,7 @@ LEAST_TEXTS, LEAST_RATIO = 5, 6.0
 ORDINARY_RATES = (3e-3, 3e-4)
 SHORTEST, LONGEST = 3, 12
 _FOLD_PARTS, _HELD_OUT = 4, 2
-_MOST_MARKS, _MEMO = 30, 300_000
+_MEMO = 300_000
 
 _LETTERS = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
@@ -101,7 +101,7 @@ def _marks(col: pa.Array, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray,
 
 def _features(faint: np.ndarray, clear: np.ndarray, total: np.ndarray) -> np.ndarray:
     dense = [np.log1p(1000.0 * m / np.maximum(total, 20)) for m in (faint, clear)]
-    return np.stack([np.ones(len(total)), *(np.log1p(np.minimum(m, _MOST_MARKS)) for m in (faint, clear)), *dense], axis=1)
+    return np.stack([np.ones(len(total)), *(np.log1p(m.astype(np.float64)) for m in (faint, clear)), *dense], axis=1)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int = SAMPLE_ROWS) -> DataFrame:
@@ -160,7 +160,10 @@ def _dictionaries(drawn: DataFrame, n1: int, n0: int) -> tuple[bytes, bytes]:
 
 
 def _limits(drawn: DataFrame, base: bytes, toxic: bytes) -> tuple[tuple[int, int], ...]:
-    """For each window length, the least distances of at least 3 that few enough ordinary windows reach."""
+    """For each window length, the least distances of at least 3 that few enough ordinary windows reach.
+
+    Lengths from twice a dictionary string's on are one class: a longer word can match no more than a shorter one.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(base, toxic)
@@ -183,14 +186,15 @@ def _limits(drawn: DataFrame, base: bytes, toxic: bytes) -> tuple[tuple[int, int
 
 
 def _weights(drawn: DataFrame, model: ToxicityModel) -> tuple[float, ...]:
-    """Logistic regression of the label on a text's marks, from counts of equal texts, moved so that the best F1 lies at the threshold."""
+    """Logistic regression of the label on a text's marks, moved so that the best F1 lies at the threshold.
+
+    The table has a row for each combination of counts in the sample, so at most as many as the sample.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             faint, clear, total = _marks(common.text_column(batch, "text"), model)
-            # window counts in steps of a quarter, so that the table stays small
-            steps = np.round(np.exp(np.round(np.log(np.maximum(total, 20)) * 4) / 4)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.minimum(faint, 4 * _MOST_MARKS)), pa.array(np.minimum(clear, 4 * _MOST_MARKS)), pa.array(steps)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(faint), pa.array(clear), pa.array(total)], names)
 
     names = ["label", "faint", "clear", "n"]
     table = drawn.select("text", "label").mapInArrow(count, "label int, faint long, clear long, n long").groupBy(*names).agg(F.count("*").alias("k")).toPandas().sort_values(names)
@@ -217,8 +221,9 @@ def _weights(drawn: DataFrame, model: ToxicityModel) -> tuple[float, ...]:
 def predict(docs: DataFrame, model: ToxicityModel, keep: list[str] | None = None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Columns ``keep`` (doc_id by default) with score (0 to 1) and predicted, of every whole text.
 
-    Null and empty texts get the score of a text without marks. Only the text decides; repeated rows score
-    alike. Columns named score or predicted are replaced. No shuffle.
+    Null and empty texts get the score of a text without marks. Only the text decides, so ties and repeated rows
+    score alike; a null identifier stays null. Columns named score or predicted are replaced. An empty table gives
+    an empty result. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the dictionaries' sizes
 
