@@ -557,6 +557,88 @@ def test_toxicity(spark, sf, empty):
     assert [r["predicted"] for r in toxicity.predict(odd, none).collect()] == [0, 0, 0]
 
 
+def test_toxicity_by_brute_force(spark, sf):
+    """Every window compressed by itself, without batches or memory, gives the same scores."""
+    import zstandard
+
+    docs = common.read(spark, sf.replace("0.001", "0.01"), "documents")
+    model = toxicity.fit(toxicity.labelled(docs, common.read(spark, sf.replace("0.001", "0.01"), "labels")))
+
+    def length(content, window):
+        trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        trained.precompute_compress(level=toxicity.LEVEL)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=trained, write_content_size=False, write_checksum=False, write_dict_id=False).compress(model.base[-160:-64] + b" " + window + b" " + model.base[-40:-16]))
+
+    rows = docs.where("length(text) < 1500").limit(25).select("doc_id", "text").collect() + docs.sparkSession.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string").collect()
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    seen = {}
+    for r in rows:
+        own = [w.encode() for w in "".join(c if "a" <= c <= "z" or ord(c) > 127 else " " for c in (r["text"] or "").lower()).split(" ") if w]
+        faint = clear = 0
+        for w in own:
+            seen[w] = d = seen.get(w, None) if w in seen else length(model.base, w) - length(model.toxic + model.base, w)
+            low, high = model.limits[min(len(w), len(model.limits) - 1)]
+            faint, clear = faint + (d >= low), clear + (d >= high)
+        x = [1, np.log1p(faint), np.log1p(clear), np.log1p(1000 * faint / max(len(own), 20)), np.log1p(1000 * clear / max(len(own), 20))]
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.dot(x, model.weights)))) < 1e-9
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark, sf):
+    docs = common.read(spark, sf, "documents")
+    model = toxicity.fit(toxicity.labelled(docs, common.read(spark, sf, "labels")))
+    rows = spark.createDataFrame([(5, "some text", "x", 1), (5, "some text", "y", 2), (None, "some text", "z", 3)], "doc_id long, text string, score string, predicted int")
+    got = toxicity.predict(rows, model, rows.columns).collect()
+    assert len(got) == 3 and len({r["score"] for r in got}) == 1 and 0 <= got[0]["score"] <= 1
+    assert toxicity.predict(rows.limit(0), model).count() == 0
+
+
+def test_quality_by_brute_force(spark):
+    """One shard against a plain loop over dictionaries, and scores against plain sums."""
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randint(3, 40), "abc" if i % 3 else "xyz!"), int(i % 3 > 0)) for i in range(60)] + [(60, None, 1), (61, "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    size = 1 << 12
+    got = quality.fit(frame, size)
+
+    def slots(text):
+        import pyarrow as pa
+
+        return [int(x) for _, _, _, at in quality._steps(pa.array([text or ""], pa.large_string()), size) for x in at]
+
+    of_doc = {i: slots(t) for i, t, _ in rows}
+    h = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: h[r[0]])
+    n = {label: sum(r[2] == label for r in rows) for label in (0, 1)}
+    z, g2 = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= quality.L1 else -(v - np.sign(v) * quality.L1) / ((quality.BETA + np.sqrt(g2.get(k, 0.0))) / quality.ALPHA + quality.L2)
+
+    for epoch in range(quality.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(ordered)):
+            doc, _, y = ordered[i]
+            own = of_doc[doc]
+            x = {k: own.count(k) / len(own) * 8 for k in set(own)} | {size: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * x[k] for k in x)))
+            for k in x:
+                g = np.sqrt(len(rows) / (2 * n[y])) * (p - y) * x[k]
+                sigma = (np.sqrt(g2.get(k, 0.0) + g * g) - np.sqrt(g2.get(k, 0.0))) / quality.ALPHA
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                g2[k] = g2.get(k, 0.0) + g * g
+    want = np.array([weight(k) for k in range(size + 1)])
+    assert np.allclose(got, want, atol=1e-9)
+
+
+def test_quality_of_repeated_rows_and_clashing_columns(spark):
+    weights = np.random.default_rng(1).standard_normal(quality.SLOTS + 1)
+    rows = spark.createDataFrame([(5, "some Text, here", 0.5), (5, "some Text, here", 0.7), (None, "some Text, here", 0.1)], "doc_id long, text string, score double")
+    got = quality.predict(rows, weights).collect()
+    assert len({r["score"] for r in got}) == 1 and got[0].asDict().keys() == {"doc_id", "score", "predicted"}
+    assert quality.predict(rows.limit(0), weights).count() == 0
+
+
 def test_quality(spark, sf, empty):
     rows = learn(spark, sf.replace("0.001", "0.1"), "op8_quality", "quality")
     assert accuracy(rows, "predicted", "truth") > 0.95 and rows["score"].between(0, 1).all()

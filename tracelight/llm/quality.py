@@ -64,10 +64,10 @@ def features(body: np.ndarray, at: np.ndarray, slots: int = SLOTS) -> tuple[np.n
     return np.concatenate([doc, doc, doc[1:][pair], doc[1:][pair]]), (hashed % np.uint64(slots)).astype(np.int64)
 
 
-def _steps(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _steps(col: pa.Array, slots: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     body, at = common.raw_bytes(col)
     for a, b in common.steps(at, 1 << 20):
-        yield a, b, *features(body[at[a] : at[b]], at[a : b + 1] - at[a])
+        yield a, b, *features(body[at[a] : at[b]], at[a : b + 1] - at[a], slots)
 
 
 class Leader:
@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, slots: int = SLOTS) -> np.ndarray:
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h", kind="stable")
         rows_x: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b, doc, at in _steps(pa.array(pdf["text"].fillna(""), pa.large_string())):
+        for a, b, doc, at in _steps(pa.array(pdf["text"].fillna(""), pa.large_string()), slots):
             for i in range(b - a):
                 own, count = np.unique(at[doc == i], return_counts=True)
                 rows_x.append((np.append(own, slots), np.append(count / max(1, count.sum()) * 8, 1.0)))
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_c
         w = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, b, doc, at in _steps(common.text_column(batch, "text")):
+            for a, b, doc, at in _steps(common.text_column(batch, "text"), len(w) - 1):
                 sums, n = np.bincount(doc, w[at], b - a), np.bincount(doc, minlength=b - a)
                 out[a:b] = sums / np.maximum(n, 1) * 8
             p = 1 / (1 + np.exp(-np.clip(out + w[-1], -35, 35)))
