@@ -258,6 +258,28 @@ def jaccard(a: str, b: str, k: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
+def brute_groups(rows: dict[int, str | None]) -> dict[int, int]:
+    """The smallest identifier that links of five-word shingle similarity 0.8 or more reach, from all pairs."""
+    sets = {}
+    for i, t in rows.items():
+        own = re.sub("[A-Z]", lambda m: m[0].lower(), t or "").encode().split()
+        sets[i] = {tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else set()
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sorted(rows):
+        for b in (b for b in rows if b > a):
+            x, y = sets[a], sets[b]
+            if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y):
+                one, two = sorted((find(a), find(b)))
+                root[two] = one
+    return {i: find(i) for i in rows}
+
+
 def planted(rng, at: float) -> tuple[str, str]:
     """A text of 300 words and a copy with a changed stretch of words, at a similarity of ``at`` or just above."""
     base = words(rng, 300).split()
@@ -665,12 +687,59 @@ def test_pipeline_stages(spark, sf):
         else:
             assert all(before[i] == t for i, t in now.items()) and len(now) > 0.5 * len(before)
         if name == "near_duplicates":
-            groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(before.items()), "doc_id long, text string"), simhash.SIMILAR).collect()}
-            assert set(now) == set(groups.values())
+            assert set(now) == set(brute_groups(before).values())
         before = now
     assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == set(before)
 
 
+def test_near_duplicates_of_the_documents_by_brute_force(spark, sf):
+    rows = {r["doc_id"]: r["text"] for r in common.read(spark, sf, "documents").select("doc_id", "text").collect()}
+    rng = random.Random(77)
+    for i, t in list(rows.items())[:60]:  # copies with a few words changed
+        own = (t or "").split()
+        for _ in range(max(1, len(own) // 60)):
+            if own:
+                own[rng.randrange(len(own))] = "other"
+        rows[1_000_000 + i] = " ".join(own)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), simhash.SIMILAR).collect()}
+    assert got == brute_groups(rows) and len(set(got.values())) < len(rows) - 30
+
+
+def test_fingerprints_of_repeated_rows_null_identifiers_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(4, "a b c d", 1, 2), (4, "a b c d", 1, 2), (None, "a b c d", 1, 2), (None, "only here and nowhere else", 1, 2), (2, "", 1, 2), (3, None, 1, 2)], "doc_id long, text string, w0 int, component_id int")
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(rows).collect() if r["component_id"] is not None)
+    assert got == [(False, 2, 2), (False, 3, 2), (False, 4, 4), (False, 4, 4), (True, 0, 4)]
+    assert simhash.near_duplicates(rows).count() == 6
+
+
+CLASHES = {"score": "x", "Rejected": "y", "lang_pred": "z", "predicted": "p", "n_lines": "q", "dropped_lines": "r", "run": "s", "row": "t", "component_id": "u", "text_hash": "v", "word": "w"}
+
+
+def test_stages_keep_columns_that_share_a_name_with_theirs(spark, sf):
+    docs = common.read(spark, sf, "documents").withColumns({c: F.lit(v) for c, v in CLASHES.items()})
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, docs, sf), "clash-stage")
+        assert out.columns == docs.columns, name
+        assert {tuple(r) for r in out.select(*CLASHES).distinct().collect()} == {tuple(CLASHES.values())}, name
+        assert out.count() <= docs.count()
+    assert corpus_pipeline.pack_sequences(spark, docs, sf).where("doc_id is null").count() > 0
+
+
+def test_language_and_toxicity_stages_reject_what_they_should(spark, sf):
+    sf = sf.replace("0.001", "0.01")
+    docs = common.read(spark, sf, "documents")
+    rng = random.Random(9)
+    strange = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=4000)), "日本語の文章がここにあります。" * 30, "Ещё одно предложение на другом языке. " * 30, "1234 5678", "", None]
+    extra = spark.createDataFrame([(9_000_000 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra, allowMissingColumns=True), sf).select("doc_id").collect()}
+    assert not left & {9_000_000 + i for i in range(len(strange))} and len(left) > 0.97 * docs.count()
+    stay = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, sf).select("doc_id").collect()}
+    labels = {r["doc_id"]: r["t"] for r in common.read(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("t")).collect()}
+    clean, toxic = [i for i, t in labels.items() if t == 0], [i for i, t in labels.items() if t == 1]
+    assert sum(i in stay for i in clean) > 0.95 * len(clean) and sum(i not in stay for i in toxic) > 0.6 * len(toxic)
+
+
 def test_a_copy_takes_no_other_text_of_its_identifier(spark):
     rng = random.Random(12)
     first, copy = planted(rng, 0.9)
