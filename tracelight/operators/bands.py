@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import quantiles, running
+from ..functions.ordered import quantiles, running, text_key
 from . import metrics
 
 MAX_NORMAL_RATE = 0.01
@@ -30,7 +30,7 @@ def derive_bands(scored: DataFrame, by: list[str] | None = None, max_normal_rate
     and never above suspicious.
     """
     by = by or []
-    rows = running(scored, [F.col("score"), F.col(id_col)], {"r": F.lit(1), "cy": F.col("y")}, F.col("score"), by)
+    rows = running(scored, [F.col("score"), F.col(id_col)], {"r": F.lit(1), "cy": F.col("y")}, F.col("score"), by, tie=text_key(F.col(id_col).cast("string")))
     marks = rows.groupBy(*by).agg(F.coalesce(F.max(F.when(F.col("cy") <= max_normal_rate * F.col("r"), F.col("r"))), F.lit(0)).alias("clean"), F.max("r").alias("n"))
     at = marks.select(*by, F.when(F.col("clean") == 0, 1).otherwise(F.least(F.col("clean") + 1, F.col("n"))).alias("r"))
     low = rows.join(at, [*by, "r"]).select(*by, F.col("score").alias("low"))

@@ -10,9 +10,9 @@ from ..functions.ordered import ranked
 CONTEXT = 20
 
 
-def numbered(events: DataFrame, order: list[str], key: Column) -> DataFrame:
-    """``events`` with a 1-based ``line_no`` in ``order``, whose first column sorts like ``key``."""
-    return ranked(events, [F.col(c) for c in order], key, "line_no")
+def numbered(events: DataFrame, order: list[str], key: Column, tie: Column | None = None) -> DataFrame:
+    """``events`` with a 1-based ``line_no`` in ``order``, whose first column sorts like ``key``, the second like ``tie``."""
+    return ranked(events, [F.col(c) for c in order], key, "line_no", tie=tie)
 
 
 def count_windows(log: DataFrame, width: int) -> DataFrame:

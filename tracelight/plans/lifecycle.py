@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import model, scores, sessions, splits, vocab
-from ..shared import stored
+from ..shared import generation, stored
 
 WIDTH = 20
 ALERT_VALUE = 200
@@ -39,7 +39,7 @@ class Lifecycle:
             "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("event"), (F.col("event_id") % 3).cast("string").alias("source"),
             F.when(F.col("value") >= ALERT_VALUE, 1).otherwise(0).alias("alert"), "value", F.get_json_object("props", "$.k").cast("long").alias("slot"),
         )
-        return stored(sessions.numbered(view, ["ts", "event_id"], F.col("ts")), "log")
+        return stored(sessions.numbered(view, ["ts", "event_id"], F.col("ts"), F.col("event_id")), "log")
 
     @cached_property
     def events(self) -> DataFrame:
@@ -89,7 +89,7 @@ _KNOWN: dict[tuple, Lifecycle] = {}
 
 
 def lifecycle(spark: SparkSession, sf_dir: str, source: int | None = None, chronological: bool = False) -> Lifecycle:
-    key = (spark.sparkContext.applicationId, sf_dir, source, chronological)
+    key = (spark.sparkContext.applicationId, generation(), sf_dir, source, chronological)
     if key not in _KNOWN:
         _KNOWN[key] = Lifecycle(spark, sf_dir, source, chronological)
     return _KNOWN[key]

@@ -24,8 +24,29 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_MADE: list[str] = []
+_CLEARED = 0
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def generation() -> int:
+    """How often ``clear`` has been called; what was stored before is gone."""
+    return _CLEARED
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every intermediate table written so far. Results that have not been written yet can't be read any more."""
+    global _CLEARED
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(conf).delete(path, True)
+    _CLEARED += 1
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
