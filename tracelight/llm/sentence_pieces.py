@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -15,6 +16,8 @@ SPACE = "▁"
 UNKNOWN_SCORE = -1e6
 #: Longer words than both together are encoded in chunks that begin so many characters apart and share so many.
 CHUNK_STEP, CHUNK_OVERLAP = 64, 48
+#: Distinct words of one task, so that their lattices fit in memory.
+WORDS_PER_TASK = 20_000
 _ROW = "__row"
 
 
@@ -204,7 +207,9 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     spark, path = texts.sparkSession, path or default_path()
     rows = common.stored(texts.drop("ids", "n_best").withColumn(_ROW, F.monotonically_increasing_id()), "texts")
     placed = rows.select(_ROW, F.posexplode(split_words(F.col(text_col), model_spec(path)[1]["prefix"])).alias("pos", "word"))
-    known = common.stored(encode_words(placed.select("word").distinct(), spark, path, fold), "words")
+    distinct = common.stored(placed.select("word").distinct(), "distinct-words")
+    dealt = distinct.repartition(max(1, math.ceil(distinct.count() / WORDS_PER_TASK)), "word")
+    known = common.stored(encode_words(dealt, spark, path, fold), "words")
     own = placed.join(known, "word").groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"), F.sum("n_best").alias("n_best"))
     own = own.select(_ROW, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "n_best")
     found = rows.join(own, _ROW, "left").drop(_ROW)
