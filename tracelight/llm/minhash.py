@@ -149,7 +149,7 @@ def links(rows: DataFrame, nodes: DataFrame, scheme: Sets, paired_bucket: int =
     Every link is checked on the two sets. Small buckets give pairs, each checked once; large ones give a
     spanning forest each, beyond ``block`` shingles in cells of two blocks, so no link is lost.
     """
-    keyed = nodes.select(F.explode("keys").alias("bucket"), "node", "n").repartition("bucket")
+    keyed = nodes.select(F.explode("keys").alias("bucket"), "node", "n")
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("total")).where("size > 1")
     shared = common.stored(keyed.join(sizes, "bucket"), "buckets")
     wanted = common.stored(nodes.select("node", "mark").join(shared.select("node").distinct(), "node", "left_semi"), "candidates")

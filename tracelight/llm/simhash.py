@@ -149,13 +149,13 @@ def _differing(pairs: list[tuple[Column, Column]]) -> Column:
 def links(nodes: DataFrame, scheme: Scheme, paired_bucket: int = PAIRED_BUCKET, block: int = BLOCK) -> DataFrame:
     """Links (u, v) among ``nodes`` (node, w0, ...) that join whatever the links within the radius join.
 
-    Buckets of one fingerprint are dropped before any join; keys are shuffled once. Small buckets are
-    self-joined on their key with the comparison as join condition. Large ones give a spanning forest, so
-    their rows grow with their members, not with their square; beyond ``block`` members they are cut into
-    cells of two blocks.
+    Buckets of one fingerprint are dropped by a join that adaptive execution can split. Small buckets are
+    self-joined on their key with the comparison as join condition. Large ones give a spanning forest in one
+    task; beyond ``block`` members they are cut into cells of two blocks, so a member is copied once for each
+    ``block`` members of its bucket.
     """
     names = _names(scheme.words)
-    keyed = _keyed(nodes, scheme).repartition("bucket")
+    keyed = _keyed(nodes, scheme)
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = common.stored(keyed.join(sizes, "bucket").join(nodes.select("node", *names), "node"), "buckets")
 
