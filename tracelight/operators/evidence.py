@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from . import fixed_texts as fixed
 from .parsing import format_pct
 
-ARROW, DASH = " -> ", " — "
+ARROW = " -> "
 
 
 def with_involved(cases: DataFrame, templates: DataFrame, key: str = "case_id") -> DataFrame:
@@ -78,12 +78,11 @@ def observed_pattern() -> Column:
     n = F.size("sequence")
     ids = F.transform("sequence", lambda e: F.trim(e))
     any_text = F.exists(ids, lambda e: text_of(e) != "")
-    part = lambda e: F.concat(e, F.lit(" ("), F.coalesce(F.nullif(text_of(e), F.lit("")), F.lit("template unavailable")), F.lit(")"))
+    part = lambda e: F.format_string(fixed.PATTERN_EVENT, e, F.coalesce(F.nullif(text_of(e), F.lit("")), F.lit(fixed.NO_TEMPLATE)))
     shown = F.array_join(F.transform(F.slice(ids, F.greatest(n - 4, F.lit(1)), 5), part), ARROW)
-    lead = F.when(n <= 5, F.lit("")).otherwise(F.concat(n.cast("string"), F.lit(" events ending in ")))
-    with_texts = F.concat(F.lit("The sequence is "), lead, shown, F.lit("."))
-    bare = F.concat(F.lit("The sequence is "), n.cast("string"), F.lit(" events: "), F.array_join(ids, ARROW), F.lit(". No log templates were supplied for these EventIds."))
-    return F.when(n == 0, F.lit("The observed window contains no events.")).when(any_text, with_texts).otherwise(bare)
+    with_texts = F.when(n <= 5, F.format_string(fixed.PATTERN_SHORT, shown)).otherwise(F.format_string(fixed.PATTERN_LONG, n, shown))
+    bare = F.format_string(fixed.PATTERN_BARE, n, F.array_join(ids, ARROW))
+    return F.when(n == 0, F.lit(fixed.PATTERN_EMPTY)).when(any_text, with_texts).otherwise(bare)
 
 
 def interpretation() -> Column:
@@ -97,20 +96,16 @@ def report(narrative: Column | None = None, attention: Column | None = None) ->
     """The whole report; ``attention`` is an array of (event, weight), largest first, of which five are shown."""
     text = scrub_contradictions(narrative if narrative is not None else interpretation(), F.col("correct"))
     text = F.coalesce(F.nullif(text, F.lit("")), F.lit(fixed.MATCH_FALLBACK))
-    named = lambda t: F.coalesce(F.nullif(F.col(t), F.lit("")), F.lit("template unavailable"))
+    named = lambda t: F.coalesce(F.nullif(F.col(t), F.lit("")), F.lit(fixed.NO_TEMPLATE))
     right = F.when(F.col("correct"), "True").otherwise("False")
     lines = F.array_join(F.transform(steps(), lambda s: F.concat(F.lit("  * "), s)), "\n")
     focus = F.lit("")
     if attention is not None:
         rows = F.transform(F.slice(attention, 1, 5), lambda x: F.concat(F.lit("  "), F.rpad(x["event"], 9, " "), F.format_string("  %.4f", x["weight"])))
-        focus = F.concat(F.lit("Model Attention Focus\n  (input events the model weighted most when predicting the next event)\n"), F.array_join(rows, "\n"), F.lit("\n\n"))
-    return F.concat(
-        F.lit("Summary\n  Observed Sequence Pattern: "), observed_pattern(),
-        F.lit("\n\nPrediction\n  Expected Event    : "), F.trim("predicted"), F.lit(DASH), named("predicted_text"), F.lit("\n  Observed Event    : "), F.trim("actual"), F.lit(DASH), named("actual_text"), F.lit("\n  Prediction Correct: "), right,
-        F.lit("\n\nDeviation Analysis\n  "), deviation(),
-        F.lit("\n\nConfidence\n  Confidence Score  : "), format_pct(F.col("confidence")), F.lit("\n  Anomaly Score     : "), format_pct(F.col("anomaly_score")), F.lit("\n  Classification    : "), F.col("band"), F.lit("\n  Interpretation    : "), confidence_text(F.col("confidence"), F.col("band")),
-        F.lit("\n\nEvidence-Based Interpretation\n  "), text, F.lit("\n\n"), focus,
-        F.lit("Root Cause Assessment\n  "), root_cause(F.col("actual_text")), F.lit("\n\nRecommended Investigation\n"), lines,
+        focus = F.format_string(fixed.REPORT_FOCUS, F.array_join(rows, "\n"))
+    return F.format_string(
+        fixed.REPORT, observed_pattern(), F.trim("predicted"), named("predicted_text"), F.trim("actual"), named("actual_text"), right, deviation(), format_pct(F.col("confidence")), format_pct(F.col("anomaly_score")),
+        "band", confidence_text(F.col("confidence"), F.col("band")), text, focus, root_cause(F.col("actual_text")), lines,
     )
 
 
@@ -121,7 +116,7 @@ def facts(reason: Column | None = None) -> Column:
     """
     shown = lambda text, other: F.coalesce(F.nullif(text, F.lit("")), F.lit(other))
     given = lambda name, *parts: F.when(F.col(name).isNotNull(), F.concat(*parts))
-    numbered = F.transform("sequence", lambda e, i: F.concat(F.format_string("  %2d. ", i + 1), e, F.lit(ARROW), shown(text_of(e), "template unavailable")))
+    numbered = F.transform("sequence", lambda e, i: F.concat(F.format_string("  %2d. ", i + 1), e, F.lit(ARROW), shown(text_of(e), fixed.NO_TEMPLATE)))
     seen = F.when(F.col("actual_freq") == 0, F.lit("NEVER seen")).otherwise(F.format_string("seen %,d times", "actual_freq"))
     windows = F.transform("top_windows", lambda w: F.format_string(fixed.FACT_WINDOW, w["rank"], w["event"], w["text"], w["surprisal"]))
     head = F.array(F.lit("BEGIN_FACTS"), F.format_string(fixed.FACT_SEQUENCE, F.size("sequence")))

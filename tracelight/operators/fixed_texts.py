@@ -49,6 +49,44 @@ STEP_CORRECT = "Confirm why the anomaly score is elevated even though the predic
 STEP_WRONG = "Compare against the expected event %s%s Confirm whether the %s -> %s transition is valid for this block."
 STEP_TRAFFIC = "Verify whether this exact event sequence has occurred in known-normal traffic for the same BlockId."
 
+# The observed pattern and the whole report.
+NO_TEMPLATE = "template unavailable"
+PATTERN_EVENT = "%s (%s)"
+PATTERN_SHORT = "The sequence is %s."
+PATTERN_LONG = "The sequence is %d events ending in %s."
+PATTERN_BARE = "The sequence is %d events: %s. No log templates were supplied for these EventIds."
+PATTERN_EMPTY = "The observed window contains no events."
+REPORT_FOCUS = """Model Attention Focus
+  (input events the model weighted most when predicting the next event)
+%s
+
+"""
+REPORT = """Summary
+  Observed Sequence Pattern: %s
+
+Prediction
+  Expected Event    : %s — %s
+  Observed Event    : %s — %s
+  Prediction Correct: %s
+
+Deviation Analysis
+  %s
+
+Confidence
+  Confidence Score  : %s
+  Anomaly Score     : %s
+  Classification    : %s
+  Interpretation    : %s
+
+Evidence-Based Interpretation
+  %s
+
+%sRoot Cause Assessment
+  %s
+
+Recommended Investigation
+%s"""
+
 # Lines of the facts message.
 FACT_SEQUENCE = "Observed sequence (%d events, in order):"
 FACT_EXPECTED = "Expected next event : %s -> %s"
