@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common
 
@@ -18,7 +22,10 @@ UNKNOWN_SCORE = -1e6
 CHUNK_STEP, CHUNK_OVERLAP = 64, 48
 #: Distinct words of one task, so that their lattices fit in memory.
 WORDS_PER_TASK = 20_000
-_ROW = "__row"
+#: Text of one group of rows that share their distinct words.
+GROUP_BYTES = 32 << 20
+_GROUP = "__group"
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def default_path() -> str:
@@ -191,50 +198,82 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
     return done
 
 
+def words_of(text: str | None, prefix: bool) -> list[str]:
+    """What ``split_words`` gives for one text."""
+    marked = (text or "").replace(" ", SPACE)
+    return _WORD.findall((SPACE if prefix else "") + marked) if marked else []
+
+
 def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fold: str | None = None) -> DataFrame:
     """``texts`` with columns ``ids`` (array<int>), the ids that the SentencePiece library gives for the whole text, and ``n_best``.
 
     ``n_best`` is the number of pieces on the Viterbi paths of its words: of a unigram model itself, or, for a merge
     model, of the unigram model with the same pieces whose probabilities fall with their rank.
 
-    Each distinct word is encoded once; words are pre-aggregated before their shuffle, so a frequent word costs
-    no more than a rare one. Their occurrences are then joined to the words' ids, where adaptive execution splits a
-    hot word, and put in order text by text. A null or empty text has no ids; repeated rows are kept, null
-    identifiers are like any other; existing columns ``ids`` and ``n_best`` are replaced, others of any name kept.
-    An empty table gives an empty result. Long words, such as texts without spaces, are encoded in chunks (see
+    Rows are dealt to groups of bounded text by a hash of all their columns. A group asks once for each of its distinct
+    words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
+    costs no more than a rare one. Texts are shuffled once, to be put together from their group's words. ``texts`` is
+    read twice and must give the same rows each time. A null or empty text has no ids; repeated rows are kept, null
+    identifiers are like any other; existing columns ``ids`` and ``n_best`` are replaced, others of any name kept. An
+    empty table gives an empty result. Long words, such as texts without spaces, are encoded in chunks (see
     ``encode_words``).
     """
     spark, path = texts.sparkSession, path or default_path()
-    rows = common.stored(texts.drop("ids", "n_best").withColumn(_ROW, F.monotonically_increasing_id()), "texts")
-    placed = rows.select(_ROW, F.posexplode(split_words(F.col(text_col), model_spec(path)[1]["prefix"])).alias("pos", "word"))
-    distinct = common.stored(placed.select("word").distinct(), "distinct-words")
+    prefix, kept = model_spec(path)[1]["prefix"], texts.drop("ids", "n_best")
+    groups = max(1, math.ceil((kept.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / GROUP_BYTES))
+    hashed = [c for c, kind in kept.dtypes if "map<" not in kind]
+    rows = kept.withColumn(_GROUP, F.pmod(F.xxhash64(*hashed), F.lit(groups)).cast("int"))
+    asked = common.stored(rows.select(_GROUP, F.explode(F.array_distinct(split_words(F.col(text_col), prefix))).alias("word")).distinct(), "asked-words")
+    distinct = common.stored(asked.select("word").distinct(), "distinct-words")
     dealt = distinct.repartition(max(1, math.ceil(distinct.count() / WORDS_PER_TASK)), "word")
     known = common.stored(encode_words(dealt, spark, path, fold), "words")
-    own = placed.join(known, "word").groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("parts"), F.sum("n_best").alias("n_best"))
-    own = own.select(_ROW, F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "n_best")
-    found = rows.join(own, _ROW, "left").drop(_ROW)
-    return found.withColumns({"ids": F.coalesce("ids", F.array().cast("array<int>")), "n_best": F.coalesce("n_best", F.lit(0).cast("long"))})
+    names, schema = kept.columns, StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, n_best long").fields])
+
+    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.combine_chunks()
+        at = {w: i for i, w in enumerate(right["word"].to_pylist())}
+        coded = pa.concat_arrays(right["ids"].chunks) if len(right) else pa.array([], pa.list_(pa.int32()))
+        values, first = coded.values.to_numpy(zero_copy_only=False), coded.offsets.to_numpy().astype(np.int64)
+        best = right["n_best"].to_numpy().astype(np.int64)
+        flat, sizes, sums = [np.zeros(0, np.int32)], [0], []
+        for text in left[text_col]:
+            own = np.array([at[w] for w in words_of(text.as_py(), prefix)], np.int64)
+            start, n = first[own], first[own + 1] - first[own]
+            flat.append(values[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            sizes.append(int(n.sum()))
+            sums.append(int(best[own].sum()))
+        ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+        return pa.Table.from_arrays([*(left[c] for c in names), ids, pa.array(sums, pa.int64())], [*names, "ids", "n_best"])
+
+    answers = asked.join(known, "word").select(_GROUP, "word", "ids", "n_best")
+    return rows.groupBy(_GROUP).cogroup(answers.groupBy(_GROUP)).applyInArrow(put_together, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """``coded`` with a column ``decoded``: the text of its ids.
 
-    Ids are exploded, joined to the piece table (fixed size, broadcast) and concatenated in order as UTF-8
-    bytes, byte pieces included; U+2581 becomes a space, and the one that encoding puts first is left out.
-    Ids without text (control, unknown, out of range) give nothing; null ids give an empty text. Repeated rows are
-    kept; an existing column ``decoded`` is replaced, others of any name are kept; an empty table gives an empty result.
+    The pieces' bytes, byte pieces included, are joined in order; U+2581 becomes a space, and the one that encoding
+    puts first is left out. Ids without text (control, unknown, out of range) give nothing; null ids give an empty
+    text. Repeated rows are kept; an existing column ``decoded`` is replaced, others of any name are kept; an empty
+    table gives an empty result. No shuffle.
     """
-    spark, path = coded.sparkSession, path or default_path()
-    rows = common.stored(coded.drop("decoded").withColumn(_ROW, F.monotonically_increasing_id()), "coded")
-    table = piece_table(spark, path).select("id", F.when(F.col("byte").isNotNull(), F.lpad(F.hex("byte"), 2, "0")).otherwise(F.hex(F.encode("piece", "UTF-8"))).alias("hexed"))
-    # repartitioned before the explode, so that the tokens themselves are not shuffled
-    tokens = rows.select(_ROW, ids_col).repartition(_ROW).select(_ROW, F.posexplode(ids_col).alias("pos", "id"))
-    parts = tokens.join(F.broadcast(table), "id").groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct("pos", "hexed"))).alias("parts"))
-    raw = F.unhex(F.array_join(F.transform("parts", lambda p: p["hexed"]), "")).cast("string")
-    text = F.replace(raw, F.lit(SPACE), F.lit(" "))
-    if model_spec(path)[1]["prefix"]:
-        text = F.regexp_replace(text, "^ ", "")
-    return rows.join(parts.select(_ROW, text.alias("decoded")), _ROW, "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop(_ROW)
+    pieces, spec = model_spec(path or default_path())
+    known = {i: bytes([byte]) if byte is not None else p.encode() for p, i, _, byte in pieces}
+    shared = coded.sparkSession.sparkContext.broadcast(known)  # the piece table, of a fixed size
+    kept, prefix = coded.drop("decoded"), spec["prefix"]
+    at, names = kept.columns.index(ids_col), kept.columns
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            found = []
+            for own in batch.column(at):
+                raw = b"".join([table.get(i, b"") for i in own.values.to_pylist()]) if own.is_valid else b""
+                text = raw.decode("utf-8", "replace").replace(SPACE, " ")
+                found.append(text[1:] if prefix and text.startswith(" ") else text)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, "decoded"])
+
+    return kept.mapInArrow(join, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
