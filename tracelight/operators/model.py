@@ -38,9 +38,9 @@ def context_counts(windows: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float = ALPHA) -> tuple[DataFrame, DataFrame]:
-    """The tables probs (k, ctx, event, n, total, p) and contexts (k, ctx, total, share, entropy, top).
+    """The tables probs (k, ctx, event, n, total, p) and contexts (k, ctx, total, share, entropy, top, own).
 
-    ``share`` is what an event not seen after the context gets of the lower order; ``top`` holds the most
+    ``own`` maps the events seen after the context to p; ``share`` is what an event not seen after the context gets of the lower order; ``top`` holds the most
     probable events as (p, event). An event outside a context's own list can only be among its top if it is
     among those of the lower order. Entropies follow from the lower order's in the same way.
     """
@@ -50,7 +50,10 @@ def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float =
     base = vocab.select("event").join(zero, "event", "left").crossJoin(F.broadcast(size)).crossJoin(F.broadcast(zero.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))))
     base = base.select(F.lit(0).alias("k"), F.lit("").alias("ctx"), "event", F.coalesce("n", F.lit(0)).alias("n"), "total", ((F.coalesce("n", F.lit(0)) + F.lit(alpha) / F.col("v")) / (F.col("total") + alpha)).alias("p"))
     probs = stored(base, "probs-0")
-    contexts = stored(probs.groupBy("k", "ctx", "total").agg(F.lit(0.0).alias("share"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"), _top(F.collect_list(F.struct("p", "event"))).alias("top")), "contexts-0")
+    # a top-n of the vocabulary, not a list of it
+    likely = probs.orderBy(F.round("p", PLACES).desc(), "event").limit(TOP).agg(_top(F.collect_list(F.struct("p", "event"))).alias("top"))
+    facts = probs.groupBy("k", "ctx", "total").agg(F.lit(0.0).alias("share"), (-F.sum(F.col("p") * F.ln("p"))).alias("entropy"))
+    contexts = stored(facts.crossJoin(likely).withColumn("own", F.lit(None).cast("map<string,double>")), "contexts-0")  # single rows
     every_p, every_c = probs, contexts
     for k in range(1, order + 1):
         own = counts.where(F.col("k") == k).drop("k")
@@ -66,7 +69,7 @@ def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float =
         made = sums.join(lower, "lower").withColumn("share", share)
         rest = F.col("share") * (-F.col("h") - F.col("qlnq")) + F.col("share") * F.ln("share") * (1 - F.col("mass"))
         others = F.transform(F.filter("low", lambda x: ~F.exists("own", lambda y: y["event"] == x["event"])), lambda x: F.struct((x["p"] * F.col("share")).alias("p"), x["event"].alias("event")))
-        contexts = stored(made.select(F.lit(k).alias("k"), "ctx", "total", "share", (-(F.col("plnp") + rest)).alias("entropy"), _top(F.concat("own", others)).alias("top")), f"contexts-{k}")
+        contexts = stored(made.select(F.lit(k).alias("k"), "ctx", "total", "share", (-(F.col("plnp") + rest)).alias("entropy"), _top(F.concat("own", others)).alias("top"), F.map_from_entries(F.transform("own", lambda x: F.struct(x["event"], x["p"]))).alias("own")), f"contexts-{k}")
         every_p, every_c = every_p.unionByName(probs.drop("lower", "q")), every_c.unionByName(contexts)
     return every_p, every_c
 
@@ -80,7 +83,7 @@ def _top(items: Column) -> Column:
 def score(windows: DataFrame, model: tuple[DataFrame, DataFrame], vocab: DataFrame, order: int = ORDER) -> DataFrame:
     """``windows`` with p_true, nll, predicted, msp, miss, gap, entropy_n, surprisal, composite and target rank.
 
-    The longest context that training saw decides. A target seen after it has a stored probability; else the
+    One join for each order. The longest context that training saw decides. A target seen after it has a stored probability; else the
     shares of the longer contexts multiply that of the first shorter one that saw it.
     """
     probs, contexts = model
@@ -89,9 +92,8 @@ def score(windows: DataFrame, model: tuple[DataFrame, DataFrame], vocab: DataFra
     out = windows.join(base, "target", "left").join(F.broadcast(facts), F.lit(True), "left")  # facts: one row
     for k in range(1, order + 1):
         out = out.withColumn(f"__c{k}", context(F.col("ctx"), k))
-        out = out.join(probs.where(F.col("k") == k).select(F.col("ctx").alias(f"__c{k}"), F.col("event").alias("target"), F.col("p").alias(f"__p{k}")), [f"__c{k}", "target"], "left")
-        facts = contexts.where(F.col("k") == k).select(F.col("ctx").alias(f"__c{k}"), F.col("share").alias(f"__s{k}"), F.struct("entropy", "top").alias(f"__f{k}"))
-        out = out.join(facts, f"__c{k}", "left")
+        facts = contexts.where(F.col("k") == k).select(F.col("ctx").alias(f"__c{k}"), F.col("share").alias(f"__s{k}"), F.struct("entropy", "top").alias(f"__f{k}"), F.col("own").alias(f"__o{k}"))
+        out = out.join(facts, f"__c{k}", "left").withColumn(f"__p{k}", F.try_element_at(f"__o{k}", "target")).drop(f"__o{k}")
     p = F.col("__p0")
     for k in range(1, order + 1):
         p = F.coalesce(F.col(f"__p{k}"), F.coalesce(F.col(f"__s{k}"), F.lit(1.0)) * p)
