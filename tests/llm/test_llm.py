@@ -436,6 +436,19 @@ def test_op1_covers_all_documents(spark, sf):
     assert sum(r["n_viterbi"] for r in rows) <= 1.2 * sum(r["n_tokens"] for r in rows)
 
 
+def test_words_are_cut_where_no_piece_goes_on(spark, texts):
+    path = sentence_pieces.default_path()
+    joined = sentence_pieces.joined_characters(path)
+    assert {"a", "é"} <= set(joined) and not set(joined) & set(" ,.!1\n" + sentence_pieces.SPACE)
+    held = {p[i : i + 2] for p, _, _, byte in sentence_pieces.model_spec(path)[0] if byte is None for i in range(len(p) - 1)}
+    own = [*full(texts), "▁a ▁", "éà, 日本語! \U0001f600x", "a-b's (c) 12,34.5x\n\n end ", "  ] ^ \\ - [&&"]
+    frame = spark.createDataFrame(list(enumerate(own)), "i int, text string")
+    for r in frame.select("text", sentence_pieces.split_words(F.col("text"), True, joined).alias("words")).collect():
+        assert r["words"] == sentence_pieces.words_of(r["text"], True, joined)
+        assert "".join(r["words"]) == (sentence_pieces.SPACE + r["text"].replace(" ", sentence_pieces.SPACE) if r["text"] else "")
+        assert not any(a[-1] + b[0] in held for a, b in zip(r["words"], r["words"][1:]))
+
+
 def test_viterbi_finds_the_best_path(spark):
     rng = random.Random(3)
     pieces = {"".join(rng.choices("ab", k=rng.randint(1, 4))): -rng.random() * 5 for _ in range(15)}
@@ -443,11 +456,12 @@ def test_viterbi_finds_the_best_path(spark):
     own = sorted({"".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(40)})
     got = sentence_pieces.lattice(spark.createDataFrame([(w,) for w in own], "word string"), sentence_pieces.with_ranks(table), 4)
     score = lambda p: pieces.get(p, sentence_pieces.UNKNOWN_SCORE if len(p) == 1 else -1e18)
-    for r in got.select("word", sentence_pieces.viterbi(F.col("size"), F.col("edges")).alias("cuts")).collect():
+    for r in got.select("word", sentence_pieces.viterbi(F.col("size"), F.col("edges")).alias("cuts"), sentence_pieces.viterbi_pieces(F.col("size"), F.col("edges")).alias("n")).collect():
         best = [0.0] + [-1e30] * len(r["word"])
         for b in range(1, len(best)):
             best[b] = max(best[a] + score(r["word"][a:b]) for a in range(max(0, b - 4), b))
         assert abs(sum(score(r["word"][a:b]) for a, b in zip(r["cuts"], r["cuts"][1:])) - best[-1]) < 1e-6
+        assert r["n"] == len(r["cuts"]) - 1
 
 
 # --- 4: neighbours --------------------------------------------------------------------------------------------------

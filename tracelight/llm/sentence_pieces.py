@@ -25,7 +25,6 @@ WORDS_PER_TASK = 20_000
 #: Text of one group of rows that share their distinct words.
 GROUP_BYTES = 32 << 20
 _GROUP = "__group"
-_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
 def default_path() -> str:
@@ -64,46 +63,89 @@ def with_ranks(pieces: DataFrame) -> DataFrame:
     return pieces.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(rows)], "piece string, id int, score double, byte int, rank int")
 
 
-def split_words(text: Column, prefix: bool) -> Column:
-    """The words of a text with spaces as U+2581: leading spaces and what follows up to the next one.
+@lru_cache(maxsize=4)
+def joined_characters(path: str) -> str:
+    """Characters that pieces put side by side, directly or through others: the largest such set, spaces left out.
+
+    No piece holds one of them beside any other character but a space, so text can be cut there.
+    """
+    root: dict[str, str] = {}
+
+    def find(x: str) -> str:
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for piece, _, _, byte in model_spec(path)[0]:
+        for x, y in zip(piece, piece[1:]):
+            if byte is None and SPACE not in (x, y):
+                root[find(x)] = find(y)
+    sets: dict[str, list[str]] = {}
+    for x in sorted(root):
+        sets.setdefault(find(x), []).append(x)
+    return "".join(max(sets.values(), key=len, default=[]))
+
+
+def word_pattern(joined: str = "") -> str:
+    """Spaces and what follows up to the next one, cut between characters of ``joined`` and others; for Java and Python alike."""
+    own = re.escape(joined)
+    return (f"{SPACE}*[{own}]+|" if own else "") + f"{SPACE}*[^{SPACE}{own}]+|{SPACE}+"
+
+
+def split_words(text: Column, prefix: bool, joined: str = "") -> Column:
+    """The words of a text with spaces as U+2581 (see ``word_pattern``).
 
     No piece of these models holds a space after another character, so words are encoded apart.
     """
     marked = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(SPACE))
     shown = F.when(marked == "", F.lit("")).otherwise(F.concat(F.lit(SPACE if prefix else ""), marked))
-    return F.regexp_extract_all(shown, F.lit(f"(?s){SPACE}*[^{SPACE}]+|{SPACE}+"), F.lit(0))
+    return F.regexp_extract_all(shown, F.lit(word_pattern(joined)), F.lit(0))
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """(word, size, edges): the pieces in each distinct word as (rank, a, b, id, score), and every single character.
 
-    Substrings of up to ``longest`` characters are exploded and equi-joined to the piece table, which has a
-    fixed size and is broadcast. Explode and join keep the words' partitioning, so grouping needs no shuffle.
-    A character that is no piece is an edge without rank, id and score.
+    Substrings of up to ``longest`` characters are exploded, where their first three characters begin a piece of that
+    length, and equi-joined to the piece table, which has a fixed size and is broadcast. Explode and join keep the
+    words' partitioning, so grouping needs no shuffle. A character that is no piece is an edge without rank, id and score.
     """
+    known = pieces.where("byte is null").select("piece", "rank", "id", "score")
+    long = known.where(F.char_length("piece").between(3, longest))
+    begins = long.groupBy(F.substring("piece", 1, 3).alias("begin")).agg(F.collect_set(F.char_length("piece")).alias("lengths"))
     sized = words.select("word", F.char_length("word").alias("size"))
     begun = sized.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
-    cut = begun.withColumn("len", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("size") - F.col("a")))))
+    begun = begun.withColumn("begin", F.substring("word", F.col("a") + 1, F.lit(3))).join(F.broadcast(begins), "begin", "left")
+    lengths = F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))
+    cut = begun.select("word", "size", "a", F.explode(lengths).alias("len")).where(F.col("a") + F.col("len") <= F.col("size"))
     cut = cut.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("len")))
-    known = F.broadcast(pieces.where("byte is null").select("piece", "rank", "id", "score"))
     edge = F.struct("rank", "a", (F.col("a") + F.col("len")).alias("b"), "id", "score")
-    return cut.join(known, "piece", "left").where("id is not null or len = 1").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"))
+    return cut.join(F.broadcast(known), "piece", "left").where("id is not null or len = 1").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"))
+
+
+def _best(size: Column, edges: Column, score: Callable[[Column], Column], start: Column, further: Callable[[Column, Column], Column]) -> Column:
+    """What ``further`` makes of ``start`` along the best-scoring path: a fold over word positions that keeps the best way to each."""
+
+    def extend(ways: Column, b: Column) -> Column:
+        own = F.transform(F.filter(edges, lambda e: e["b"] == b), lambda e: F.struct((F.get(ways, e["a"])["s"] + F.coalesce(score(e), F.lit(UNKNOWN_SCORE))).alias("s"), (-e["a"]).alias("o")))
+        # through an array of one, so that the best is worked out once
+        return F.concat(ways, F.transform(F.array(F.array_max(own)), lambda x: F.struct(x["s"].alias("s"), further(F.get(ways, -x["o"])["x"], b).alias("x"))))
+
+    return F.get(F.aggregate(F.sequence(F.lit(1), size), F.array(F.struct(F.lit(0.0).alias("s"), start.alias("x"))), extend), size)["x"]
 
 
 def viterbi(size: Column, edges: Column, score: Callable[[Column], Column] = lambda e: e["score"]) -> Column:
-    """Cuts of the best-scoring path: a fold over word positions that keeps the best way to each.
+    """Cuts of the best-scoring path.
 
     A character without a piece is an edge of a low score. Of equal paths the one whose last piece begins
     first stays.
     """
-    start = F.array(F.struct(F.lit(0.0).alias("s"), F.array(F.lit(0)).alias("cuts")))
+    return _best(size, edges, score, F.array(F.lit(0)), lambda cuts, b: F.array_append(cuts, b))
 
-    def extend(ways: Column, b: Column) -> Column:
-        own = F.transform(F.filter(edges, lambda e: e["b"] == b), lambda e: F.struct((F.get(ways, e["a"])["s"] + F.coalesce(score(e), F.lit(UNKNOWN_SCORE))).alias("s"), (-e["a"]).alias("o")))
-        # through an array of one, so that the best is worked out once
-        return F.concat(ways, F.transform(F.array(F.array_max(own)), lambda x: F.struct(x["s"].alias("s"), F.array_append(F.get(ways, -x["o"])["cuts"], b).alias("cuts"))))
 
-    return F.get(F.aggregate(F.sequence(F.lit(1), size), start, extend), size)["cuts"]
+def viterbi_pieces(size: Column, edges: Column, score: Callable[[Column], Column] = lambda e: e["score"]) -> Column:
+    """The number of pieces of that path."""
+    return _best(size, edges, score, F.lit(0), lambda n, _: n + 1)
 
 
 def merges(size: Column, edges: Column) -> Column:
@@ -129,17 +171,20 @@ def zipf(e: Column) -> Column:
 def tokens(word: Column, edges: Column, cuts: Column, unknown: int, first_byte: int | None) -> Column:
     """The stretches between cuts as (a, b, ids): a piece's id, or the ids of a character's bytes, or ``unknown``."""
 
-    def one(a: Column, k: Column) -> Column:
-        b = F.get(cuts, k + 1)
-        got = F.get(F.filter(edges, lambda e: (e["a"] == a) & (e["b"] == b)), F.lit(0))["id"]
+    def between_cuts(e: Column) -> Column:
+        at = F.array_position(cuts, e["a"]).cast("int")  # from 1; 0 if a is no cut
+        return (at > 0) & F.coalesce(F.get(cuts, at) == e["b"], F.lit(False))
+
+    def one(e: Column) -> Column:
         if first_byte is None:
             other = F.array(F.lit(unknown))
         else:
-            text = F.hex(F.encode(F.substring(word, a + 1, b - a), "UTF-8"))
+            text = F.hex(F.encode(F.substring(word, e["a"] + 1, e["b"] - e["a"]), "UTF-8"))
             other = F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda h: (F.conv(h, 16, 10).cast("int") + F.lit(first_byte)))
-        return F.struct(a.alias("a"), b.alias("b"), F.when(got.isNotNull(), F.array(got)).otherwise(other).alias("ids"))
+        return F.struct(e["a"].alias("a"), e["b"].alias("b"), F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(other).alias("ids"))
 
-    return F.transform(F.slice(cuts, 1, F.size(cuts) - 1), one)
+    # every stretch is an edge, as single characters are
+    return F.array_sort(F.transform(F.filter(edges, between_cuts), one))
 
 
 def _flat(tokens: Column) -> Column:
@@ -154,10 +199,12 @@ def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | Non
     first_byte = next((i for _, i, _, byte in pieces if byte == 0), None) if spec["fallback"] else None
     size, edges = F.col("size"), F.col("edges")
     found = lattice(words, piece_table(spark, path), longest)
-    best = viterbi(size, edges, zipf if spec["kind"] == "bpe" else lambda e: e["score"])
-    found = found.withColumn("best", best)
-    found = found.withColumn("cuts", merges(size, edges) if fold == "merges" else F.col("best"))
-    return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), (F.size("best") - 1).alias("n_best"))
+    score = zipf if spec["kind"] == "bpe" else lambda e: e["score"]
+    if fold == "merges":
+        found = found.withColumns({"cuts": merges(size, edges), "n_best": viterbi_pieces(size, edges, score)})
+    else:
+        found = found.withColumn("cuts", viterbi(size, edges, score)).withColumn("n_best", F.size("cuts") - 1)
+    return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), "n_best")
 
 
 def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | None = None, step: int = CHUNK_STEP, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -198,10 +245,10 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
     return done
 
 
-def words_of(text: str | None, prefix: bool) -> list[str]:
+def words_of(text: str | None, prefix: bool, joined: str = "") -> list[str]:
     """What ``split_words`` gives for one text."""
     marked = (text or "").replace(" ", SPACE)
-    return _WORD.findall((SPACE if prefix else "") + marked) if marked else []
+    return re.findall(word_pattern(joined), (SPACE if prefix else "") + marked) if marked else []
 
 
 def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fold: str | None = None) -> DataFrame:
@@ -210,8 +257,8 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     ``n_best`` is the number of pieces on the Viterbi paths of its words: of a unigram model itself, or, for a merge
     model, of the unigram model with the same pieces whose probabilities fall with their rank.
 
-    Rows are dealt to groups of bounded text by a hash of all their columns. A group asks once for each of its distinct
-    words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
+    Rows are dealt to groups of bounded text: by the stretch of the file that they come from, and by a hash of all their
+    columns. A group asks once for each of its distinct words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
     costs no more than a rare one. Texts are shuffled once, to be put together from their group's words. ``texts`` is
     read twice and must give the same rows each time. A null or empty text has no ids; repeated rows are kept, null
     identifiers are like any other; existing columns ``ids`` and ``n_best`` are replaced, others of any name kept. An
@@ -219,13 +266,17 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     ``encode_words``).
     """
     spark, path = texts.sparkSession, path or default_path()
-    prefix, kept = model_spec(path)[1]["prefix"], texts.drop("ids", "n_best")
-    groups = max(1, math.ceil((kept.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / GROUP_BYTES))
-    hashed = [c for c, kind in kept.dtypes if "map<" not in kind]
-    rows = kept.withColumn(_GROUP, F.pmod(F.xxhash64(*hashed), F.lit(groups)).cast("int"))
-    asked = common.stored(rows.select(_GROUP, F.explode(F.array_distinct(split_words(F.col(text_col), prefix))).alias("word")).distinct(), "asked-words")
-    distinct = common.stored(asked.select("word").distinct(), "distinct-words")
-    dealt = distinct.repartition(max(1, math.ceil(distinct.count() / WORDS_PER_TASK)), "word")
+    prefix, joined, kept = model_spec(path)[1]["prefix"], joined_characters(path), texts.drop("ids", "n_best")
+    # rows of one stretch of a file share most words; elsewhere a hash of the row deals them
+    block, hashed = F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.xxhash64(*(c for c, kind in kept.dtypes if "map<" not in kind))
+    found = kept.select(text_col, block.alias("block")).agg(F.sum(F.octet_length(text_col)).alias("size"), F.count_distinct("block").alias("blocks")).first()
+    parts = max(1, math.ceil((found["size"] or 0) / GROUP_BYTES / max(1, found["blocks"])))
+    group = F.xxhash64(block, F.pmod(hashed, F.lit(parts)))
+    rows = kept.withColumn(_GROUP, group)
+    asked = rows.select(_GROUP, F.explode(split_words(F.col(text_col), prefix, joined)).alias("word")).distinct()
+    asked = common.stored(asked, "asked-words")
+    tasks = max(1, math.ceil(asked.agg(F.approx_count_distinct("word", 0.02)).first()[0] / WORDS_PER_TASK))
+    dealt = asked.select("word").repartition(tasks, "word").distinct()
     known = common.stored(encode_words(dealt, spark, path, fold), "words")
     names, schema = kept.columns, StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, n_best long").fields])
 
@@ -237,7 +288,7 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
         best = right["n_best"].to_numpy().astype(np.int64)
         flat, sizes, sums = [np.zeros(0, np.int32)], [0], []
         for text in left[text_col]:
-            own = np.array([at[w] for w in words_of(text.as_py(), prefix)], np.int64)
+            own = np.array([at[w] for w in words_of(text.as_py(), prefix, joined)], np.int64)
             start, n = first[own], first[own + 1] - first[own]
             flat.append(values[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
             sizes.append(int(n.sum()))
