@@ -203,6 +203,18 @@ def test_close_fingerprints_always_share_a_key():
     assert shared.all()
 
 
+def test_close_fingerprints_share_a_part_of_their_free_bits():
+    rng = random.Random(1)
+    for t, (_, first, _, _) in enumerate(simhash.STRICT.tables):
+        masks = simhash.free_parts(simhash.STRICT, t)
+        held = ((1 << simhash.SEGMENTS[first]) - 1) << sum(simhash.SEGMENTS[first + 1 :])
+        assert len(masks) == 3 and sum(masks) == (1 << 64) - 1 - held and all(m.bit_count() in (14, 15) for m in masks)
+        for _ in range(300):
+            x = rng.getrandbits(64)
+            y = x ^ sum(1 << b for b in rng.sample([b for b in range(64) if not held >> b & 1], 2))
+            assert any(x & m == y & m for m in masks)
+
+
 def component_of(prints: dict[int, int], radius: int) -> dict[int, int]:
     left, out = sorted(prints), {}
     while left:

@@ -146,13 +146,38 @@ def _differing(pairs: list[tuple[Column, Column]]) -> Column:
     return total
 
 
+def free_parts(scheme: Scheme, table: int) -> list[int]:
+    """Masks of one part more than errors, over the bits that members of a bucket of ``table`` may differ in."""
+    _, first, second, exact = scheme.tables[table]
+    shift = sum(SEGMENTS[first + 1 :])
+    places = [b for b in range(64) if not exact or not shift <= b < shift + SEGMENTS[first]]
+    n = scheme.radius + 1
+    return [sum(1 << b for b in places[len(places) * k // n : len(places) * (k + 1) // n]) for k in range(n)]
+
+
+def _divided(huge: DataFrame, scheme: Scheme) -> DataFrame:
+    """(bucket, size, node, w0): members of huge buckets once for each part of their free bits, in a bucket of those that share it.
+
+    Two members of a link differ in at most ``radius`` bits, so one of the parts is the same in both.
+    """
+    table = F.shiftright("bucket", 40)
+    parts = F.lit(None)
+    for t in range(len(scheme.tables)):
+        own = [F.struct(F.lit(k).alias("k"), F.col("w0").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("v")) for k, mask in enumerate(free_parts(scheme, t))]
+        parts = F.when(table == t, F.array(*own)).otherwise(parts)
+    spread = huge.select("bucket", "node", "w0", F.explode(parts).alias("part"))
+    spread = spread.select(F.xxhash64("bucket", "part.k", "part.v").alias("bucket"), "node", "w0")
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    return spread.join(sizes, "bucket").select("bucket", "size", "node", "w0")
+
+
 def links(nodes: DataFrame, scheme: Scheme, paired_bucket: int = PAIRED_BUCKET, block: int = BLOCK) -> DataFrame:
     """Links (u, v) among ``nodes`` (node, w0, ...) that join whatever the links within the radius join.
 
     Buckets of one fingerprint are dropped by a join that adaptive execution can split. Small buckets are
     self-joined on their key with the comparison as join condition. Large ones give a spanning forest in one
-    task; beyond ``block`` members they are cut into cells of two blocks, so a member is copied once for each
-    ``block`` members of its bucket.
+    task. Beyond ``block`` members they are divided (see ``_divided``), and what still has more is cut into cells of
+    two blocks.
     """
     names = _names(scheme.words)
     keyed = _keyed(nodes, scheme)
@@ -164,7 +189,12 @@ def links(nodes: DataFrame, scheme: Scheme, paired_bucket: int = PAIRED_BUCKET,
     near = _differing([(F.col(f"a.{w}"), F.col(f"b.{w}")) for w in names]) <= scheme.radius
     pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
-    large = shared.where(F.col("size") > paired_bucket).withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    large = shared.where((F.col("size") > paired_bucket) & (F.col("size") <= block)).select("bucket", "size", "node", *names)
+    if scheme.words == 1:
+        large = large.unionByName(_divided(shared.where(F.col("size") > block).select("bucket", "node", "w0"), scheme))
+    else:
+        large = large.unionByName(shared.where(F.col("size") > block).select("bucket", "size", "node", *names))
+    large = large.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     large = large.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", *names)
