@@ -33,21 +33,25 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    """The encoder of one file; without ``special`` the strings of added tokens are ordinary text."""
+
+    def __init__(self, path: str, special: bool = True):
+        self.allowed = "all" if special else set()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         symbol = _byte_symbols()
         ranks = {bytes(symbol[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in added}
         self.core = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
-        self.sizes = np.zeros(max([*ranks.values(), *added.values()]) + 1, np.int64)
+        self.entries = [b""] * (max([*ranks.values(), *added.values()]) + 1)
         for piece, i in ranks.items():
-            self.sizes[i] = len(piece)
+            self.entries[i] = piece
         for piece, i in added.items():
-            self.sizes[i] = len(piece.encode())
+            self.entries[i] = piece.encode()
+        self.sizes = np.fromiter(map(len, self.entries), np.int64, len(self.entries))
 
     def _whole(self, text: str) -> np.ndarray:
-        return self.core.encode_to_numpy(text, allowed_special="all")
+        return self.core.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
 
     def ids(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> np.ndarray:
         """Token ids; a text of more than ``chunk`` characters goes chunk by chunk."""
@@ -104,6 +108,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> ByteBpe:
+def load(path: str, special: bool = True) -> ByteBpe:
     """One encoder for each Python worker and file."""
-    return ByteBpe(path)
+    return ByteBpe(path, special)

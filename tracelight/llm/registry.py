@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact_dedup, language_id, line_dedup, packing, quality, sentence_pieces, simhash, token_counts, toxicity
+from . import alignment, ann, exact_dedup, language_id, line_dedup, packing, quality, sentence_pieces, simhash, super_minhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": quality.op8_quality,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_super_minhash": super_minhash.op11_super_minhash,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
