@@ -13,7 +13,7 @@ import pytest
 import sentencepiece
 import tokenizers
 
-from tracelight.llm import alignment, super_minhash
+from tracelight.llm import alignment, collocations, super_minhash
 
 ODD = [None, "", " ", " \n\t ", "one", "one", "One\ttwo", "special <|endoftext|> <s> 日本 ﬁ 0x41   tab\tend", "a▁b", "▁", "x" * 3000, "a\0b", "é é   x  y", "  two  spaces ", "tail \n \t", "\x1c y \x85 z"]
 
@@ -233,3 +233,67 @@ def test_galloping_ranks():
     for _ in range(300):
         few, many = (np.unique(rng.integers(0, 3000, rng.integers(0, 900))) for _ in range(2))
         assert np.array_equal(alignment.ranks(few, many), np.searchsorted(many, few))
+
+
+# --- 12: collocations -----------------------------------------------------------------------------------------------
+def brute_collocations(rows, most_words, least, covered, top):
+    counts, totals = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split("[.,;:!?\x0a-\x0d]", low):
+            found = re.findall("[^\x20\x09]+", piece)
+            totals[lang] += len(found)
+            for n in range(1, most_words + 1):
+                for i in range(len(found) - n + 1):
+                    counts[lang, tuple(found[i : i + n])] += 1
+    frequent = {k: a for k, a in counts.items() if a >= least and len(k[1]) > 1}
+    out = defaultdict(list)
+    for (lang, p), a in frequent.items():
+        score, _, left, right = min((1000000 * a * a // (counts[lang, p[:k]] * counts[lang, p[k:]]), k, counts[lang, p[:k]], counts[lang, p[k:]]) for k in range(1, len(p)))
+        longer = (b for (other, q), b in frequent.items() if other == lang and len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))))
+        if not any(100 * b >= covered * a for b in longer):
+            out[lang].append((-score, -a, " ".join(p).encode(), left, right))
+    return sorted((lang, i + 1, p.decode(), -a, left, right, totals[lang], -s) for lang, own in out.items() for i, (s, a, p, left, right) in enumerate(sorted(own)[:top]))
+
+
+def phrase_rows(rng):
+    vocabulary = [words(rng, 1, "abcé") for _ in range(9)] + ["\x1c", "日本", "x" * 40, "x" * 41]
+    rows = []
+    for i in range(120):
+        text = ""
+        for _ in range(rng.randint(0, 120)):
+            text += rng.choice(vocabulary[: rng.randint(1, 13)]) if rng.random() < 0.9 else "new york city"
+            text += rng.choice([" ", " ", " ", "  ", "\t", ", ", ".", "\n", " ; ", "\x0b"])
+        rows.append((rng.choice(["en", "en", "de", None]), text.upper() if i % 7 == 0 else text))
+    return [*rows, ("en", None), (None, ""), ("fr", " . "), *rows[:3]]
+
+
+def test_collocations_equal_brute_force(spark, empty):
+    rng = random.Random(15)
+    rows = phrase_rows(rng)
+    df = spark.createDataFrame([(i, t, lang, 4, 5) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string, mark int, n int").repartition(4)
+
+    def run(**options):
+        return sorted(tuple(r) for r in collocations.collocations(df, **options).collect())
+
+    want = brute_collocations(rows, 3, 10, 50, 2000)
+    assert len(want) > 100
+    assert run() == want
+    assert run(fingerprint_bits=7) == want  # nearly every fingerprint collides
+    assert run(most_words=4, least=3, covered=70, top=9) == brute_collocations(rows, 4, 3, 70, 9)
+    assert collocations.collocations(empty).count() == 0
+
+
+def test_slices_keep_phrases_whole():
+    rng = random.Random(16)
+    text = "".join(rng.choice(["ab", "c", "de", "f"]) + rng.choice([" ", "  ", "\t", ". ", ",", "\n"]) for _ in range(500)).encode()
+    whole = collocations.Words([text], np.array([len(text)]))
+    for n in (1, 2, 3):
+        want = sorted(whole.phrase(i, n) for i in whole.phrases(n).tolist())
+        got = []
+        for body, own in collocations.slices(text, 50, n - 1):
+            part = collocations.Words([body], np.array([own]))
+            got += [part.phrase(i, n) for i in part.phrases(n).tolist()]
+        assert sorted(got) == want
+    assert [own for _, own in collocations.slices(b"x" * 500, 50)] == [500, 0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, exact_dedup, language_id, line_dedup, packing, quality, sentence_pieces, simhash, super_minhash, token_counts, toxicity
+from . import alignment, ann, collocations, exact_dedup, language_id, line_dedup, packing, quality, sentence_pieces, simhash, super_minhash, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_super_minhash": super_minhash.op11_super_minhash,
+        "op12_collocations": collocations.op12_collocations,
         "op13_alignment": alignment.op13_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a result; the other queries are tested against brute force in tests/llm."""
-    return {"op10_exact_dedup": exact_dedup.OP10_SQL}
+    return {"op10_exact_dedup": exact_dedup.OP10_SQL, "op12_collocations": collocations.OP12_SQL}
