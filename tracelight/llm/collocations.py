@@ -257,11 +257,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP12_SQL = r"""
 WITH pieces AS (
-  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
-]')) AS piece
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
   FROM documents
 ), lists AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), w -> w <> '') AS ws FROM pieces
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces
 ), sizes AS (
   SELECT lang, sum(len(ws))::BIGINT AS n FROM lists GROUP BY lang
 ), found AS (
