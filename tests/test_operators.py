@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import math
 import os
 import random
@@ -376,3 +377,35 @@ def test_majority(spark):
 
 def test_section(spark):
     assert text(spark, evidence.section(F.col("t")), "OBSERVED: a\nevidence_based_interpretation:\n  b c.\nd ") == "b c.\nd"
+
+
+# --- raw logs -------------------------------------------------------------------------------------------------------
+def test_raw_lines_are_numbered_in_file_order(spark, tmp_path):
+    rng = random.Random(21)
+    texts = {"a.log": [f"line {i} " + "x" * rng.randint(0, 60) for i in range(700)], "b.log.gz": ["", "second\twith tab", "third"], "c.log": ["one"], "d.log": []}
+    for name, lines in texts.items():
+        body = ("\r\n" if name == "c.log" else "\n").join(lines) + ("\n" if name != "c.log" and lines else "")
+        (tmp_path / name).write_bytes(gzip.compress(body.encode()) if name.endswith("gz") else body.encode())
+    want = [(i, line, name) for i, (name, line) in enumerate(((n, t) for n, own in sorted(texts.items()) for t in own), 1)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        rows = logs.numbered_text(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 20
+        got = [(r["line_no"], r["line"], r["source_file"].rsplit("/", 1)[1]) for r in rows.orderBy("line_no").collect()]
+        assert got == want
+        assert logs.numbered_text(spark, [str(tmp_path / "a.log")], 30).count() == 30
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_raw_layouts(spark, tmp_path):
+    flat = ["- 1 2 node 4 5 6 7 8 a message here", "too short", "FATAL 1 2 n2 4 5 6 7 8 bad\tone", ""]
+    (tmp_path / "flat.log").write_text("\n".join(flat) + "\n")
+    got = [tuple(r) for r in logs.flat_log(spark, str(tmp_path / "flat.log")).orderBy("line_no").collect()]
+    assert got == [(1, "-", "node", "a message here", 0), (3, "FATAL", "n2", "bad one", 1)]
+    key = "00112233-4455-6677-8899-aabbccddeeff"
+    lines = [f"f.log 2017-05-16 00:00:00.008 25746 INFO nova.api [req-1 a b] [instance: {key}] started", "", "Traceback", f"f.log 2017-05-16 00:00:01.008 25746 ERROR nova.api [req-2] GET /servers/{key}/x"]
+    (tmp_path / "head.log").write_bytes("\r\n".join(lines).encode())
+    got = [(r["line_no"], r["parsed"], r["level"], r["session_id"]) for r in logs.header_log(spark, {"normal": str(tmp_path / "head.log")}).orderBy("line_no").collect()]
+    assert got == [(1, True, "INFO", key), (3, False, "", None), (4, True, "ERROR", key)]

@@ -31,8 +31,9 @@ def _events(s, d) -> DataFrame:
 
 
 def _flat_path(s, d) -> str:
+    """A raw log in several files, in the order of their names."""
     path = new_path(s, "flat-log")
-    _events(s, d).select(F.concat(F.col("event_id").cast("string"), F.lit("\t"), F.expr(_spark(FLAT_SQL)))).write.text(path)
+    _events(s, d).orderBy("event_id").select(F.expr(_spark(FLAT_SQL))).write.text(path)
     return path
 
 
@@ -40,8 +41,8 @@ def _header_paths(s, d) -> dict[str, str]:
     paths = {}
     for i, name in enumerate(("normal1", "normal2", "abnormal")):
         paths[name] = new_path(s, f"header-{name}")
-        line = F.concat(F.col("event_id").cast("string"), F.lit("\t"), F.expr(_spark(HEAD_SQL)), F.lit("\r"))
-        _events(s, d).where(F.col("event_id") % 3 == i).select(line).write.text(paths[name])
+        line = F.concat(F.expr(_spark(HEAD_SQL)), F.lit("\r"))
+        _events(s, d).where(F.col("event_id") % 3 == i).orderBy("event_id").select(line).write.text(paths[name])
     return paths
 
 
@@ -57,12 +58,12 @@ def _(s, d):
     return logs.event_column(s, f"{d}/events.parquet", "event_type")
 
 
-@query("s02_flat_log", FL + "SELECT line_no, label, node, content, alert FROM g")
+@query("s02_flat_log", FL.replace("event_id AS line_no", "row_number() OVER (ORDER BY event_id) AS line_no") + "SELECT line_no, label, node, content, alert FROM g")
 def _(s, d):
     return logs.flat_log(s, _flat_path(s, d))
 
 
-@query("s03_header_log", HD + "SELECT line_no, source, parsed, level, component, coalesce(session_id, 'none') AS session_id FROM z")
+@query("s03_header_log", HD.replace("event_id AS line_no", "row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) AS line_no") + "SELECT line_no, source, parsed, level, component, coalesce(session_id, 'none') AS session_id FROM z")
 def _(s, d):
     return logs.header_log(s, _header_paths(s, d)).select("line_no", "source", "parsed", "level", "component", F.coalesce("session_id", F.lit("none")).alias("session_id"))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import parsing
+from ..shared import stored
 
 
 def event_column(spark: SparkSession, path: str, column: str) -> DataFrame:
@@ -15,19 +16,38 @@ def event_column(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 def numbered_text(spark: SparkSession, paths: str | list[str], most: int | None = None) -> DataFrame:
-    """Text lines of the form <number> TAB <line>, as (line_no, line, source_file). The number keeps the order of a log whose files Spark splits."""
-    raw = spark.read.text(paths).select(F.split("value", "\t", 2).alias("p"), F.col("_metadata.file_path").alias("source_file"))
-    rows = raw.select(F.col("p")[0].cast("long").alias("line_no"), F.col("p")[1].alias("line"), "source_file")
+    """The lines of raw text files as (line_no, line, source_file), numbered from 1 in the order of the files' paths.
+
+    Files may be split by Spark, or compressed and whole. A line's number is that of the lines before its block of
+    the file and its place in it: one pass counts the lines of each block, their running sum is made in ranges
+    of blocks, and the second pass numbers the lines as it reads them, without a shuffle while the table of blocks
+    is small enough for Spark to broadcast. Should Spark cut the files otherwise in the second pass, the job
+    fails rather than losing lines.
+    """
+    place = F.monotonically_increasing_id()  # grows by one from line to line of a block
+    raw = spark.read.text(paths).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__start"), place.alias("__id"))
+    block = ["source_file", "__start"]
+    counted = raw.groupBy(*block).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    blocks = stored(counted.repartitionByRange(*block).withColumn("__range", F.spark_partition_id()), "log-blocks")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("__range").agg(F.sum("__n").alias("__all"))  # a row for each partition
+    ranges = ranges.select("__range", F.coalesce(F.sum("__all").over(before(Window.orderBy("__range"))), F.lit(0)).alias("__before"))
+    inside = F.coalesce(F.sum("__n").over(before(Window.partitionBy("__range").orderBy(*block))), F.lit(0))
+    offsets = blocks.withColumn("__inside", inside).join(ranges, "__range").select(*block, "__first", "__n", (F.col("__before") + F.col("__inside")).alias("__before"))
+    found = raw.join(offsets, block, "left").withColumn("__place", F.col("__id") - F.col("__first"))
+    known = F.coalesce((F.col("__place") >= 0) & (F.col("__place") < F.col("__n")), F.lit(False))
+    number = F.when(known, F.col("__before") + F.col("__place") + 1).otherwise(F.raise_error(F.lit("the files were cut otherwise when they were counted")).cast("long"))
+    rows = found.select(number.alias("line_no"), "line", "source_file")
     return rows.where(F.col("line_no") <= most) if most else rows
 
 
 def flat_log(spark: SparkSession, paths: str | list[str], most: int | None = None) -> DataFrame:
-    """Label, node, content and alert of flat-layout lines, the first ``most`` only if given."""
+    """Line number, label, node, content and alert of the flat-layout lines of raw files, of the first ``most`` lines only if given."""
     return parsing.flat_fields(numbered_text(spark, paths, most)).withColumn("alert", parsing.alert(F.col("label"))).select("line_no", "label", "node", "content", "alert")
 
 
 def header_log(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Header-layout lines of several sources, with the source's name, the parse flag, fields and session key."""
+    """Header-layout lines of the raw files of several sources, numbered in each, with the source's name, the parse flag, fields and session key."""
     parts = [numbered_text(spark, p).withColumn("source", F.lit(s)) for s, p in paths.items()]
     lines = parts[0]
     for part in parts[1:]:
