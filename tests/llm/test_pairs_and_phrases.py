@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -12,8 +13,9 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import tokenizers
+from pyspark.sql import functions as F
 
-from tracelight.llm import alignment, collocations, super_minhash
+from tracelight.llm import alignment, collocations, line_dedup, super_minhash
 
 ODD = [None, "", " ", " \n\t ", "one", "one", "One\ttwo", "special <|endoftext|> <s> 日本 ﬁ 0x41   tab\tend", "a▁b", "▁", "x" * 3000, "a\0b", "é é   x  y", "  two  spaces ", "tail \n \t", "\x1c y \x85 z"]
 
@@ -297,3 +299,20 @@ def test_slices_keep_phrases_whole():
             got += [part.phrase(i, n) for i in part.phrases(n).tolist()]
         assert sorted(got) == want
     assert [own for _, own in collocations.slices(b"x" * 500, 50)] == [500, 0]
+
+
+# --- 7: texts that made the plan run away ---------------------------------------------------------------------------
+def test_blank_lines_and_repeated_lines_take_linear_time(spark):
+    huge = [(1, " " * 5_000_000 + "\nx"), (2, "again and again\n" * 300_000), (3, None), (4, "y" * 6_000_000 + " z\n"), (5, "again and again")]
+    df = spark.createDataFrame(huge, "doc_id long, text string").repartition(5)
+    began = time.time()
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(df).collect()}
+    assert time.time() - began < 60
+    assert [got[i]["n_lines"] for i in range(1, 6)] == [1, 300_000, 0, 1, 1]
+    assert [got[i]["n_dropped"] for i in range(1, 6)] == [0, 299_999, 0, 0, 1]
+    assert got[2]["text"] == "again and again\n" and got[3]["text"] is None and got[5]["text"] == "" and got[1]["text"] == huge[0][1]
+    once = line_dedup._without_lines(df.select("doc_id", "text").withColumns({"dropped_lines": F.when(F.col("doc_id") == 2, F.sequence(F.lit(1), F.lit(299_999))), "n_near": F.lit(0)}), "text")
+    once.write.format("noop").mode("overwrite").save()  # warm
+    began = time.time()
+    once.write.format("noop").mode("overwrite").save()
+    assert time.time() - began < 10

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from . import common
 
@@ -46,16 +47,20 @@ def _words(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[0] = False
     last[1:] &= ~space[:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    return starts, ends, common.span_hashes(body, starts, ends)
+    hashes, a = np.empty(len(starts), np.uint64), 0
+    while a < len(starts):  # so much of the text at a time, as hashing takes many times its size
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + common.STEP_BYTES, side="right")))
+        low = starts[a]
+        hashes[a:b] = common.span_hashes(body[low : ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
+        a = b
+    return starts, ends, hashes
 
 
 def _split(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Lines that hold words: document row, line number, first word and word after the last; and the word hashes."""
     rows = len(at) - 1
     # a line feed after each document keeps words and lines of neighbours apart
-    place = np.arange(len(body)) + np.repeat(np.arange(rows), np.diff(at))
-    joined = np.full(len(body) + rows, 10, np.uint8)
-    joined[place] = body
+    joined = np.insert(body, at[1:], np.uint8(10))
     starts, _, hashes = _words(joined)
     feeds = np.flatnonzero(joined == 10)
     line = np.searchsorted(feeds, starts)  # over all documents
@@ -257,12 +262,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = gone.dropDuplicates(["doc_id", "row", "line_no"]).groupBy(F.col("doc_id").alias("__doc_id"), F.col("row").alias("__row")).agg(F.sort_array(F.collect_list("line_no")).alias("dropped_lines"), F.count_if("near").cast("int").alias("n_near"))
     own = (F.col(id_col).cast("long") == F.col("__doc_id")) & (key == F.col("__row"))
     joined = kept.join(gone, own, "left").drop("__doc_id", "__row")
-    parts = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("dropped_lines", i)), "\n")
-    text = F.when(F.size("dropped_lines") > 0, left).otherwise(F.col(text_col))
-    worded = F.coalesce(F.regexp_count(F.col(text_col), F.lit("(?m)[^\\n]*[^\\x20\\x09-\\x0D][^\\n]*")), F.lit(0))
-    out = joined.withColumn("n_lines", worded).withColumn(text_col, text)
-    return out.withColumn("dropped_lines", F.coalesce("dropped_lines", F.array().cast("array<int>"))).withColumn("n_dropped", F.size("dropped_lines")).withColumn("n_near", F.coalesce("n_near", F.lit(0)))
+    return _without_lines(joined, text_col).withColumn("n_dropped", F.size("dropped_lines")).select(*kept.columns, *added)
+
+
+def _without_lines(rows: DataFrame, text_col: str) -> DataFrame:
+    """``rows`` with the text left when ``dropped_lines`` go, and n_lines, the lines with words before that; one pass over a text."""
+    others = [c for c in rows.columns if c not in (text_col, "dropped_lines", "n_near")]
+    source = rows.select(*others, text_col, F.coalesce("dropped_lines", F.array().cast("array<int>")).alias("dropped_lines"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    schema = StructType([*source.schema.fields, StructField("n_lines", IntegerType())])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts = [], []
+            for text, dropped in zip(batch.column(len(others)), batch.column(len(others) + 1)):
+                lines = (text.as_py() or "").encode().split(b"\n")
+                counts.append(sum(1 for line in lines if line.strip()))  # bytes: ASCII white space
+                if len(dropped):
+                    left = np.ones(len(lines), bool)
+                    left[dropped.values.to_numpy()] = False
+                    texts.append(b"\n".join(lines[i] for i in np.flatnonzero(left).tolist()).decode())
+                else:
+                    texts.append(text.as_py())
+            new = pa.array(texts, batch.schema.field(len(others)).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], new, *batch.columns[len(others) + 1 :], pa.array(counts, pa.int32())], schema.names)
+
+    return source.mapInArrow(make, schema)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
