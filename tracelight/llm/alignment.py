@@ -292,8 +292,8 @@ def align(
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_col].alias("text"))
     aligned = common.stored(_aligned(rows, paths), "aligned")
     counts = pair_counts(aligned)
-    known = _commonest(counts, most_pairs).toPandas().sort_values("pair")
-    shared = docs.sparkSession.sparkContext.broadcast([known[c].to_numpy(t) for c, t in (("pair", np.int64), ("n", np.int64), ("best", bool))])
+    known = _commonest(counts, most_pairs).toArrow().sort_by("pair")
+    shared = docs.sparkSession.sparkContext.broadcast([known[c].to_numpy() for c in ("pair", "n", "best")])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_pairs, known_n, known_best = shared.value

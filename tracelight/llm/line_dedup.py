@@ -117,9 +117,9 @@ def bitmap(firsts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(s >> 6), pa.array(np.left_shift(np.int64(1), s & 63))], ["at", "bits"])
 
     rows = firsts.select("row", "line_no").mapInArrow(make, "at long, bits long").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits"))
-    found = rows.toPandas()
+    found = rows.toArrow()  # plain numbers: rows of Python objects would take many times their size
     out = np.zeros(bits >> 6, np.int64)
-    out[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
     return out
 
 
