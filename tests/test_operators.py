@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import gzip
 import math
 import os
@@ -15,6 +16,7 @@ from tracelight.functions import ordered
 from tracelight.functions.ordered import ranked
 from tracelight.operators import bands, evidence, fixed_texts, identity, metrics, model, parsing, ranking, scores, sessions, splits, vocab
 from tracelight.sources import logs
+from tracelight.streaming import jobs
 
 
 def scored(spark, rows):
@@ -278,19 +280,40 @@ def test_intermediate_tables_can_be_cleared(spark, tmp_path):
         shared._MADE.extend(kept)
 
 
-def test_contexts_go_on_over_micro_batches(spark, tmp_path):
-    import datetime as dt
-
-    from tracelight.streaming import jobs
-
+def test_any_order_within_the_watermark_gives_the_batch_contexts(spark, tmp_path):
+    start, rng = dt.datetime(2024, 1, 1), random.Random(22)
+    times = [start + dt.timedelta(seconds=3 * i + rng.random()) for i in range(600)]
+    times[10:13] = [times[10]] * 3  # a tie goes by line_id
+    rows = [(i, t, rng.choice("abc"), f"e{rng.randrange(4)}") for i, t in enumerate(times)]
+    last, want = {}, {}
+    for i, t, key, event in sorted(rows, key=lambda r: (r[1], r[0])):
+        if last.get(key):
+            want[i] = (last[key], event)
+        last[key] = [*last.get(key, []), event][-3:]
+    closed = {i for i, t, _, _ in rows if i in want and t <= max(times) - dt.timedelta(minutes=10, milliseconds=1)}
+    schema = "line_id long, ts timestamp, session_id string, event string"
+    for name, mixed, parts in (("sorted", rows, 1), ("mixed", sorted(rows, key=lambda r: r[1] + dt.timedelta(seconds=rng.randrange(500))), 4)):
+        size = len(rows) // parts
+        for k in range(parts):
+            spark.createDataFrame(mixed[size * k : size * (k + 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        if parts > 1:  # long after the watermark has passed them
+            spark.createDataFrame([(1000 + i, start, "a", "late") for i in range(7)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        late = []
+        got = {r["line_id"]: (list(r["ctx"]), r["target"]) for r in jobs.run_available(jobs.contexts(stream, 3), name, late=late).collect()}
+        assert {i: want[i] for i in got} == got
+        assert closed <= set(got), (name, late, len(closed - set(got)))
+        assert late == [7 if parts > 1 else 0]
+
+
+def test_idle_sessions_begin_anew(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
-    rows = [(i, start + dt.timedelta(seconds=i), "ab"[i % 2], f"e{i}") for i in range(12)]
     schema = "line_id long, ts timestamp, session_id string, event string"
-    for k in range(3):  # three files, one for each batch
-        spark.createDataFrame(rows[4 * k : 4 * k + 4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for i, minutes in enumerate((0, 1, 30, 200, 201, 300)):
+        spark.createDataFrame([(i, start + dt.timedelta(minutes=minutes), "a", f"e{i}")], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = {r["line_id"]: (list(r["ctx"]), r["target"]) for r in jobs.run_available(jobs.contexts(stream, 3), "contexts").collect()}
-    assert got == {i: ([f"e{j}" for j in range(i % 2, i, 2)][-3:], f"e{i}") for i in range(2, 12)}
+    got = {r["line_id"]: list(r["ctx"]) for r in jobs.run_available(jobs.contexts(stream, 3, idle_ms=3_600_000), "idle").collect()}
+    assert got == {1: ["e0"], 2: ["e0", "e1"], 4: ["e3"]}
 
 
 # --- evidence -------------------------------------------------------------------------------------------------------

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators import bands, model
 from ..shared import new_path
 
 WINDOWS = "session_id string, ts timestamp, line_id long, ctx array<string>, target string"
-_STATE = "last array<string>"
+_COLUMNS = ["session_id", "ts", "line_id", "ctx", "target"]
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -24,19 +25,39 @@ def event_stream(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("event_id").alias("line_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("event"), "value")
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there, into a Parquet table of the shared folder (append) or the last full result (complete)."""
+def run_available(stream: DataFrame, name: str, mode: str = "append", late: list[int] | None = None) -> DataFrame:
+    """Run a stream over what is there, into a Parquet table of the shared folder (append) or the last full result (complete).
+
+    The number of rows dropped as they came too late is appended to ``late``.
+    """
     spark = stream.sparkSession
     out, marks = new_path(spark, name), new_path(spark, f"{name}-marks")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers and list state need it
+    try:
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    dropped: dict[int, int] = {}
+    while not query.awaitTermination(1):
+        _count_late(query, dropped)
+    _count_late(query, dropped)
+    if late is not None:
+        late.append(sum(dropped.values()))
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _count_late(query: StreamingQuery, dropped: dict[int, int]) -> None:
+    """Rows that each batch reported so far has dropped."""
+    for progress in query.recentProgress:
+        dropped[progress["batchId"]] = sum(op.get("numRowsDroppedByWatermark", 0) for op in progress["stateOperators"])
+
+
 def vocabulary(stream: DataFrame) -> DataFrame:
     """Running event counts (complete mode)."""
     return stream.groupBy("event").agg(F.count("*").alias("n"))
@@ -48,26 +69,75 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return seen.agg(F.count("*").alias("n_events"), F.max("value").alias("top_value")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events", "top_value")
 
 
-def contexts(stream: DataFrame, length: int = model.ORDER, idle_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
-    """R03, first half: each event but the first of its session with up to ``length`` events before it, from state that idle sessions give up."""
-
-    def step(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "line_id"])
+class _InOrder(StatefulProcessor):
+    """Rows of a session wait for the watermark and leave in the order of (ts, line_id), each with the events before it."""
+
+    def __init__(self, length: int, idle_ms: int):
+        self.length, self.idle_ms = length, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, line_id long, event string")
+        self.last = handle.getValueState("last", "events array<string>, seen_ms long")
+
+    def _wake(self, at_ms: int, passed_ms: int = -1) -> None:
+        """One timer, at the earliest time that something is due; one that just goes off is still listed."""
+        timers = [t for t in self.handle.listTimers() if t > passed_ms]
+        if not timers or min(timers) > at_ms:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.waiting.appendList([(ts.to_pydatetime(), int(line), event) for ts, line, event in zip(new["ts"], new["line_id"], new["event"])])
+        self._wake(_ms(new["ts"].min()))
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted((pd.Timestamp(ts), line, event) for ts, line, event in self.waiting.get())
+        ready = [r for r in rows if _ms(r[0]) <= mark]
+        known = self.last.get() if self.last.exists() else None
+        last, seen = (list(known[0]), known[1]) if known else ([], None)
         out = []
-        for ts, line, event in zip(rows["ts"], rows["line_id"], rows["event"]):
+        for ts, line, event in ready:
+            if seen is not None and _ms(ts) - seen >= self.idle_ms:
+                last = []
             if last:
                 out.append((key[0], ts, line, last, event))
-            last = [*last, event][-length:]
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        yield pd.DataFrame(out, columns=["session_id", "ts", "line_id", "ctx", "target"])
+            last, seen = [*last, event][-self.length :], _ms(ts)
+        if ready:
+            self.last.update((last, seen))
+            self.waiting.clear()
+            if len(ready) < len(rows):
+                self.waiting.put([(ts.to_pydatetime(), line, event) for ts, line, event in rows[len(ready) :]])
+        if len(ready) < len(rows):
+            self._wake(_ms(rows[len(ready)][0]), mark)
+        elif seen is not None and mark >= seen + self.idle_ms:
+            self.last.clear()
+        elif seen is not None:
+            self._wake(seen + self.idle_ms, mark)
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def _ms(ts: pd.Timestamp) -> int:
+    """Milliseconds, rounded up: a watermark of so many has passed the time."""
+    return -(-ts.value // 1_000_000)
+
+
+def contexts(stream: DataFrame, length: int = model.ORDER, idle_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
+    """R03, first half: each event but the first of its session with up to ``length`` events before it, in the order of (ts, line_id).
 
+    Rows are kept until the watermark has passed them, so the order and the batches in which they come make no
+    difference. Rows that come after the watermark has passed their time are dropped, and ``run_available`` counts them.
+    A session idle for ``idle_ms`` gives up its state and begins anew.
+    """
     marked = stream.withWatermark("ts", late).select("session_id", "ts", "line_id", "event")
-    return marked.groupBy("session_id").applyInPandasWithState(step, WINDOWS, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.groupBy("session_id").transformWithStateInPandas(_InOrder(length, idle_ms), WINDOWS, "append", "EventTime")
 
 
 def banded(stream: DataFrame, fitted: tuple[DataFrame, DataFrame], vocab: DataFrame, uncertain: float, suspicious: float, order: int = model.ORDER) -> DataFrame:
