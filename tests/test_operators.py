@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import ordered
 from tracelight.functions.ordered import ranked
-from tracelight.operators import bands, evidence, fixed_texts, identity, metrics, model, parsing, ranking, scores, sessions, splits, vocab
+from tracelight.operators import bands, context_tree, evidence, fixed_texts, identity, metrics, model, parsing, ranking, scores, sessions, splits, vocab
 from tracelight.sources import logs
 from tracelight.streaming import jobs
 
@@ -432,3 +432,125 @@ def test_raw_layouts(spark, tmp_path):
     (tmp_path / "head.log").write_bytes("\r\n".join(lines).encode())
     got = [(r["line_no"], r["parsed"], r["level"], r["session_id"]) for r in logs.header_log(spark, {"normal": str(tmp_path / "head.log")}).orderBy("line_no").collect()]
     assert got == [(1, True, "INFO", key), (3, False, "", None), (4, True, "ERROR", key)]
+
+
+# --- variable-order contexts, occlusion and batches ------------------------------------------------------------------
+def brute_tree(cases, words, order, alpha, least_count, least_gain):
+    """Kept suffixes (tuples, latest event first) with their counts, and p of any event after any of them."""
+    counts = {}
+    for ctx, event in cases:
+        for k in range(min(order, len(ctx)) + 1):
+            own = counts.setdefault(tuple(ctx[::-1][:k]), {})
+            own[event] = own.get(event, 0) + 1
+
+    def p(node, event):
+        own = counts[node]
+        low = 1 / len(words) if not node else p(node[:-1], event)
+        return (own.get(event, 0) + alpha * low) / (sum(own.values()) + alpha)
+
+    kept = {()}
+    for node in counts:
+        if node and sum(counts[node].values()) >= least_count and sum(n * math.log(p(node, e) / p(node[:-1], e)) for e, n in counts[node].items()) >= least_gain:
+            kept |= {node[:k] for k in range(len(node) + 1)}
+    return kept, p
+
+
+def long_memory(rng, n, lag):
+    """Events that mostly repeat the one ``lag`` places before, between others that say nothing."""
+    out = [rng.choice("abcd") for _ in range(lag)]
+    while len(out) < n:
+        out.append(out[-lag] if rng.random() < 0.9 else rng.choice("abcd"))
+    return out
+
+
+def test_the_tree_equals_brute_force(spark):
+    rng = random.Random(31)
+    events = [("t" if b < 60 else "v", b, i, e) for b in range(80) for i, e in enumerate(long_memory(rng, 30, 3))]
+    df = spark.createDataFrame([(f"{s}{b}", i, e) for s, b, i, e in events], "block_id string, pos int, event string")
+    windows = sessions.in_block_windows(df, 6)
+    train = windows.where("block_id like 't%'")
+    words = vocab.fit(df)
+    for order, count, gain in ((4, 3, 1.0), (2, 1, -1e9)):
+        tree = context_tree.fit(train, words, order, 1.0, count, gain)
+        cases = [(list(r["ctx"]), r["target"]) for r in train.collect()]
+        kept, p = brute_tree(cases, "abcd", order, 1.0, count, gain)
+        assert tree[1].count() == len(kept)
+        for r in context_tree.score(windows, tree, words).collect():
+            suffix = tuple(r["ctx"][::-1])
+            node = max((suffix[:k] for k in range(len(suffix) + 1) if suffix[:k] in kept), key=len)
+            assert all(node[:k] in kept for k in range(len(node)))
+            assert r["depth"] == len(node) and math.isclose(r["p_true"], p(node, r["target"]), rel_tol=1e-9)
+            every = {e: p(node, e) for e in "abcd"}
+            assert math.isclose(r["msp"], max(every.values()), rel_tol=1e-9)
+            assert math.isclose(r["entropy_n"], -sum(x * math.log(x) for x in every.values()) / math.log(4), rel_tol=1e-9)
+
+
+def test_long_contexts_predict_better_where_they_matter(spark):
+    rng = random.Random(32)
+    df = spark.createDataFrame([(f"{'t' if b < 150 else 'v'}{b}", i, e) for b in range(200) for i, e in enumerate(long_memory(rng, 40, 4))], "block_id string, pos int, event string")
+    windows, words = sessions.in_block_windows(df), vocab.fit(df)
+    train, test = windows.where("block_id like 't%'"), windows.where("block_id like 'v%'")
+    tree = context_tree.fit(train, words)
+    loss = lambda scored: model.losses(scored).first()["cross_entropy"]
+    deep, flat = loss(context_tree.score(test, tree, words)), loss(model.score(test, model.fit(train, words), words))
+    assert deep < 0.6 * flat and context_tree.depth(tree[1]) >= 4
+    assert tree[0].count() <= 4 * train.count() and all(r['n_nodes'] <= train.count() for r in context_tree.sizes(tree[1]).collect())
+
+
+def test_two_thousand_event_types(spark):
+    rng = random.Random(33)
+    rows = [(f"{'t' if b < 80 else 'v'}{b}", i, f"e{int(rng.paretovariate(0.4)) % 2000}") for b in range(100) for i in range(60)]
+    df = spark.createDataFrame(rows, "block_id string, pos int, event string")
+    words = spark.range(2000).select(F.concat(F.lit("e"), "id").alias("event"))
+    windows = sessions.in_block_windows(df, 2)
+    train = windows.where("block_id like 't%'")
+    fitted = model.fit(train, words)
+    counts = {}
+    for r in train.collect():
+        for k in range(min(2, len(r["ctx"])) + 1):
+            own = counts.setdefault(tuple(r["ctx"][len(r["ctx"]) - k :]), {})
+            own[r["target"]] = own.get(r["target"], 0) + 1
+
+    def p(ctx, event):
+        low = 1 / 2000 if not ctx else p(ctx[1:], event)
+        own = counts.get(ctx, {})
+        return (own.get(event, 0) + low) / (sum(own.values()) + 1) if own else low
+
+    for r in model.score(windows.where("block_id like 'v%'"), fitted, words).limit(400).collect():
+        assert math.isclose(r["p_true"], p(tuple(r["ctx"]), r["target"]), rel_tol=1e-9)
+
+
+def test_occlusion_weights_equal_leaving_each_event_out(spark):
+    rng = random.Random(34)
+    df = spark.createDataFrame([(f"b{b}", i, rng.choice("aabbc")) for b in range(30) for i in range(12)], "block_id string, pos int, event string")
+    windows, words = sessions.in_block_windows(df, 3), vocab.fit(df)
+    fitted = model.fit(windows.where("block_id < 'b2'"), words)
+    got = {}
+    for r in model.occlusion(windows, fitted, ["block_id", "pos"]).collect():
+        got.setdefault((r["block_id"], r["pos"]), {})[r["left_out"]] = (r["event"], r["weight"])
+    asked, places = [], []
+    for w in windows.collect():
+        for k in range(min(2, len(w["ctx"])) + 1):
+            left = [e for i, e in enumerate(w["ctx"]) if i != len(w["ctx"]) - k]
+            asked.append((len(asked), left, w["target"]))
+            places.append((w["block_id"], w["pos"], k, w["ctx"][-k] if k else None))
+    lp = {r["i"]: math.log(r["p_true"]) for r in model.score(spark.createDataFrame(asked, "i int, ctx array<string>, target string"), fitted, words).collect()}
+    whole = {(b, at): lp[i] for i, (b, at, k, _) in enumerate(places) if not k}
+    for i, (b, at, k, event) in enumerate(places):
+        if k:
+            own = [abs(lp[j] - whole[b, at]) for j, (x, y, z, _) in enumerate(places) if (x, y) == (b, at) and z]
+            want = abs(lp[i] - whole[b, at]) / sum(own) if sum(own) > 1e-9 else 1 / len(own)
+            assert got[b, at][k][0] == event and math.isclose(got[b, at][k][1], want, abs_tol=1e-9)
+    assert all(math.isclose(sum(w for _, w in own.values()), 1) for own in got.values())
+
+
+@pytest.mark.parametrize("per_part", [500_000, 7])
+def test_batches_of_a_length_are_full_but_the_last(spark, per_part):
+    rows = [(n, f"b{i}", i) for n, count in ((1, 100), (2, 32), (5, 1)) for i in range(count)]
+    df = spark.createDataFrame(rows, "ctx_len int, block_id string, pos int")
+    got = sessions.length_batches(df, 16, ["block_id", "pos"], per_part).collect()
+    assert sorted((r["ctx_len"], r["block_id"], r["pos"]) for r in got) == sorted(rows)
+    sizes = {}
+    for r in got:
+        sizes[r["ctx_len"], r["batch_id"]] = sizes.get((r["ctx_len"], r["batch_id"]), 0) + 1
+    assert sizes == {(1, i): 16 if i < 6 else 4 for i in range(7)} | {(2, 0): 16, (2, 1): 16, (5, 0): 1}

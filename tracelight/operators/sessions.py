@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import ranked
+from ..functions.ordered import ROWS_PER_RANGE, ranked
 
 CONTEXT = 20
 
@@ -66,9 +66,20 @@ def flat_windows(events: DataFrame, length: int, stream: str = "stream_id", orde
     return events.withColumn("ctx", F.collect_list("event").over(before)).where(F.size("ctx") == length).withColumnRenamed("event", "target")
 
 
-def length_buckets(windows: DataFrame) -> DataFrame:
-    """Windows dealt by context length, so that a batch needs no padding."""
-    return windows.repartition("ctx_len")
+def length_batches(windows: DataFrame, size: int, keys: list[str], rows_per_part: int = ROWS_PER_RANGE) -> DataFrame:
+    """``windows`` with batch_id: batches of ``size`` windows of one context length, so that none needs padding.
+
+    All batches of a length but its last are full. A length is cut by a hash of ``keys`` into parts of about
+    ``rows_per_part`` windows; parts are numbered inside and begin where the ones before them end, so no task
+    has a whole length.
+    """
+    lengths = windows.groupBy("ctx_len").agg(F.ceil(F.count("*") / rows_per_part).alias("__parts"))  # a row for each length, of which there are few
+    salted = windows.join(F.broadcast(lengths), "ctx_len").withColumn("__part", F.pmod(F.xxhash64(*keys), F.col("__parts"))).drop("__parts")
+    before = Window.partitionBy("ctx_len").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy("ctx_len", "__part").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy("ctx_len", "__part").orderBy(*keys)) - 1
+    placed = salted.withColumn("__place", inside).join(counts, ["ctx_len", "__part"])
+    return placed.withColumn("batch_id", F.floor((F.col("__before") + F.col("__place")) / size)).drop("__part", "__place", "__before")
 
 
 def long_enough(encoded: DataFrame, least: int = 2, key: str = "block_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import quantiles
-from ..operators import bands, head, identity, metrics, model, ranking, scores, sessions, splits, vocab
+from ..operators import bands, context_tree, head, identity, metrics, model, ranking, scores, sessions, splits, vocab
 from ..shared import stored
 from .checks import CHRONOLOGICAL, NAMES, check, of_source, variant
 from .lifecycle import lifecycle
@@ -79,9 +79,14 @@ def _(s, d):
     return sessions.flat_windows(_streams(s, d), 5).select("stream_id", "line_no", "target", joined("ctx"))
 
 
-@query("w09_length_buckets", check("SELECT pos AS ctx_len, count(*) AS n FROM win GROUP BY pos"))
+BATCH = 64
+
+
+@query("w09_length_buckets", check(f"SELECT ctx_len, batch_id, least({BATCH}, c - batch_id * {BATCH}) AS n FROM (SELECT ctx_len, c, unnest(range((c + {BATCH - 1}) // {BATCH})) AS batch_id FROM (SELECT pos AS ctx_len, count(*) AS c FROM win GROUP BY pos))"))
 def _(s, d):
-    return sessions.length_buckets(lifecycle(s, d).windows).groupBy(F.col("ctx_len").cast("long").alias("ctx_len")).agg(F.count("*").alias("n"))
+    """Batches of each context length with their sizes."""
+    batches = sessions.length_batches(lifecycle(s, d).windows.select("ctx_len", "block_id", "pos"), BATCH, ["block_id", "pos"])
+    return batches.groupBy(F.col("ctx_len").cast("long").alias("ctx_len"), "batch_id").agg(F.count("*").alias("n"))
 
 
 @query("w10_long_enough", check("SELECT session_id, count(*) FILTER (event IN ('click', 'error')) AS n_known, count(*) FILTER (event IN ('click', 'error')) >= 20 AS kept FROM log GROUP BY session_id"))
@@ -301,7 +306,7 @@ VARIED = "".join(variant(f"_{n}", o, a, b) for n, o, a, b in VARIANTS)
 def _(s, d):
     life, out = lifecycle(s, d), None
     reversed_events = life.events.select("block_id", (-F.col("pos")).alias("pos"), "event")
-    backward = sessions.in_block_windows(reversed_events).join(life.blocks.select("block_id", "y", "split"), "block_id")
+    backward = sessions.in_block_windows(reversed_events, model.ORDER).join(life.blocks.select("block_id", "y", "split"), "block_id")
     for name, order, alpha, back in VARIANTS:
         windows = backward if back else life.windows
         fitted = model.fit(windows.where("split = 'tr' and y = 0"), life.vocab, order, alpha)
@@ -312,14 +317,71 @@ def _(s, d):
     return out
 
 
-@query("m09_attribution", check("""
-SELECT window_id, event, round(w, 6) AS weight, rank FROM (SELECT window_id, event, w, row_number() OVER (PARTITION BY window_id ORDER BY round(w, 12) DESC, event) AS rank FROM
- (SELECT block_id AS window_id, event, sum((pos + 1) / 210.0) AS w FROM ev GROUP BY 1, 2)) WHERE rank <= 3"""))
+OCCLUDED = """
+, oc AS (SELECT * FROM (SELECT e.block_id, e.pos, e.event AS target, lag(e.event, 1) OVER w AS c1, lag(e.event, 2) OVER w AS c2, lag(e.event, 3) OVER w AS c3, s.split FROM ev e JOIN spl s USING (block_id) WINDOW w AS (PARTITION BY e.block_id ORDER BY e.pos)) WHERE pos > 0 AND split = 'te'),
+ov AS (SELECT block_id, pos, target, 0 AS left_out, NULL AS event, c1 AS a1, c2 AS a2 FROM oc UNION ALL SELECT block_id, pos, target, 1, c1, c2, c3 FROM oc UNION ALL SELECT block_id, pos, target, 2, c2, c1, c3 FROM oc WHERE c2 IS NOT NULL),
+ol AS (SELECT v.*, ln((coalesce(b.n, 0) + (coalesce(a.n, 0) + p0.p) / (coalesce(u.t, 0) + 1)) / (coalesce(x.t, 0) + 1)) AS lp FROM ov v JOIN p0 ON p0.event = v.target
+  LEFT JOIN n1 a ON a.c1 = v.a1 AND a.event = v.target LEFT JOIN (SELECT c1, sum(n) AS t FROM n1 GROUP BY c1) u ON u.c1 = v.a1
+  LEFT JOIN n2 b ON b.c2 = v.a2 AND b.c1 = v.a1 AND b.event = v.target LEFT JOIN (SELECT c2, c1, sum(n) AS t FROM n2 GROUP BY c2, c1) x ON x.c2 = v.a2 AND x.c1 = v.a1),
+od AS (SELECT o.block_id, o.pos, o.event, abs(o.lp - z.lp) AS d, sum(abs(o.lp - z.lp)) OVER own AS total, count(*) OVER own AS n FROM ol o JOIN ol z ON z.block_id = o.block_id AND z.pos = o.pos AND z.left_out = 0 WHERE o.left_out > 0 WINDOW own AS (PARTITION BY o.block_id, o.pos)),
+ow AS (SELECT block_id, pos, event, sum(CASE WHEN total > 1e-9 THEN d / total ELSE 1.0 / n END) AS w FROM od GROUP BY ALL) """
+
+
+def occluded(s, d) -> DataFrame:
+    """(block_id, pos, left_out, event, weight) of the test windows."""
+    life = lifecycle(s, d)
+    near = sessions.in_block_windows(life.events.select("block_id", "pos", "event"), model.ORDER + 1).join(life.blocks.where("split = 'te'").select("block_id"), "block_id")
+    return model.occlusion(near, life.model, ["block_id", "pos"])
+
+
+def _wide(s, d) -> DataFrame:
+    """All windows with contexts of up to 20 events."""
+    life = lifecycle(s, d)
+    return sessions.in_block_windows(life.events.select("block_id", "pos", "event")).join(life.blocks.select("block_id", "y", "split"), "block_id")
+
+
+def _tree(s, d) -> tuple[DataFrame, DataFrame]:
+    return context_tree.fit(_wide(s, d).where("split = 'tr' and y = 0"), lifecycle(s, d).vocab)
+
+
+@query("m09_attribution", check(OCCLUDED + """
+SELECT window_id, event, round(w, 6) AS weight, rank FROM (SELECT block_id || '/' || pos AS window_id, event, w, row_number() OVER (PARTITION BY block_id, pos ORDER BY round(w, 12) DESC, event) AS rank FROM ow) WHERE rank <= 3"""))
 def _(s, d):
-    weights = lifecycle(s, d).events.select(F.col("block_id").alias("window_id"), "event", ((F.col("pos") + 1) / 210.0).alias("weight"))
+    """Events of each test window's context by how much the model's log p of the target depends on them."""
+    weights = occluded(s, d).withColumn("window_id", F.concat_ws("/", "block_id", "pos"))
     return model.attribution(weights, 3).select("window_id", "event", *r6("weight"), *longs("rank"))
 
 
+@query("m01_context_tree")
+def _(s, d):
+    """A tree of suffixes of up to 20 events: its nodes and what they gain, by length."""
+    return context_tree.sizes(_tree(s, d)[1]).select(*longs("k"), "n_nodes", "n_seen", *r6("gain"))
+
+
+@query("m02_tree_scores")
+def _(s, d):
+    """All windows scored by the longest suffix in the tree."""
+    scored = context_tree.score(_wide(s, d), _tree(s, d), lifecycle(s, d).vocab)
+    return scored.select("block_id", *longs("pos", "depth"), "target", "predicted", *r6("p_true", "nll", "msp", "entropy_n"))
+
+
+#: Contexts of at most two events, kept under the same rules.
+TREE2 = """
+, t1 AS (SELECT c1, sum(n) AS t FROM n1 GROUP BY c1 HAVING sum(n) >= 8), q1 AS (SELECT t1.c1, p0.event, (coalesce(n1.n, 0) + p0.p) / (t1.t + 1) AS p FROM t1 CROSS JOIN p0 LEFT JOIN n1 ON n1.c1 = t1.c1 AND n1.event = p0.event),
+t2 AS (SELECT c2, c1, sum(n) AS t FROM n2 GROUP BY ALL HAVING sum(n) >= 8), g2 AS (SELECT n2.c2, n2.c1, any_value(t) AS t FROM n2 JOIN t2 USING (c2, c1) JOIN q1 ON q1.c1 = n2.c1 AND q1.event = n2.event GROUP BY n2.c2, n2.c1 HAVING sum(n * ln((n + q1.p) / (t + 1) / q1.p)) >= 4),
+g1 AS (SELECT n1.c1 FROM n1 JOIN t1 USING (c1) JOIN p0 USING (event) GROUP BY n1.c1 HAVING sum(n * ln((n + p0.p) / (t + 1) / p0.p)) >= 4 UNION SELECT c1 FROM g2)
+SELECT w.block_id, w.pos, CASE WHEN g2.t IS NOT NULL THEN 2 WHEN g1.c1 IS NOT NULL THEN 1 ELSE 0 END AS depth, round(CASE WHEN g2.t IS NOT NULL THEN (coalesce(n2.n, 0) + q1.p) / (g2.t + 1) WHEN g1.c1 IS NOT NULL THEN q1.p ELSE p0.p END, 6) AS p_true
+FROM win w JOIN p0 ON p0.event = w.target LEFT JOIN g1 ON g1.c1 = w.c1 LEFT JOIN q1 ON q1.c1 = w.c1 AND q1.event = w.target LEFT JOIN g2 ON g2.c2 = w.c2 AND g2.c1 = w.c1 LEFT JOIN n2 ON n2.c2 = w.c2 AND n2.c1 = w.c1 AND n2.event = w.target"""
+
+
+@query("m02_pruned_contexts", check(TREE2))
+def _(s, d):
+    """The tree of at most two events over the same windows."""
+    life = lifecycle(s, d)
+    tree = context_tree.fit(life.windows.where("split = 'tr' and y = 0").select("ctx", "target"), life.vocab, 2)
+    return context_tree.score(life.windows.select("block_id", "pos", "ctx", "target"), tree, life.vocab).select("block_id", *longs("pos", "depth"), *r6("p_true"))
+
+
 # --- block scores ---------------------------------------------------------------------------------------------------
 def _score_query(key: str, *names: str) -> None:
     sql = check("SELECT block_id, " + ", ".join(f"round(CAST({n} AS DOUBLE), 6) AS {n}" for n in names) + " FROM sc")

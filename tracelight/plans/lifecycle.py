@@ -56,9 +56,15 @@ class Lifecycle:
 
     @cached_property
     def windows(self) -> DataFrame:
-        cut = sessions.in_block_windows(self.events.select("block_id", "pos", "event"))
+        """Windows with as many events of their context as the model asks for, and its whole length; see ``sequences``."""
+        cut = sessions.in_block_windows(self.events.select("block_id", "pos", "event"), model.ORDER).withColumn("ctx_len", F.least("pos", F.lit(sessions.CONTEXT)))
         return stored(cut.join(self.blocks.select("block_id", "y", "split"), "block_id"), "windows")
 
+    @property
+    def sequences(self) -> DataFrame:
+        """(block_id, pos, sequence): whole contexts, made anew for the queries that show them."""
+        return sessions.in_block_windows(self.events.select("block_id", "pos", "event")).select("block_id", "pos", F.col("ctx").alias("sequence"))
+
     @cached_property
     def model(self) -> tuple[DataFrame, DataFrame]:
         return model.fit(self.windows.where("split = 'tr' and y = 0"), self.vocab)

@@ -9,7 +9,7 @@ from ..operators import bands, evidence, fixed_texts, metrics, model, parsing, r
 from ..shared import new_path
 from ..sources import logs
 from .checks import check
-from .detection import MSP_SQL, PCT, TOPW, _banded, _percentiles
+from .detection import MSP_SQL, OCCLUDED, PCT, TOPW, _banded, _percentiles, occluded
 from .lifecycle import lifecycle, read
 from .registry import longs, query, r6
 
@@ -127,15 +127,15 @@ def _csv(s, rows: DataFrame, name: str) -> DataFrame:
 
 @query("s08_window_results", check(SEQUENCES + "SELECT block_id, pos, sequence, predicted AS predicted_event, target AS actual_event, predicted = target AS correct, round(composite, 6) AS anomaly_score, round(1 - composite, 6) AS confidence, CASE WHEN round(composite, 9) >= 0.9 THEN 'ANOMALY' WHEN round(composite, 9) >= 0.45 THEN 'UNCERTAIN' ELSE 'NORMAL' END AS classification FROM sig JOIN sqn USING (block_id, pos) WHERE split = 'te'"))
 def _(s, d):
-    own = lifecycle(s, d).signals.where("split = 'te'")
-    rows = own.select("block_id", *longs("pos"), F.array_join("ctx", " ").alias("sequence"), F.col("predicted").alias("predicted_event"), F.col("target").alias("actual_event"), (F.col("predicted") == F.col("target")).alias("correct"), F.round("composite", 6).alias("anomaly_score"), F.round(1 - F.col("composite"), 6).alias("confidence"), bands.fixed_bands(F.round("composite", 9), 0.9).alias("classification"))
+    own = lifecycle(s, d).signals.where("split = 'te'").join(lifecycle(s, d).sequences, ["block_id", "pos"])
+    rows = own.select("block_id", *longs("pos"), F.array_join("sequence", " ").alias("sequence"), F.col("predicted").alias("predicted_event"), F.col("target").alias("actual_event"), (F.col("predicted") == F.col("target")).alias("correct"), F.round("composite", 6).alias("anomaly_score"), F.round(1 - F.col("composite"), 6).alias("confidence"), bands.fixed_bands(F.round("composite", 9), 0.9).alias("classification"))
     return _csv(s, rows, "window-results")
 
 
 @query("s08_confidence_results", check(SEQUENCES + f"SELECT block_id, pos, sequence, predicted AS predicted_event, target AS actual_event, round(msp, 6) AS confidence_score, {MSP_SQL.format(0.24, 0.22)} AS classification, {MSP_SQL.format(0.24, 0.22)} = 'UNCERTAIN' AS routed FROM sig JOIN sqn USING (block_id, pos) WHERE split = 'te'"))
 def _(s, d):
-    own = lifecycle(s, d).signals.where("split = 'te'").withColumn("classification", bands.msp_band(F.round("msp", 9), 0.24, 0.22))
-    rows = own.select("block_id", *longs("pos"), F.array_join("ctx", " ").alias("sequence"), F.col("predicted").alias("predicted_event"), F.col("target").alias("actual_event"), F.round("msp", 6).alias("confidence_score"), "classification", (F.col("classification") == "UNCERTAIN").alias("routed"))
+    own = lifecycle(s, d).signals.where("split = 'te'").join(lifecycle(s, d).sequences, ["block_id", "pos"]).withColumn("classification", bands.msp_band(F.round("msp", 9), 0.24, 0.22))
+    rows = own.select("block_id", *longs("pos"), F.array_join("sequence", " ").alias("sequence"), F.col("predicted").alias("predicted_event"), F.col("target").alias("actual_event"), F.round("msp", 6).alias("confidence_score"), "classification", (F.col("classification") == "UNCERTAIN").alias("routed"))
     return _csv(s, rows, "confidence-results")
 
 
@@ -154,9 +154,11 @@ def _(s, d):
     return both.select("block_id", F.array_join("events", "|").alias("events"), "y", F.size(F.split("sources", "\\|")).cast("long").alias("n_sources"), "first_us")
 
 
-@query("s08_weights", check("SELECT block_id, event AS event_id, round(sum((pos + 1) / 210.0), 6) AS attention_weight FROM ev GROUP BY ALL"))
+@query("s08_weights", check(OCCLUDED + f"SELECT w.block_id, w.event AS event_id, round(w.w, 6) AS attention_weight FROM ow w JOIN {TOPW} t ON t.block_id = w.block_id AND t.pos = w.pos WHERE t.rank = 1"))
 def _(s, d):
-    own = lifecycle(s, d).events.groupBy("block_id", F.col("event").alias("event_id")).agg(F.round(F.sum((F.col("pos") + 1) / 210.0), 6).alias("attention_weight"))
+    """The weights of the most surprising window of each test block."""
+    top = ranking.most_surprising(lifecycle(s, d).signals.where("split = 'te'")).select("block_id", "pos")
+    own = occluded(s, d).join(top, ["block_id", "pos"]).groupBy("block_id", F.col("event").alias("event_id")).agg(F.round(F.sum("weight"), 6).alias("attention_weight"))
     return _csv(s, own, "weights")
 
 
@@ -347,8 +349,8 @@ FROM {TOPW} w JOIN bnd b USING (block_id) LEFT JOIN tmp p ON p.event = w.predict
 
 def _cases(s, d) -> DataFrame:
     top = ranking.most_surprising(lifecycle(s, d).signals.where("split = 'te'"))
-    own = top.join(_banded(s, d).select("block_id", "band", "score"), "block_id")
-    cases = own.select(F.col("block_id").alias("case_id"), "pos", F.col("ctx").alias("sequence"), "predicted", F.col("target").alias("actual"), F.col("p_true").alias("confidence"), F.col("surprisal").alias("anomaly_score"), "band", "y", "score")
+    own = top.join(_banded(s, d).select("block_id", "band", "score"), "block_id").join(lifecycle(s, d).sequences, ["block_id", "pos"])
+    cases = own.select(F.col("block_id").alias("case_id"), "pos", "sequence", "predicted", F.col("target").alias("actual"), F.col("p_true").alias("confidence"), F.col("surprisal").alias("anomaly_score"), "band", "y", "score")
     return evidence.with_involved(cases, _templates(s, d))
 
 
@@ -486,17 +488,17 @@ def _(s, d):
     return _cases(s, d).select("case_id", evidence.report().alias("report"))
 
 
-FOCUS = """, fw AS (SELECT case_id, event, sum((ix + 1.0) / n) AS w FROM sy GROUP BY case_id, event), fr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY round(w, 12) DESC, event) AS r FROM fw),
+FOCUS = OCCLUDED + """, fr AS (SELECT c.case_id, o.event, o.w, row_number() OVER (PARTITION BY c.case_id ORDER BY round(o.w, 12) DESC, o.event) AS r FROM ow o JOIN cs c ON c.case_id = o.block_id AND c.pos = o.pos),
 fo AS (SELECT case_id, string_agg('  ' || rpad(event, 9, ' ') || format('  {:.4f}', w), chr(10) ORDER BY r) AS focus FROM fr WHERE r <= 5 GROUP BY case_id) """
 ATTENTION = REPORT.replace("Root Cause Assessment", "Model Attention Focus\n  (input events the model weighted most when predicting the next event)\n' || focus || '\n\nRoot Cause Assessment").replace("JOIN ob USING (case_id))", "JOIN ob USING (case_id)) JOIN fo USING (case_id)")
 
 
 @query("l10_attention_report", check(CASES + SEQT + FOCUS + ATTENTION))
 def _(s, d):
-    """The report with its attention section: each event weighs by the places it has in the sequence."""
+    """The report with its attention section: events by how much the model's log p depends on them."""
     cases = _cases(s, d)
-    each = cases.select(F.col("case_id").alias("window_id"), F.size("sequence").alias("n"), F.posexplode("sequence").alias("at", "event"))
-    top = model.attribution(each.select("window_id", "event", ((F.col("at") + 1.0) / F.col("n")).alias("weight")), 5)
+    each = occluded(s, d).join(cases.select(F.col("case_id").alias("block_id"), "pos"), ["block_id", "pos"])
+    top = model.attribution(each.select(F.col("block_id").alias("window_id"), "event", "weight"), 5)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "event", "weight"))), lambda x: F.struct(x["event"].alias("event"), x["weight"].alias("weight")))
     focus = top.groupBy(F.col("window_id").alias("case_id")).agg(listed.alias("attention"))
     return cases.join(focus, "case_id").select("case_id", evidence.report(attention=F.col("attention")).alias("report"))
