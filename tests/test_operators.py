@@ -435,7 +435,7 @@ def test_raw_layouts(spark, tmp_path):
 
 
 # --- variable-order contexts, occlusion and batches ------------------------------------------------------------------
-def brute_tree(cases, words, order, alpha, least_count, least_gain):
+def brute_tree(cases, words, order, alpha, least_count, penalty):
     """Kept suffixes (tuples, latest event first) with their counts, and p of any event after any of them."""
     counts = {}
     for ctx, event in cases:
@@ -450,7 +450,7 @@ def brute_tree(cases, words, order, alpha, least_count, least_gain):
 
     kept = {()}
     for node in counts:
-        if node and sum(counts[node].values()) >= least_count and sum(n * math.log(p(node, e) / p(node[:-1], e)) for e, n in counts[node].items()) >= least_gain:
+        if node and sum(counts[node].values()) >= least_count and sum(n * math.log(p(node, e) / p(node[:-1], e)) for e, n in counts[node].items()) >= penalty * 0.5 * len(counts[node]) * math.log(len(cases)):
             kept |= {node[:k] for k in range(len(node) + 1)}
     return kept, p
 
@@ -470,10 +470,10 @@ def test_the_tree_equals_brute_force(spark):
     windows = sessions.in_block_windows(df, 6)
     train = windows.where("block_id like 't%'")
     words = vocab.fit(df)
-    for order, count, gain in ((4, 3, 1.0), (2, 1, -1e9)):
-        tree = context_tree.fit(train, words, order, 1.0, count, gain)
+    for order, count, penalty in ((4, 3, 0.3), (2, 1, -1e9)):
+        tree = context_tree.fit(train, words, order, 1.0, count, penalty)
         cases = [(list(r["ctx"]), r["target"]) for r in train.collect()]
-        kept, p = brute_tree(cases, "abcd", order, 1.0, count, gain)
+        kept, p = brute_tree(cases, "abcd", order, 1.0, count, penalty)
         assert tree[1].count() == len(kept)
         for r in context_tree.score(windows, tree, words).collect():
             suffix = tuple(r["ctx"][::-1])

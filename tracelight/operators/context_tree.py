@@ -16,8 +16,9 @@ from ..shared import stored
 from . import model
 
 ORDER = 20
-#: A suffix is kept if it was seen so often at least, and it or a longer one gains so many nats over its parent on what follows it.
-LEAST_COUNT, LEAST_GAIN = 8, 4.0
+#: A suffix is kept if it was seen so often at least, and it or a longer one gains over its parent, on what follows it, so many times
+#: the nats that the Bayesian information criterion asks of it: half the logarithm of all windows for each event seen after it.
+LEAST_COUNT, PENALTY = 8, 1.0
 _ROOT = 0
 
 
@@ -25,7 +26,7 @@ def _child(parent: Column, event: Column) -> Column:
     return F.xxhash64(parent, event)
 
 
-def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float = model.ALPHA, least_count: int = LEAST_COUNT, least_gain: float = LEAST_GAIN) -> tuple[DataFrame, DataFrame]:
+def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float = model.ALPHA, least_count: int = LEAST_COUNT, penalty: float = PENALTY) -> tuple[DataFrame, DataFrame]:
     """M01 with contexts of up to ``order`` events: the tables probs (k, node, event, n, total, p) and nodes.
 
     nodes (k, node, parent, total, share, entropy, top, gain, log_shares) has the facts of ``model`` for each kept suffix
@@ -33,6 +34,7 @@ def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float =
     is one subtraction.
     """
     cases = stored(windows.groupBy("ctx", F.col("target").alias("event")).agg(F.count("*").alias("n")), "cases")
+    asked = penalty * 0.5 * F.log(F.lit(max(2.0, float(cases.agg(F.sum("n")).first()[0] or 0))))
     probs, facts = model.unconditional(cases.groupBy("event").agg(F.sum("n").alias("n")), vocab, alpha)
     probs, facts = (df.withColumn("ctx", F.lit(_ROOT).cast("long")) for df in (probs, facts))
     every_p = probs.select("k", F.col("ctx").alias("node"), "event", "n", "total", "p")
@@ -46,18 +48,18 @@ def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float =
         if seen.isEmpty():
             break
         probs, facts = model.conditional(seen, probs, facts, k, alpha)
-        gains = probs.groupBy("ctx").agg(F.sum(F.col("n") * F.ln(F.col("p") / F.col("q"))).alias("gain"))
+        gains = probs.groupBy("ctx").agg(F.sum(F.col("n") * F.ln(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("events"))
         above = nodes.select(F.col("node").alias("lower"), F.col("log_shares").alias("before"))
         shares = (F.col("before") + F.ln("share")).alias("log_shares")
-        grown = facts.join(gains, "ctx").join(above, "lower").select("k", F.col("ctx").alias("node"), F.col("lower").alias("parent"), "total", "share", "entropy", "top", "gain", shares)
+        grown = facts.join(gains, "ctx").join(above, "lower").select("k", F.col("ctx").alias("node"), F.col("lower").alias("parent"), "total", "share", "entropy", "top", "gain", shares, "events")
         nodes = stored(grown, f"tree-nodes-{k}")
         levels.append((probs.select("k", F.col("ctx").alias("node"), "event", "n", "total", "p"), nodes))
         active = stored(step.join(nodes.select("node"), "node", "left_semi").select("ctx", "event", "n", F.col("node").alias("ctx_node")), f"tree-active-{k}")
     kept, below = [], None
     for own_p, own in reversed(levels):
-        gaining = own.where(F.col("gain") >= least_gain).select("node")
+        gaining = own.where(F.col("gain") >= asked * F.col("events")).select("node")
         named = gaining if below is None else gaining.union(below.select(F.col("parent").alias("node"))).distinct()
-        below = stored(own.join(named, "node", "left_semi"), "tree-kept")
+        below = stored(own.join(named, "node", "left_semi").drop("events"), "tree-kept")
         if kept or not below.isEmpty():
             kept.append((own_p.join(below.select("node"), "node", "left_semi"), below))
         else:

@@ -368,17 +368,17 @@ def _(s, d):
 #: Contexts of at most two events, kept under the same rules.
 TREE2 = """
 , t1 AS (SELECT c1, sum(n) AS t FROM n1 GROUP BY c1 HAVING sum(n) >= 8), q1 AS (SELECT t1.c1, p0.event, (coalesce(n1.n, 0) + p0.p) / (t1.t + 1) AS p FROM t1 CROSS JOIN p0 LEFT JOIN n1 ON n1.c1 = t1.c1 AND n1.event = p0.event),
-t2 AS (SELECT c2, c1, sum(n) AS t FROM n2 GROUP BY ALL HAVING sum(n) >= 8), g2 AS (SELECT n2.c2, n2.c1, any_value(t) AS t FROM n2 JOIN t2 USING (c2, c1) JOIN q1 ON q1.c1 = n2.c1 AND q1.event = n2.event GROUP BY n2.c2, n2.c1 HAVING sum(n * ln((n + q1.p) / (t + 1) / q1.p)) >= 4),
-g1 AS (SELECT n1.c1 FROM n1 JOIN t1 USING (c1) JOIN p0 USING (event) GROUP BY n1.c1 HAVING sum(n * ln((n + p0.p) / (t + 1) / p0.p)) >= 4 UNION SELECT c1 FROM g2)
+t2 AS (SELECT c2, c1, sum(n) AS t FROM n2 GROUP BY ALL HAVING sum(n) >= 8), g2 AS (SELECT n2.c2, n2.c1, any_value(t) AS t FROM n2 JOIN t2 USING (c2, c1) JOIN q1 ON q1.c1 = n2.c1 AND q1.event = n2.event GROUP BY n2.c2, n2.c1 HAVING sum(n * ln((n + q1.p) / (t + 1) / q1.p)) >= 0.05 * count(*) * (SELECT ln(n) FROM sz)),
+g1 AS (SELECT n1.c1 FROM n1 JOIN t1 USING (c1) JOIN p0 USING (event) GROUP BY n1.c1 HAVING sum(n * ln((n + p0.p) / (t + 1) / p0.p)) >= 0.05 * count(*) * (SELECT ln(n) FROM sz) UNION SELECT c1 FROM g2)
 SELECT w.block_id, w.pos, CASE WHEN g2.t IS NOT NULL THEN 2 WHEN g1.c1 IS NOT NULL THEN 1 ELSE 0 END AS depth, round(CASE WHEN g2.t IS NOT NULL THEN (coalesce(n2.n, 0) + q1.p) / (g2.t + 1) WHEN g1.c1 IS NOT NULL THEN q1.p ELSE p0.p END, 6) AS p_true
 FROM win w JOIN p0 ON p0.event = w.target LEFT JOIN g1 ON g1.c1 = w.c1 LEFT JOIN q1 ON q1.c1 = w.c1 AND q1.event = w.target LEFT JOIN g2 ON g2.c2 = w.c2 AND g2.c1 = w.c1 LEFT JOIN n2 ON n2.c2 = w.c2 AND n2.c1 = w.c1 AND n2.event = w.target"""
 
 
 @query("m02_pruned_contexts", check(TREE2))
 def _(s, d):
-    """The tree of at most two events over the same windows."""
+    """The tree of at most two events over the same windows, pruned less."""
     life = lifecycle(s, d)
-    tree = context_tree.fit(life.windows.where("split = 'tr' and y = 0").select("ctx", "target"), life.vocab, 2)
+    tree = context_tree.fit(life.windows.where("split = 'tr' and y = 0").select("ctx", "target"), life.vocab, 2, penalty=0.1)
     return context_tree.score(life.windows.select("block_id", "pos", "ctx", "target"), tree, life.vocab).select("block_id", *longs("pos", "depth"), *r6("p_true"))
 
 
