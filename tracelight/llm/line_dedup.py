@@ -272,7 +272,8 @@ def _without_lines(rows: DataFrame, text_col: str) -> DataFrame:
     schema = StructType([*source.schema.fields, StructField("n_lines", IntegerType())])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole, (a, b) in ((batch, part) for batch in batches for part in common.steps(common.raw_bytes(common.text_column(batch, text_col))[1])):
+            batch = whole.slice(a, b - a)
             texts, counts = [], []
             for text, dropped in zip(batch.column(len(others)), batch.column(len(others) + 1)):
                 lines = (text.as_py() or "").encode().split(b"\n")
