@@ -7,6 +7,7 @@ import gzip
 import math
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import ordered
 from tracelight.functions.ordered import ranked
-from tracelight.operators import bands, context_tree, evidence, fixed_texts, identity, metrics, model, parsing, ranking, scores, sessions, splits, vocab
+from tracelight.operators import bands, context_tree, evidence, fixed_texts, head, identity, metrics, model, parsing, ranking, scores, semantics, sessions, splits, vocab
 from tracelight.sources import logs
 from tracelight.streaming import jobs
 
@@ -554,3 +555,122 @@ def test_batches_of_a_length_are_full_but_the_last(spark, per_part):
     for r in got:
         sizes[r["ctx_len"], r["batch_id"]] = sizes.get((r["ctx_len"], r["batch_id"]), 0) + 1
     assert sizes == {(1, i): 16 if i < 6 else 4 for i in range(7)} | {(2, 0): 16, (2, 1): 16, (5, 0): 1}
+
+
+# --- template vectors and neighbours ---------------------------------------------------------------------------------
+def template_texts(rng, families, members, n_words):
+    """Families of alike texts, as one statement of a program writes them; small words are everywhere."""
+    named = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n_words)]
+    out = []
+    for _ in range(families):
+        base = [rng.choice(["of", "to", "the", "for"]) if rng.random() < 0.3 else rng.choice(named) for _ in range(rng.randint(5, 9))]
+        for _ in range(members):
+            own = list(base)
+            own[rng.randrange(len(own))] = rng.choice(named)
+            out.append((f"E{len(out):04d}", " ".join(own)))
+    return out
+
+
+def plain_weights(rows):
+    """The term weights as a matrix."""
+    terms = []
+    for _, text in rows:
+        ws = re.findall("[a-z]+", (text or "").lower())
+        terms.append(ws + [f"{a} {b}" for a, b in zip(ws, ws[1:])])
+    names = {t: i for i, t in enumerate(sorted({t for own in terms for t in own}))}
+    tf = np.zeros((len(rows), len(names)))
+    for i, own in enumerate(terms):
+        for t in own:
+            tf[i, names[t]] += 1
+    raw = tf * (np.log((1 + len(rows)) / (1 + (tf > 0).sum(0))) + 1)
+    norm = np.linalg.norm(raw, axis=1, keepdims=True)
+    return raw / np.where(norm > 0, norm, 1)
+
+
+def test_reduced_vectors_span_what_numpy_finds(spark):
+    rng = random.Random(41)
+    rows = template_texts(rng, 8, 4, 20) + [("E9998", None), ("E9999", "123 -")]
+    df = spark.createDataFrame(rows, "event string, template string")
+    for rows, dims in ((rows, 4), ([*rows[:5], rows[0], *rows[-2:]], 6)):  # the second of rank 5
+        rows = [(f"{e}{i}" if i == 5 and dims == 6 else e, t) for i, (e, t) in enumerate(rows)]
+        df = spark.createDataFrame(rows, "event string, template string")
+        a = plain_weights(rows)
+        u, sv, _ = np.linalg.svd(a, full_matrices=False)
+        got = {r["event"]: np.array(r["vector"]) for r in semantics.reduced(semantics.term_weights(df.select("event"), df), dims, 12 if dims == 4 else 1).collect()}
+        k = len(next(iter(got.values())))
+        assert k == min(dims, int((sv > 1e-6 * sv[0]).sum()))
+        mine = np.stack([got.get(e, np.zeros(k)) for e, _ in rows])
+        q, _ = np.linalg.qr(mine)
+        assert np.arccos(np.clip(np.linalg.svd(q.T @ u[:, :k], compute_uv=False), -1, 1)).max() < 1e-6
+        assert np.allclose(mine @ mine.T, (u[:, :k] * sv[:k] ** 2) @ u[:, :k].T, atol=1e-8)
+    rows = template_texts(random.Random(41), 8, 4, 20) + [("E9998", None), ("E9999", "123 -")]
+    df = spark.createDataFrame(rows, "event string, template string")
+    vectors = {r["event"]: np.array(r["vector"]) for r in semantics.template_vectors(df.select("event"), df, 4).collect()}
+    assert math.isclose(max(abs(v).max() for v in vectors.values()), 0.1) and not vectors["E9998"].any() and len(vectors["E9999"]) == 4
+    assert len({round(float(np.linalg.norm(v)), 9) for e, v in vectors.items() if e < "E9"}) == 1
+
+
+def test_neighbours_equal_all_pairs_from_few_pairs(spark):
+    rng = random.Random(42)
+    rows = template_texts(rng, 300, 5, 1200)
+    df = spark.createDataFrame(rows, "event string, template string")
+    weights = semantics.stored(semantics.term_weights(df.select("event"), df), "weights")
+    pairs = semantics.candidates(weights, 3).count()
+    assert pairs < 0.05 * len(rows) * len(rows)
+    a = plain_weights(rows)
+    cosines = np.round(a @ a.T, 9)
+    np.fill_diagonal(cosines, -1)
+    order = np.argsort(-cosines, axis=1, kind="stable")[:, :3]
+    got = {}
+    for r in semantics.most_similar(weights, 3).collect():
+        got[r["event"], r["rank"]] = (r["other"], r["cosine"])
+    for i, (event, _) in enumerate(rows):
+        for k, j in enumerate(order[i], 1):
+            if cosines[i, j] > 0:
+                other, cosine = got[event, k]
+                assert math.isclose(cosine, cosines[i, j], abs_tol=2e-9) and math.isclose(cosines[i, int(other[1:])], cosines[i, j], abs_tol=2e-9)
+            else:
+                assert (event, k) not in got
+
+
+# --- controls and separation -----------------------------------------------------------------------------------------
+def test_rank_sum_variance_is_less_by_ties(spark):
+    # 0/1 scores with 30 of 50 and 20 of 50 ones: AUROC 0.6, z 2.0 over the standard deviation without ties
+    rows = [("f", float(i < 30), 1) for i in range(50)] + [("f", float(i < 20), 0) for i in range(50)]
+    rows += [("one", 1.0, i % 2) for i in range(20)] + [("far", float(i), int(i >= 40)) for i in range(80)]
+    got = {r["score_name"]: r for r in head.separation_tests(spark.createDataFrame(rows, "score_name string, score double, y int")).collect()}
+
+    def plain(own):
+        values = sorted(s for _, s, _ in own)
+        rank = {v: (values.index(v) + 1 + len(values) - values[::-1].index(v)) / 2 for v in set(values)}
+        m, size = sum(y for _, _, y in own), len(own)
+        n = size - m
+        u = sum(rank[s] for _, s, y in own if y) - m * (m + 1) / 2
+        mean = (size + 1) / 2
+        variance = m * n / (size * (size - 1)) * sum((rank[v] - mean) ** 2 for v in values)  # of ranks as they are
+        return abs(u - m * n / 2) / math.sqrt(variance)
+
+    for name in ("f", "far"):
+        own = [r for r in rows if r[0] == name]
+        assert math.isclose(got[name]["z"], plain(own), rel_tol=1e-9)
+        assert math.isclose(got[name]["p"], math.erfc(plain(own) / math.sqrt(2)), abs_tol=2e-7)
+    assert got["one"]["z"] == 0 and got["one"]["p"] > 0.999 and got["f"]["p"] < 0.05
+
+
+def test_sources_that_do_not_differ_are_not_told_apart_out_of_fold(spark):
+    rng = np.random.default_rng(7)
+    from pyspark.ml.functions import array_to_vector
+
+    values = rng.normal(size=(600, 4))
+    for shift, low, high in ((0.0, 0.4, 0.6), (2.0, 0.9, 1.0)):
+        rows = [(f"b{i}", int(i % 3 == 0), [float(x + shift * (i % 3 == 0)) for x in v]) for i, v in enumerate(values)]
+        df = spark.createDataFrame(rows, "block_id string, y int, v array<double>").select("block_id", "y", array_to_vector("v").alias("vector"))
+        done = head.out_of_fold(df, "block_id")
+        assert done.count() == 600
+        assert low <= metrics.ranking_quality(done.select("y", "score")).first()["auroc"] <= high
+
+
+def test_majority_source_of_a_block(spark):
+    rows = [("a", "x"), ("a", "y"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", None)]
+    got = {r["block_id"]: r["source"] for r in identity.majority_source(spark.createDataFrame(rows, "block_id string, source string")).collect()}
+    assert got == {"a": "y", "b": "x", "c": None}

@@ -71,6 +71,22 @@ def embedding_rows(embeddings: DataFrame, key: str = "vec_id") -> DataFrame:
     return embeddings.select(key, array_to_vector(F.col("embedding").cast("array<double>")).alias("vector"), (F.col("label") >= 5).cast("int").alias("y"))
 
 
+def out_of_fold(rows: DataFrame, key: str, folds: int = 2, seed: int = 42) -> DataFrame:
+    """Q07: ``rows`` (key, vector, y) with the score of a head that was fitted without them, one fold of a hash of ``key`` after the other.
+
+    A fold whose other rows have one label only gets the score 0.5.
+    """
+    dealt = rows.withColumn("__fold", F.pmod(seeded_hash(F.col(key).cast("string"), seed), F.lit(folds)))
+    out = None
+    for fold in range(folds):
+        train, held = dealt.where(F.col("__fold") != fold), dealt.where(F.col("__fold") == fold)
+        labels = train.agg(F.countDistinct("y")).first()[0]
+        own = score_head(held, fit_head(train)) if labels > 1 else held.withColumn("score", F.lit(0.5))
+        own = own.select(*rows.columns, "score")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def poisson_cuts(most: int = 6) -> list[float]:
     """The distribution function of a Poisson variable with mean 1 below ``most``."""
     terms = [math.exp(-1) / math.factorial(k) for k in range(most)]
@@ -106,10 +122,17 @@ def bootstrap_difference(paired: DataFrame, replicates: int = 50, seed: int = 42
 
 
 def separation_tests(long: DataFrame, name: str = "score_name") -> DataFrame:
-    """Per feature the AUROC, its rank-sum z and p (normal approximation) and the Benjamini-Hochberg q."""
-    own = metrics.ranking_quality(long, [name])
-    m, n = F.col("n_pos"), F.col("n_neg")
-    z = F.abs(F.col("auroc") - 0.5) * F.sqrt(12.0 * m * n / (m + n + 1))
+    """Per feature the AUROC, its rank-sum z and p (normal approximation, variance less that of ties) and the Benjamini-Hochberg q.
+
+    ``t`` equal scores take (t ** 3 - t) / (N * (N - 1)) off the N + 1 of the variance m * n / 12 * (N + 1). A feature of
+    one value has z = 0.
+    """
+    t = F.col("t").cast("double")
+    ties = long.groupBy(name, "score").agg(F.count("*").alias("t")).groupBy(name).agg(F.sum(t * t * t - t).alias("ties"))
+    own = metrics.ranking_quality(long, [name]).join(ties, name)
+    m, n = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    spread = m + n + 1 - F.col("ties") / F.greatest((m + n) * (m + n - 1), F.lit(1.0))
+    z = F.coalesce(F.abs(F.col("auroc") - 0.5) * F.sqrt(12.0 * m * n / F.when(spread > 1e-9, spread)), F.lit(0.0))
     # two-sided normal tail by the complementary error function's rational approximation (absolute error below 1.5e-7)
     x = z / F.sqrt(F.lit(2.0))
     t = 1 / (1 + 0.3275911 * x)

@@ -49,3 +49,9 @@ def slot_features(slots: DataFrame, names: list[str], key: str = "session_id") -
     """Q06: per session, the mean of each numeric slot and the distinct values of each categorical one."""
     numeric = F.avg(F.when(F.col("kind") == "numeric", F.expr("try_cast(value as double)")))
     return slots.groupBy(key).pivot("slot", names).agg(numeric.alias("mean"), F.countDistinct(F.when(F.col("kind") == "categorical", F.col("value"))).alias("distinct"))
+
+
+def majority_source(lines: DataFrame, key: str = "block_id") -> DataFrame:
+    """(key, source): the source that most lines of a block come from, the first by name of several."""
+    own = lines.groupBy(key, "source").agg(F.count("*").alias("__n"))
+    return own.groupBy(key).agg(F.min(F.struct(-F.col("__n"), "source"))["source"].alias("source"))

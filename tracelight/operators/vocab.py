@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer
-from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,40 +82,3 @@ def normal_frequencies(events: DataFrame, blocks: DataFrame) -> DataFrame:
 def with_templates(events: DataFrame, templates: DataFrame) -> DataFrame:
     """Events with their template text, the event id where there is none."""
     return events.join(templates.select("event", "template"), "event", "left").withColumn("text", F.coalesce("template", "event")).drop("template")
-
-
-def template_vectors(vocab: DataFrame, templates: DataFrame, dims: int = 16) -> DataFrame:
-    """(event, vector): 1-2-gram TF-IDF of template texts, reduced by a truncated SVD, unit rows, scaled to a largest entry of .1.
-
-    A missing template counts as an empty text. Only dims x dims and terms x dims factors are local; both
-    depend on the vocabulary, not on the log.
-    """
-    text = with_templates(vocab.select("event", "idx"), templates).withColumn("text", F.when(F.col("text") == F.col("event"), "").otherwise(F.col("text")))
-    stages = [RegexTokenizer(inputCol="text", outputCol="w1", pattern="\\W+"), NGram(n=2, inputCol="w1", outputCol="w2")]
-    tokens = Pipeline(stages=stages).fit(text).transform(text).withColumn("terms", F.concat("w1", "w2"))
-    counted = CountVectorizer(inputCol="terms", outputCol="tf", minDF=1.0).fit(tokens)
-    tf = counted.transform(tokens)
-    tfidf = IDF(inputCol="tf", outputCol="tfidf").fit(tf).transform(tf).select("event", "idx", "tfidf")
-    n, terms = vocab.count(), len(counted.vocabulary)
-    k = max(1, min(dims, terms - 1, n - 1))
-    matrix = IndexedRowMatrix(tfidf.select("idx", "tfidf").rdd.map(lambda r: IndexedRow(r[0], OldVectors.fromML(r[1]))))
-    svd = matrix.computeSVD(k, computeU=True)
-    scale = svd.s.toArray().tolist()
-    rows = svd.U.rows.map(lambda r: (int(r.index), [float(x) * s for x, s in zip(r.vector.toArray(), scale)])).toDF("idx int, v array<double>")
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = rows.withColumn("v", F.transform("v", lambda x: F.coalesce(x / F.nullif(norm, F.lit(0.0)), F.lit(0.0))))
-    top = unit.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top"))
-    scaled = unit.crossJoin(F.broadcast(top)).withColumn("v", F.transform("v", lambda x: F.coalesce(x * 0.1 / F.nullif(F.col("top"), F.lit(0.0)), F.lit(0.0))))
-    return tfidf.select("event", "idx").join(scaled.select("idx", F.col("v").alias("vector")), "idx")
-
-
-def template_similarity(vectors: DataFrame, k: int = 3) -> DataFrame:
-    """The ``k`` most similar other templates of each by cosine; vocabulary-sized."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    a, b = vectors.select(F.col("event").alias("event"), F.col("vector").alias("va")), vectors.select(F.col("event").alias("other"), F.col("vector").alias("vb"))
-    size = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
-    pairs = a.join(b, F.col("event") != F.col("other")).withColumn("cosine", F.coalesce(dot(F.col("va"), F.col("vb")) / F.nullif(size("va") * size("vb"), F.lit(0.0)), F.lit(0.0)))
-    order = Window.partitionBy("event").orderBy(F.round("cosine", 9).desc(), "other")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("event", "other", "cosine", "rank")
-
-

@@ -771,7 +771,9 @@ def _(s, d):
 
 
 SEPARATION = """
-, zs AS (SELECT score_name, auroc, abs(auroc - 0.5) * sqrt(12.0 * n_pos * n_neg / (n_pos + n_neg + 1)) AS z FROM qul WHERE split = 'te'), ts AS (SELECT *, z / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * z / sqrt(2.0)) AS t FROM zs),
+, ti AS (SELECT score_name, sum(CAST(p + q AS DOUBLE) ** 3 - (p + q)) AS ties FROM pts WHERE split = 'te' GROUP BY 1),
+vs AS (SELECT *, n_pos + n_neg + 1 - ties / greatest(CAST(n_pos + n_neg AS DOUBLE) * (n_pos + n_neg - 1), 1) AS spread FROM qul JOIN ti USING (score_name) WHERE split = 'te'),
+zs AS (SELECT score_name, auroc, coalesce(abs(auroc - 0.5) * sqrt(12.0 * n_pos * n_neg / CASE WHEN spread > 1e-9 THEN spread END), 0) AS z FROM vs), ts AS (SELECT *, z / sqrt(2.0) AS x, 1 / (1 + 0.3275911 * z / sqrt(2.0)) AS t FROM zs),
 ps AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) AS p FROM ts), rs AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, score_name) AS raw, row_number() OVER (ORDER BY p, score_name) AS r FROM ps) """
 
 
@@ -781,11 +783,14 @@ def _(s, d):
 
 
 @query("j24_provenance_control", check("""
-SELECT s.y, CAST(s.ordinal % 2 AS BIGINT) AS source_group, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median FROM sd s GROUP BY ALL"""))
+, ms AS (SELECT block_id, source FROM (SELECT block_id, source, row_number() OVER (PARTITION BY block_id ORDER BY count(*) DESC, source) AS r FROM ev GROUP BY block_id, source) WHERE r = 1)
+SELECT s.y, source AS source_group, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5), 6) AS median FROM sd s JOIN ms USING (block_id) GROUP BY ALL"""))
 def _(s, d):
-    scored, by = lifecycle(s, d).scored.withColumn("source_group", F.col("ordinal") % 2), ["y", "source_group"]
+    """Scores by label and by the source that most lines of a block come from."""
+    life, by = lifecycle(s, d), ["y", "source_group"]
+    scored = stored(life.scored.join(identity.majority_source(life.events), "block_id").withColumnRenamed("source", "source_group"), "scored-by-source")
     own = scored.groupBy(*by).agg(F.count("*").alias("n"), F.avg("score").alias("mean"))
-    return own.join(quantiles(scored, "score", {"median": 0.5}, by), by).select("y", *longs("source_group"), "n", *r6("mean", "median"))
+    return own.join(quantiles(scored, "score", {"median": 0.5}, by), by).select("y", "source_group", "n", *r6("mean", "median"))
 
 
 # --- identity and timing --------------------------------------------------------------------------------------------

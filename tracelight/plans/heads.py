@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import head, metrics
-from ..shared import new_path
+from ..operators import head, identity, metrics
+from ..shared import new_path, stored
 from .lifecycle import lifecycle, read
 from .registry import query, r6
 from .texts import _cases
@@ -62,13 +62,15 @@ def _(s, d):
 
 @query("q07_source_control")
 def _(s, d):
-    """The head fitted on which half of the log a block comes from: separability of sources without any anomaly."""
-    life = lifecycle(s, d)
-    own = life.wide.where("y = 0").select("block_id", (F.col("ordinal") % 2).cast("int").alias("y"), F.array("nll_mean", "surprisal_max", "miss_frac", "msp_mean").alias("v"))
+    """How well block scores tell the log's sources apart without any anomaly: per source the AUROC of heads on blocks they did not see."""
     from pyspark.ml.functions import array_to_vector
 
-    rows = own.select("block_id", "y", array_to_vector("v").alias("vector"))
-    done = head.score_head(rows, head.fit_head(rows)).select("y", "score")
-    return metrics.ranking_quality(done).select(*r6("auroc", "pr_auc"), "n_pos", "n_neg")
-
-
+    life = lifecycle(s, d)
+    sources = stored(identity.majority_source(life.events), "majority-source")
+    own = life.wide.where("y = 0").join(sources, "block_id").select("block_id", "source", array_to_vector(F.array("nll_mean", "surprisal_max", "miss_frac", "msp_mean")).alias("vector"))
+    out = None
+    for source in sorted(r["source"] for r in sources.select("source").distinct().collect()):  # the log's files
+        rows = own.withColumn("y", (F.col("source") == source).cast("int"))
+        done = metrics.ranking_quality(head.out_of_fold(rows, "block_id").select("y", "score")).select(F.lit(source).alias("source"), *r6("auroc", "pr_auc"), "n_pos", "n_neg")
+        out = done if out is None else out.unionByName(done)
+    return out

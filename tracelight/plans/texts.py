@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bands, evidence, fixed_texts, metrics, model, parsing, ranking, sessions, splits, vocab
+from ..operators import bands, evidence, fixed_texts, metrics, model, parsing, ranking, semantics, sessions, splits, vocab
 from ..shared import new_path
 from ..sources import logs
 from .checks import check
@@ -331,14 +331,30 @@ def _(s, d):
     return vocab.with_templates(lifecycle(s, d).events, _templates(s, d)).select("block_id", *longs("pos"), "text")
 
 
-@query("v12_template_vectors")
+WEIGHTS = r""", tw AS (SELECT event, regexp_extract_all(lower(coalesce(template, '')), '[a-z]+') AS ws FROM voc LEFT JOIN tmp USING (event)),
+tt AS (SELECT event, unnest(ws) AS term FROM tw UNION ALL SELECT event, ws[i] || ' ' || ws[i + 1] FROM (SELECT event, ws, unnest(range(1, len(ws))) AS i FROM tw)),
+tf AS (SELECT event, term, count(*) AS tf FROM tt GROUP BY ALL), dt AS (SELECT term, count(*) AS df FROM tf GROUP BY term), wr AS (SELECT event, term, tf * (ln((1.0 + (SELECT count(*) FROM voc)) / (1 + df)) + 1) AS raw FROM tf JOIN dt USING (term)),
+wt AS (SELECT event, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY event)) AS w FROM wr) """
+DIMS = 4
+
+
+@query("v12_template_vectors", check(WEIGHTS + f"""
+SELECT a.event, CAST(count(w.term) AS BIGINT) AS n_terms, least({DIMS}, (SELECT count(*) FROM dt) - 1, (SELECT count(*) FROM voc) - 1) AS dims, CASE WHEN count(w.term) > 0 THEN 1.0 ELSE 0.0 END AS length, 0.1 AS largest FROM voc a LEFT JOIN wt w USING (event) GROUP BY a.event"""))
 def _(s, d):
-    return vocab.template_vectors(lifecycle(s, d).vocab, _templates(s, d), 4).select("event", F.size("vector").alias("dims"), F.array_max(F.transform("vector", lambda x: F.abs(x))).alias("largest"))
+    """Vectors by what must hold of them: places, the length beside the longest one, the largest entry of all."""
+    life, templates = lifecycle(s, d), _templates(s, d)
+    own = semantics.template_vectors(life.vocab, templates, DIMS).withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))
+    most = own.agg(F.max("norm").alias("most"), F.max(F.array_max(F.transform("vector", lambda x: F.abs(x)))).alias("largest"))  # one row
+    terms = semantics.term_weights(life.vocab, templates).groupBy("event").agg(F.count("*").alias("n_terms"))
+    every = own.crossJoin(F.broadcast(most)).join(terms, "event", "left")
+    return every.select("event", F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"), F.size("vector").cast("long").alias("dims"), F.round(F.col("norm") / F.col("most"), 6).alias("length"), *r6("largest"))
 
 
-@query("v13_template_similarity")
+@query("v13_template_similarity", check(WEIGHTS + """
+SELECT event, other, rank, round(cosine, 6) AS cosine FROM (SELECT event, other, cosine, row_number() OVER (PARTITION BY event ORDER BY round(cosine, 9) DESC, other) AS rank FROM (SELECT a.event, b.event AS other, sum(a.w * b.w) AS cosine FROM wt a JOIN wt b ON a.term = b.term AND a.event <> b.event GROUP BY ALL)) WHERE rank <= 3"""))
 def _(s, d):
-    return vocab.template_similarity(vocab.template_vectors(lifecycle(s, d).vocab, _templates(s, d), 4)).select("event", "other", "rank", *r6("cosine"))
+    weights = semantics.term_weights(lifecycle(s, d).vocab, _templates(s, d))
+    return semantics.most_similar(weights, 3).select("event", "other", *longs("rank"), *r6("cosine"))
 
 
 # --- cases: the most surprising window of each test block, with its evidence ----------------------------------------
