@@ -15,7 +15,7 @@ import sentencepiece
 import tokenizers
 from pyspark.sql import functions as F
 
-from tracelight.llm import alignment, collocations, line_dedup, super_minhash
+from tracelight.llm import alignment, collocations, line_dedup, sentence_pieces, super_minhash
 
 ODD = [None, "", " ", " \n\t ", "one", "one", "One\ttwo", "special <|endoftext|> <s> 日本 ﬁ 0x41   tab\tend", "a▁b", "▁", "x" * 3000, "a\0b", "é é   x  y", "  two  spaces ", "tail \n \t", "\x1c y \x85 z"]
 
@@ -316,3 +316,15 @@ def test_blank_lines_and_repeated_lines_take_linear_time(spark):
     began = time.time()
     once.write.format("noop").mode("overwrite").save()
     assert time.time() - began < 10
+
+
+# --- 1: words too long for a lattice ---------------------------------------------------------------------------------
+def test_the_viterbi_path_of_a_long_word_is_that_of_the_whole(spark):
+    rng = random.Random(17)
+    path = sentence_pieces.default_path()
+    long = ["▁" + "".join(rng.choices(letters, k=n)) for letters, n in (("abcdeé", 301), ("tionheras", 150), ("日本x", 130), ("ab", 113))]
+    df = spark.createDataFrame([(w,) for w in [*long, "▁the", "▁token"]], "word string")
+    for fold in ("merges", "viterbi"):
+        parts = {r["word"]: (r["ids"], r["n_best"]) for r in sentence_pieces.encode_words(df, spark, path, fold).collect()}
+        whole = {r["word"]: (r["ids"], r["n_best"]) for r in sentence_pieces.encode_words(df, spark, path, fold, 400, 48).collect()}
+        assert parts == whole and all(parts[w][1] < len(w) for w in long)

@@ -207,26 +207,72 @@ def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | Non
     return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), "n_best")
 
 
+def best_path(word: str, scores: dict[str, float], longest: int) -> list[int]:
+    """The cuts that ``viterbi`` gives, in time and memory that grow with the word alone: for words too long for a lattice in one row."""
+    best, back = [0.0], [0]
+    for b in range(1, len(word) + 1):
+        top, at = -math.inf, b - 1
+        for a in range(max(0, b - longest), b):  # of equal paths the one whose last piece begins first
+            score = scores.get(word[a:b], UNKNOWN_SCORE if b - a == 1 else None)
+            if score is not None and best[a] + score > top:
+                top, at = best[a] + score, a
+        best.append(top)
+        back.append(at)
+    cuts = [len(word)]
+    while cuts[-1]:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
+
+
+def _with_paths(words: DataFrame, path: str, with_ids: bool) -> DataFrame:
+    """(word, ids, n_best) of long words: n_best from the best path of the whole word, ids too if asked for."""
+    pieces, spec = model_spec(path)
+    ranked = sorted(pieces, key=lambda x: (-x[2], x[1]))  # bytes too, as ``with_ranks``
+    scores = {p: -math.log(k + 2.0) if spec["kind"] == "bpe" else score for k, (p, _, score, byte) in enumerate(ranked) if byte is None}
+    known, longest = {p: i for p, i, _, byte in pieces if byte is None}, max(map(len, scores))
+    first_byte = next((i for _, i, _, byte in pieces if byte == 0), None) if spec["fallback"] else None
+    shared = words.sparkSession.sparkContext.broadcast((scores, known))  # the piece table, of a fixed size
+
+    def coded(text: str) -> list[int]:
+        if text in shared.value[1]:
+            return [shared.value[1][text]]
+        return [spec["unk"]] if first_byte is None else [first_byte + b for b in text.encode()]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, word in enumerate(batch.column(0).to_pylist()):
+                cuts = best_path(word, shared.value[0], longest)
+                ids = pa.array([[i for a, b in zip(cuts, cuts[1:]) for i in coded(word[a:b])]], pa.list_(pa.int32())) if with_ids else batch.column(1).slice(k, 1)
+                yield pa.RecordBatch.from_arrays([pa.array([word]), ids, pa.array([len(cuts) - 1], pa.int32())], ["word", "ids", "n_best"])
+
+    rows = words.select("word", F.lit(None).cast("array<int>").alias("ids")) if with_ids else words.select("word", "ids")
+    return rows.mapInArrow(make, "word string, ids array<int>, n_best int")
+
+
 def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | None = None, step: int = CHUNK_STEP, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(word, ids, n_best) of distinct words; ``fold`` is ``merges`` for merge models, ``viterbi`` for unigram ones.
 
-    Words of over ``step + overlap`` characters are encoded in chunks that overlap, and spliced at the first token
-    that both chunks have at the same place. For merges that is exact: ids are those of the whole word if each two
-    neighbours are what their joint text is merged to, and every two neighbours stand side by side in one chunk.
-    For a Viterbi path each part is the best within its chunk. Where two chunks share no token, the word is done
-    again with chunks and overlaps four times as long, up to the whole word.
+    Words of over ``step + overlap`` characters are too long for a lattice in one row. Their Viterbi path is found by
+    ``best_path``. For merges they are encoded in chunks that overlap, and spliced at the first token that both
+    chunks have at the same place. That is exact: ids are those of the whole word if each two neighbours are what
+    their joint text is merged to, and every two neighbours stand side by side in one chunk. Where two chunks share
+    no token, the word is done again with chunks and overlaps four times as long, up to the whole word.
     """
+    fold = fold or {"bpe": "merges", "unigram": "viterbi"}[model_spec(path)[1]["kind"]]
     short = words.where(F.char_length("word") <= step + overlap)
     done = _tokenised(short, spark, path, fold).select("word", _flat(F.col("tokens")).alias("ids"), "n_best")
-    left = common.stored(words.where(F.char_length("word") > step + overlap).withColumn("wid", F.monotonically_increasing_id()), "long-words")
+    long = words.where(F.char_length("word") > step + overlap)
+    if fold == "viterbi":
+        return done.unionByName(_with_paths(long, path, True))
+    left = common.stored(long.withColumn("wid", F.monotonically_increasing_id()), "long-words")
     parts = []
     while left.limit(1).count():
         size = F.char_length("word")
         last = F.greatest(F.ceil((size - overlap) / step).cast("int") - 1, F.lit(0))
         chunks = left.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
-        chunks = chunks.select("wid", "k", last.alias("last"), F.substring(F.col("word"), F.col("k") * step + 1, F.when(F.col("k") < last, F.lit(step + overlap)).otherwise(size)).alias("part"))
+        chunks = chunks.select("wid", "k", F.substring(F.col("word"), F.col("k") * step + 1, F.when(F.col("k") < last, F.lit(step + overlap)).otherwise(size)).alias("part"))
         coded = _tokenised(chunks.select(F.col("part").alias("word")).distinct(), spark, path, fold)
-        coded = common.stored(chunks.join(coded, chunks["part"] == coded["word"]).select("wid", "k", "last", F.transform("tokens", lambda t: F.struct((t["a"] + F.col("k") * step).alias("a"), (t["b"] + F.col("k") * step).alias("b"), t["ids"].alias("ids"))).alias("tokens"), "n_best"), "word-chunks")
+        coded = common.stored(chunks.join(coded, chunks["part"] == coded["word"]).select("wid", "k", F.transform("tokens", lambda t: F.struct((t["a"] + F.col("k") * step).alias("a"), (t["b"] + F.col("k") * step).alias("b"), t["ids"].alias("ids"))).alias("tokens")), "word-chunks")
         after = coded.select("wid", (F.col("k") - 1).alias("k"), F.col("tokens").alias("next"))
         shared = F.filter("tokens", lambda t: F.exists("next", lambda n: (n["a"] == t["a"]) & (n["b"] == t["b"])))
         cuts = coded.join(after, ["wid", "k"]).select("wid", (F.col("k") + 1).alias("k"), F.get(shared, F.lit(0))["a"].alias("cut"))
@@ -235,13 +281,12 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
         good = coded.join(failed, "wid", "left_anti")
         good = good.join(cuts.withColumnRenamed("cut", "from"), ["wid", "k"], "left").join(cuts.select("wid", (F.col("k") - 1).alias("k"), F.col("cut").alias("to")), ["wid", "k"], "left")
         own = F.filter("tokens", lambda t: (t["a"] >= F.coalesce("from", F.lit(0))) & (F.col("to").isNull() | (t["a"] < F.col("to"))))
-        spliced = good.select("wid", "k", _flat(own).alias("ids"), F.when(F.col("last") == 0, F.col("n_best")).otherwise(F.size(own)).alias("n_best"))
-        whole = spliced.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"), F.sum("n_best").cast("int").alias("n_best"))
-        parts.append(left.join(whole, "wid").select("word", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "n_best"))
+        whole = good.select("wid", "k", _flat(own).alias("ids")).groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+        parts.append(left.join(whole, "wid").select("word", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")))
         left = common.stored(left.join(failed, "wid", "left_semi"), "long-words")
         step, overlap = 4 * step, 4 * overlap
     for part in parts:
-        done = done.unionByName(part)
+        done = done.unionByName(_with_paths(part, path, False))
     return done
 
 
@@ -257,8 +302,8 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     ``n_best`` is the number of pieces on the Viterbi paths of its words: of a unigram model itself, or, for a merge
     model, of the unigram model with the same pieces whose probabilities fall with their rank.
 
-    Rows are dealt to groups of bounded text: by the stretch of the file that they come from, and by a hash of all their
-    columns. A group asks once for each of its distinct words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
+    Rows are dealt to groups of bounded text (beyond it only where one and the same row repeats): by the stretch of the
+    file that they come from, and by a hash of all their columns. A group asks once for each of its distinct words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
     costs no more than a rare one. Texts are shuffled once, to be put together from their group's words. ``texts`` is
     read twice and must give the same rows each time. A null or empty text has no ids; repeated rows are kept, null
     identifiers are like any other; existing columns ``ids`` and ``n_best`` are replaced, others of any name kept. An
