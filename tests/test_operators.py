@@ -674,3 +674,24 @@ def test_majority_source_of_a_block(spark):
     rows = [("a", "x"), ("a", "y"), ("a", "y"), ("b", "y"), ("b", "x"), ("c", None)]
     got = {r["block_id"]: r["source"] for r in identity.majority_source(spark.createDataFrame(rows, "block_id string, source string")).collect()}
     assert got == {"a": "y", "b": "x", "c": None}
+
+
+def test_bootstrap_rows_grow_with_distinct_scores(spark):
+    rng = np.random.default_rng(8)
+    # few scores: one combination of 300 blocks, which the normal number draws
+    y = (rng.random(1000) < 0.5).astype(int)
+    a = np.where(rng.random(1000) < 0.7, y, 1 - y) * 1.0
+    b = np.where(rng.random(1000) < 0.6, y, 1 - y) * 1.0
+    df = spark.createDataFrame([(f"b{i}", int(y[i]), float(a[i]), float(b[i])) for i in range(1000)], "block_id string, y int, a double, b double")
+    got = head.bootstrap_difference(df, 400).first()
+
+    def auroc(s, w):
+        pos, neg = (w * y), (w * (1 - y))
+        wins = (pos[s == 1].sum() * neg[s == 0].sum()) + 0.5 * (pos[s == 1].sum() * neg[s == 1].sum() + pos[s == 0].sum() * neg[s == 0].sum())
+        return wins / (pos.sum() * neg.sum())
+
+    plain = [auroc(a, w) - auroc(b, w) for w in rng.poisson(1, (2000, 1000))]
+    for name, q in (("low", 0.025), ("median", 0.5), ("high", 0.975)):
+        assert abs(got[name] - np.quantile(plain, q)) < 0.012
+    table = {r["n"]: r["cdf"] for r in head.poisson_table(spark).collect()}
+    assert math.isclose(table[1][1], 2 / math.e, rel_tol=1e-12) and all(abs(c[-1] - 1) < 1e-12 for c in table.values())

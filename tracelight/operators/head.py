@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics
@@ -87,29 +88,37 @@ def out_of_fold(rows: DataFrame, key: str, folds: int = 2, seed: int = 42) -> Da
     return out
 
 
-def poisson_cuts(most: int = 6) -> list[float]:
-    """The distribution function of a Poisson variable with mean 1 below ``most``."""
-    terms = [math.exp(-1) / math.factorial(k) for k in range(most)]
-    return [sum(terms[: k + 1]) for k in range(most)]
+#: Poisson totals of so many blocks at most are drawn from their distribution function, larger ones from a normal number.
+MOST_EXACT = 32
 
 
-def _poisson(u: Column) -> Column:
-    """A Poisson(1) weight from a uniform number, by the inverse of its distribution up to 6."""
-    cuts = poisson_cuts()
-    out = F.lit(len(cuts))
-    for k in reversed(range(len(cuts))):
-        out = F.when(u < cuts[k], k).otherwise(out)
-    return out
+def poisson_table(spark: SparkSession) -> DataFrame:
+    """(n, cdf): the distribution function of Poisson variables with mean 1 to ``MOST_EXACT``."""
+    rows = []
+    for n in range(1, MOST_EXACT + 1):
+        terms = [math.exp(-n + k * math.log(n) - math.lgamma(k + 1)) for k in range(120)]
+        rows.append((n, list(accumulate(terms))))
+    return spark.createDataFrame(rows, "n long, cdf array<double>")
 
 
 def bootstrap_difference(paired: DataFrame, replicates: int = 50, seed: int = 42) -> DataFrame:
     """Interval of the AUROC difference of two scores (block_id, y, a, b) from Poisson-weighted replicates.
 
-    Each replicate weighs a block by a hash of both, so no row is collected and replicates are one grouped job.
+    Blocks that agree in y and, to nine places, in both scores are counted first. In a replicate n of them have a
+    Poisson total of mean n, the sum of n weights of mean 1: drawn by inversion from a hash of the scores and the replicate
+    up to ``MOST_EXACT``, beyond it as the normal number of two hashes with its skewness corrected. So rows grow with
+    distinct scores, not with blocks, and none is collected.
     """
-    table = paired.sparkSession.range(replicates).withColumnRenamed("id", "replicate")
-    u = seeded_hash(F.concat_ws("/", "block_id", F.col("replicate").cast("string")), seed) / float(1 << 32)
-    weighted = paired.crossJoin(F.broadcast(table)).withColumn("w", _poisson(u)).where("w > 0")
+    spark = paired.sparkSession
+    counted = paired.select("y", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")).groupBy("y", "a", "b").agg(F.count("*").alias("n"))
+    table = spark.range(replicates).withColumnRenamed("id", "replicate")
+    whole = lambda c: F.round(F.col(c) * 1e9).cast("decimal(38,0)").cast("string")
+    key = F.concat_ws("/", whole("a"), whole("b"), F.col("y").cast("string"), F.col("replicate").cast("string"))
+    drawn = counted.crossJoin(F.broadcast(table)).join(F.broadcast(poisson_table(spark)), "n", "left")  # both of a fixed size
+    u, v = ((seeded_hash(k, seed) + 0.5) / float(1 << 32) for k in (key, F.concat(key, F.lit("/2"))))
+    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+    large = F.greatest(F.floor(F.col("n") + F.sqrt("n") * z + (z * z - 1) / 6 + 0.5), F.lit(0))
+    weighted = drawn.withColumn("u", u).withColumn("w", F.when(F.col("cdf").isNotNull(), F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(large)).where("w > 0")
     long = weighted.select("replicate", "y", "w", F.explode(F.array(F.struct(F.lit("a").alias("name"), F.col("a").alias("score")), F.struct(F.lit("b").alias("name"), F.col("b").alias("score")))).alias("s")).select("replicate", "y", "w", "s.*")
     points = long.groupBy("replicate", "name", "score").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("q"))
     from ..functions.ordered import running

@@ -755,10 +755,13 @@ def _(s, d):
     return _by_metric(rows, TABLE).select("metric", *r6(*rows))
 
 
-# Poisson weights of each block and replicate from the first 32 bits of a hash
-POISSON = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(head.poisson_cuts())) + " ELSE 6 END"
-BOOTSTRAP = f"""
-, bw AS (SELECT r, y, nll_mean AS a, miss_frac AS b, {POISSON} AS w FROM (SELECT *, CAST('0x' || substr(md5(block_id || '/' || r || '42'), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM (SELECT * FROM sc WHERE split = 'te') x, (SELECT unnest(range(50)) AS r) z)),
+# Poisson totals of the blocks that agree in label and scores, in each replicate, from hashes
+BOOTSTRAP = """
+, pt AS (SELECT n, list(cdf ORDER BY k) AS cdf FROM (SELECT n, k, sum(exp(-n + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS cdf FROM range(1, 33) x(n), range(120) z(k)) GROUP BY n),
+pc AS (SELECT y, round(nll_mean, 9) AS a, round(miss_frac, 9) AS b, count(*) AS n FROM sc WHERE split = 'te' GROUP BY ALL),
+pk AS (SELECT *, CAST(CAST(round(a * 1e9) AS DECIMAL(38, 0)) AS VARCHAR) || '/' || CAST(CAST(round(b * 1e9) AS DECIMAL(38, 0)) AS VARCHAR) || '/' || y || '/' || r AS key FROM pc, (SELECT unnest(range(50)) AS r)),
+pu AS (SELECT *, (CAST('0x' || substr(md5(key || '42'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS u, (CAST('0x' || substr(md5(key || '/242'), 1, 8) AS BIGINT) + 0.5) / 4294967296.0 AS v FROM pk),
+pz AS (SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM pu), bw AS (SELECT r, y, a, b, CASE WHEN cdf IS NOT NULL THEN len(list_filter(cdf, lambda c: c <= u)) ELSE greatest(floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5), 0) END AS w FROM pz LEFT JOIN pt USING (n)),
 bl AS (SELECT r, 'a' AS name, a AS score, y, w FROM bw WHERE w > 0 UNION ALL SELECT r, 'b', b, y, w FROM bw WHERE w > 0), bp AS (SELECT r, name, score, sum(w * y) AS p, sum(w * (1 - y)) AS q FROM bl GROUP BY ALL),
 bc AS (SELECT *, sum(p) OVER (PARTITION BY r, name ORDER BY score DESC) AS cp FROM bp), ba AS (SELECT r, name, coalesce(sum((cp - p) * q + 0.5 * p * q) / nullif(sum(p) * sum(q), 0), 0) AS auroc FROM bc GROUP BY r, name),
 bd AS (SELECT r, max(auroc) FILTER (name = 'a') - max(auroc) FILTER (name = 'b') AS d FROM ba GROUP BY r) """
