@@ -211,7 +211,10 @@ def test_alignment_equals_brute_force(spark, empty, libraries):
     for most in (1 << 20, 40, 0):  # all pairs broadcast, some, none
         got = {r["doc_id"]: tuple(r[c] for c in names) for r in alignment.align(df, most_pairs=most).collect()}
         assert [got[i] for i in range(len(texts))] == want
+    got = {r["doc_id"]: tuple(r[c] for c in names) for r in alignment.align(df, most_bytes=20).collect()}  # nearly all in segments
+    assert [got[i] for i in range(len(texts))] == want
     assert alignment.align(empty).count() == 0
+    assert [r["n_a"] for r in alignment.align(df.where("coalesce(text, '') = ''")).collect()] == [0, 0]
     repeated = alignment.align(spark.createDataFrame([(None, "a b"), (None, "a b")], "doc_id long, text string")).collect()
     assert [r["count_sum"] for r in repeated] == [4, 4]
 

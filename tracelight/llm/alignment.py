@@ -26,6 +26,7 @@ MOST_UNITS, MOST_IDS, CALL_CHARS = 1 << 19, 1 << 22, 1 << 16
 #: A stretch ends before each space that follows a character other than white space. No token of either tokenizer goes
 #: on there, so both encode one stretch like another wherever it stands.
 _UNIT = re.compile(r" \s*\S*(?:[^\S ]\s*\S*)*")
+_CUT = re.compile(r"(?<=\S) ")
 #: A pair of ids is one number: A's shifted by so many bits, and B's.
 PAIR_BITS = 20
 
@@ -211,7 +212,57 @@ def load(bpe_path: str, piece_path: str) -> Pair:
     return Pair(bpe_path, piece_path)
 
 
-def _aligned(rows: DataFrame, paths: tuple[str, str]) -> DataFrame:
+def segments(text: str, most_bytes: int = common.STEP_BYTES) -> Iterator[str]:
+    """Parts of a text at ends of stretches, where tokens of both end as well: encoded one by one they give what the whole gives.
+
+    A stretch longer than ``most_bytes`` characters is not cut.
+    """
+    start = 0
+    while len(text) - start > most_bytes:
+        cut = _CUT.search(text, start + most_bytes)
+        if cut is None or cut.end() == len(text):  # a space at the end needs what is before it
+            break
+        yield text[start : cut.start()]
+        start = cut.end()  # the space is put first again
+    yield text[start:]
+
+
+class _Measured:
+    """Numbers, group text and id pairs of some texts."""
+
+    def __init__(self, pair: Pair, texts: list[str]):
+        (a, b), (self.n_a, self.n_b) = pair.encode(texts)
+        aligned = Alignment(np.cumsum(pair.sizes[0][a]), np.cumsum(pair.sizes[1][b]))
+        self.text, ends = groups_text(a, b, aligned, pair.digits)
+        docs = len(texts)
+        a_owner = np.repeat(np.arange(docs), self.n_a)
+        self.n_groups = np.bincount(a_owner[aligned.a_common], minlength=docs)
+        self.last = np.append(0, ends)[np.cumsum(self.n_groups)]
+        link_owner = a_owner[aligned.a]
+        self.n_links = np.bincount(link_owner, minlength=docs)
+        self.pairs, self.times = np.unique(link_owner << 2 * PAIR_BITS | a[aligned.a] << PAIR_BITS | b[aligned.b], return_counts=True)
+
+    def groups(self) -> Iterator[bytes]:
+        """The group text of each text."""
+        for first, last in zip([0, *self.last[:-1].tolist()], self.last.tolist()):
+            yield self.text[first : last - 1] if last > first else b""
+
+
+def _huge(pair: Pair, text: str, most_bytes: int) -> tuple[list[int], str, np.ndarray, np.ndarray]:
+    """Numbers, digest, id pairs and their times of a text that is measured segment by segment."""
+    numbers, digest, known, times = np.zeros(4, np.int64), hashlib.sha256(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for segment in segments(text, most_bytes):
+        own = _Measured(pair, [segment])
+        if not own.n_a[0]:
+            return [0] * 4, "", known[:0], times[:0]
+        digest.update((b";" if numbers.any() else b"") + next(own.groups()))
+        numbers += [own.n_a[0], own.n_b[0], own.n_groups[0], own.n_links[0]]
+        known, at = np.unique(np.concatenate([known, own.pairs]), return_inverse=True)
+        times = np.bincount(at, np.concatenate([times, own.times])).astype(np.int64)
+    return numbers.tolist(), digest.hexdigest(), known, times
+
+
+def _aligned(rows: DataFrame, paths: tuple[str, str], most_bytes: int) -> DataFrame:
     """Numbers of tokens, groups and links of each row, the digest of its groups, its id pairs and how often each is linked."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,23 +270,19 @@ def _aligned(rows: DataFrame, paths: tuple[str, str]) -> DataFrame:
         for batch in batches:
             col = common.text_column(batch, "text")
             _, at = common.raw_bytes(col)
-            for start, end in common.steps(at):
-                (a, b), (n_a, n_b) = pair.encode(col.slice(start, end - start).to_pylist())
-                aligned = Alignment(np.cumsum(pair.sizes[0][a]), np.cumsum(pair.sizes[1][b]))
-                text, ends = groups_text(a, b, aligned, pair.digits)
-                docs = end - start
-                a_owner = np.repeat(np.arange(docs), n_a)
-                n_groups = np.bincount(a_owner[aligned.a_common], minlength=docs)
-                last = np.append(0, ends)[np.cumsum(n_groups)]
-                first = np.append(0, last[:-1])
-                digests = [hashlib.sha256(text[x : y - 1]).hexdigest() if n else "" for x, y, n in zip(first.tolist(), last.tolist(), n_groups.tolist())]
-                link_owner = a_owner[aligned.a]
-                coded, times = np.unique(link_owner << 2 * PAIR_BITS | a[aligned.a] << PAIR_BITS | b[aligned.b], return_counts=True)
-                places = pa.array(np.searchsorted(coded, np.arange(docs + 1) << 2 * PAIR_BITS).astype(np.int32))
-                made = [n_a, n_b, n_groups, np.bincount(link_owner, minlength=docs)]
-                columns = [pa.array(x.astype(np.int64)) for x in made] + [pa.array(digests, pa.string())]
-                columns += [pa.ListArray.from_arrays(places, pa.array(x)) for x in (coded & (1 << 2 * PAIR_BITS) - 1, times.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, docs) for k in (0, 1)), *columns], ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
+            for start, end in common.steps(at, most_bytes):
+                if at[end] - at[start] > most_bytes:  # one text
+                    numbers, digest, pairs, times = _huge(pair, col[start].as_py(), most_bytes)
+                    made, digests, places = [[x] for x in numbers], [digest], [0, len(pairs)]
+                else:
+                    own = _Measured(pair, col.slice(start, end - start).to_pylist())
+                    made = [own.n_a, own.n_b, own.n_groups, own.n_links]
+                    digests = [hashlib.sha256(x).hexdigest() if x else "" for x in own.groups()]
+                    places = np.searchsorted(own.pairs, np.arange(end - start + 1) << 2 * PAIR_BITS)
+                    pairs, times = own.pairs & (1 << 2 * PAIR_BITS) - 1, own.times
+                columns = [pa.array(np.asarray(x, np.int64)) for x in made] + [pa.array(digests, pa.string())]
+                columns += [pa.ListArray.from_arrays(pa.array(np.asarray(places, np.int32)), pa.array(x)) for x in (pairs, times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, end - start) for k in (0, 1)), *columns], ["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
 
     added = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
     return rows.mapInArrow(make, f"doc_id long, row long, {added}")
@@ -274,6 +321,7 @@ def align(
     id_col: str = "doc_id",
     text_col: str = "text",
     most_pairs: int = MOST_PAIRS,
+    most_bytes: int = common.STEP_BYTES,
 ) -> DataFrame:
     """Alignment of two tokenizations of every whole text, one row per input row.
 
@@ -286,11 +334,12 @@ def align(
     Null and empty texts, and those where the joined token bytes of A or B differ from the text's (B takes U+2581
     for a space), have zeros and an empty digest. A null identifier stays null, repeated rows count each and give
     repeated results, an empty table gives none, further columns are not read. ``most_pairs`` pairs at most are
-    broadcast; all others meet their counts in a join, which gives the same.
+    broadcast; all others meet their counts in a join, which gives the same. A text of more than ``most_bytes`` is
+    measured segment by segment, so memory does not grow with it but for stretches without a space and its distinct id pairs.
     """
     paths = bpe_path or bpe.default_path(), piece_path or public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), docs[text_col].alias("text"))
-    aligned = common.stored(_aligned(rows, paths), "aligned")
+    aligned = common.stored(_aligned(rows, paths, most_bytes), "aligned")
     counts = pair_counts(aligned)
     known = _commonest(counts, most_pairs).toArrow().sort_by("pair")
     shared = docs.sparkSession.sparkContext.broadcast([known[c].to_numpy() for c in ("pair", "n", "best")])
