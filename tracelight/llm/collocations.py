@@ -248,7 +248,7 @@ def collocations(
         group = ["lang"] if parts == 1 else ["lang", F.pmod(F.xxhash64("phrase"), F.lit(parts))]
         order = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a"), "phrase")
         kept = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return kept.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return kept.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,7 +281,7 @@ WITH pieces AS (
 ), kept AS (
   SELECT b.* FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase WHERE g.most IS NULL OR 100 * g.most < 50 * b.a
 )
-SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase)::INTEGER AS rank, k.phrase, k.a, k.l, k.r, s.n, k.score::BIGINT AS score
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY k.score DESC, k.a DESC, k.phrase) AS rank, k.phrase, k.a, k.l, k.r, s.n, k.score::BIGINT AS score
 FROM kept k JOIN sizes s ON s.lang = k.lang
 QUALIFY rank <= 2000
 """
