@@ -498,6 +498,16 @@ def test_long_contexts_predict_better_where_they_matter(spark):
     assert tree[0].count() <= 4 * train.count() and all(r['n_nodes'] <= train.count() for r in context_tree.sizes(tree[1]).collect())
 
 
+def test_tree_scores_never_send_the_windows_to_the_driver(spark, tmp_path):
+    rows = [(i, [str(i % 3), str(i % 2)], str(i % 5)) for i in range(60)] + [(60, ["0"], None)]
+    spark.createDataFrame(rows, "id int, ctx array<string>, target string").write.parquet(f"{tmp_path}/windows")
+    windows = spark.read.parquet(f"{tmp_path}/windows")
+    words = spark.createDataFrame([(str(i),) for i in range(5)], "event string")
+    scored = context_tree.score(windows, context_tree.fit(windows.where("target is not null"), words, 2), words)
+    assert "BuildLeft" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in scored.collect()) == list(range(60))
+
+
 def test_two_thousand_event_types(spark):
     rng = random.Random(33)
     rows = [(f"{'t' if b < 80 else 'v'}{b}", i, f"e{int(rng.paretovariate(0.4)) % 2000}") for b in range(100) for i in range(60)]

@@ -107,7 +107,9 @@ def score(windows: DataFrame, tree: tuple[DataFrame, DataFrame], vocab: DataFram
         F.max(F.when(F.col("p").isNotNull(), F.struct("k", "p", "log_shares"))).alias("__own"),
     )
     best = best.select("__near", "target", "depth", "__f", (F.col("__own.p") * F.exp(F.col("__all") - F.col("__own.log_shares"))).alias("p_true"))
-    return model.signals(keyed.join(best, ["__near", "target"]), [*windows.columns, "depth"], vocab)
+    # windows of few events are small files with very many rows; a left join never sends them to the driver, and every target asked for is there
+    told = keyed.where(F.col("target").isNotNull()).join(stored(best, "tree-best"), ["__near", "target"], "left")
+    return model.signals(told, [*windows.columns, "depth"], vocab)
 
 
 def sizes(nodes: DataFrame) -> DataFrame:

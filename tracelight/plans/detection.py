@@ -337,7 +337,7 @@ def occluded(s, d) -> DataFrame:
 def _wide(s, d) -> DataFrame:
     """All windows with contexts of up to 20 events."""
     life = lifecycle(s, d)
-    return sessions.in_block_windows(life.events.select("block_id", "pos", "event")).join(life.blocks.select("block_id", "y", "split"), "block_id")
+    return sessions.in_block_windows(life.events.select("block_id", "pos", "event")).join(life.placed, "block_id")
 
 
 def _tree(s, d) -> tuple[DataFrame, DataFrame]:

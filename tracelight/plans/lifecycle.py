@@ -58,7 +58,12 @@ class Lifecycle:
     def windows(self) -> DataFrame:
         """Windows with as many events of their context as the model asks for, and its whole length; see ``sequences``."""
         cut = sessions.in_block_windows(self.events.select("block_id", "pos", "event"), model.ORDER).withColumn("ctx_len", F.least("pos", F.lit(sessions.CONTEXT)))
-        return stored(cut.join(self.blocks.select("block_id", "y", "split"), "block_id"), "windows")
+        return stored(cut.join(self.placed, "block_id"), "windows")
+
+    @property
+    def placed(self) -> DataFrame:
+        """(block_id, y, split) to join windows with: merged, as windows are sorted by block already and the blocks' small file holds too many rows to broadcast."""
+        return self.blocks.select("block_id", "y", "split").hint("merge")
 
     @property
     def sequences(self) -> DataFrame:
