@@ -705,3 +705,11 @@ def test_bootstrap_rows_grow_with_distinct_scores(spark):
         assert abs(got[name] - np.quantile(plain, q)) < 0.012
     table = {r["n"]: r["cdf"] for r in head.poisson_table(spark).collect()}
     assert math.isclose(table[1][1], 2 / math.e, rel_tol=1e-12) and all(abs(c[-1] - 1) < 1e-12 for c in table.values())
+
+
+def test_poisson_tables_end_where_no_number_drawn_reaches(spark):
+    largest = 1 - 0.5 / 2**32
+    for n, cdf in head.poisson_table(spark).collect():
+        full = [sum(math.exp(-n + k * math.log(n) - math.lgamma(k + 1)) for k in range(m + 1)) for m in range(120)]
+        assert len(cdf) < 90 and cdf[-1] > largest
+        assert all(sum(c <= u for c in cdf) == sum(c <= u for c in full) for u in (0.5 / 2**32, 0.3, 0.999, largest))

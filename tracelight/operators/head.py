@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from . import metrics
 from .splits import seeded_hash
 
@@ -90,14 +91,17 @@ def out_of_fold(rows: DataFrame, key: str, folds: int = 2, seed: int = 42) -> Da
 
 #: Poisson totals of so many blocks at most are drawn from their distribution function, larger ones from a normal number.
 MOST_EXACT = 32
+#: No number drawn is larger: (2 ** 32 - 0.5) / 2 ** 32.
+MOST_DRAWN = 1 - 1e-10
 
 
 def poisson_table(spark: SparkSession) -> DataFrame:
-    """(n, cdf): the distribution function of Poisson variables with mean 1 to ``MOST_EXACT``."""
+    """(n, cdf): the distribution function of Poisson variables with mean 1 to ``MOST_EXACT``, up to the first value that no number drawn reaches."""
     rows = []
     for n in range(1, MOST_EXACT + 1):
         terms = [math.exp(-n + k * math.log(n) - math.lgamma(k + 1)) for k in range(120)]
-        rows.append((n, list(accumulate(terms))))
+        cdf = list(accumulate(terms))
+        rows.append((n, cdf[: 1 + next(k for k, c in enumerate(cdf) if c > MOST_DRAWN)]))
     return spark.createDataFrame(rows, "n long, cdf array<double>")
 
 
@@ -107,20 +111,22 @@ def bootstrap_difference(paired: DataFrame, replicates: int = 50, seed: int = 42
     Blocks that agree in y and, to nine places, in both scores are counted first. In a replicate n of them have a
     Poisson total of mean n, the sum of n weights of mean 1: drawn by inversion from a hash of the scores and the replicate
     up to ``MOST_EXACT``, beyond it as the normal number of two hashes with its skewness corrected. So rows grow with
-    distinct scores, not with blocks, and none is collected.
+    distinct scores, not with blocks, and none is collected. Hashes are stored before they are compared, as
+    Spark would otherwise take them anew for each value of a distribution function, and so are the points, which are read four times.
     """
     spark = paired.sparkSession
     counted = paired.select("y", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")).groupBy("y", "a", "b").agg(F.count("*").alias("n"))
     table = spark.range(replicates).withColumnRenamed("id", "replicate")
     whole = lambda c: F.round(F.col(c) * 1e9).cast("decimal(38,0)").cast("string")
     key = F.concat_ws("/", whole("a"), whole("b"), F.col("y").cast("string"), F.col("replicate").cast("string"))
-    drawn = counted.crossJoin(F.broadcast(table)).join(F.broadcast(poisson_table(spark)), "n", "left")  # both of a fixed size
+    spread = counted.crossJoin(F.broadcast(table)).repartition("y", "a", "b", "replicate")  # few counts fill one partition, but not their replicates
     u, v = ((seeded_hash(k, seed) + 0.5) / float(1 << 32) for k in (key, F.concat(key, F.lit("/2"))))
-    z = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+    z = F.sqrt(-2 * F.ln("u")) * F.cos(2 * math.pi * F.col("v"))
     large = F.greatest(F.floor(F.col("n") + F.sqrt("n") * z + (z * z - 1) / 6 + 0.5), F.lit(0))
-    weighted = drawn.withColumn("u", u).withColumn("w", F.when(F.col("cdf").isNotNull(), F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(large)).where("w > 0")
+    drawn = stored(spread.select("*", u.alias("u"), v.alias("v")), "drawn").join(F.broadcast(poisson_table(spark)), "n", "left")  # of a fixed size
+    weighted = drawn.withColumn("w", F.when(F.col("cdf").isNotNull(), F.size(F.filter("cdf", lambda c: c <= F.col("u")))).otherwise(large)).where("w > 0")
     long = weighted.select("replicate", "y", "w", F.explode(F.array(F.struct(F.lit("a").alias("name"), F.col("a").alias("score")), F.struct(F.lit("b").alias("name"), F.col("b").alias("score")))).alias("s")).select("replicate", "y", "w", "s.*")
-    points = long.groupBy("replicate", "name", "score").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("q"))
+    points = stored(long.groupBy("replicate", "name", "score").agg(F.sum(F.col("w") * F.col("y")).alias("p"), F.sum(F.col("w") * (1 - F.col("y"))).alias("q")), "points")
     from ..functions.ordered import running
 
     summed = running(points, [F.col("score").desc()], {"cp": F.col("p")}, F.col("score"), ["replicate", "name"], descending=True)
