@@ -713,3 +713,9 @@ def test_poisson_tables_end_where_no_number_drawn_reaches(spark):
         full = [sum(math.exp(-n + k * math.log(n) - math.lgamma(k + 1)) for k in range(m + 1)) for m in range(120)]
         assert len(cdf) < 90 and cdf[-1] > largest
         assert all(sum(c <= u for c in cdf) == sum(c <= u for c in full) for u in (0.5 / 2**32, 0.3, 0.999, largest))
+
+
+def test_mining_never_shuffles_the_messages(spark):
+    mined = parsing.mine_templates(spark.createDataFrame([(f"job {i} on host{i % 7} ended", i) for i in range(50)], "message string, line_no int"))
+    assert "Exchange hashpartitioning" not in mined._jdf.queryExecution().executedPlan().toString()
+    assert {r["template"] for r in mined.collect()} == {"job <*> on <*> ended"}

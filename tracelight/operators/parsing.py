@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import ranked
+from ..shared import stored
 
 # The line header, identifier and mask patterns of the log formats.
 HEADER = r"^(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+\[([^\]]*)\]\s+(.*)$"
@@ -54,17 +55,22 @@ def mine_templates(messages: DataFrame, col: str = "message", depth: int = 2, mo
     wildcard). A position with more than ``most`` distinct tokens in its group becomes a wildcard. Tokens
     are counted over distinct masked messages, so a frequent message costs no more than a rare one.
     """
-    tokens = F.split(F.trim(F.regexp_replace(masked(F.col(col)), "\\s+", " ")), " ")
-    known = messages.withColumn("__tokens", tokens)
-    head = F.transform(F.slice("__tokens", 1, depth), lambda t: F.when(t.rlike("\\d"), WILDCARD).otherwise(t))
-    known = known.withColumn("__group", F.concat(F.size("__tokens").cast("string"), F.lit(" "), F.array_join(head, " ")))
-    kinds = known.select("__group", "__tokens").distinct()
+    # read twice below, and masks are dear; stored, as Spark would also make the messages anew wherever a filter or pattern names them
+    known = stored(messages.withColumn("__masked", F.trim(F.regexp_replace(masked(F.col(col)), "\\s+", " "))), "masked")
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        own = rows.withColumn("__tokens", F.split("__masked", " "))
+        head = F.transform(F.slice("__tokens", 1, depth), lambda t: F.when(t.rlike("\\d"), WILDCARD).otherwise(t))
+        return own.withColumn("__group", F.concat(F.size("__tokens").cast("string"), F.lit(" "), F.array_join(head, " ")))
+
+    kinds = grouped(known.select("__masked").distinct())
     spread = kinds.select("__group", F.posexplode("__tokens").alias("at", "token")).distinct()
     busy = spread.groupBy("__group", "at").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    wild = busy.groupBy("__group").agg(F.collect_set("at").alias("__wild"))
-    out = known.join(wild, "__group", "left")
+    # stored, so that its size is known and the messages are not shuffled to meet it
+    wild = stored(busy.groupBy("__group").agg(F.collect_set("at").alias("__wild")), "wild")
+    out = grouped(known).join(wild, "__group", "left")
     shown = F.transform("__tokens", lambda t, i: F.when(F.coalesce(F.array_contains("__wild", i), F.lit(False)) | t.rlike("\\d"), WILDCARD).otherwise(t))
-    return out.withColumn("template", F.array_join(shown, " ")).drop("__tokens", "__group", "__wild")
+    return out.withColumn("template", F.array_join(shown, " ")).drop("__masked", "__tokens", "__group", "__wild")
 
 
 def template_catalogue(parsed: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bands, evidence, fixed_texts, metrics, model, parsing, ranking, semantics, sessions, splits, vocab
-from ..shared import new_path
+from ..shared import new_path, stored
 from ..sources import logs
 from .checks import check
 from .detection import MSP_SQL, OCCLUDED, PCT, TOPW, _banded, _percentiles, occluded
@@ -270,7 +270,7 @@ q AS (SELECT * FROM a WHERE contains(mark, '<*>')) """
 
 
 def _params(s, d) -> DataFrame:
-    return parsing.parameters(parsing.mine_templates(_messages(s, d)))
+    return parsing.parameters(stored(parsing.mine_templates(_messages(s, d)), "mined"))
 
 
 @query("p12_parameters", SLOTS + "SELECT line_no, slot, value FROM q")
