@@ -719,3 +719,9 @@ def test_mining_never_shuffles_the_messages(spark):
     mined = parsing.mine_templates(spark.createDataFrame([(f"job {i} on host{i % 7} ended", i) for i in range(50)], "message string, line_no int"))
     assert "Exchange hashpartitioning" not in mined._jdf.queryExecution().executedPlan().toString()
     assert {r["template"] for r in mined.collect()} == {"job <*> on <*> ended"}
+
+
+def test_slots_are_typed_by_rows_and_distinct_values(spark):
+    rows = [("t", 0, "a" * 32, "s1")] * 3 + [("t", 0, "x", "s2"), ("t", 1, "1", "s1"), ("t", 1, "2.5", "s2"), ("t", 1, None, "s3"), ("t", 2, "q", "s1"), ("t", 2, "1", None)]
+    got = sorted(tuple(r) for r in parsing.typed_slots(spark.createDataFrame(rows, "template string, slot int, value string, session_id string")).collect())
+    assert got == [("t", 1, "numeric", 2, 3), ("t", 2, "categorical", 2, 1)]

@@ -123,8 +123,14 @@ def typed_slots(params: DataFrame, session: str = "session_id", share: float = 0
     categorical. Identifiers, constants and slots seen in fewer than ``share`` of the sessions are dropped.
     """
     value = F.col("value")
-    total = params.agg(F.countDistinct(session).alias("all"))
-    own = params.groupBy("template", "slot").agg(F.avg(value.rlike(f"{UUID}|[0-9a-fA-F]{{32,}}").cast("int")).alias("ids"), F.min(value.rlike("^-?\\d+(\\.\\d+)?$").cast("int")).alias("num"), F.countDistinct("value").alias("n_distinct"), F.countDistinct(session).alias("n_sessions"))
+    params = stored(params.select("template", "slot", "value", session), "parameters")
+    values = params.groupBy("template", "slot", "value").agg(F.count("*").alias("n"))
+    seen = stored(params.groupBy("template", "slot", session).agg(F.count("*").alias("n")), "slot-sessions")
+    total = seen.agg(F.countDistinct(session).alias("all"))
+    # patterns are tried on distinct values
+    ids = F.sum(F.when(value.rlike(f"{UUID}|[0-9a-fA-F]{{32,}}"), F.col("n")).otherwise(0)) / F.sum(F.when(value.isNotNull(), F.col("n")))
+    own = values.groupBy("template", "slot").agg(ids.alias("ids"), F.min(value.rlike("^-?\\d+(\\.\\d+)?$").cast("int")).alias("num"), F.count("value").alias("n_distinct"))
+    own = own.join(seen.groupBy("template", "slot").agg(F.count(session).alias("n_sessions")), ["template", "slot"])
     kind = F.when(F.col("ids") > 0.5, "identifier").when(F.col("num") == 1, "numeric").otherwise("categorical")
     kept = own.crossJoin(F.broadcast(total)).withColumn("kind", kind)
     return kept.where((F.col("kind") != "identifier") & (F.col("n_distinct") > 1) & (F.col("n_sessions") >= share * F.col("all"))).select("template", "slot", "kind", "n_distinct", "n_sessions")
