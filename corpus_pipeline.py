@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import common, language_id, line_dedup, packing, simhash, toxicity
+from tracelight.llm import common, components, language_id, line_dedup, packing, simhash, toxicity
 
 
 def _passed(docs: DataFrame, added: list[str], stage: Callable[[DataFrame], DataFrame], good: str, changes: dict[str, Column] | None = None) -> DataFrame:
@@ -49,12 +49,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest identifier of each near-duplicate group (five-word shingles, similarity 0.8).
+    """The document with the smallest identifier of each near-duplicate group.
 
+    Groups are those of op6 (SimHash fingerprints within 2 bits, through Golay-code keys). Copies that more was changed
+    in lie beyond 2 bits, so documents whose five-word shingles have a similarity of 0.8 are linked too.
     Texts without words, null ones too, are one group. A row without an identifier goes if it is near a named
     one; rows that repeat an identifier and a text are one document. Columns of any name keep their values.
     """
-    groups = simhash.near_duplicates(docs, simhash.SIMILAR)
+    groups = components.united(simhash.near_duplicates(docs, simhash.STRICT), simhash.near_duplicates(docs, simhash.SIMILAR))
     others = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__text_hash")).distinct()
     same = docs["doc_id"].eqNullSafe(F.col("__doc_id")) & (F.xxhash64(docs["text"]) == F.col("__text_hash"))
     return docs.join(others, same, "left_anti")

@@ -775,6 +775,19 @@ def test_a_copy_takes_no_other_text_of_its_identifier(spark):
     assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(1, first), (2, own)]
 
 
+def test_the_pipeline_drops_what_golay_keys_link_and_what_hangs_on_it(spark):
+    rng = random.Random(31)
+    passage = " ".join(["one passage that comes again and again"] * 200)
+    one, two = (f"{passage} {words(rng, 60)}" for _ in range(2))
+    three = f"{two} {words(rng, 8)}"  # near the second only by its set of shingles
+    other = words(rng, 300)
+    assert jaccard(one, two) < 0.8 <= jaccard(two, three) and jaccard(one, three) < 0.8
+    assert (brute_fingerprint(one) ^ brute_fingerprint(two)).bit_count() <= 2
+    rows = [(5, one), (6, two), (7, three), (7, other), (8, one), (None, two), (None, other + " more"), (None, other), (9, words(rng, 300))]
+    left = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == [(5, one), (7, other), rows[-1]]
+
+
 def test_pipeline_runs_on_empty_documents(spark, empty, sf):
     docs = empty
     for _, stage in corpus_pipeline.STAGES:

@@ -40,3 +40,17 @@ def components(links: DataFrame) -> DataFrame:
         seen = mark
         now = common.stored(_small_star(_large_star(now).distinct()).distinct(), "links")
     raise RuntimeError(f"components did not settle in {MOST_STEPS} steps")
+
+
+def united(first: DataFrame, second: DataFrame) -> DataFrame:
+    """doc_id, text_hash and component_id of the rows of ``second``, where groups that share a text with one group of ``first`` are one.
+
+    Both hold (doc_id, text_hash, root) of the same rows, and a text has one root in each.
+    """
+    first, second = (common.stored(df.select("doc_id", "text_hash", "root"), "grouped") for df in (first, second))
+    a, b = (df.select("text_hash", F.col("root").alias(name)).distinct() for df, name in ((first, "a"), (second, "b")))
+    shared = common.stored(a.join(b, "text_hash").select("a", "b").distinct(), "shared-groups")
+    least = shared.groupBy("a").agg(F.min("b").alias("m"))
+    roots = components(shared.join(least, "a").where("b <> m").select(F.col("b").alias("u"), F.col("m").alias("v")))
+    placed = common.stored(second.join(roots.withColumnRenamed("root", "other"), second["root"] == F.col("u"), "left").select("doc_id", "text_hash", F.coalesce("other", "root").alias("root")), "united")
+    return placed.join(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "text_hash", "component_id")

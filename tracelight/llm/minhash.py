@@ -185,9 +185,9 @@ def links(rows: DataFrame, nodes: DataFrame, scheme: Sets, paired_bucket: int =
 
 
 def near_duplicates(docs: DataFrame, scheme: Sets, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash (XXH64 of the text as Spark has it) and component_id of every row.
+    """doc_id, text_hash (XXH64 of the text as Spark has it), root and component_id of every row.
 
-    A component is what links reach, and is named by its smallest doc_id. Texts of equal sets are one node, so
+    A component is what links reach; ``root`` is a number of its own, and component_id its smallest doc_id. Texts of equal sets are one node, so
     copies never become pairs; texts without words are one too. Rows of a null identifier take part, and get a
     null component unless it holds an identifier. Repeated rows give repeated results; rows that share an
     identifier but not a text are told apart.
@@ -200,5 +200,5 @@ def near_duplicates(docs: DataFrame, scheme: Sets, id_col: str = "doc_id", text_
     roots = components(links(rows, nodes, scheme))
     placed = nodes.join(roots, nodes["node"] == roots["u"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     placed = common.stored(placed, "placed")
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    return marked.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "component_id")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "root", "component_id")
+    return marked.select("doc_id", "text_hash", "node").join(named, "node").select("doc_id", "text_hash", "root", "component_id")

@@ -70,21 +70,21 @@ def fingerprint(text: bytes, shingle: int, words: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fingerprint words w0, w1, ... of every whole text.
+    """doc_id, text_hash (XXH64 of the text as Spark has it) and fingerprint words w0, w1, ... of every whole text.
 
     A-Z are lower-cased; words are runs of non-space bytes; shingles are space-joined, repeats included (of
     fewer words, the whole sequence). A bit is 1 if set in over half of the shingles' XXH64. A text without
     words, a null one too, has fingerprint zero.
     """
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash"), docs[text_col].alias("text"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = common.text_column(batch, "text").cast(pa.large_binary())
             found = np.array([fingerprint(t.as_py(), shingle, words) for t in col], np.int64).reshape(-1, words)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, w]) for w in range(words))], ["doc_id", *_names(words)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, w]) for w in range(words))], ["doc_id", "text_hash", *_names(words)])
 
-    return rows.mapInArrow(make, "doc_id long, " + ", ".join(f"{w} long" for w in _names(words)))
+    return rows.mapInArrow(make, "doc_id long, text_hash long, " + ", ".join(f"{w} long" for w in _names(words)))
 
 
 def _names(words: int) -> list[str]:
@@ -208,23 +208,25 @@ def links(nodes: DataFrame, scheme: Scheme, paired_bucket: int = PAIRED_BUCKET,
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme | minhash.Sets = STRICT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint words and component_id (smallest doc_id reachable over links) of every row.
+    """doc_id, text_hash, fingerprint words, root and component_id of every row.
 
-    Equal fingerprints are one node named by its smallest doc_id, so copies never become pairs. Texts
-    without words link like any other. Rows of a null identifier take part, and get a null component
-    unless it holds an identifier. Repeated rows give repeated results; an empty table gives none.
+    A component is what links reach; ``root`` is a number of its own, and component_id its smallest doc_id. Equal
+    fingerprints are one node, so copies never become pairs. Texts without words link like any other. Rows of a null
+    identifier take part, and get a null component unless it holds an identifier. Repeated rows give repeated results;
+    rows that share an identifier but not a fingerprint are told apart; an empty table gives none.
     A scheme of shingle sets gives ``minhash.near_duplicates``.
     """
     if isinstance(scheme, minhash.Sets):
         return minhash.near_duplicates(docs, scheme, id_col, text_col)
     names = _names(scheme.words)
     marked = common.stored(fingerprints(docs, scheme.shingle, scheme.words, id_col, text_col), "fingerprints")
-    unnamed = F.lit((1 << 63) - 1) - F.pmod(F.xxhash64(*names), F.lit(1 << 40))
-    nodes = common.stored(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).select(F.coalesce("least", unnamed).alias("node"), *names), "nodes")
+    node = F.col("w0") if scheme.words == 1 else F.xxhash64(*names)
+    nodes = common.stored(marked.groupBy(*names).agg(F.min("doc_id").alias("least")).select(node.alias("node"), "least", *names), "nodes")
     roots = components(links(nodes, scheme))
-    placed = nodes.join(roots, nodes["node"] == roots["u"], "left").select(*names, F.coalesce("root", "node").alias("component_id"))
-    named = F.when(F.col("component_id") < (1 << 63) - 1 - (1 << 40), F.col("component_id")).alias("component_id")
-    return marked.join(placed, names).select("doc_id", *names, named)
+    placed = nodes.join(roots, nodes["node"] == roots["u"], "left").select(*names, "least", F.coalesce("root", "node").alias("root"))
+    placed = common.stored(placed, "placed")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*names, "root", "component_id")
+    return marked.join(named, names).select("doc_id", "text_hash", *names, "root", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
