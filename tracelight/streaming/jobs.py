@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import bands, model
 from ..shared import new_path
 
-WINDOWS = "session_id string, ts timestamp, line_id long, ctx array<string>, target string"
-_COLUMNS = ["session_id", "ts", "line_id", "ctx", "target"]
+WINDOWS = "session_id string, us long, line_id long, ctx array<string>, target string"
+_COLUMNS = ["session_id", "us", "line_id", "ctx", "target"]
+#: Rows that wait for the watermark; and of each session the last events that have left, and when the last one did.
+STATE = "us array<long>, lines array<long>, sessions array<string>, events array<string>, names array<string>, last array<array<string>>, seen_ms array<long>"
+#: Sessions share their state by a hash. The number is fixed, as a checkpoint outlives a run.
+BUCKETS = 2_048
+OUT_ROWS = 50_000
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -35,7 +41,7 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", late: list
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True)
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store, None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # timers and list state need it
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # state on disk, not on the heap
     try:
         if mode == "append":
             query = writer.format("parquet").option("path", out).start()
@@ -69,64 +75,51 @@ def gap_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return seen.agg(F.count("*").alias("n_events"), F.max("value").alias("top_value")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events", "top_value")
 
 
-class _InOrder(StatefulProcessor):
-    """Rows of a session wait for the watermark and leave in the order of (ts, line_id), each with the events before it."""
-
-    def __init__(self, length: int, idle_ms: int):
-        self.length, self.idle_ms = length, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, line_id long, event string")
-        self.last = handle.getValueState("last", "events array<string>, seen_ms long")
-
-    def _wake(self, at_ms: int, passed_ms: int = -1) -> None:
-        """One timer, at the earliest time that something is due; one that just goes off is still listed."""
-        timers = [t for t in self.handle.listTimers() if t > passed_ms]
-        if not timers or min(timers) > at_ms:
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at_ms)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        self.waiting.appendList([(ts.to_pydatetime(), int(line), event) for ts, line, event in zip(new["ts"], new["line_id"], new["event"])])
-        self._wake(_ms(new["ts"].min()))
-        yield pd.DataFrame(columns=_COLUMNS)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((pd.Timestamp(ts), line, event) for ts, line, event in self.waiting.get())
-        ready = [r for r in rows if _ms(r[0]) <= mark]
-        known = self.last.get() if self.last.exists() else None
-        last, seen = (list(known[0]), known[1]) if known else ([], None)
+def _in_order(length: int, idle_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Rows of a bucket of sessions wait for the watermark and leave in the order of (time, line_id), each with the events of its session before it.
+
+    State and rows come and go once for a bucket and batch: a call for each session costs far more than its work.
+    """
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        waiting, known = [], {}
+        if state.exists:
+            us, lines, sessions, events, names, last, seen = state.get
+            waiting, known = list(zip(us, lines, sessions, events)), {n: (list(x), ms) for n, x, ms in zip(names, last, seen)}
+        for new in [] if state.hasTimedOut else rows:
+            waiting += zip(new["us"].tolist(), new["line_id"].tolist(), new["session_id"].tolist(), new["event"].tolist())
+        waiting.sort(key=lambda r: (r[0], r[1], r[2] or "", r[3] or ""))
+        n = bisect_right(waiting, mark, key=lambda r: _ms(r[0]))
         out = []
-        for ts, line, event in ready:
-            if seen is not None and _ms(ts) - seen >= self.idle_ms:
-                last = []
-            if last:
-                out.append((key[0], ts, line, last, event))
-            last, seen = [*last, event][-self.length :], _ms(ts)
-        if ready:
-            self.last.update((last, seen))
-            self.waiting.clear()
-            if len(ready) < len(rows):
-                self.waiting.put([(ts.to_pydatetime(), line, event) for ts, line, event in rows[len(ready) :]])
-        if len(ready) < len(rows):
-            self._wake(_ms(rows[len(ready)][0]), mark)
-        elif seen is not None and mark >= seen + self.idle_ms:
-            self.last.clear()
-        elif seen is not None:
-            self._wake(seen + self.idle_ms, mark)
-        yield pd.DataFrame(out, columns=_COLUMNS)
-
-    def close(self) -> None:
-        pass
-
-
-def _ms(ts: pd.Timestamp) -> int:
-    """Milliseconds, rounded up: a watermark of so many has passed the time."""
-    return -(-ts.value // 1_000_000)
+        for us, line, session, event in waiting[:n]:
+            last, seen = known.get(session, ((), 0))
+            if last and _ms(us) - seen < idle_ms:
+                out.append((session, us, line, last, event))
+                last = [*last, event][-length:]
+            else:
+                last = [event]
+            known[session] = last, _ms(us)
+            if len(out) == OUT_ROWS:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+        known = {name: (last, seen) for name, (last, seen) in known.items() if seen + idle_ms > mark}
+        due = [seen + idle_ms for _, seen in known.values()] + [_ms(r[0]) for r in waiting[n : n + 1]]
+        if due:
+            columns = map(list, zip(*waiting[n:])) if n < len(waiting) else ([] for _ in range(4))
+            state.update((*columns, list(known), [last for last, _ in known.values()], [seen for _, seen in known.values()]))
+            state.setTimeoutTimestamp(min(due) - 1)  # goes off once the watermark is past it
+        elif state.exists:
+            state.remove()
+
+    return step
+
+
+def _ms(us: int) -> int:
+    """Milliseconds of microseconds, rounded up: a watermark of so many has passed the time."""
+    return -(-us // 1000)
 
 
 def contexts(stream: DataFrame, length: int = model.ORDER, idle_ms: int = 86_400_000, late: str = "10 minutes") -> DataFrame:
@@ -134,10 +127,12 @@ def contexts(stream: DataFrame, length: int = model.ORDER, idle_ms: int = 86_400
 
     Rows are kept until the watermark has passed them, so the order and the batches in which they come make no
     difference. Rows that come after the watermark has passed their time are dropped, and ``run_available`` counts them.
-    A session idle for ``idle_ms`` gives up its state and begins anew.
+    A session idle for ``idle_ms`` gives up its state and begins anew. Sessions are dealt to ``BUCKETS`` by a hash.
     """
-    marked = stream.withWatermark("ts", late).select("session_id", "ts", "line_id", "event")
-    return marked.groupBy("session_id").transformWithStateInPandas(_InOrder(length, idle_ms), WINDOWS, "append", "EventTime")
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).alias("bucket")
+    marked = stream.withWatermark("ts", late).select(bucket, "session_id", "ts", F.unix_micros("ts").alias("us"), "line_id", "event")
+    found = marked.groupBy("bucket").applyInPandasWithState(_in_order(length, idle_ms), WINDOWS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("session_id", F.timestamp_micros("us").alias("ts"), "line_id", "ctx", "target")
 
 
 def banded(stream: DataFrame, fitted: tuple[DataFrame, DataFrame], vocab: DataFrame, uncertain: float, suspicious: float, order: int = model.ORDER) -> DataFrame:
