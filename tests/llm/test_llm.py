@@ -448,6 +448,28 @@ def test_op1_covers_all_documents(spark, sf):
     assert sum(r["n_viterbi"] for r in rows) <= 1.2 * sum(r["n_tokens"] for r in rows)
 
 
+def test_texts_meet_their_words_without_a_shuffle(spark, sf, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    done = sentence_pieces.encode(common.read(spark, sf, "documents").select("doc_id", "text"))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" in plan
+    assert all(r["ids"] == library.encode(r["text"] or "") for r in done.collect())
+
+
+def test_large_stretches_are_cut_into_groups_and_small_ones_meet_in_a_task(spark, tmp_path, monkeypatch):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(35)
+    own = [" ".join("".join(rng.choices("abcdeé,▁", k=rng.randint(0, 6))) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    spark.createDataFrame(list(enumerate(own)), "i int, text string").repartition(3).write.parquet(f"{tmp_path}/texts")
+    monkeypatch.setattr(sentence_pieces, "GROUP_BYTES", 2_000)
+    rows = sentence_pieces.encode(spark.read.parquet(f"{tmp_path}/texts")).collect()
+    assert sorted(r["i"] for r in rows) == list(range(300))
+    assert all(r["ids"] == library.encode(r["text"]) for r in rows)
+    for prefix in (True, False):
+        for t in own:
+            assert [w for c in sentence_pieces.chunks_of(t, prefix) for w in sentence_pieces.words_of_chunk(c, prefix, "abcdeé")] == sentence_pieces.words_of(t, prefix, "abcdeé")
+
+
 def test_words_are_cut_where_no_piece_goes_on(spark, texts):
     path = sentence_pieces.default_path()
     joined = sentence_pieces.joined_characters(path)

@@ -10,10 +10,14 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..shared import new_path
 from . import common
 
 SPACE = "▁"
@@ -25,6 +29,8 @@ WORDS_PER_TASK = 20_000
 #: Text of one group of rows that share their distinct words.
 GROUP_BYTES = 32 << 20
 _GROUP = "__group"
+#: Words of one Arrow batch; bytes of text that are put together at a time.
+_ROWS, _STRETCH = 50_000, 4 << 20
 
 
 def default_path() -> str:
@@ -87,6 +93,7 @@ def joined_characters(path: str) -> str:
     return "".join(max(sets.values(), key=len, default=[]))
 
 
+@lru_cache(maxsize=4)
 def word_pattern(joined: str = "") -> str:
     """Spaces and what follows up to the next one, cut between characters of ``joined`` and others; for Java and Python alike."""
     own = re.escape(joined)
@@ -103,24 +110,28 @@ def split_words(text: Column, prefix: bool, joined: str = "") -> Column:
     return F.regexp_extract_all(shown, F.lit(word_pattern(joined)), F.lit(0))
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, carried: str | None = None) -> DataFrame:
     """(word, size, edges): the pieces in each distinct word as (rank, a, b, id, score), and every single character.
 
     Substrings of up to ``longest`` characters are exploded, where their first three characters begin a piece of that
     length, and equi-joined to the piece table, which has a fixed size and is broadcast. Explode and join keep the
     words' partitioning, so grouping needs no shuffle. A character that is no piece is an edge without rank, id and score.
+    A column ``carried`` of the words rides on one edge of each and is kept.
     """
     known = pieces.where("byte is null").select("piece", "rank", "id", "score")
     long = known.where(F.char_length("piece").between(3, longest))
     begins = long.groupBy(F.substring("piece", 1, 3).alias("begin")).agg(F.collect_set(F.char_length("piece")).alias("lengths"))
-    sized = words.select("word", F.char_length("word").alias("size"))
+    held = [F.col(carried).alias("held")] if carried else []
+    sized = words.select("word", F.char_length("word").alias("size"), *held)
     begun = sized.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
     begun = begun.withColumn("begin", F.substring("word", F.col("a") + 1, F.lit(3))).join(F.broadcast(begins), "begin", "left")
     lengths = F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))
-    cut = begun.select("word", "size", "a", F.explode(lengths).alias("len")).where(F.col("a") + F.col("len") <= F.col("size"))
+    first = [F.when(F.col("a") == 0, F.col("held")).alias("held")] if carried else []
+    cut = begun.select("word", "size", "a", *first, F.explode(lengths).alias("len")).where(F.col("a") + F.col("len") <= F.col("size"))
     cut = cut.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("len")))
     edge = F.struct("rank", "a", (F.col("a") + F.col("len")).alias("b"), "id", "score")
-    return cut.join(F.broadcast(known), "piece", "left").where("id is not null or len = 1").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"))
+    kept = [F.get(F.collect_list(F.when(F.col("len") == 1, F.col("held"))), F.lit(0)).alias(carried)] if carried else []
+    return cut.join(F.broadcast(known), "piece", "left").where("id is not null or len = 1").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"), *kept)
 
 
 def _best(size: Column, edges: Column, score: Callable[[Column], Column], start: Column, further: Callable[[Column, Column], Column]) -> Column:
@@ -154,7 +165,7 @@ def merges(size: Column, edges: Column) -> Column:
     The first cuts are all character bounds. A piece drops the one cut inside it if it spans just two stretches by
     then. One pass is enough: the parts that a piece can be merged from rank before it.
     """
-    order = F.array_sort(F.filter(edges, lambda e: e["b"] - e["a"] > 1))
+    order = F.sort_array(F.filter(edges, lambda e: e["b"] - e["a"] > 1))
 
     def step(cuts: Column, e: Column) -> Column:
         at = F.array_position(cuts, e["a"]).cast("int")  # from 1; 0 if a is no cut
@@ -184,27 +195,27 @@ def tokens(word: Column, edges: Column, cuts: Column, unknown: int, first_byte:
         return F.struct(e["a"].alias("a"), e["b"].alias("b"), F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(other).alias("ids"))
 
     # every stretch is an edge, as single characters are
-    return F.array_sort(F.transform(F.filter(edges, between_cuts), one))
+    return F.sort_array(F.transform(F.filter(edges, between_cuts), one))
 
 
 def _flat(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda t: t["ids"]))
 
 
-def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | None) -> DataFrame:
+def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | None, carried: str | None = None) -> DataFrame:
     """(word, merged or best path as tokens, number of pieces of the Viterbi path) of distinct words of bounded length."""
     pieces, spec = model_spec(path)
     fold = fold or {"bpe": "merges", "unigram": "viterbi"}[spec["kind"]]
     longest = max(len(p) for p, _, _, byte in pieces if byte is None)
     first_byte = next((i for _, i, _, byte in pieces if byte == 0), None) if spec["fallback"] else None
     size, edges = F.col("size"), F.col("edges")
-    found = lattice(words, piece_table(spark, path), longest)
+    found = lattice(words, piece_table(spark, path), longest, carried)
     score = zipf if spec["kind"] == "bpe" else lambda e: e["score"]
     if fold == "merges":
         found = found.withColumns({"cuts": merges(size, edges), "n_best": viterbi_pieces(size, edges, score)})
     else:
         found = found.withColumn("cuts", viterbi(size, edges, score)).withColumn("n_best", F.size("cuts") - 1)
-    return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), "n_best")
+    return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), "n_best", *([carried] if carried else []))
 
 
 def best_path(word: str, scores: dict[str, float], longest: int) -> list[int]:
@@ -249,8 +260,8 @@ def _with_paths(words: DataFrame, path: str, with_ids: bool) -> DataFrame:
     return rows.mapInArrow(make, "word string, ids array<int>, n_best int")
 
 
-def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | None = None, step: int = CHUNK_STEP, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """(word, ids, n_best) of distinct words; ``fold`` is ``merges`` for merge models, ``viterbi`` for unigram ones.
+def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | None = None, step: int = CHUNK_STEP, overlap: int = CHUNK_OVERLAP, carried: str | None = None) -> DataFrame:
+    """(word, ids, n_best) of distinct words, and their column ``carried``; ``fold`` is ``merges`` for merge models, ``viterbi`` for unigram ones.
 
     Words of over ``step + overlap`` characters are too long for a lattice in one row. Their Viterbi path is found by
     ``best_path``. For merges they are encoded in chunks that overlap, and spliced at the first token that both
@@ -260,10 +271,16 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
     """
     fold = fold or {"bpe": "merges", "unigram": "viterbi"}[model_spec(path)[1]["kind"]]
     short = words.where(F.char_length("word") <= step + overlap)
-    done = _tokenised(short, spark, path, fold).select("word", _flat(F.col("tokens")).alias("ids"), "n_best")
-    long = words.where(F.char_length("word") > step + overlap)
+    extra = [carried] if carried else []
+    done = _tokenised(short, spark, path, fold, carried).select("word", _flat(F.col("tokens")).alias("ids"), "n_best", *extra)
+    held = words.where(F.char_length("word") > step + overlap)
+    long = held.select("word")
+
+    def with_held(part: DataFrame) -> DataFrame:
+        return part.join(held.select("word", carried), "word") if carried else part
+
     if fold == "viterbi":
-        return done.unionByName(_with_paths(long, path, True))
+        return done.unionByName(with_held(_with_paths(long, path, True)))
     left = common.stored(long.withColumn("wid", F.monotonically_increasing_id()), "long-words")
     parts = []
     while left.limit(1).count():
@@ -286,7 +303,7 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
         left = common.stored(left.join(failed, "wid", "left_semi"), "long-words")
         step, overlap = 4 * step, 4 * overlap
     for part in parts:
-        done = done.unionByName(_with_paths(part, path, False))
+        done = done.unionByName(with_held(_with_paths(part, path, False)))
     return done
 
 
@@ -296,6 +313,126 @@ def words_of(text: str | None, prefix: bool, joined: str = "") -> list[str]:
     return re.findall(word_pattern(joined), (SPACE if prefix else "") + marked) if marked else []
 
 
+def chunks_of(text: str | None, prefix: bool) -> list[str]:
+    """A text cut after its runs of non-spaces; ``words_of_chunk`` gives the words of each, which together are ``words_of`` the text."""
+    if not text:
+        return []
+    if prefix and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+        return text.split(" ")
+    found = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", (SPACE if prefix else "") + text.replace(" ", SPACE))
+    return [c[1:] for c in found] if prefix else found  # with a prefix every chunk begins with a space, which is left out
+
+
+def words_of_chunk(chunk: str, prefix: bool, joined: str = "") -> list[str]:
+    return re.findall(word_pattern(joined), (SPACE if prefix else "") + chunk)
+
+
+def _asked_words(rows: DataFrame, text_col: str, prefix: bool, joined: str) -> DataFrame:
+    """(group, word): the distinct words of each stretch of rows; several times where a group comes in several stretches."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, chunks, size = None, set(), 0
+
+        def words() -> Iterator[pa.RecordBatch]:
+            own = sorted({w for c in chunks for w in words_of_chunk(c, prefix, joined)})  # sorted text is smaller on disk
+            for k in range(0, len(own), _ROWS):
+                part = pa.array(own[k : k + _ROWS], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group, np.int32)), part], [_GROUP, "word"])
+            chunks.clear()
+
+        for batch in batches:
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if own != group or size > 2 * GROUP_BYTES:
+                    yield from words()
+                    group, size = own, 0
+                text = text.as_py()
+                chunks.update(chunks_of(text, prefix))
+                size += len(text or "")
+        yield from words()
+
+    return rows.select(_GROUP, text_col).mapInArrow(make, f"{_GROUP} int, word string")
+
+
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places first, first + 1, .. of runs of lengths ``n``, one run after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _bounds(n: np.ndarray | list[int]) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
+class _Answers:
+    """The answers of one group: ids of its words, and of its chunks from when they are first asked for."""
+
+    def __init__(self, path: str, group: int, prefix: bool, joined: str):
+        files, root = pa.fs.FileSystem.from_uri(f"{path}/{_GROUP}={group}")
+        found = files.get_file_info(pa.fs.FileSelector(root, allow_not_found=True))
+        tables = [pq.ParquetFile(files.open_input_file(f.path)).read(["word", "ids", "n_best"]) for f in found if f.path.endswith(".parquet")]
+        columns = {name: [c for table in tables for c in table[name].chunks] for name in ("word", "ids", "n_best")}
+        self.words = pa.concat_arrays(columns["word"]) if columns["word"] else pa.array([], pa.string())
+        self.ids = np.concatenate([np.zeros(0, np.int32), *(c.flatten().to_numpy() for c in columns["ids"])])
+        self.bounds = _bounds(np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in columns["ids"])]))
+        self.best = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in columns["n_best"])])
+        self.prefix, self.joined = prefix, joined
+        self.known, self.chunk_ids, self.chunk_bounds, self.chunk_best = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        words = [words_of_chunk(c, self.prefix, self.joined) for c in chunks]
+        at = pc.index_in(pa.array([w for own in words for w in own], pa.string()), value_set=self.words)
+        if at.null_count:
+            raise ValueError("texts have changed between the two times they were read")
+        at, of_chunk = at.to_numpy().astype(np.int64), _bounds([len(own) for own in words])
+        n = self.bounds[at + 1] - self.bounds[at]
+        best, upto = _bounds(self.best[at]), _bounds(n)
+        self.chunk_bounds = np.concatenate([self.chunk_bounds, len(self.chunk_ids) + upto[of_chunk[1:]]])
+        self.chunk_ids = np.concatenate([self.chunk_ids, self.ids[_spread(self.bounds[at], n)]])
+        self.chunk_best = np.concatenate([self.chunk_best, np.diff(best[of_chunk])])
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
+
+    def encode(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+        """ids and n_best of some texts."""
+        chunks = [chunks_of(text, self.prefix) for text in texts]
+        new = list(set().union(*chunks).difference(self.known))
+        if new:
+            self._learn(new)
+        asked = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in chunks)])
+        first, n, of_text = self.chunk_bounds[asked], np.diff(self.chunk_bounds)[asked], _bounds([len(c) for c in chunks])
+        ids, best = self.chunk_ids[_spread(first, n)], _bounds(self.chunk_best[asked])
+        return pa.ListArray.from_arrays(pa.array(_bounds(n)[of_text], pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(best[of_text]), pa.int64())
+
+
+def _in_stretches(groups: list[int], sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Row ranges of one group each and of about ``_STRETCH`` bytes at most."""
+    start, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and (groups[k] != groups[start] or total + size > _STRETCH):
+            yield start, k
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _answered(rows: DataFrame, schema: StructType, text_col: str, answers: str, prefix: bool, joined: str) -> DataFrame:
+    """``rows`` less their group, with ids and n_best put together from the answers that their groups have in the shared folder."""
+    names = [f.name for f in schema.fields]
+    at, text_at = rows.columns.index(_GROUP), rows.columns.index(text_col)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, known = None, None
+        for batch in batches:
+            groups, texts = batch.column(at).to_pylist(), batch.column(text_at)
+            for a, b in _in_stretches(groups, [len(x.as_buffer()) if x.is_valid else 0 for x in texts]):
+                if groups[a] != group:
+                    known = None  # before the next is read
+                    group, known = groups[a], _Answers(answers, groups[a], prefix, joined)
+                coded = known.encode(texts.slice(a, b - a).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for k, c in enumerate(batch.columns) if k != at), *coded], names)
+
+    return rows.mapInArrow(make, schema)
+
+
 def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fold: str | None = None) -> DataFrame:
     """``texts`` with columns ``ids`` (array<int>), the ids that the SentencePiece library gives for the whole text, and ``n_best``.
 
@@ -304,7 +441,9 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
 
     Rows are dealt to groups of bounded text (beyond it only where one and the same row repeats): by the stretch of the
     file that they come from, and by a hash of all their columns. A group asks once for each of its distinct words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
-    costs no more than a rare one. Texts are shuffled once, to be put together from their group's words. ``texts`` is
+    costs no more than a rare one. Answers are written to the shared folder by group, and the task that reads a group's
+    texts reads them there (by pyarrow, which must know the folder's file system), so texts are not shuffled. Rows
+    that come from no file are stored first. ``texts`` is
     read twice and must give the same rows each time. A null or empty text has no ids; repeated rows are kept, null
     identifiers are like any other; existing columns ``ids`` and ``n_best`` are replaced, others of any name kept. An
     empty table gives an empty result. Long words, such as texts without spaces, are encoded in chunks (see
@@ -312,37 +451,25 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     """
     spark, path = texts.sparkSession, path or default_path()
     prefix, joined, kept = model_spec(path)[1]["prefix"], joined_characters(path), texts.drop("ids", "n_best")
-    # rows of one stretch of a file share most words; elsewhere a hash of the row deals them
-    block, hashed = F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.xxhash64(*(c for c, kind in kept.dtypes if "map<" not in kind))
-    found = kept.select(text_col, block.alias("block")).agg(F.sum(F.octet_length(text_col)).alias("size"), F.count_distinct("block").alias("blocks")).first()
+    sizes = F.sum(F.octet_length(text_col)).alias("size"), F.count_distinct("block").alias("blocks"), F.min(F.length("file")).alias("named")
+    block, file = F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.input_file_name().alias("file")
+    found = kept.select(text_col, block.alias("block"), file).agg(*sizes).first()
+    if found["named"] == 0:
+        kept = common.stored(kept, "texts")
+        found = kept.select(text_col, block.alias("block"), file).agg(*sizes).first()
+    # rows of one stretch of a file share most words; a hash of the row deals those of large stretches
+    hashed = F.xxhash64(*(c for c, kind in kept.dtypes if "map<" not in kind))
     parts = max(1, math.ceil((found["size"] or 0) / GROUP_BYTES / max(1, found["blocks"])))
-    group = F.xxhash64(block, F.pmod(hashed, F.lit(parts)))
-    rows = kept.withColumn(_GROUP, group)
-    asked = rows.select(_GROUP, F.explode(split_words(F.col(text_col), prefix, joined)).alias("word")).distinct()
-    asked = common.stored(asked, "asked-words")
+    rows = kept.withColumn(_GROUP, F.hash(block, F.pmod(hashed, F.lit(parts))))  # two groups of one number share their words
+    rows = rows.sortWithinPartitions(_GROUP) if parts > 1 else rows
+    asked = common.stored(_asked_words(rows, text_col, prefix, joined), "asked-words")
     tasks = max(1, math.ceil(asked.agg(F.approx_count_distinct("word", 0.02)).first()[0] / WORDS_PER_TASK))
-    dealt = asked.select("word").repartition(tasks, "word").distinct()
-    known = common.stored(encode_words(dealt, spark, path, fold), "words")
-    names, schema = kept.columns, StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, n_best long").fields])
-
-    def put_together(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.combine_chunks()
-        at = {w: i for i, w in enumerate(right["word"].to_pylist())}
-        coded = pa.concat_arrays(right["ids"].chunks) if len(right) else pa.array([], pa.list_(pa.int32()))
-        values, first = coded.values.to_numpy(zero_copy_only=False), coded.offsets.to_numpy().astype(np.int64)
-        best = right["n_best"].to_numpy().astype(np.int64)
-        flat, sizes, sums = [np.zeros(0, np.int32)], [0], []
-        for text in left[text_col]:
-            own = np.array([at[w] for w in words_of(text.as_py(), prefix, joined)], np.int64)
-            start, n = first[own], first[own + 1] - first[own]
-            flat.append(values[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
-            sizes.append(int(n.sum()))
-            sums.append(int(best[own].sum()))
-        ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
-        return pa.Table.from_arrays([*(left[c] for c in names), ids, pa.array(sums, pa.int64())], [*names, "ids", "n_best"])
-
-    answers = asked.join(known, "word").select(_GROUP, "word", "ids", "n_best")
-    return rows.groupBy(_GROUP).cogroup(answers.groupBy(_GROUP)).applyInArrow(put_together, schema)
+    dealt = asked.repartition(tasks, "word").groupBy("word").agg(F.collect_set(_GROUP).alias("groups"))
+    known = encode_words(dealt, spark, path, fold, carried="groups").select(F.explode("groups").alias(_GROUP), "word", "ids", "n_best")
+    answers = new_path(spark, "answers")
+    known.repartition(_GROUP).sortWithinPartitions(_GROUP, "word").write.partitionBy(_GROUP).parquet(answers)
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, n_best long").fields])
+    return _answered(rows, schema, text_col, answers, prefix, joined)
 
 
 def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
@@ -355,19 +482,25 @@ def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> D
     """
     pieces, spec = model_spec(path or default_path())
     known = {i: bytes([byte]) if byte is not None else p.encode() for p, i, _, byte in pieces}
-    shared = coded.sparkSession.sparkContext.broadcast(known)  # the piece table, of a fixed size
+    own_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
+    own_bytes.append(b"")  # of ids without text
+    shared = coded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(own_bytes), np.uint8), _bounds([len(x) for x in own_bytes])))  # the piece table, of a fixed size
     kept, prefix = coded.drop("decoded"), spec["prefix"]
     at, names = kept.columns.index(ids_col), kept.columns
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        flat, bounds = shared.value
+        nothing = len(bounds) - 2
         for batch in batches:
-            found = []
-            for own in batch.column(at):
-                raw = b"".join([table.get(i, b"") for i in own.values.to_pylist()]) if own.is_valid else b""
-                text = raw.decode("utf-8", "replace").replace(SPACE, " ")
-                found.append(text[1:] if prefix and text.startswith(" ") else text)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, "decoded"])
+            lengths = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
+            for a, b in _in_stretches([0] * len(lengths), [4 * n for n in lengths]):
+                ids = pc.fill_null(batch.column(at).slice(a, b - a).flatten(), -1).to_numpy(zero_copy_only=False)
+                ids = np.where((ids >= 0) & (ids < nothing), ids, nothing)
+                n = bounds[ids + 1] - bounds[ids]
+                raw, ends = flat[_spread(bounds[ids], n)].tobytes(), _bounds(n)[_bounds(lengths[a:b])].tolist()
+                texts = [raw[x:y].decode("utf-8", "replace").replace(SPACE, " ") for x, y in zip(ends, ends[1:])]
+                found = pa.array([x[1:] if prefix and x.startswith(" ") else x for x in texts], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), found], [*names, "decoded"])
 
     return kept.mapInArrow(join, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
 
