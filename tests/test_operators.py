@@ -504,6 +504,21 @@ def test_the_tree_equals_brute_force(spark):
             assert math.isclose(r["entropy_n"], -sum(x * math.log(x) for x in every.values()) / math.log(4), rel_tol=1e-9)
 
 
+def test_the_tree_carries_no_event_that_its_nodes_name(spark, monkeypatch):
+    written = {}
+
+    def kept(df, name, store=context_tree.stored):
+        written[name] = store(df, name)
+        return written[name]
+
+    monkeypatch.setattr(context_tree, "stored", kept)
+    windows = spark.createDataFrame([(list("abcd"), "e"), (list("bcd"), "e"), (list("xbcd"), "f")] * 20, "ctx array<string>, target string")
+    probs, nodes = context_tree.fit(windows, spark.createDataFrame([("e",), ("f",)], "event string"), 20, penalty=-1e9)
+    assert {r["k"]: r["n_nodes"] for r in context_tree.sizes(nodes).collect()} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2}
+    for k in (1, 2, 3):
+        assert sorted(r["ctx"] for r in written[f"tree-active-{k}"].collect()) == sorted(c[: len(c) - k] for c in (list("abcd"), list("bcd"), list("xbcd")))
+
+
 def test_long_contexts_predict_better_where_they_matter(spark):
     rng = random.Random(32)
     df = spark.createDataFrame([(f"{'t' if b < 150 else 'v'}{b}", i, e) for b in range(200) for i, e in enumerate(long_memory(rng, 40, 4))], "block_id string, pos int, event string")

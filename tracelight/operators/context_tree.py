@@ -41,18 +41,21 @@ def fit(windows: DataFrame, vocab: DataFrame, order: int = ORDER, alpha: float =
     nodes = facts.select("k", F.col("ctx").alias("node"), F.lit(None).cast("long").alias("parent"), "total", "share", "entropy", "top", F.lit(0.0).alias("gain"), F.lit(0.0).alias("log_shares"))
     every_n, levels, active = nodes, [], cases.withColumn("ctx_node", F.lit(_ROOT).cast("long"))
     for k in range(1, order + 1):
-        step = active.where(F.size("ctx") >= k).withColumnRenamed("ctx_node", "lower").withColumn("node", _child(F.col("lower"), F.element_at("ctx", -k)))
+        # events that are in the node's name already are not carried on
+        rest = F.slice("ctx", 1, F.size("ctx") - 1).alias("ctx")
+        step = active.where(F.size("ctx") > 0).select(rest, "event", "n", F.col("ctx_node").alias("lower"), _child(F.col("ctx_node"), F.element_at("ctx", -1)).alias("node"))
         counts = step.groupBy("node", "lower", "event").agg(F.sum("n").alias("n"))
         totals = counts.groupBy("node").agg(F.sum("n").alias("total")).where(F.col("total") >= least_count)
         seen = stored(counts.join(totals, "node").withColumnRenamed("node", "ctx"), f"tree-seen-{k}")
         if seen.isEmpty():
             break
-        probs, facts = model.conditional(seen, probs, facts, k, alpha)
+        probs = model.probabilities(seen, probs, k, alpha)
         gains = probs.groupBy("ctx").agg(F.sum(F.col("n") * F.ln(F.col("p") / F.col("q"))).alias("gain"), F.count("*").alias("events"))
         above = nodes.select(F.col("node").alias("lower"), F.col("log_shares").alias("before"))
         shares = (F.col("before") + F.ln("share")).alias("log_shares")
-        grown = facts.join(gains, "ctx").join(above, "lower").select("k", F.col("ctx").alias("node"), F.col("lower").alias("parent"), "total", "share", "entropy", "top", "gain", shares, "events")
+        grown = model.facts(probs, facts, k, alpha).join(gains, "ctx").join(above, "lower").select("k", F.col("ctx").alias("node"), F.col("lower").alias("parent"), "total", "share", "entropy", "top", "gain", shares, "events")
         nodes = stored(grown, f"tree-nodes-{k}")
+        facts = nodes.select("k", F.col("node").alias("ctx"), "total", "share", "entropy", "top")
         levels.append((probs.select("k", F.col("ctx").alias("node"), "event", "n", "total", "p"), nodes))
         active = stored(step.join(nodes.select("node"), "node", "left_semi").select("ctx", "event", "n", F.col("node").alias("ctx_node")), f"tree-active-{k}")
     kept, below = [], None

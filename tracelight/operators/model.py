@@ -71,10 +71,14 @@ def unconditional(zero: DataFrame, vocab: DataFrame, alpha: float) -> tuple[Data
 
 def conditional(seen: DataFrame, probs: DataFrame, contexts: DataFrame, k: int, alpha: float) -> tuple[DataFrame, DataFrame]:
     """probs and contexts of order ``k`` from the counts (ctx, lower, event, n, total) and those of the next lower order."""
+    probs = probabilities(seen, probs, k, alpha)
+    return probs, stored(facts(probs, contexts, k, alpha), f"contexts-{k}")
+
+
+def probabilities(seen: DataFrame, probs: DataFrame, k: int, alpha: float) -> DataFrame:
     below = probs.select(F.col("ctx").alias("lower"), "event", F.col("p").alias("q"))
     seen = seen.join(below, ["lower", "event"]).withColumn("p", (F.col("n") + alpha * F.col("q")) / (F.col("total") + alpha))
-    probs = stored(seen.select(F.lit(k).alias("k"), "ctx", "event", "n", "total", "p", "lower", "q"), f"probs-{k}")
-    return probs, stored(facts(probs, contexts, k, alpha), f"contexts-{k}")
+    return stored(seen.select(F.lit(k).alias("k"), "ctx", "event", "n", "total", "p", "lower", "q"), f"probs-{k}")
 
 
 def facts(probs: DataFrame, contexts: DataFrame, k: int, alpha: float) -> DataFrame:

@@ -341,7 +341,10 @@ def _wide(s, d) -> DataFrame:
 
 
 def _tree(s, d) -> tuple[DataFrame, DataFrame]:
-    return context_tree.fit(_wide(s, d).where("split = 'tr' and y = 0"), lifecycle(s, d).vocab)
+    life = lifecycle(s, d)
+    # other blocks go before their windows are made
+    events = life.events.select("block_id", "pos", "event").join(life.placed.where("split = 'tr' and y = 0").select("block_id"), "block_id", "left_semi")
+    return context_tree.fit(sessions.in_block_windows(events), life.vocab)
 
 
 @query("m09_attribution", check(OCCLUDED + """
