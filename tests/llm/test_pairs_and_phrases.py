@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tokenizers
@@ -331,3 +332,43 @@ def test_the_viterbi_path_of_a_long_word_is_that_of_the_whole(spark):
         parts = {r["word"]: (r["ids"], r["n_best"]) for r in sentence_pieces.encode_words(df, spark, path, fold).collect()}
         whole = {r["word"]: (r["ids"], r["n_best"]) for r in sentence_pieces.encode_words(df, spark, path, fold, 400, 48).collect()}
         assert parts == whole and all(parts[w][1] < len(w) for w in long)
+
+
+def test_folds_over_many_edges_are_quick_and_equal_the_folds_in_sql(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(41)
+    path = sentence_pieces.default_path()
+    own = sorted({"▁" + "".join(rng.choices("theingrao日é", k=rng.randint(1, 30))) for _ in range(400)})
+    words = spark.createDataFrame([(w,) for w in own], "word string")
+    size, edges = F.col("size"), F.col("edges")
+    plain = sentence_pieces.lattice(words, sentence_pieces.piece_table(spark, path), 16).select("word", sentence_pieces.viterbi_pieces(size, edges, sentence_pieces.zipf).alias("n"))
+    best = {r["word"]: r["n"] for r in plain.collect()}
+    got = {r["word"]: (r["ids"], r["n_best"]) for r in sentence_pieces.encode_words(words, spark, path).collect()}
+    assert got == {w: (library.encode(w[1:]), best[w]) for w in own}
+    long = "".join(rng.choices("theing", k=6000))
+    began = time.time()
+    row = sentence_pieces.encode_words(spark.createDataFrame([("▁" + long,)], "word string"), spark, path, step=6000).first()
+    assert row["ids"] == library.encode(long) and time.time() - began < 15
+
+
+def test_edges_are_folded_by_whole_words():
+    batches = [pa.RecordBatch.from_pydict({"first": f}) for f in ([True, False, False], [False, True], [False, False, True, True], [False])]
+    for enough in (1, 3, 100):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(sentence_pieces, "_EDGES", enough)
+            tables = [t["first"].to_pylist() for t in sentence_pieces._whole_words(iter(batches), "first")]
+        assert sum(tables, []) == [v for b in batches for v in b["first"].to_pylist()] and all(t[0] for t in tables)
+    assert not list(sentence_pieces._whole_words(iter([]), "first"))
+
+
+def test_decoding_in_the_same_tasks_gives_the_same_texts(spark):
+    frame = spark.createDataFrame([(1, "two  spaces ▁ é"), (2, None), (3, "the <0x41>\n日本"), (3, "the <0x41>\n日本"), (4, "")], "i int, text string")
+    at_once = sentence_pieces.encode(frame, decoded=True)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, sentence_pieces.decode(sentence_pieces.encode(frame)).collect()))
+    assert str(at_once._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    bad = spark.createDataFrame([([230, 3, -1, 10**6],), ([3 + 0xE2, 3 + 0x96, 3 + 0x81, 400],), (None,)], "ids array<int>")
+    texts = {str(r["ids"]): r["decoded"] for r in sentence_pieces.decode(bad).collect()}
+    pieces = {i: bytes([b]) if b is not None else p.encode() for p, i, _, b in sentence_pieces.model_spec(sentence_pieces.default_path())[0]}
+    for ids in ([230, 3, -1, 10**6], [3 + 0xE2, 3 + 0x96, 3 + 0x81, 400], None):
+        text = b"".join(pieces.get(i, b"") for i in ids or []).decode("utf-8", "replace").replace("▁", " ")
+        assert texts[str(ids)] == text.removeprefix(" ")

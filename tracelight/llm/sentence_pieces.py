@@ -29,8 +29,9 @@ WORDS_PER_TASK = 20_000
 #: Text of one group of rows that share their distinct words.
 GROUP_BYTES = 32 << 20
 _GROUP = "__group"
-#: Words of one Arrow batch; bytes of text that are put together at a time.
-_ROWS, _STRETCH = 50_000, 4 << 20
+#: Words of one Arrow batch; bytes of text that are put together at a time; edges that are folded at a time.
+_ROWS, _STRETCH, _EDGES = 50_000, 4 << 20, 200_000
+_Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def default_path() -> str:
@@ -110,28 +111,32 @@ def split_words(text: Column, prefix: bool, joined: str = "") -> Column:
     return F.regexp_extract_all(shown, F.lit(word_pattern(joined)), F.lit(0))
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, carried: str | None = None) -> DataFrame:
-    """(word, size, edges): the pieces in each distinct word as (rank, a, b, id, score), and every single character.
+def _edges(words: DataFrame, pieces: DataFrame, longest: int, carried: str | None = None) -> DataFrame:
+    """(word, size, first, a, len, rank, id, score): the pieces in each word, and every single character.
 
     Substrings of up to ``longest`` characters are exploded, where their first three characters begin a piece of that
-    length, and equi-joined to the piece table, which has a fixed size and is broadcast. Explode and join keep the
-    words' partitioning, so grouping needs no shuffle. A character that is no piece is an edge without rank, id and score.
-    A column ``carried`` of the words rides on one edge of each and is kept.
+    length, and equi-joined to the piece table, which has a fixed size and is broadcast. A character that is no piece is
+    an edge without rank, id and score. Neither explode nor join moves rows, so the edges of a word stay side by side,
+    those that begin further left first, and its first character, which is marked ``first``, before all others.
+    A column ``carried`` of the words is kept.
     """
     known = pieces.where("byte is null").select("piece", "rank", "id", "score")
     long = known.where(F.char_length("piece").between(3, longest))
     begins = long.groupBy(F.substring("piece", 1, 3).alias("begin")).agg(F.collect_set(F.char_length("piece")).alias("lengths"))
-    held = [F.col(carried).alias("held")] if carried else []
-    sized = words.select("word", F.char_length("word").alias("size"), *held)
-    begun = sized.withColumn("a", F.explode(F.sequence(F.lit(0), F.col("size") - 1)))
+    own = ["word", "size", *([carried] if carried else [])]
+    begun = words.withColumn("size", F.char_length("word")).select(*own, F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("a"))
     begun = begun.withColumn("begin", F.substring("word", F.col("a") + 1, F.lit(3))).join(F.broadcast(begins), "begin", "left")
     lengths = F.concat(F.array(F.lit(1), F.lit(2)), F.coalesce("lengths", F.array().cast("array<int>")))
-    first = [F.when(F.col("a") == 0, F.col("held")).alias("held")] if carried else []
-    cut = begun.select("word", "size", "a", *first, F.explode(lengths).alias("len")).where(F.col("a") + F.col("len") <= F.col("size"))
+    cut = begun.select(*own, "a", F.explode(lengths).alias("len")).where(F.col("a") + F.col("len") <= F.col("size"))
     cut = cut.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("len")))
+    found = cut.join(F.broadcast(known), "piece", "left").where("id is not null or len = 1")
+    return found.select(*own, ((F.col("a") == 0) & (F.col("len") == 1)).alias("first"), "a", "len", "rank", "id", "score")
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+    """(word, size, edges): the edges of each distinct word in one row, as (rank, a, b, id, score), for folds in SQL."""
     edge = F.struct("rank", "a", (F.col("a") + F.col("len")).alias("b"), "id", "score")
-    kept = [F.get(F.collect_list(F.when(F.col("len") == 1, F.col("held"))), F.lit(0)).alias(carried)] if carried else []
-    return cut.join(F.broadcast(known), "piece", "left").where("id is not null or len = 1").groupBy("word", "size").agg(F.collect_list(edge).alias("edges"), *kept)
+    return _edges(words, pieces, longest).groupBy("word", "size").agg(F.collect_list(edge).alias("edges"))
 
 
 def _best(size: Column, edges: Column, score: Callable[[Column], Column], start: Column, further: Callable[[Column, Column], Column]) -> Column:
@@ -159,63 +164,131 @@ def viterbi_pieces(size: Column, edges: Column, score: Callable[[Column], Column
     return _best(size, edges, score, F.lit(0), lambda n, _: n + 1)
 
 
-def merges(size: Column, edges: Column) -> Column:
-    """Cuts that merging leaves: a fold over the pieces in the order of their rank, the leftmost first of equal ones.
-
-    The first cuts are all character bounds. A piece drops the one cut inside it if it spans just two stretches by
-    then. One pass is enough: the parts that a piece can be merged from rank before it.
-    """
-    order = F.sort_array(F.filter(edges, lambda e: e["b"] - e["a"] > 1))
-
-    def step(cuts: Column, e: Column) -> Column:
-        at = F.array_position(cuts, e["a"]).cast("int")  # from 1; 0 if a is no cut
-        return F.when((at > 0) & F.coalesce(F.get(cuts, at + 1) == e["b"], F.lit(False)), F.array_remove(cuts, F.get(cuts, at))).otherwise(cuts)
-
-    return F.aggregate(order, F.sequence(F.lit(0), size), step)
-
-
 def zipf(e: Column) -> Column:
     """The logarithm of a piece's probability in a unigram model where it falls with the rank, as words' do; for merge models, whose scores are ranks."""
     return -F.log(e["rank"] + F.lit(2.0))
 
 
-def tokens(word: Column, edges: Column, cuts: Column, unknown: int, first_byte: int | None) -> Column:
-    """The stretches between cuts as (a, b, ids): a piece's id, or the ids of a character's bytes, or ``unknown``."""
-
-    def between_cuts(e: Column) -> Column:
-        at = F.array_position(cuts, e["a"]).cast("int")  # from 1; 0 if a is no cut
-        return (at > 0) & F.coalesce(F.get(cuts, at) == e["b"], F.lit(False))
-
-    def one(e: Column) -> Column:
-        if first_byte is None:
-            other = F.array(F.lit(unknown))
-        else:
-            text = F.hex(F.encode(F.substring(word, e["a"] + 1, e["b"] - e["a"]), "UTF-8"))
-            other = F.transform(F.regexp_extract_all(text, F.lit(".."), F.lit(0)), lambda h: (F.conv(h, 16, 10).cast("int") + F.lit(first_byte)))
-        return F.struct(e["a"].alias("a"), e["b"].alias("b"), F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(other).alias("ids"))
-
-    # every stretch is an edge, as single characters are
-    return F.sort_array(F.transform(F.filter(edges, between_cuts), one))
-
-
-def _flat(tokens: Column) -> Column:
-    return F.flatten(F.transform(tokens, lambda t: t["ids"]))
+class _Folds:
+    """Folds over the edges of many words at once; the edges of a word are side by side, those that begin further left first.
 
+    A fold takes the k-th edge of every word that has so many in step k, in an order of its own.
+    """
 
-def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | None, carried: str | None = None) -> DataFrame:
-    """(word, merged or best path as tokens, number of pieces of the Viterbi path) of distinct words of bounded length."""
+    def __init__(self, size: np.ndarray, n_edges: np.ndarray, a: np.ndarray, length: np.ndarray):
+        self.base = _bounds(size + 1)  # of each word's places: before, between and after its characters
+        self.word = np.repeat(np.arange(len(size)), n_edges)
+        self.at = self.base[self.word] + a
+        self.to = self.at + length
+
+    def _steps(self, edges: np.ndarray, key: np.ndarray) -> Iterator[np.ndarray]:
+        """Of the given edges, for each step one of every word that has any left, ordered by key and then as they are."""
+        edges = edges[np.argsort((self.word[edges] << 32) | key[edges], kind="stable")]
+        n = np.bincount(self.word[edges], minlength=len(self.base) - 1)
+        first, most = _bounds(n)[:-1], np.argsort(-n, kind="stable")
+        first, left = first[most], np.searchsorted(-n[most], -np.arange(n.max(initial=0)))
+        for k, words in enumerate(left):
+            yield edges[first[:words] + k]
+
+    def merges(self, rank: np.ndarray) -> np.ndarray:
+        """Which edges are the stretches that merging leaves: a fold over the pieces in the order of their rank, the leftmost first of equal ones.
+
+        The first cuts are all character bounds. A piece drops the one cut inside it if it spans just two stretches by
+        then. One pass is enough: the parts that a piece can be merged from rank before it.
+        """
+        cut, following = np.ones(self.base[-1], bool), np.arange(1, self.base[-1] + 1)
+        for e in self._steps(np.flatnonzero(self.to - self.at > 1), rank):
+            at, to = self.at[e], self.to[e]
+            inner = following[at]
+            merged = cut[at] & (following[inner] == to)
+            following[at[merged]] = to[merged]
+            cut[inner[merged]] = False
+        return cut[self.at] & (following[self.at] == self.to)
+
+    def best(self, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which edges are the best-scoring path, and its number of edges by word. Of equal paths the one whose last piece begins first stays."""
+        top, n, by = np.full(self.base[-1], -np.inf), np.zeros(self.base[-1], np.int32), np.zeros(self.base[-1], np.int64)
+        top[self.base[:-1]] = 0
+        for e in self._steps(np.arange(len(self.at)), self.to - self.base[self.word]):
+            s = top[self.at[e]] + score[e]
+            e = e[s > top[self.to[e]]]
+            top[self.to[e]], n[self.to[e]], by[self.to[e]] = top[self.at[e]] + score[e], n[self.at[e]] + 1, e
+        used, place = np.zeros(len(self.at), bool), self.base[1:] - 1
+        counts = n[place]
+        while len(place := place[n[place] > 0]):
+            used[by[place]] = True
+            place = self.at[by[place]]
+        return used, counts
+
+
+def _whole_words(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """Some batches at a time, cut where ``column`` is true, so that what begins there stays whole."""
+    held, rows, enough = [], 0, _EDGES
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= enough:
+            table = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(table[column].to_numpy())[-1])
+            if last:
+                yield table.slice(0, last)
+            held, rows = table.slice(last).to_batches(), len(table) - last
+            enough = max(_EDGES, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _tokenised(words: DataFrame, spark: SparkSession, path: str, fold: str | None, carried: str | None = None, places: bool = False) -> DataFrame:
+    """(word, ids of its merged or best path, number of pieces of the Viterbi path) of distinct words of bounded length.
+
+    With ``places`` a column ``tokens`` holds (a, b, ids) of each stretch. Edges come from Spark, one row each; tasks fold those of many words at once.
+    """
     pieces, spec = model_spec(path)
     fold = fold or {"bpe": "merges", "unigram": "viterbi"}[spec["kind"]]
     longest = max(len(p) for p, _, _, byte in pieces if byte is None)
     first_byte = next((i for _, i, _, byte in pieces if byte == 0), None) if spec["fallback"] else None
-    size, edges = F.col("size"), F.col("edges")
-    found = lattice(words, piece_table(spark, path), longest, carried)
+    table = piece_table(spark, path)
     score = zipf if spec["kind"] == "bpe" else lambda e: e["score"]
-    if fold == "merges":
-        found = found.withColumns({"cuts": merges(size, edges), "n_best": viterbi_pieces(size, edges, score)})
-    else:
-        found = found.withColumn("cuts", viterbi(size, edges, score)).withColumn("n_best", F.size("cuts") - 1)
-    return found.select("word", tokens(F.col("word"), edges, F.col("cuts"), spec["unk"], first_byte).alias("tokens"), "n_best", *([carried] if carried else []))
+    ranked = table.select("rank", "id", score(table).alias("score")).orderBy("rank").collect()
+    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in ranked], np.int32), np.array([*(r["score"] for r in ranked), UNKNOWN_SCORE])))  # the piece table, of a fixed size
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = shared.value
+        for table in _whole_words(batches, "first"):
+            a, length, rank = (table[c].to_numpy() for c in ("a", "len", "rank"))
+            first = table["first"].to_numpy()
+            begins = table.filter(table["first"])
+            own = pa.concat_arrays(begins["word"].cast(pa.large_string()).chunks)
+            size, n_edges = pc.utf8_length(own).to_numpy(), np.diff(np.append(np.flatnonzero(first), len(first)))
+            folds = _Folds(size, n_edges, a, length)
+            if not first[0] or (np.bincount(folds.word[length == 1], minlength=len(size)) != size).any() or (np.diff(folds.at) < 0).any():
+                raise ValueError("the edges of a word are not side by side")
+            used, n_best = folds.best(scores[rank])
+            used = np.flatnonzero(folds.merges(rank) if fold == "merges" else used)
+            # every stretch is an edge, as single characters are
+            known, char = rank[used] >= 0, _bounds(size)[folds.word[used]] + a[used]
+            body, _ = common.raw_bytes(own)
+            starts = np.append(np.flatnonzero((body & 0xC0) != 0x80), len(body))
+            n = np.where(known | (first_byte is None), 1, starts[char + 1] - starts[char])
+            at, found = _bounds(n), np.full(n.sum(), spec["unk"], np.int32)
+            found[at[:-1][known]] = ids[rank[used[known]]]
+            if first_byte is not None:
+                found[_spread(at[:-1][~known], n[~known])] = body[_spread(starts[char[~known]], n[~known])].astype(np.int32) + first_byte
+            of_word = _bounds(np.bincount(folds.word[used], minlength=len(size)))
+            columns = [begins["word"].combine_chunks(), pa.ListArray.from_arrays(pa.array(at[of_word], pa.int32()), pa.array(found)), pa.array(n_best)]
+            if places:
+                parts = [pa.array(a[used]), pa.array(a[used] + length[used]), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(found))]
+                columns.append(pa.ListArray.from_arrays(pa.array(of_word, pa.int32()), pa.StructArray.from_arrays(parts, ["a", "b", "ids"])))
+            if carried:
+                columns.append(begins[carried].combine_chunks())
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    schema = StructType.fromDDL("word string, ids array<int>, n_best int" + (", tokens array<struct<a int, b int, ids array<int>>>" if places else ""))
+    if carried:
+        schema = schema.add(words.schema[carried])
+    shown = lambda c: F.when(F.col("first"), F.col(c)).alias(c)  # noqa: E731 - once a word
+    edges = _edges(words, table, longest, carried).select("first", "a", "len", F.coalesce("rank", F.lit(-1)).alias("rank"), shown("word"), *([shown(carried)] if carried else []))
+    return edges.mapInArrow(make, schema)
 
 
 def best_path(word: str, scores: dict[str, float], longest: int) -> list[int]:
@@ -271,8 +344,7 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
     """
     fold = fold or {"bpe": "merges", "unigram": "viterbi"}[model_spec(path)[1]["kind"]]
     short = words.where(F.char_length("word") <= step + overlap)
-    extra = [carried] if carried else []
-    done = _tokenised(short, spark, path, fold, carried).select("word", _flat(F.col("tokens")).alias("ids"), "n_best", *extra)
+    done = _tokenised(short, spark, path, fold, carried)
     held = words.where(F.char_length("word") > step + overlap)
     long = held.select("word")
 
@@ -288,7 +360,7 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
         last = F.greatest(F.ceil((size - overlap) / step).cast("int") - 1, F.lit(0))
         chunks = left.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
         chunks = chunks.select("wid", "k", F.substring(F.col("word"), F.col("k") * step + 1, F.when(F.col("k") < last, F.lit(step + overlap)).otherwise(size)).alias("part"))
-        coded = _tokenised(chunks.select(F.col("part").alias("word")).distinct(), spark, path, fold)
+        coded = _tokenised(chunks.select(F.col("part").alias("word")).distinct(), spark, path, fold, places=True)
         coded = common.stored(chunks.join(coded, chunks["part"] == coded["word"]).select("wid", "k", F.transform("tokens", lambda t: F.struct((t["a"] + F.col("k") * step).alias("a"), (t["b"] + F.col("k") * step).alias("b"), t["ids"].alias("ids"))).alias("tokens")), "word-chunks")
         after = coded.select("wid", (F.col("k") - 1).alias("k"), F.col("tokens").alias("next"))
         shared = F.filter("tokens", lambda t: F.exists("next", lambda n: (n["a"] == t["a"]) & (n["b"] == t["b"])))
@@ -298,7 +370,7 @@ def encode_words(words: DataFrame, spark: SparkSession, path: str, fold: str | N
         good = coded.join(failed, "wid", "left_anti")
         good = good.join(cuts.withColumnRenamed("cut", "from"), ["wid", "k"], "left").join(cuts.select("wid", (F.col("k") - 1).alias("k"), F.col("cut").alias("to")), ["wid", "k"], "left")
         own = F.filter("tokens", lambda t: (t["a"] >= F.coalesce("from", F.lit(0))) & (F.col("to").isNull() | (t["a"] < F.col("to"))))
-        whole = good.select("wid", "k", _flat(own).alias("ids")).groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+        whole = good.select("wid", "k", F.flatten(F.transform(own, lambda t: t["ids"])).alias("ids")).groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
         parts.append(left.join(whole, "wid").select("word", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids")))
         left = common.stored(left.join(failed, "wid", "left_semi"), "long-words")
         step, overlap = 4 * step, 4 * overlap
@@ -327,27 +399,60 @@ def words_of_chunk(chunk: str, prefix: bool, joined: str = "") -> list[str]:
     return re.findall(word_pattern(joined), (SPACE if prefix else "") + chunk)
 
 
+def _chunks(texts: pa.Array, prefix: bool) -> tuple[pa.Array, np.ndarray]:
+    """``chunks_of`` some texts, one after the other, and how many each has; plain texts are cut by Arrow."""
+    texts = pc.fill_null(texts, "")
+    odd = [pc.match_substring(texts, SPACE), pc.match_substring(texts, "  "), pc.starts_with(texts, " "), pc.ends_with(texts, " "), pc.equal(texts, "")]
+    odd = np.logical_or.reduce([x.to_numpy(zero_copy_only=False) for x in odd]) | (not prefix)
+    found = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    if odd.any():
+        other = pa.array([chunks_of(t, prefix) for t in texts.filter(pa.array(odd)).to_pylist()], found.type)
+        place = np.empty(len(texts), np.int64)
+        place[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+        found = pa.concat_arrays([found, other]).take(pa.array(place))
+    return found.flatten(), pc.list_value_length(found).to_numpy(zero_copy_only=False)
+
+
+def _words(chunks: pa.Array, prefix: bool, joined: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of some chunks in any order, and for each chunk the place of its first, which the others follow, and their number."""
+    one = np.zeros(len(chunks), bool)
+    if joined:  # most are a single word
+        one = pc.match_substring_regex(chunks, rf"\A{SPACE}*[{re.escape(joined)}]+\z").to_numpy(zero_copy_only=False)
+    whole = chunks.filter(pa.array(one))
+    if prefix:
+        whole = pc.binary_join_element_wise(pa.scalar(SPACE, chunks.type), whole, pa.scalar("", chunks.type))
+    other = [words_of_chunk(c, prefix, joined) for c in chunks.filter(pa.array(~one)).to_pylist()]
+    n = np.ones(len(chunks), np.int64)
+    n[~one] = [len(own) for own in other]
+    first = np.empty(len(chunks), np.int64)
+    first[one], first[~one] = np.arange(len(whole)), len(whole) + _bounds(n[~one])[:-1]
+    return pa.concat_arrays([whole, pa.array([w for own in other for w in own], chunks.type)]), first, n
+
+
 def _asked_words(rows: DataFrame, text_col: str, prefix: bool, joined: str) -> DataFrame:
     """(group, word): the distinct words of each stretch of rows; several times where a group comes in several stretches."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, chunks, size = None, set(), 0
+        group, chunks, size = None, [], 0
 
         def words() -> Iterator[pa.RecordBatch]:
-            own = sorted({w for c in chunks for w in words_of_chunk(c, prefix, joined)})  # sorted text is smaller on disk
-            for k in range(0, len(own), _ROWS):
-                part = pa.array(own[k : k + _ROWS], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group, np.int32)), part], [_GROUP, "word"])
-            chunks.clear()
+            if chunks:
+                own = _words(pa.chunked_array(chunks).unique(), prefix, joined)[0].unique()
+                own = own.take(pc.array_sort_indices(own))  # sorted text is smaller on disk
+                for k in range(0, len(own), _ROWS):
+                    part = own.slice(k, _ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group, np.int32)), part], [_GROUP, "word"])
+                chunks.clear()
 
         for batch in batches:
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if own != group or size > 2 * GROUP_BYTES:
+            groups, texts = batch.column(0).to_pylist(), batch.column(1)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            for a, b in _in_stretches(groups, sizes):
+                if groups[a] != group or size > 2 * GROUP_BYTES:
                     yield from words()
-                    group, size = own, 0
-                text = text.as_py()
-                chunks.update(chunks_of(text, prefix))
-                size += len(text or "")
+                    group, size = groups[a], 0
+                chunks.append(_chunks(texts.slice(a, b - a), prefix)[0].unique())
+                size += sum(sizes[a:b])
         yield from words()
 
     return rows.select(_GROUP, text_col).mapInArrow(make, f"{_GROUP} int, word string")
@@ -363,7 +468,7 @@ def _bounds(n: np.ndarray | list[int]) -> np.ndarray:
 
 
 class _Answers:
-    """The answers of one group: ids of its words, and of its chunks from when they are first asked for."""
+    """The answers of one group: ids and number of Viterbi pieces of its words."""
 
     def __init__(self, path: str, group: int, prefix: bool, joined: str):
         files, root = pa.fs.FileSystem.from_uri(f"{path}/{_GROUP}={group}")
@@ -375,30 +480,21 @@ class _Answers:
         self.bounds = _bounds(np.concatenate([np.zeros(0, np.int64), *(np.diff(c.offsets.to_numpy()) for c in columns["ids"])]))
         self.best = np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in columns["n_best"])])
         self.prefix, self.joined = prefix, joined
-        self.known, self.chunk_ids, self.chunk_bounds, self.chunk_best = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        words = [words_of_chunk(c, self.prefix, self.joined) for c in chunks]
-        at = pc.index_in(pa.array([w for own in words for w in own], pa.string()), value_set=self.words)
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """ids and n_best of some texts; each distinct chunk of them is looked up once."""
+        chunks, n_chunks = _chunks(texts, self.prefix)
+        coded = chunks.dictionary_encode()
+        words, first, n_words = _words(coded.dictionary, self.prefix, self.joined)
+        at = pc.index_in(words, value_set=self.words)
         if at.null_count:
             raise ValueError("texts have changed between the two times they were read")
-        at, of_chunk = at.to_numpy().astype(np.int64), _bounds([len(own) for own in words])
+        at, of_chunk = at.to_numpy().astype(np.int64)[_spread(first, n_words)], _bounds(n_words)
         n = self.bounds[at + 1] - self.bounds[at]
-        best, upto = _bounds(self.best[at]), _bounds(n)
-        self.chunk_bounds = np.concatenate([self.chunk_bounds, len(self.chunk_ids) + upto[of_chunk[1:]]])
-        self.chunk_ids = np.concatenate([self.chunk_ids, self.ids[_spread(self.bounds[at], n)]])
-        self.chunk_best = np.concatenate([self.chunk_best, np.diff(best[of_chunk])])
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
-
-    def encode(self, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
-        """ids and n_best of some texts."""
-        chunks = [chunks_of(text, self.prefix) for text in texts]
-        new = list(set().union(*chunks).difference(self.known))
-        if new:
-            self._learn(new)
-        asked = np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(self.known.__getitem__, c), np.int64, len(c)) for c in chunks)])
-        first, n, of_text = self.chunk_bounds[asked], np.diff(self.chunk_bounds)[asked], _bounds([len(c) for c in chunks])
-        ids, best = self.chunk_ids[_spread(first, n)], _bounds(self.chunk_best[asked])
+        chunk_ids, chunk_best = self.ids[_spread(self.bounds[at], n)], np.diff(_bounds(self.best[at])[of_chunk])
+        chunk_bounds, asked, of_text = _bounds(n)[of_chunk], coded.indices.to_numpy(), _bounds(n_chunks)
+        n = np.diff(chunk_bounds)[asked]
+        ids, best = chunk_ids[_spread(chunk_bounds[asked], n)], _bounds(chunk_best[asked])
         return pa.ListArray.from_arrays(pa.array(_bounds(n)[of_text], pa.int32()), pa.array(ids, pa.int32())), pa.array(np.diff(best[of_text]), pa.int64())
 
 
@@ -414,30 +510,31 @@ def _in_stretches(groups: list[int], sizes: list[int]) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def _answered(rows: DataFrame, schema: StructType, text_col: str, answers: str, prefix: bool, joined: str) -> DataFrame:
-    """``rows`` less their group, with ids and n_best put together from the answers that their groups have in the shared folder."""
-    names = [f.name for f in schema.fields]
+def _answered(rows: DataFrame, schema: StructType, text_col: str, answers: str, prefix: bool, joined: str, then: _Step | None = None) -> DataFrame:
+    """``rows`` less their group, with ids and n_best put together from the answers that their groups have in the shared folder, and what ``then`` adds to them."""
+    names = [f.name for f in schema.fields][: len(rows.columns) + 1]
     at, text_at = rows.columns.index(_GROUP), rows.columns.index(text_col)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, known = None, None
         for batch in batches:
             groups, texts = batch.column(at).to_pylist(), batch.column(text_at)
-            for a, b in _in_stretches(groups, [len(x.as_buffer()) if x.is_valid else 0 for x in texts]):
+            for a, b in _in_stretches(groups, pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
                 if groups[a] != group:
                     known = None  # before the next is read
                     group, known = groups[a], _Answers(answers, groups[a], prefix, joined)
-                coded = known.encode(texts.slice(a, b - a).to_pylist())
+                coded = known.encode(texts.slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for k, c in enumerate(batch.columns) if k != at), *coded], names)
 
-    return rows.mapInArrow(make, schema)
+    return rows.mapInArrow((lambda batches: then(make(batches))) if then else make, schema)
 
 
-def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fold: str | None = None) -> DataFrame:
+def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fold: str | None = None, decoded: bool = False) -> DataFrame:
     """``texts`` with columns ``ids`` (array<int>), the ids that the SentencePiece library gives for the whole text, and ``n_best``.
 
     ``n_best`` is the number of pieces on the Viterbi paths of its words: of a unigram model itself, or, for a merge
-    model, of the unigram model with the same pieces whose probabilities fall with their rank.
+    model, of the unigram model with the same pieces whose probabilities fall with their rank. With ``decoded`` the same
+    tasks ``decode`` the ids too, a stretch of rows at a time, so that texts and ids are not handed over once more.
 
     Rows are dealt to groups of bounded text (beyond it only where one and the same row repeats): by the stretch of the
     file that they come from, and by a hash of all their columns. A group asks once for each of its distinct words, and each distinct word of all groups is encoded once; so occurrences are never shuffled, and a frequent word
@@ -450,7 +547,7 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     ``encode_words``).
     """
     spark, path = texts.sparkSession, path or default_path()
-    prefix, joined, kept = model_spec(path)[1]["prefix"], joined_characters(path), texts.drop("ids", "n_best")
+    prefix, joined, kept = model_spec(path)[1]["prefix"], joined_characters(path), texts.drop("ids", "n_best", *(["decoded"] if decoded else []))
     sizes = F.sum(F.octet_length(text_col)).alias("size"), F.count_distinct("block").alias("blocks"), F.min(F.length("file")).alias("named")
     block, file = F.xxhash64(F.input_file_name(), F.input_file_block_start()), F.input_file_name().alias("file")
     found = kept.select(text_col, block.alias("block"), file).agg(*sizes).first()
@@ -468,45 +565,55 @@ def encode(texts: DataFrame, path: str | None = None, text_col: str = "text", fo
     known = encode_words(dealt, spark, path, fold, carried="groups").select(F.explode("groups").alias(_GROUP), "word", "ids", "n_best")
     answers = new_path(spark, "answers")
     known.repartition(_GROUP).sortWithinPartitions(_GROUP, "word").write.partitionBy(_GROUP).parquet(answers)
-    schema = StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, n_best long").fields])
-    return _answered(rows, schema, text_col, answers, prefix, joined)
+    schema = StructType([*kept.schema.fields, *StructType.fromDDL("ids array<int>, n_best long" + (", decoded string" if decoded else "")).fields])
+    return _answered(rows, schema, text_col, answers, prefix, joined, _joiner(spark, path, [*kept.columns, "ids", "n_best"], "ids") if decoded else None)
 
 
-def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """``coded`` with a column ``decoded``: the text of its ids.
-
-    The pieces' bytes, byte pieces included, are joined in order; U+2581 becomes a space, and the one that encoding
-    puts first is left out. Ids without text (control, unknown, out of range) give nothing; null ids give an empty
-    text. Repeated rows are kept; an existing column ``decoded`` is replaced, others of any name are kept; an empty
-    table gives an empty result. No shuffle.
-    """
-    pieces, spec = model_spec(path or default_path())
+def _joiner(spark: SparkSession, path: str, names: list[str], ids_col: str) -> _Step:
+    """Adds ``decoded`` to batches of the columns ``names``."""
+    pieces, spec = model_spec(path)
     known = {i: bytes([byte]) if byte is not None else p.encode() for p, i, _, byte in pieces}
     own_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
     own_bytes.append(b"")  # of ids without text
-    shared = coded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(own_bytes), np.uint8), _bounds([len(x) for x in own_bytes])))  # the piece table, of a fixed size
-    kept, prefix = coded.drop("decoded"), spec["prefix"]
-    at, names = kept.columns.index(ids_col), kept.columns
+    shared = spark.sparkContext.broadcast(pa.array(own_bytes, pa.binary()))  # the piece table, of a fixed size
+    prefix, at = spec["prefix"], names.index(ids_col)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, bounds = shared.value
-        nothing = len(bounds) - 2
+        known, nothing = shared.value, len(shared.value) - 1
         for batch in batches:
             lengths = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_pylist()
             for a, b in _in_stretches([0] * len(lengths), [4 * n for n in lengths]):
                 ids = pc.fill_null(batch.column(at).slice(a, b - a).flatten(), -1).to_numpy(zero_copy_only=False)
-                ids = np.where((ids >= 0) & (ids < nothing), ids, nothing)
-                n = bounds[ids + 1] - bounds[ids]
-                raw, ends = flat[_spread(bounds[ids], n)].tobytes(), _bounds(n)[_bounds(lengths[a:b])].tolist()
-                texts = [raw[x:y].decode("utf-8", "replace").replace(SPACE, " ") for x, y in zip(ends, ends[1:])]
-                found = pa.array([x[1:] if prefix and x.startswith(" ") else x for x in texts], pa.string())
+                raw, ends = common.raw_bytes(known.take(pa.array(np.where((ids >= 0) & (ids < nothing), ids, nothing))).cast(pa.large_binary()))
+                ends = ends[_bounds(lengths[a:b])]
+                found = pa.LargeStringArray.from_buffers(b - a, pa.py_buffer(ends), pa.py_buffer(raw))
+                try:
+                    found.validate(full=True)
+                except pa.ArrowInvalid:  # bytes that are no text
+                    found = pa.array([raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(ends, ends[1:])], pa.large_string())
+                found = pc.replace_substring(found, SPACE, " ").cast(pa.string())
+                if prefix:
+                    found = pc.if_else(pc.starts_with(found, " "), pc.utf8_slice_codeunits(found, 1), found)
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), found], [*names, "decoded"])
 
+    return join
+
+
+def decode(coded: DataFrame, path: str | None = None, ids_col: str = "ids") -> DataFrame:
+    """``coded`` with a column ``decoded``: the text of its ids.
+
+    The pieces' bytes, byte pieces included, are joined in order; U+2581 becomes a space, and the one that encoding
+    puts first is left out. Ids without text (control, unknown, out of range) give nothing; null ids give an empty
+    text. Repeated rows are kept; an existing column ``decoded`` is replaced, others of any name are kept; an empty
+    table gives an empty result. No shuffle.
+    """
+    kept = coded.drop("decoded")
+    join = _joiner(coded.sparkSession, path or default_path(), kept.columns, ids_col)
     return kept.mapInArrow(join, StructType([*kept.schema.fields, StructField("decoded", StringType())]))
 
 
 def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = decode(encode(docs))
+    done = encode(docs, decoded=True)
     same = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")) == F.col("decoded")
     return done.select("doc_id", F.size("ids").alias("n_tokens"), "ids", same.alias("round_trip"), F.col("n_best").alias("n_viterbi"))
